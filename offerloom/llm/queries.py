@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import contamination_digest
 from .language import language_digest
 from .mixing import mix_digest
+from .near_duplicates import near_duplicates_digest
+from .neighbours import nearest_digest
+from .quotations import quotation_digest
+from .repeats import repeats_digest
 from .sharding import shard_digest
 from .shared import table
 from .toxicity import toxicity_digest
+from .warc import archive_digest
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +31,47 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_digest(table(spark, sf_dir, "conversations"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_mixing, op3_language_id, op6_decontamination, op9_toxicity)
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_mixing,
+        op3_language_id,
+        op4_neighbours,
+        op5_warc,
+        op6_decontamination,
+        op7_near_duplicates,
+        op8_quotations,
+        op9_toxicity,
+        op10_repeats,
+    )
 }
 LLM_ORACLES: dict[str, str] = {}
