@@ -1,0 +1,367 @@
+"""Small cases for each operator, against brute force where SQL has no words for it."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from offerloom.llm import decontamination, language, mixing, near_duplicates, neighbours, quotations, repeats, sharding, toxicity, warc
+from offerloom.llm.components import components
+from offerloom.llm.texts import ALNUM, FOLD, VISIBLE, words
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+def sentence(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Copies, near copies, ties, nulls in each column, empty and long texts, rows given twice."""
+    rng = random.Random(3)
+    base = [sentence(rng, rng.randrange(20, 120)) for _ in range(40)]
+    rows = [(i, t, rng.choice(["en", "fr"]), rng.choice(["a", "b", "b", "b", None]), len(t)) for i, t in enumerate(base)]
+    rows += [(100 + i, base[5], "en", "b", 1) for i in range(30)]
+    rows += [(200 + i, " ".join(w if j != 3 * i else "changed" for j, w in enumerate(base[6].split())), "en", "b", 1) for i in range(20)]
+    rows += [(300, None, None, None, None), (301, "", "en", "a", 0), (302, "...", "en", "a", 3), (303, "One two", "en", "a", 7), (304, "ONE two", "fr", "a", 7)]
+    rows += [(305, sentence(rng, 30_000, 5000), "en", "b", 1), (None, base[7] + " x", "en", "a", 1), (306, base[8], "en", "a", 1), (306, base[8], "en", "a", 1)]
+    rows += [(307, "é" * 150 + " ß" * 80, "fr", "c", 1), (308, "ab" * 400, "en", "c", 1)]
+    return frame(spark, rows)
+
+
+def test_sharding_rows_and_slots(spark, docs):
+    rows = sharding.shard_digest(docs, shards=7).collect()
+    assert len(rows) == docs.count()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    sizes = [len(v) for v in slots.values()]
+    assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:
+        b = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 16, zlib.crc32(b), "rows", None)
+
+
+def test_sharding_keeps_the_mixture(spark):
+    rows = [(i, str(i), "en", "hot" if i % 3 else f"s{i % 5}", 1) for i in range(3000)]
+    got = sharding.interleave_shards(frame(spark, rows), 10).groupBy("shard", "source").count().collect()
+    whole = defaultdict(int)
+    for r in rows:
+        whole[r[3]] += 1
+    for r in got:
+        assert abs(r["count"] - whole[r.source] / 10) <= 2
+    assert sharding.interleave_shards(frame(spark, []), 3).collect() == []
+
+
+def brute_targets(sizes):
+    """Excess over three times a source's size goes to the others by weight until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left = total - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: 3.0 * sizes[s] for s in over}
+
+
+def test_mixing_targets_and_copies(spark, docs):
+    rows = mixing.mix_digest(docs).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size and r.taken % max(1, r.size) == 0
+    want = brute_targets(sizes)
+    for r in rows:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-9)
+    texts = [x.text for x in docs.collect()]
+    assert sum(sizes.values()) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_digest(docs.repartition(3)).collect()))
+    copies = sum(r.copies for r in rows)
+    assert mixing.mix(docs).count() == copies and mixing.mix(docs).columns == docs.columns
+
+
+def test_language_learns_and_ignores_labels(spark):
+    rng = random.Random(1)
+    parts = {"en": ["the", "ing", "and", "tion"], "fr": ["eau", "les", "que", "ais"]}
+    text = lambda lang: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(30))
+    rows = [(i, text(lang), lang, "s", 1) for i in range(300) for lang in [rng.choice(["en", "fr"])]]
+    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 !!", "fr", "s", 0), (None, text("fr"), None, None, None)]
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in language.language_digest(df).collect()}
+    assert len(got) == len(rows)
+    for i, _, lang, *_ in rows[:300]:
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        assert got[i].held_out == held and got[i].lang_pred == lang and 0.5 < got[i].score <= 1
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert got[None].lang_pred == "fr" and not got[None].held_out
+    assert {r.doc_id for r in language.confident(df).collect()} == set(range(300)) | {None}
+    assert language.language_digest(frame(spark, [])).collect() == []
+
+
+def test_code_lengths_are_probabilities():
+    """After any context, the probabilities of all symbols sum to one in each language."""
+    grams = [b"aaab", b"abab", b"bbba", b"abca"]
+    packed = np.array([((g[0] << 9 | g[1]) << 9 | g[2]) << 9 | g[3] for g in grams], np.int64)
+    trees = language.Trees(["x", "y"], np.array([0, 0, 1, 1]), packed, np.array([5, 3, 2, 7]), 100)
+    total = np.exp2(-trees.bits.astype(float)).reshape(-1, trees.size, 2).sum(1)
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def brute_neighbours(rows, k):
+    sound = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for q, x in sound:
+        if q % 100 == 0:
+            near = sorted({(math.dist(x, y), i) for i, y in sound if i != q and len(y) == len(x)})
+            out[q] = [(i, d) for d, i in near[:k]]
+    return out
+
+
+def test_neighbours_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((600, 16)).astype(np.float32)
+    vectors[40:90] = vectors[0]
+    vectors[100:103] = vectors[200]
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (800, [1.0, 2.0]), (801, [1.0, 2.5]), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.nearest_digest(df).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    want = brute_neighbours(rows, 10)
+    assert set(got) == set(q for q, v in want.items() if v)
+    for q, near in got.items():
+        near.sort()
+        assert [r for r, _, _ in near] == list(range(1, len(near) + 1))
+        assert [i for _, i, _ in near] == [i for i, _ in want[q]]
+        assert all(math.isclose(s, d, rel_tol=1e-12) for (_, _, s), (_, d) in zip(near, want[q], strict=True))
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "".join(f"<p>{i} é\r\n\r\nWARC/1.1\r\n</p>" for i in range(3000))
+    rows = [(1, "http://a/", "x"), (2, None, None), (3, "http://b/\r\nx", big), (4, "u", "x"), (5, "u", ""), (6, "u", big), (7, "u", "0\r\n\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive_digest(df).collect()}
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(last.get(h or "", 0), i)
+    for i, _, h in rows:
+        b = (h or "").encode()
+        want = (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if last[h or ""] == i else "revisit", None if last[h or ""] == i else last[h or ""])
+        assert tuple(got[i])[1:] == want
+    # repeated pages are one response and revisits of it; an empty table has no archives
+    twice = warc.archive_digest(df.union(df.limit(1))).where("page_id = 1 or page_id = 4").collect()
+    assert sorted(r.record_type for r in twice) == ["response", "revisit", "revisit"]
+    broken = b"".join(warc._record("response" if n == "1" else "continuation", "urn:page:9:0", b"abc", [("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", "<urn:page:9:0>" if n != "1" else None), ("WARC-Segment-Total-Length", "99" if n == "2" else None)]) + b"\r\n\r\n" for n in "12")
+    (tmp_path / "part-0").write_bytes(broken)
+    assert [r.complete for r in warc.read_archives(spark, str(tmp_path)).collect()] == [False]
+
+
+@given(st.binary(max_size=300), st.integers(1, 50))
+@settings(max_examples=50, deadline=None)
+def test_chunks_round_trip(payload, size):
+    assert warc.dechunked(warc.chunked(payload, size)) == payload
+
+
+def tokens(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def test_decontamination_matches_brute_force(spark, docs):
+    rows = docs.collect()
+    rng = random.Random(4)
+    items = [(1, " ".join(rows[3].text.split()[5:30])), (2, "one TWO"), (3, None), (4, "..."), (10, rows[4].text.upper()), (11, sentence(rng, 40))]
+    items += [(20, " ".join((rows[305 - 300].text or "").split()[2:12])), (21, "é" * 150)]
+    for block in (500_000, 7):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = decontamination.contamination(docs, bench, block_windows=block)
+        assert got.columns[:5] == docs.columns
+        for r in got.collect():
+            own, hit, found = tokens(r.text), set(), set()
+            for item, text in items:
+                w = tokens(text)
+                for window in [w[i : i + 10] for i in range(max(1, len(w) - 9))] if w else []:
+                    for p in range(len(own) - len(window) + 1):
+                        if own[p : p + len(window)] == window:
+                            hit |= set(range(p, p + len(window)))
+                            found.add(str(item))
+            want = (len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want
+
+
+def brute_components(rows, size, percent):
+    sets = []
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOWER))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    out = []
+    for i, r in enumerate(rows):
+        ids = [rows[j].doc_id for j in range(len(rows)) if find(j) == find(i) and rows[j].doc_id is not None]
+        out.append((r.doc_id, len(sets[i]), min(ids, default=None)))
+    return out
+
+
+def test_near_duplicates_match_brute_force(spark, docs):
+    got = near_duplicates.near_duplicates_digest(docs).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=key) == sorted(brute_components(docs.collect(), 4, 80), key=key)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_keep_one_of_each_group(spark, docs):
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = {c for _, n, c in brute_components(docs.collect(), 5, 80) if n}
+    empty = {r.doc_id for r in docs.collect() if not re.search(r"[^\x20\x09-\x0D]", r.text or "")}
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(ids) == sorted(want | empty)
+
+
+def test_joint_estimate_is_near_the_similarity():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(1, 1 << 62, 3000, dtype=np.uint64)
+    a, b = np.unique(pool[:2000]), np.unique(pool[200:2100])
+    table = near_duplicates.registers([a, b])
+    j = near_duplicates.joint_similarity(table[:1], table[1:], np.array([2000.0]), np.array([1900.0]))[0]
+    assert abs(j - 1800 / 2100) < 0.1
+    whole = near_duplicates.registers([np.union1d(a, b)])
+    assert (np.maximum(table[0], table[1]) == whole[0]).mean() > 0.99
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == dict.fromkeys(range(51), 0) | {100: 100, 101: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_quotations(spark):
+    rows = [
+        (1, 0, "u", "Hello there. How are you?"),
+        (1, 1, "a", "I am fine. Thanks!"),
+        (1, 2, "u", "Good to know."),
+        (1, 3, "a", "Ann wrote:\n> I am\n> fine. thanks\nNice"),
+        (1, 4, "u", "go on"),
+        (1, 5, "a", ">> I am fine.\n> Nice\nyes"),
+        (1, 6, "u", "> go on\nno"),
+        (2, 0, "u", None),
+        (2, None, "u", "> Good to know."),
+        (None, 1, "u", "x"),
+        (2, 0, "u", None),
+        (3, 0, "u", "> Good to know.\nfrom elsewhere"),
+    ]
+    got = quotations.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("role", "role")).collect()
+    assert len(got) == len(rows)
+    one = {r.turn: r for r in got if r.conv_id == 1}
+    assert [r.turn for r in got if r.conv_id == 1] == [0, 1, 3, 4, 6, 5, 2]
+    assert (one[3].reply_to, one[3].text, one[3].depth, one[3].quoted_lines) == (1, "Nice", 1, 2)
+    assert (one[5].reply_to, one[5].text) == (3, "yes")
+    assert one[6].path == [*one[4].path, 6] and one[6].reply_to == 4
+    assert [r.reply_to for r in got if r.conv_id == 3] == [None]
+    assert quotations.reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_toxicity_finds_documents_and_sentences(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(500):
+        parts = [sentence(rng, 12, 60) for _ in range(6)]
+        bad = rng.random() < 0.3
+        if bad:
+            parts[2] += " vile"
+        rows.append((i, ". ".join(parts), "en", "s", 1))
+        labels.append((i, 1, int(bad)))
+    rows += [(600, None, "en", "s", 0), (601, "", "en", "s", 0), (None, "vile", "en", "s", 0)]
+    labels += [(None, 1, 1), (3, None, None), (999, 1, 1)]
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_digest(docs, marks).collect()}
+    for i, _, toxic in labels[:500]:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == toxic == int(got[i].score >= 0.5)
+    assert got[600].score == got[601].score == 0 and got[None].predicted == 1
+    weights = toxicity.fit(docs, marks, toxicity.id_remainder("doc_id", 5) != 0)
+    found = toxicity.score(docs, weights).where("predicted = 1 and doc_id is not null").collect()
+    assert all(len(r.spans) == 1 and "vile" in r.text[r.spans[0].start : r.spans[0].end] for r in found)
+    assert toxicity.toxicity_digest(frame(spark, []), marks.limit(0)).collect() == []
+
+
+def brute_repeats(rows, length):
+    """Windows in the order of ids (nulls last); rows of one id do not see each other."""
+    first, out = {}, []
+    order = lambda r: (r.doc_id is None, r.doc_id or 0)
+    for r in sorted(rows, key=order):
+        b = (r.text or "").encode()
+        for s in range(len(b) - length + 1):
+            first.setdefault(b[s : s + length], (order(r), s))
+    for r in rows:
+        b = (r.text or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < (order(r), s):
+                gone[s : s + length] = True
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((r.doc_id, len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])[: len(gone)]).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_match_brute_force(spark, docs):
+    rows = [r for r in docs.collect() if r.doc_id != 305]
+    got = [tuple(r) for r in repeats.repeats_digest(docs.where("doc_id <> 305 or doc_id is null")).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert sorted(got, key=key) == sorted(brute_repeats(rows, 100), key=key)
+    assert any(r[2] and r[2] < r[1] for r in got)
+    assert repeats.repeats_digest(docs.limit(0)).collect() == []
+
+
+def test_long_texts_are_cut_into_the_same_phrases(monkeypatch):
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 123, 20_000).astype(np.uint8)
+    whole = {tuple(x) for x in zip(*[c.tolist() for c in repeats.phrases(data, 100)], strict=True)}
+    monkeypatch.setattr(repeats, "PIECE", 1000)
+    parts = {(t, c, f + s, la + s, a + s) for s, p in repeats._segments(data, 100) for t, c, f, la, a in zip(*[x.tolist() for x in p], strict=True)}
+    assert parts == whole
+
+
+@given(st.lists(st.text(alphabet="aB é\t\nz0.-", max_size=40), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_words_match_patterns(texts):
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    bounds = np.cumsum([0] + [len(b) for b in raw])
+    for inside, pattern in ((ALNUM, rb"[0-9a-z\x80-\xff]+"), (VISIBLE, rb"[^\x20\x09-\x0D]+")):
+        starts, ends, hashes = words(data, bounds, inside)
+        got = [bytes(FOLD[data[s:e]]) for s, e in zip(starts, ends, strict=True)]
+        want = [w for b in raw for w in re.findall(pattern, bytes(FOLD[np.frombuffer(b, np.uint8)]))]
+        assert got == want
+        assert len({(w, int(h)) for w, h in zip(got, hashes, strict=True)}) == len(set(got)) == len(set(hashes.tolist()))
