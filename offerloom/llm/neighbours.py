@@ -1,12 +1,13 @@
 """Nearest neighbours with randomly rotated one-bit codes.
 
-Vectors are taken relative to the nearest of a few centroids, rotated by a random orthogonal matrix and reduced to the signs
-of their components, with two scalars each: the length of the residual and its inner product with its own code. The packed
-signs give an unbiased estimate of inner products with a query and a bound on its error, hence a lower and an upper bound on
-the distance. A candidate is reranked on the original vectors if its lower bound does not exceed the limit that the
-upper bounds of the others set.
-
-The query set meets the codes in blocks: a block of codes of all rows, a few hundred kilobytes, by a block of queries.
+Vectors are taken relative to the nearest of a few centroids, rotated by random orthogonal matrices and reduced to the signs
+of their components, with scalars: the length of the residual and its inner product with each of its codes. The packed
+signs give unbiased estimates of inner products with a query and a bound on the error of their mean, hence a lower bound on the
+distance. The nearest by estimate are measured on the original vectors; the distance of the last of them is the limit, and
+whatever has a lower bound within it is measured too.
+
+The query set meets all rows in blocks: a block of codes and their vectors, a few megabytes, by a block of queries; of each
+such meeting only the nearest of each query leave the task.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ from pyspark.sql.window import Window
 
 from .shared import shared_table
 
+#: The binary columns of a block of codes.
+CELLS = ("nodes", "vectors", "near", "packed", "length", "own")
 #: Standard deviations that the error bound covers.
-SURE = 3.0
+SURE = 2.0
 
 
 class Frame:
     """Rotation and centroids for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, centroids: int, seed: int = 5, rounds: int = 8):
+    def __init__(self, sample: np.ndarray, centroids: int, rotations: int = 4, seed: int = 5, rounds: int = 8):
         rng = np.random.default_rng(seed)
         size = sample.shape[1]
-        self.turn = np.linalg.qr(rng.standard_normal((size, size)))[0]
+        self.size, self.rotations = size, rotations
+        self.turn = np.concatenate([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(rotations)], axis=1)
         centre = sample[rng.choice(len(sample), min(centroids, len(sample)), replace=False)]
         for _ in range(rounds):
             near = self._nearest(sample, centre)
@@ -40,37 +44,47 @@ class Frame:
             n = np.bincount(near, minlength=len(centre))
             centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centre)
         self.centre = centre
-        self.turned = centre @ self.turn
 
     @staticmethod
     def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
         return ((centre**2).sum(1) - 2 * x @ centre.T).argmin(1)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Centroid, packed signs, residual length and inner product of the residual's direction with its code, of each row."""
+        """Centroid, packed signs, residual length and inner products of the residual's direction with its codes, of each row."""
         near = self._nearest(x, self.centre)
-        rest = x @ self.turn - self.turned[near]
-        length = np.sqrt((rest**2).sum(1))
-        own = np.abs(rest).sum(1) / (np.maximum(length, 1e-300) * np.sqrt(x.shape[1]))
-        return near.astype(np.int32), np.packbits(rest > 0, axis=1), length, np.where(length > 0, own, 1.0)
+        rest = (x - self.centre[near]) @ self.turn
+        length = np.sqrt((rest**2).sum(1) / self.rotations)
+        own = np.abs(rest).reshape(len(x), self.rotations, self.size).sum(2) / np.maximum(length, 1e-300)[:, None] / np.sqrt(self.size)
+        return near.astype(np.int32), np.packbits(rest > 0, axis=1), length, np.where(length[:, None] > 0, own, 1.0)
 
-    def bounds(self, codes: tuple, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds on the squared distance of each query (row) to each code (column)."""
+    def estimates(self, codes: tuple, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance of each query (row) to each code (column): the estimate and its lower bound."""
         near, packed, length, own = codes
-        size = self.turn.shape[0]
-        turned = query @ self.turn
-        low, high = (np.empty((len(query), len(near)), np.float32) for _ in range(2))
-        spread = np.sqrt(np.maximum(0, 1 - own**2)) / own * SURE / np.sqrt(max(1, size - 1))
+        middle, low = (np.empty((len(query), len(near)), np.float32) for _ in range(2))
+        spread = np.sqrt((np.maximum(0, 1 - own**2) / own**2).sum(1)) / self.rotations * SURE / np.sqrt(max(1, self.size - 1))
         for c in np.unique(near):
             at = np.flatnonzero(near == c)
-            sign = np.unpackbits(packed[at], axis=1, count=size).astype(np.float32) * 2 - 1
-            rest = turned - self.turned[c]
+            sign = np.unpackbits(packed[at], axis=1, count=self.size * self.rotations).astype(np.float32) * 2 - 1
+            sign *= np.repeat(1 / own[at], self.size, axis=1)
+            rest = query - self.centre[c]
             far = np.sqrt((rest**2).sum(1))
-            inner = (rest.astype(np.float32) @ sign.T) * (length[at] / (own[at] * np.sqrt(size)))
+            inner = ((rest @ self.turn).astype(np.float32) @ sign.T) * (length[at] / (self.rotations * np.sqrt(self.size)))
             distance = far[:, None] ** 2 + length[at] ** 2 - 2 * inner
             error = 2 * far[:, None] * (length * spread)[at] + 1e-5 * (far[:, None] ** 2 + length[at] ** 2)
-            low[:, at], high[:, at] = distance - error, distance + error
-        return low, high
+            middle[:, at], low[:, at] = distance, distance - error
+        return middle, low
+
+    def nearest(self, codes: tuple, vectors: np.ndarray, query: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the columns of its k nearest and their distances, ties with the last included."""
+        middle, low = self.estimates(codes, query)
+        for q, m, lo in zip(query, middle, low, strict=True):
+            some = np.argpartition(m, min(4 * k, len(m)) - 1)[: 4 * k]
+            first = np.sort(((vectors[some] - q) ** 2).sum(1))
+            at = np.flatnonzero(lo <= first[min(k, len(first)) - 1] * (1 + 1e-6))
+            at = np.union1d(at, some)
+            distance = np.sqrt(((vectors[at] - q) ** 2).sum(1))
+            keep = distance <= np.partition(distance, min(k, len(at)) - 1)[min(k, len(at)) - 1]
+            yield at[keep], distance[keep]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -104,7 +118,7 @@ def _by_length(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, pa.RecordB
         yield int(size), batch.filter(pa.array(sizes == size))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 20_000, centroids: int = 32, code_block: int = 8192, query_block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 20_000, centroids: int = 32, rotations: int = 4, code_block: int = 8192, query_block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each query row by Euclidean distance, ties to smaller ids.
 
     The rotation and the centroids are fitted on about `sample` vectors chosen by hash; every usable vector is coded.
@@ -121,21 +135,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 20_
     rows = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("node", "embedding").orderBy("node").limit(2 * sample).toArrow()
     frames = {}
     for batch in rows.combine_chunks().to_batches():
-        frames |= {size: Frame(_matrix(part.column(1)), centroids) for size, part in _by_length(batch, 1)}
+        frames |= {size: Frame(_matrix(part.column(1)), centroids, rotations) for size, part in _by_length(batch, 1)}
     shared = vectors.sparkSession.sparkContext.broadcast(frames)
     parts = -(-asked // query_block)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, own in _by_length(batch, 1):
-                frame = shared.value.get(size) or Frame(np.zeros((1, size)), 1)
+                frame = shared.value.get(size) or Frame(np.zeros((1, size)), 1, rotations)
                 for at in range(0, own.num_rows, code_block):
                     part = own.slice(at, code_block)
-                    near, packed, length, scale = frame.encode(_matrix(part.column(1)))
-                    cells = [part.column(0).to_numpy().tobytes(), near.tobytes(), packed.tobytes(), length.tobytes(), scale.tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), *[pa.array([x], pa.binary()) for x in cells]], ["size", "nodes", "near", "packed", "length", "own"])
+                    x = _matrix(part.column(1))
+                    cells = [c.tobytes() for c in (part.column(0).to_numpy(), x, *frame.encode(x))]
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["size", *CELLS])
 
-    codes = nodes.select("node", "embedding").mapInArrow(encode, "size int, nodes binary, near binary, packed binary, length binary, own binary")
+    codes = nodes.select("node", "embedding").mapInArrow(encode, "size int, " + ", ".join(f"{c} binary" for c in CELLS))
     asks = queries.select((F.col("part") % parts).alias("part"), F.size("embedding").alias("q_size"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     asks = asks.groupBy("part", "q_size").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked"))
     met = codes.withColumn("code_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asks, (F.col("code_part") == F.col("part")) & (F.col("size") == F.col("q_size")))
@@ -145,24 +159,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 20_
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 size = row["size"]
-                frame = shared.value.get(size) or Frame(np.zeros((1, size)), 1)
+                frame = shared.value.get(size) or Frame(np.zeros((1, size)), 1, rotations)
                 node = np.frombuffer(row["nodes"], np.int64)
-                code = (np.frombuffer(row["near"], np.int32), np.frombuffer(row["packed"], np.uint8).reshape(len(node), -1), np.frombuffer(row["length"]), np.frombuffer(row["own"]))
-                ids = np.array([a["vec_id"] for a in row["asked"]])
-                low, high = frame.bounds(code, np.array([a["embedding"] for a in row["asked"]]))
-                limit = np.partition(high, k, axis=1)[:, k] if high.shape[1] > k else np.full(len(ids), np.inf)
-                q, c = np.nonzero(low <= limit[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(node[c]), pa.array(low[q, c]), pa.array(high[q, c])], ["query_id", "node", "low", "high"])
-
-    found = met.select("size", "nodes", "near", "packed", "length", "own", "asked").mapInArrow(scan, "query_id long, node long, low float, high float")
+                x = np.frombuffer(row["vectors"]).reshape(len(node), size)
+                code = (np.frombuffer(row["near"], np.int32), np.frombuffer(row["packed"], np.uint8).reshape(len(node), -1), np.frombuffer(row["length"]), np.frombuffer(row["own"]).reshape(len(node), -1))
+                for at in range(0, len(row["asked"]), 256):
+                    asked = row["asked"][at : at + 256]
+                    found = list(frame.nearest(code, x, np.array([a["embedding"] for a in asked]), k + 1))
+                    many = [len(c) for c, _ in found]
+                    ids = np.repeat([a["vec_id"] for a in asked], many)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(node[np.concatenate([c for c, _ in found])]), pa.array(np.concatenate([d for _, d in found]))], ["query_id", "node", "score"])
+
+    found = met.select("size", *CELLS, "asked").mapInArrow(scan, "query_id long, node long, score double")
+    pairs = found.join(nodes.select("node", "vec_ids"), "node").select("query_id", "score", F.explode("vec_ids").alias("vec_id")).where("vec_id <> query_id")
     by_query = Window.partitionBy("query_id")
-    found = found.withColumn("at", F.row_number().over(by_query.orderBy("high")))
-    found = found.withColumn("limit", F.max(F.when(F.col("at") == k + 1, F.col("high"))).over(by_query))
-    found = found.where(F.col("limit").isNull() | (F.col("low") <= F.col("limit"))).select("query_id", "node")
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = found.join(nodes, "node").join(asked, "query_id")
-    squares = F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    pairs = pairs.select("query_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"), F.explode("vec_ids").alias("vec_id")).where("vec_id <> query_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = pairs.withColumn("rank", F.row_number().over(by_query.orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
