@@ -76,8 +76,7 @@ def _remote_clause(key: Column) -> Column:
     )
 
 
-def _clause(c: Column, remote_context: Column) -> Column:
-    key = location_key(c)
+def _clause(key: Column, remote_context: Column) -> Column:
     words = F.array(*[F.lit(w) for w in REMOTE_WORDS])
     lead, rest = F.regexp_extract(key, r"^(a|en) (.+)$", 1), F.regexp_extract(key, r"^(a|en) (.+)$", 2)
     standing = F.when(lead == "a", F.when(_is_remote(rest) | F.arrays_overlap(F.split(rest, " "), words), _typed("remote_descriptor")).otherwise(_plain(rest)))
@@ -102,8 +101,9 @@ def evidence(labels: DataFrame, column: str = "location") -> DataFrame:
     one = (whole != "") & (F.size(clauses(whole)) == 1) & ~whole.rlike(r"^\s*[-–—]|[-–—]\s*$|[,/|;()]")
     parts = F.when(one, F.array(whole)).otherwise(clauses(F.coalesce("label", F.lit(""))))
     rows = rows.withColumn("one", one).withColumn("parts", parts)
-    rows = rows.withColumn("remote", F.transform("parts", lambda p: _is_remote(location_key(p))))
-    rows = rows.withColumn("typed", F.transform("parts", lambda p: _clause(p, F.exists("remote", lambda r: r))))
+    rows = rows.withColumn("keys", F.transform("parts", location_key))  # used often below, so that it stays a column of its own
+    rows = rows.withColumn("remote", F.transform("keys", _is_remote)).withColumn("in_remote", F.exists("remote", lambda r: r))
+    rows = rows.withColumn("typed", F.transform("keys", lambda k: _clause(k, F.col("in_remote"))))
     of = lambda kind: F.array_distinct(F.filter("typed", lambda t: t["kind"] == kind))
     rows = rows.select("label", "one", "typed", "remote", of("place").alias("places"), of("non_city").alias("scopes"), of("unknown").alias("unknown"))
     bearing = F.exists(F.arrays_zip("typed", "remote"), lambda x: (x["typed"]["kind"] == "place") & x["remote"])

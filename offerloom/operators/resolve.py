@@ -7,15 +7,18 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from offerloom.functions.text import company_key, explicit_company, seniority, title_key
+from offerloom.functions.text import company_key, seniority, title_key
+from offerloom.functions.values import NOT_A_COMPANY
 from offerloom.operators.places import evidence
+from offerloom.session import shared_table
 
 CONFIRMED, POSSIBLE = 0.92, 0.78
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
@@ -30,10 +33,15 @@ def title_scores(pairs: DataFrame) -> DataFrame:
 
 
 def prepared(listings: DataFrame) -> DataFrame:
-    """Keys that decisions need: company, title, seniority and what the location proves; placeholders for a company are left out."""
-    rows = listings.where(explicit_company(F.col("company")))
-    rows = rows.withColumns({"company_key": company_key(F.col("company")), "title_key": title_key(F.col("title")), "rank": seniority(F.col("title"), F.col("experience_level"))})
-    return rows.join(evidence(rows).withColumnsRenamed({"kind": "loc_kind", "key": "loc_key"}), rows["location"].eqNullSafe(F.col("label"))).drop("label")
+    """Keys that decisions need: company, title, seniority and what the location proves; placeholders for a company are left out.
+
+    They are written as a table: pairs read them many times, and plans over their expressions would grow with each use.
+    """
+    listings = listings.select("ord", "source", "title", "company", "location", "experience_level")
+    rows = listings.withColumns({"company_key": company_key(F.col("company")), "title_key": title_key(F.col("title")), "rank": seniority(F.col("title"), F.col("experience_level"))})
+    rows = rows.where(~F.col("company_key").rlike(f"{NOT_A_COMPANY}|^$"))
+    proved = evidence(listings).withColumnsRenamed({"kind": "loc_kind", "key": "loc_key"})
+    return shared_table(rows.join(proved, rows["location"].eqNullSafe(F.col("label"))).drop("label"), "keys")
 
 
 def decision(score: Column) -> Column:
