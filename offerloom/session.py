@@ -10,10 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch on its way to Python: texts are long, and both sides hold a batch or two for each task.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors' Python workers, once for each Spark context."""
+    """Send this package to the executors' Python workers, once for each Spark context, and bound the Arrow batches."""
     context = spark.sparkContext
     if not getattr(context, "_offerloom_shipped", False):
+        for key, most in ARROW_BATCH.items():
+            spark.conf.set(key, str(most))
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="spark-")) / "offerloom.zip"
         with zipfile.ZipFile(archive, "w") as out:
