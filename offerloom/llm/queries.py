@@ -74,4 +74,54 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_repeats,
     )
 }
-LLM_ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SHINGLE_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: SQL for the queries that SQL can express on whole tables. DuckDB has no CRC-32, which op1, op3 and op9 need; op8 and op10 are
+#: held against brute force in tests/llm.
+LLM_ORACLES: dict[str, str] = {
+    "op2_mixing": r"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight FROM sized GROUP BY source),
+levels AS (SELECT *, 3 * source_size / weight AS stop,
+  (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sums),
+targets AS (SELECT source, source_size, coalesce(least(3 * source_size::DOUBLE, weight * max(CASE WHEN level <= stop THEN level END) OVER ()), 0) AS target FROM levels),
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM targets),
+picked AS (SELECT s.doc_id, s.size, r.source_size, r.target, s.source, floor(rate)::INT + (CASE WHEN
+  CAST(concat('0x', substr(md5(concat('29:', coalesce(s.doc_id::VARCHAR, ''))), 1, 13)) AS BIGINT) / power(2::DOUBLE, 52) < rate - floor(rate) THEN 1 ELSE 0 END) AS copies
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM picked""",
+    "op4_neighbours": r"""
+WITH v AS (SELECT vec_id, embedding, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""",
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST(concat('0x', substr(h, (i // 4)::INT * 5 + 1, 5)) AS BIGINT) >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS digest,
+  max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM b""",
+    "op6_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, coalesce({_WORDS}, []) AS w FROM benchmark),
+windows AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, w[i:i + 9] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+keys AS (SELECT array_to_string(win, ' ') AS k, len(win) AS n, item FROM windows),
+sizes AS (SELECT DISTINCT n FROM keys),
+grams AS (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, p, g.n, item FROM grams g JOIN keys USING (k, n)),
+covered AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS s FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+    "op7_near_duplicates": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_SHINGLE_WORDS}, []) AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (SELECT a.r AS x, b.r AS y FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r GROUP BY a.r, b.r, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+comp AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d LEFT JOIN n USING (r) JOIN comp USING (r)""",
+}
