@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence is toxic with the logistic of the summed weights of its words, and a document
+A document is a bag of sentences. A sentence is toxic with the logistic of the summed weights of its words and their beginnings, and a document
 with the noisy-or of its sentences, so weights for sentences are learned though only documents have labels. The same
 sentence probabilities then tell where in a document the offence is.
 """
@@ -17,16 +17,19 @@ from pyspark.sql import types as T
 
 from .decontamination import places_in, sieve
 from .shared import id_remainder, unit_hash
-from .texts import ALNUM, U64, byte_class, pieces, raw, words
+from .texts import ALNUM, BYTE_VALUE, FOLD, U64, byte_class, mixed, pieces, raw, words
 
 #: Bytes that end a sentence.
 STOP = byte_class(lambda b: b in b".!?\n")
+#: Bytes of a word's beginning, which stands for words that the sample lacks.
+STEM = 5
 #: A sentence's log-odds before any word speaks.
 PRIOR = -7.0
 
 
 def sentences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the first word of each sentence (and the end), the first sentence of each row (and the end), word places.
+    """Features (a hash of each word, then of its beginning), the first feature of each sentence (and the end), the first sentence
+    of each row (and the end), and the features' places.
 
     A sentence holds a word at least and lies in one row.
     """
@@ -34,7 +37,12 @@ def sentences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     number = np.searchsorted(np.flatnonzero(STOP[data]), starts) + np.searchsorted(bounds, starts, "right")
     first = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(hashes)) if len(hashes) else np.zeros(1, np.int64)
     row = np.searchsorted(first[:-1], np.searchsorted(starts, bounds))
-    return hashes, first, row, np.stack([starts, ends])
+    begin = np.zeros(len(starts), U64)
+    for j in range(STEM):
+        long = starts + j < ends
+        at = np.minimum(starts + j, max(0, len(data) - 1))
+        begin = np.where(long, mixed(begin + BYTE_VALUE[FOLD[data[at]]]), begin) if len(data) else begin
+    return np.stack([hashes, begin ^ U64(STEM)], 1).ravel(), 2 * first, row, np.repeat(np.stack([starts, ends]), 2, axis=1)
 
 
 class Weights:
