@@ -7,8 +7,9 @@ registers given both set sizes, and what may reach the threshold is verified on
 
 Equal sets are one node from the start. In a bucket of a band, members are linked with its two leaders, the lowest by hash, so a
 bucket of any size costs two candidates a member. Verified links make components; what
-remains between components is verified next, and buckets that still hold several components get new leaders in finer buckets,
-as long as that finds links.
+remains between components is verified next. Of the buckets that still hold several components, small ones give all their pairs
+between these; the members of large ones meet by the rarest shingles of their full sets, which misses no pair that can
+reach the threshold.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from .texts import U64, VISIBLE, mixed, pieces, raw, runs_of, words
 REGISTERS = 200
 BAND = 5
 BANDS = REGISTERS // BAND
-#: Members of a bucket of which all pairs are candidates, and how many triples of bands split larger ones.
+#: Members of a bucket of which all pairs are candidates; the sets of larger ones meet by the prefixes of their full sets.
 SMALL = 32
-FINER = 300
+#: Sets of one side that a block of a shingle's pairs has.
+BLOCK = 256
 #: The base of the spacing and the largest value of a register.
 BASE = 1.001
 TOP = 65_534
@@ -128,12 +130,16 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(estimate, "a long, b long, j double")
 
 
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of each node."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
+    owners = nodes.select("node", F.col("rep_id").alias("doc_id"), F.col("rep_tid").alias("tid"))
+    return texts.join(owners, texts.doc_id.eqNullSafe(owners.doc_id) & (texts.tid == owners.tid)).select("node", "text").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) pairs with 100 * |intersection| >= percent * |union| on the full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
-    owners = nodes.select("node", F.col("rep_id").alias("doc_id"), F.col("rep_tid").alias("tid")).join(wanted, "node", "left_semi")
-    texts = texts.join(owners, texts.doc_id.eqNullSafe(owners.doc_id) & (texts.tid == owners.tid)).select("node", "text").dropDuplicates(["node"])
+    texts = texts_of(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), docs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +157,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     return rows.select("x", "y", "a", "b").mapInArrow(check, "a long, b long")
 
 
-def bucket_rows(nodes: DataFrame, bands: list[tuple[int, ...]]) -> DataFrame:
-    """(node, bucket): a row for each node and combination of bands; the bucket is a hash of the combination's registers."""
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """(node, bucket): a row for each node and band; the bucket is a hash of the band's registers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,26 +168,19 @@ def bucket_rows(nodes: DataFrame, bands: list[tuple[int, ...]]) -> DataFrame:
                 band = np.zeros(table.shape[:2], U64)
                 for i in range(BAND):
                     band = mixed(band + table[:, :, i] + U64(i))
-                out = []
-                for k, combination in enumerate(bands):
-                    key = np.full(len(band), k + 1, U64)
-                    for i in combination:
-                        key = mixed(key ^ band[:, i])
-                    out.append(mixed(key + U64(k)))
+                bucket = mixed(band + np.arange(BANDS, dtype=U64))
                 node = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, len(bands))), pa.array(np.stack(out, 1).ravel().view(np.int64))], ["node", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS)), pa.array(bucket.ravel().view(np.int64))], ["node", "bucket"])
 
     return nodes.select("node", "registers").mapInArrow(cut, "node long, bucket long")
 
 
-def led_pairs(rows: DataFrame, draw: int, spread: bool) -> DataFrame:
+def led_pairs(rows: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b: each member of a bucket of two or more with the two leaders of the bucket.
 
-    Without `spread` a node has one rank everywhere, so near copies, which share many buckets, meet few leaders; with it each
-    bucket draws its own.
+    A node has one rank everywhere, so near copies, which share many buckets, meet few leaders.
     """
-    seed = ["node", "bucket"] if spread else ["node"]
-    lead = lambda k: F.min(F.struct(F.xxhash64(*seed, F.lit(2 * draw + k)).alias("h"), "node"))
+    lead = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))
     leaders = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), lead(0).alias("x"), lead(1).alias("y")).where("members > 1")
     leaders = shared_table(leaders.select("bucket", F.array_distinct(F.array("x.node", "y.node")).alias("leaders")), "leaders")
     pairs = rows.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
@@ -197,24 +196,59 @@ def open_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
-    """The (a, b) of different components in the buckets of SMALL members at most; from larger ones, none."""
+    """The (a, b) of different components in the buckets of SMALL members at most; prefix_pairs has those of larger ones."""
     few = rows.where(F.col("members") <= SMALL)
     other = few.select("bucket", F.col("node").alias("b"), F.col("component").alias("c_b"))
     return few.join(other, "bucket").where("node < b and component <> c_b").select(F.col("node").alias("a"), "b")
 
 
-def finer_pairs(rows: DataFrame, nodes: DataFrame, label: DataFrame, draw: int) -> DataFrame:
-    """Distinct candidates between components: all of small open buckets; for the members of large ones, those of the small
-    buckets that triples of bands make, and new leaders for the large ones among these.
+def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
+    """(node, n, shingle): a row for each member of the full set of each of the (node, text) rows."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                sets = shingle_sets(*raw(piece.column(0)), size)
+                n = np.array([len(s) for s in sets], np.int64)
+                for at in range(0, len(sets), 100):
+                    some, many = sets[at : at + 100], n[at : at + 100]
+                    cells = [np.repeat(piece.column(1).to_numpy()[at : at + 100], many), np.repeat(many, many), np.concatenate(some).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["node", "n", "shingle"])
+
+    return texts.select("text", "node").mapInArrow(explode, "node long, n long, shingle long")
 
-    A triple is far less likely to be shared below the threshold than at it, so texts that share a passage only seldom meet."""
-    first = open_buckets(rows, label)
-    large = first.where(F.col("members") > SMALL).select("node").distinct()
-    rng = np.random.default_rng(97 + draw)
-    triples = sorted({tuple(sorted(rng.choice(BANDS, 3, replace=False).tolist())) for _ in range(FINER)})
-    second = open_buckets(bucket_rows(nodes.join(large, "node", "left_semi"), triples), label)
-    led = led_pairs(second.where(F.col("members") > SMALL).select("node", "bucket"), draw, spread=True)
-    return between(cross_pairs(first).unionByName(cross_pairs(second)).unionByName(led).distinct(), label)
+
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, n, shingle, place): the rarest shingles of each set, of which two sets of that similarity share one at least.
+
+    Sets are put into one order, by the number of the given sets that have a shingle, then by its hash. If A and B share at least
+    percent * |A| / 100 members, the first that they share is at a place of A before |A| - percent * |A| / 100, counted from
+    0, and likewise in B. Shingles of one set only come first and link nothing, so they are counted but not ranked.
+    """
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    common = rows.join(shared, "shingle").withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    place = F.col("n") - F.col("common") + F.row_number().over(Window.partitionBy("node").orderBy("sets", "shingle")) - 1
+    return common.withColumn("place", place).where(100 * (F.col("n") - F.col("place")) >= percent * F.col("n")).select("node", "n", "shingle", "place")
+
+
+def prefix_pairs(nodes: DataFrame, docs: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different components: all pairs of the nodes that can reach the threshold, and few that cannot.
+
+    Two sets that reach it share a shingle of their prefixes, their sizes are alike, and from the first shared shingle on each has
+    as many members as the intersection needs. Shingles that many prefixes have are met in salted blocks.
+    """
+    rows = prefixes(shared_table(shingle_rows(texts_of(nodes, docs), size), "shingles"), percent)
+    named = rows.join(label.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = shared_table(named, "prefixes")
+    open_ = named.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rows = named.join(open_.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle")
+    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}")]
+    left = rows.select("shingle", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *side("a"))
+    right = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    enough = (100 + percent) * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    met = (left["shingle"] == right["shingle"]) & (left["block"] == right["block"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+    return left.join(right, met & alike & enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.14, with_node: bool = False) -> DataFrame:
@@ -234,8 +268,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
     nodes = shared_table(nodes.select(F.col("uid").alias("node"), "same", "rep.rep_id", "rep.rep_tid", "n_shingles", "registers"), "nodes")
 
     least = percent / 100 - margin
-    rows = bucket_rows(nodes, [(i,) for i in range(BANDS)])
-    tried = shared_table(led_pairs(rows, 0, spread=False), "tried")
+    rows = bucket_rows(nodes)
+    tried = shared_table(led_pairs(rows), "tried")
     pairs = shared_table(estimated(tried, nodes, least), "pairs")
     # First the best candidate of each node, then what is left between different components.
     best = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "j").groupBy("node").agg(F.max(F.struct("j", F.negative("a").alias("na"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
@@ -243,15 +277,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
     label = components(links)
     links = links.unionByName(shared_table(verified(between(pairs.join(best, ["a", "b"], "left_anti"), label), nodes, docs, size, percent), "links"))
     label = components(links)
-    draw = 1
-    while True:
-        new = finer_pairs(rows, nodes, label, draw).join(tried, ["a", "b"], "left_anti")
-        new = shared_table(new, "tried")
-        found = shared_table(verified(estimated(new, nodes, least).select("a", "b"), nodes, docs, size, percent), "links")
-        if not found.limit(1).count():
-            break
-        tried, links, draw = tried.unionByName(new), links.unionByName(found), draw + 1
-        label = components(links)
+    # Every pair that shares a bucket and is in no common component yet; links that are left are among them.
+    rows = open_buckets(rows, label)
+    large = nodes.join(rows.where(F.col("members") > SMALL).select("node").distinct(), "node", "left_semi")
+    left = between(cross_pairs(rows).distinct(), label).unionByName(prefix_pairs(large, docs, label, size, percent)).distinct()
+    left = shared_table(left.join(tried, ["a", "b"], "left_anti"), "left")
+    links = links.unionByName(shared_table(verified(estimated(left, nodes, least).select("a", "b"), nodes, docs, size, percent), "links"))
+    label = components(links)
 
     named = base.join(nodes.select("same", "node"), "same", "left").join(label, "node", "left")
     named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(-1 - F.col("uid")))

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from offerloom.llm import decontamination, language, mixing, near_duplicates, neighbours, quotations, repeats, sharding, toxicity, warc
 from offerloom.llm.components import components
@@ -249,6 +250,44 @@ def test_keep_one_of_each_group(spark, docs):
     assert sorted(ids) == sorted(want | empty)
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Couples of near copies among many texts that are less alike, all in the same large buckets."""
+    monkeypatch.setattr(near_duplicates, "SMALL", 1)
+    rng = random.Random(11)
+    words = sentence(rng, 120, 5000).split()
+    rows = []
+    for k in range(60):
+        one = list(words)
+        for j in rng.sample(range(120), 3):
+            one[j] = f"one{k}x{j}"
+        two = list(one)
+        for j in rng.sample(range(120), 2):
+            two[j] = f"two{k}x{j}"
+        rows += [(2 * k, " ".join(one), "en", "a", 1), (2 * k + 1, " ".join(two), "en", "a", 1)]
+    few = frame(spark, rows)
+    got = near_duplicates.near_duplicates_digest(few).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(few.collect(), 4, 80))
+
+
+def test_prefixes_meet_every_link(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(6):
+        words = rng.integers(0, 1000, int(rng.integers(6, 80)))
+        for _ in range(12):
+            one = words.copy()
+            one[rng.random(len(one)) < 0.02] = rng.integers(0, 1000)
+            texts.append(" ".join(map(str, one[: len(one) - int(rng.integers(0, 4))])))
+    texts = sorted(set(texts))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))} for t in texts]
+    nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, rep_id long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = nodes.join(docs.select(F.col("doc_id").alias("rep_id"), F.xxhash64("text").alias("rep_tid")), "rep_id")
+    got = {tuple(r) for r in near_duplicates.prefix_pairs(nodes, docs, spark.createDataFrame([], "node long, component long"), 3, 70).collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j])}
+    assert len(links) > 50 and links <= got
+
+
 def test_joint_estimate_is_near_the_similarity():
     rng = np.random.default_rng(8)
     pool = rng.integers(1, 1 << 62, 3000, dtype=np.uint64)
