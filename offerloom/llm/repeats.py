@@ -69,6 +69,15 @@ def _segments(data: np.ndarray, length: int) -> Iterator[tuple[int, tuple[np.nda
         start += int(found[2][-1])
 
 
+def _again(group: tuple[np.ndarray, ...], o: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by group, o, v and place: which repeat one of a smaller o or an earlier one of their own text, and which are
+    the row before again, as rows given twice have them."""
+    changed = lambda *columns: np.append(True, np.any([x[1:] != x[:-1] for x in columns], 0))[: len(o)]
+    head = lambda new: np.flatnonzero(new)[np.cumsum(new) - 1]
+    own = changed(*group, o, v)
+    return (o > o[head(changed(*group))]) | (at > at[head(own)]), ~own & ~changed(at)
+
+
 def phrase_rows(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Packed phrases of (text, o, v) rows: a row for each bucket and chunk of text, of equal phrases in a chunk only the first; the
     others are rows of bucket -1, known to be repeats."""
@@ -79,10 +88,9 @@ def phrase_rows(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         t = (t // U64(buckets)).astype(np.uint32)
         rank = np.lexsort((lo, v, o, c, t, bucket))
         t, c, o, v, lo, span, back, bucket = (x[rank] for x in (t, c, o, v, lo, span, back, bucket))
-        again = np.zeros(len(t), bool)
-        again[1:] = (bucket[1:] == bucket[:-1]) & (t[1:] == t[:-1]) & (c[1:] == c[:-1]) & ((o[1:] != o[:-1]) | (v[1:] == v[:-1]))
+        again, twice = _again((bucket, t, c), o, v, lo)
         # rows of one id with other texts are kept: they are neither earlier nor later
-        keep = np.flatnonzero(~again)
+        keep, again = np.flatnonzero(~again & ~twice), again & ~twice
         cuts = np.append(np.flatnonzero(np.diff(bucket[keep], prepend=-2)), len(keep))
         groups = [(int(bucket[keep[a]]), keep[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [(-1, np.flatnonzero(again))]
         cells = [[x[g].tobytes() for _, g in groups] for x in (t, c, o, v, lo, span, back)]
@@ -119,11 +127,10 @@ def _settle(table: pa.Table) -> pa.Table:
         new_t = np.append(True, t[1:] != t[:-1])
         new_c = new_t | np.append(True, c[1:] != c[:-1])
         group = np.cumsum(new_c) - 1
-        head = np.flatnonzero(new_c)[group]
-        repeat = (o > o[head]) | ((v == v[head]) & (lo > lo[head]))
+        repeat, twice = _again((group,), o, v, lo)
         rival = ~repeat & ~new_c
         several = np.bincount(np.cumsum(new_t) - 1, new_c)[np.cumsum(new_t) - 1] > 1
-        kind, show = np.where(repeat, 0, 1).astype(np.int8), repeat | several | rival
+        kind, show = np.where(repeat, 0, 1).astype(np.int8), (repeat | several | rival) & ~twice
     return pa.table({"o": o[show], "v": v[show].astype(np.int64), "lo": lo[show], "span": span[show].astype(np.int32), "back": back[show].astype(np.int32), "t": t[show].astype(np.int64) + (table["bucket"][0].as_py() << 32), "kind": kind[show]})
 
 
@@ -151,8 +158,7 @@ def _sorter(length: int):
             ordered = suffix[rank]
             new = np.append(True, (ordered[1:] != ordered[:-1]).any(1))
             r = rows[rank]
-            head = r[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = (o[r] > o[head]) | ((v[r] == v[head]) & (at[r] > at[head]))
+            later, _ = _again((np.cumsum(new),), o[r], v[r], at[r])
             bits[r[later], (at - d - lo)[r[later]]] = True
         some = bits.any(1)
         return pa.table({"o": o[some], "v": v[some], "lo": lo[some].astype(np.int32), "bits": pa.array([x.tobytes() for x in np.packbits(bits[some], axis=1)], pa.binary())})
@@ -169,7 +175,7 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     open_ = cells.where("kind = 1")
     buckets = max(1, -(-open_.count() // SORTED))
     listed = open_.groupBy("o", "v").agg(F.collect_list(F.struct("lo", "span", "back", "t")).alias("open"))
-    with_text = listed.join(long.select(F.col("o").alias("o2"), F.col("v").alias("v2"), "text"), (F.col("o") == F.col("o2")) & (F.col("v") == F.col("v2")))
+    with_text = listed.join(long.dropDuplicates(["o", "v"]).select(F.col("o").alias("o2"), F.col("v").alias("v2"), "text"), (F.col("o") == F.col("o2")) & (F.col("v") == F.col("v2")))
     entries = with_text.select("o", "v", "text", F.explode("open").alias("p"))
     text = F.substring(F.col("text").cast("binary"), F.col("p.lo") + 1, F.col("p.span") + length)
     entries = entries.select("o", "v", "p.lo", "p.span", "p.back", "p.t", text.alias("text"), F.pmod(F.xxhash64("p.t"), F.lit(buckets)).alias("bucket"))

@@ -383,6 +383,22 @@ def test_repeats_match_brute_force(spark, docs):
     assert repeats.repeats_digest(docs.limit(0)).collect() == []
 
 
+def test_rows_given_twice_keep_what_one_keeps(spark):
+    rng = random.Random(4)
+    own, lone, common = (sentence(rng, 80, 9000) for _ in range(3))
+    rows = [(1, own), (1, own), (2, common + " x"), (3, common + " y"), (3, common + " y"), (4, "a"), (4, own[:200] + "-" + own[:200])]
+    rows = frame(spark, [(i, t, "en", "a", 1) for i, t in [*rows, (None, lone), (None, lone), (5, lone[::-1]), (5, lone[::-1] * 2)]])
+    got = [tuple(r) for r in repeats.repeats_digest(rows.coalesce(1)).collect()]
+    apart = [tuple(r) for r in repeats.repeats_digest(rows.repartition(11)).collect()]
+    once = [r for r in rows.collect() if r.doc_id != 5 or len(r.text) == len(lone)]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert sorted(got, key=key) == sorted(apart, key=key)
+    assert sorted([r for r in got if r[0] != 5 or r[1] == len(lone)], key=key) == sorted(brute_repeats(once, 100), key=key)
+    assert [r[2] for r in got if r[0] in (1, None)] == [0, 0, 0, 0]
+    # rows of one id with other texts do not see each other, but each its own repeats
+    assert [r[2] for r in got if r[0] == 5 and r[1] > len(lone)] == [len(lone)]
+
+
 def test_long_texts_are_cut_into_the_same_phrases(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 123, 20_000).astype(np.uint8)
