@@ -5,11 +5,12 @@ variables, merged by maximum. Equal registers of two sets are about as likely as
 registers find candidates; the similarity of a candidate is estimated by the joint likelihood of greater, smaller and equal
 registers given both set sizes, and what may reach the threshold is verified on the full sets.
 
-Equal sets are one node from the start. In a bucket of a band, members are linked with its two leaders, the lowest by hash, so a
-bucket of any size costs two candidates a member. Verified links make components; what
-remains between components is verified next. Of the buckets that still hold several components, small ones give all their pairs
-between these; the members of large ones meet by the rarest shingles of their full sets, which misses no pair that can
-reach the threshold.
+Equal sets are one node from the start. In a bucket of a band, members are linked with the bucket's two leaders, chance members
+of it, so a bucket of any size costs two candidates a member. The best of these for each node are verified and make components,
+then the others that still join two of these.
+Of the buckets that still hold several components, small ones give all their pairs between these; the members of large ones meet
+by the rarest shingles of their full sets, which misses no pair that can reach the threshold. Registers and full sets are
+written once, for nodes that share a bucket with another.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ BLOCK = 256
 #: The base of the spacing and the largest value of a register.
 BASE = 1.001
 TOP = 65_534
-#: Points are drawn until a set has this many for each register on average; a register stays empty with odds of e**-24.
-DENSITY = 24.0
+#: Points are drawn until a set has FIRST for each register on average; where a register is empty then (odds of e**-8 each), until
+#: it has DENSITY, after which one stays empty with odds of e**-24.
+FIRST, DENSITY = 8.0, 24.0
+#: Points that are drawn at a time.
+CELLS = 1 << 16
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
@@ -51,47 +55,58 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> list[np.nda
     return out
 
 
+def _draw(minimum: np.ndarray, seed: np.ndarray, owner: np.ndarray, limit: np.ndarray) -> None:
+    """Lower `minimum` (a cell for each set and register) by all points of the members before their limits in time."""
+    time, step = np.zeros(len(seed)), 0
+    while len(seed):
+        many = max(1, min(CELLS // len(seed), 64))
+        draw = mixed(seed[:, None] + np.arange(step + 1, step + many + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+        gap = np.log(((draw >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / -REGISTERS
+        gap[:, 0] += time
+        times = np.cumsum(gap, axis=1)
+        live = times < limit[:, None]
+        row, at = np.nonzero(live)
+        register = (mixed(draw[row, at]) % U64(REGISTERS)).astype(np.int64)
+        np.minimum.at(minimum, owner[row] * REGISTERS + register, times[row, at])
+        more = live[:, -1]
+        seed, owner, limit, time = seed[more], owner[more], limit[more], times[more, -1]
+        step += many
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """SetSketch registers of each set, one row of REGISTERS numbers each; an empty set has zeros.
 
     A member makes a Poisson process of points in time, each with a register drawn by hash; a register's minimum is its first
-    point of any member. Points later than the time by which every register is all but sure to have one change nothing, so
-    they are not drawn: a set costs REGISTERS * DENSITY points, however large it is, or that many for each of few members.
+    point of any member. Points later than the time by which every register has one change nothing, so they are not drawn:
+    most sets are done after FIRST points a register, however large they are, and the others go on to DENSITY.
     """
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    seed = np.concatenate([*sets, np.zeros(0, U64)])
-    limit = (DENSITY / np.maximum(size, 1))[owner]
+    size = np.array([len(s) for s in sets], np.int64)
     minimum = np.full(len(sets) * REGISTERS, np.inf)
-    time = np.zeros(len(seed))
-    step = 0
-    while len(seed):
-        step += 1
-        draw = mixed(seed + U64((step * 0xA0761D6478BD642F) & (1 << 64) - 1))
-        time = time - np.log(((draw >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / REGISTERS
-        live = time < limit
-        seed, owner, limit, time = seed[live], owner[live], limit[live], time[live]
-        register = (mixed(draw[live]) % U64(REGISTERS)).astype(np.int64)
-        np.minimum.at(minimum, owner * REGISTERS + register, time)
+    seed, owner = np.concatenate([*sets, np.zeros(0, U64)]), np.repeat(np.arange(len(sets)), size)
+    for density in (FIRST, DENSITY):
+        unfilled = np.isinf(minimum.reshape(-1, REGISTERS)).any(1)[owner]
+        seed, owner = seed[unfilled], owner[unfilled]
+        _draw(minimum, seed, owner, density / size[owner])
     # A set of n members has minima near 1/n; the spacing covers sets up to e**(TOP * log(BASE)) members.
     value = np.floor(1 - np.log(np.maximum(minimum, 1e-300)) / np.log(BASE)) + 8_000
     return np.where(np.isinf(minimum), 0, np.clip(value, 1, TOP)).astype(np.uint16).reshape(-1, REGISTERS)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(uid, doc_id, tid, n_shingles, same, registers): uid numbers the rows, tid is a hash of the text, same one of the set."""
+    """(uid, doc_id, tid, n_shingles, same, registers): uid is a scrambled row number, tid a hash of the text, same one of the set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 sets = shingle_sets(*raw(piece.column(0)), size)
                 table = registers(sets)
+                uid = mixed(piece.column(1).to_numpy().view(U64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[1:], pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([r.tobytes() for r in table], pa.binary())],
+                    [pa.array(uid), *piece.columns[2:], pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([r.tobytes() for r in table], pa.binary())],
                     ["uid", "doc_id", "tid", "n_shingles", "same", "registers"],
                 )
 
-    rows = docs.select("text", F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"))
+    rows = docs.select("text", F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"))
     return rows.mapInArrow(sketch, "uid long, doc_id long, tid long, n_shingles long, same binary, registers binary")
 
 
@@ -130,31 +145,37 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(estimate, "a long, b long, j double")
 
 
-def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of each node."""
+def full_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, n, members): the full set of each node, as its sorted shingle hashes, from the text of its representative."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
     owners = nodes.select("node", F.col("rep_id").alias("doc_id"), F.col("rep_tid").alias("tid"))
-    return texts.join(owners, texts.doc_id.eqNullSafe(owners.doc_id) & (texts.tid == owners.tid)).select("node", "text").dropDuplicates(["node"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                sets = shingle_sets(*raw(piece.column(0)), size)
+                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "members"])
+
+    rows = texts.join(owners, texts.doc_id.eqNullSafe(owners.doc_id) & (texts.tid == owners.tid)).select("text", "node")
+    return rows.mapInArrow(cut, "node long, n long, members binary").dropDuplicates(["node"])
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs with 100 * |intersection| >= percent * |union| on the full sets."""
-    texts = texts_of(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), docs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
-                left, right = (shingle_sets(*raw(piece.column(i)), size) for i in (0, 1))
-                good = []
-                for x, y in zip(left, right, strict=True):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    good.append(100 * common >= percent * (len(both) - common))
-                yield pa.RecordBatch.from_arrays([piece.column(2), piece.column(3)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.frombuffer(x.as_py() + y.as_py(), U64).copy()
+                both.sort(kind="stable")  # which merges two sorted runs
+                common = int((both[1:] == both[:-1]).sum())
+                good.append(100 * common >= percent * (len(both) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return rows.select("x", "y", "a", "b").mapInArrow(check, "a long, b long")
+    side = lambda x, y: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(y))
+    rows = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
@@ -175,24 +196,28 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "registers").mapInArrow(cut, "node long, bucket long")
 
 
-def led_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: each member of a bucket of two or more with the two leaders of the bucket.
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, members, low, high) of the buckets of two members or more; low and high are the bucket's leaders.
 
-    A node has one rank everywhere, so near copies, which share many buckets, meet few leaders.
+    Nodes are scrambled numbers, so the smallest and the largest are chance members, and near copies, which share many
+    buckets, have the same leaders in most.
     """
-    lead = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))
-    leaders = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), lead(0).alias("x"), lead(1).alias("y")).where("members > 1")
-    leaders = shared_table(leaders.select("bucket", F.array_distinct(F.array("x.node", "y.node")).alias("leaders")), "leaders")
-    pairs = rows.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+    rows = bucket_rows(nodes)
+    state = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high")).where("members > 1")
+    return shared_table(rows.join(state, "bucket"), "met")
+
+
+def led_pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: each member of a bucket with the two leaders of the bucket."""
+    pairs = met.select("node", F.explode(F.array("low", "high")).alias("leader")).where("node <> leader")
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def open_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
     """(node, bucket, component, members) of the buckets whose members are not all in one component."""
-    label = label.select("node", "component")
-    named = rows.join(label, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-    state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return shared_table(named.join(state.select("bucket", "members"), "bucket"), "open")
+    named = rows.join(label, "node", "left").select("node", "bucket", "members", F.coalesce("component", "node").alias("component"))
+    state = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return shared_table(named.join(state.select("bucket"), "bucket"), "open")
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
@@ -202,20 +227,18 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     return few.join(other, "bucket").where("node < b and component <> c_b").select(F.col("node").alias("a"), "b")
 
 
-def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(node, n, shingle): a row for each member of the full set of each of the (node, text) rows."""
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(node, n, shingle): a row for each member of each full set."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
-                sets = shingle_sets(*raw(piece.column(0)), size)
-                n = np.array([len(s) for s in sets], np.int64)
-                for at in range(0, len(sets), 100):
-                    some, many = sets[at : at + 100], n[at : at + 100]
-                    cells = [np.repeat(piece.column(1).to_numpy()[at : at + 100], many), np.repeat(many, many), np.concatenate(some).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["node", "n", "shingle"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                node, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+                members = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n)), pa.array(members)], ["node", "n", "shingle"])
 
-    return texts.select("text", "node").mapInArrow(explode, "node long, n long, shingle long")
+    return sets.select("node", "n", "members").mapInArrow(explode, "node long, n long, shingle long")
 
 
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
@@ -231,14 +254,14 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
     return common.withColumn("place", place).where(100 * (F.col("n") - F.col("place")) >= percent * F.col("n")).select("node", "n", "shingle", "place")
 
 
-def prefix_pairs(nodes: DataFrame, docs: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of different components: all pairs of the nodes that can reach the threshold, and few that cannot.
+def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different components: all pairs of the sets that can reach the threshold, and few that cannot.
 
     Two sets that reach it share a shingle of their prefixes, their sizes are alike, and from the first shared shingle on each has
     as many members as the intersection needs. Shingles that many prefixes have are met in salted blocks.
     """
-    rows = prefixes(shared_table(shingle_rows(texts_of(nodes, docs), size), "shingles"), percent)
-    named = rows.join(label.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = prefixes(shared_table(shingle_rows(sets), "shingles"), percent)
+    named = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = shared_table(named, "prefixes")
     open_ = named.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     rows = named.join(open_.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle")
@@ -261,32 +284,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
     the hash of the text.
     """
     base = shared_table(sketches(docs, size), "sketches")
-    rep = F.min(F.struct("uid", F.col("doc_id").alias("rep_id"), F.col("tid").alias("rep_tid")))
     filled = base.where("n_shingles > 0")
-    groups = filled.groupBy("same").agg(rep.alias("rep"))
-    nodes = groups.join(filled.select("uid", "n_shingles", "registers"), F.col("rep.uid") == F.col("uid"))
-    nodes = shared_table(nodes.select(F.col("uid").alias("node"), "same", "rep.rep_id", "rep.rep_tid", "n_shingles", "registers"), "nodes")
-
+    first = filled.groupBy("same").agg(F.min("uid").alias("uid"))
+    nodes = filled.join(first.select("uid"), "uid", "left_semi")
+    nodes = shared_table(nodes.select(F.col("uid").alias("node"), "same", F.col("doc_id").alias("rep_id"), F.col("tid").alias("rep_tid"), "n_shingles", "registers"), "nodes")
+    met = shared_buckets(nodes)
+    # What shares no bucket is done; registers and full sets go on for the others only.
+    near = shared_table(nodes.join(met.select("node").distinct(), "node", "left_semi"), "near")
+    sets = shared_table(full_sets(near, docs, size), "sets")
+
+    # First each node's best pair with a leader, then the other pairs with leaders, then whatever is left between different components.
     least = percent / 100 - margin
-    rows = bucket_rows(nodes)
-    tried = shared_table(led_pairs(rows), "tried")
-    pairs = shared_table(estimated(tried, nodes, least), "pairs")
-    # First the best candidate of each node, then what is left between different components.
-    best = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "j").groupBy("node").agg(F.max(F.struct("j", F.negative("a").alias("na"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = shared_table(verified(best, nodes, docs, size, percent), "links")
-    label = components(links)
-    links = links.unionByName(shared_table(verified(between(pairs.join(best, ["a", "b"], "left_anti"), label), nodes, docs, size, percent), "links"))
-    label = components(links)
-    # Every pair that shares a bucket and is in no common component yet; links that are left are among them.
-    rows = open_buckets(rows, label)
-    large = nodes.join(rows.where(F.col("members") > SMALL).select("node").distinct(), "node", "left_semi")
-    left = between(cross_pairs(rows).distinct(), label).unionByName(prefix_pairs(large, docs, label, size, percent)).distinct()
-    left = shared_table(left.join(tried, ["a", "b"], "left_anti"), "left")
-    links = links.unionByName(shared_table(verified(estimated(left, nodes, least).select("a", "b"), nodes, docs, size, percent), "links"))
-    label = components(links)
-
-    named = base.join(nodes.select("same", "node"), "same", "left").join(label, "node", "left")
-    named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(-1 - F.col("uid")))
+    led = shared_table(estimated(led_pairs(met), near, least), "led")
+    sides = led.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "j")
+    best = sides.groupBy("node").agg(F.max(F.struct("j", F.negative("a").alias("na"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    best = shared_table(best, "best")
+    label = shared_table(components(shared_table(verified(best, sets, percent), "links")), "label")
+    rest = between(led.select("a", "b").join(best, ["a", "b"], "left_anti"), label)
+    label = shared_table(joined_components(label, verified(rest, sets, percent)), "label")
+    rows = open_buckets(met, label)
+    large = sets.join(rows.where(F.col("members") > SMALL).select("node").distinct(), "node", "left_semi")
+    left = cross_pairs(rows).unionByName(prefix_pairs(large, label, percent)).distinct().join(led, ["a", "b"], "left_anti")
+    links = verified(estimated(shared_table(left, "left"), near, least), sets, percent)
+    label = joined_components(label, links)
+
+    named = base.select("doc_id", "tid", "n_shingles", "uid", "same").join(nodes.select("same", "node"), "same", "left").join(label, "node", "left")
+    named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("uid")))
     ids = shared_table(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ids")  # written, so that Spark can split the join below
     facts = named.join(ids, "component").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("component").alias("node"), "tid")
     return facts if with_node else facts.drop("node", "tid")
@@ -299,6 +322,15 @@ def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
+def joined_components(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, component) after more links between nodes, found on one node for each component."""
+    side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    rows = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = components(shared_table(rows, "links"))
+    renamed = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return renamed.unionByName(joined.join(label, "node", "left_anti"))
+
+
 def near_duplicates_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"), size=4)
 

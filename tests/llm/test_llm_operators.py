@@ -283,7 +283,8 @@ def test_prefixes_meet_every_link(spark):
     nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, rep_id long")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     nodes = nodes.join(docs.select(F.col("doc_id").alias("rep_id"), F.xxhash64("text").alias("rep_tid")), "rep_id")
-    got = {tuple(r) for r in near_duplicates.prefix_pairs(nodes, docs, spark.createDataFrame([], "node long, component long"), 3, 70).collect()}
+    full = near_duplicates.full_sets(nodes, docs, 3)
+    got = {tuple(r) for r in near_duplicates.prefix_pairs(full, spark.createDataFrame([], "node long, component long"), 70).collect()}
     links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j])}
     assert len(links) > 50 and links <= got
 
@@ -324,7 +325,7 @@ def test_quotations(spark):
     got = quotations.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("role", "role")).collect()
     assert len(got) == len(rows)
     one = {r.turn: r for r in got if r.conv_id == 1}
-    assert [r.turn for r in got if r.conv_id == 1] == [0, 1, 3, 4, 6, 5, 2]
+    assert [r.turn for r in got if r.conv_id == 1] == [0, 1, 3, 5, 4, 6, 2]  # 5 replies to 3, 6 to 4
     assert (one[3].reply_to, one[3].text, one[3].depth, one[3].quoted_lines) == (1, "Nice", 1, 2)
     assert (one[5].reply_to, one[5].text) == (3, "yes")
     assert one[6].path == [*one[4].path, 6] and one[6].reply_to == 4
@@ -332,6 +333,79 @@ def test_quotations(spark):
     assert quotations.reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def brute_reply_order(messages):
+    """(conv_id, turn) -> (reply_to, path) by walking each conversation; turns of a conversation differ."""
+
+    def passages(lines):
+        whole = re.split(r"(?<=[.!?])\s+", " ".join(lines))
+        plain = {" ".join(re.findall(r"[^\W_]+", x.lower())) for x in [*lines, *whole]} - {""}
+        cut = lambda w: [" ".join(w[i : i + 8]) for i in range(max(1, len(w) - 7))]
+        return {x for s in plain for x in cut(s.split())}
+
+    def levels(text):
+        out, own = defaultdict(list), []
+        lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        marks = [re.match(r"[ \t]{0,3}(?:>[ \t]?)+", x) for x in lines]
+        for i, (line, mark) in enumerate(zip(lines, marks, strict=True)):
+            if mark:
+                out[mark[0].count(">")].append(line[mark.end() :])
+            elif not (i + 1 < len(lines) and marks[i + 1] and re.search(r"\bwrote[ \t]*:[ \t]*$", line)):
+                own.append(line)
+        return out, passages(own)
+
+    found = {}
+    by_conv = defaultdict(list)
+    for conv, turn, text in messages:
+        by_conv[conv].append((turn, text))
+    for conv, rows in by_conv.items():
+        own, head, before, prior = {}, None, {}, None
+        heads = {}
+        for turn, text in sorted(rows, key=lambda r: r[0]):
+            quoted, own_passages = levels(text)
+            votes = defaultdict(int)
+            for level, lines in quoted.items():
+                for x in passages(lines):
+                    earlier = [t for t, o in own.items() if x in o]
+                    if earlier:
+                        votes[-level, max(earlier)] += len(x)
+            reply = prior
+            if votes:
+                top = max(level for level, _ in votes)
+                reply = max((n, t) for (level, t), n in votes.items() if level == top)[1]
+                before[turn] = before.get(heads[reply], []) + [reply]
+                head = turn
+            heads[turn] = head
+            found[conv, turn] = (reply, before.get(head, []) + [turn])
+            own[turn], prior = own_passages, turn
+    return found
+
+
+def test_quotations_match_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randrange(1, 14)):
+            lines = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 14))) + rng.choice([".", "!", ""]) for _ in range(rng.randrange(1, 4))]
+            if said and rng.random() < 0.6:
+                words = rng.choice(said).replace("\n", " ").split()
+                at = rng.randrange(len(words))
+                part = words[at : at + rng.randrange(1, 20)]
+                width = rng.randrange(2, 9)
+                depth = ">" * rng.choice([1, 1, 2, 3])
+                quote = [f"{depth} {' '.join(part[i : i + width])}" for i in range(0, len(part), width)]
+                lines = [*(["Ann wrote:"] if rng.random() < 0.5 else []), *quote, *lines]
+            text = rng.choice(["\n", "\r\n"]).join(lines)
+            said.append("\n".join(x for x in lines if not x.startswith((">", "Ann"))))
+            rows.append((conv, turn, "u", text))
+    got = quotations.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = brute_reply_order([(c, t, x) for c, t, _, x in rows])
+    assert {(r.conv_id, r.turn): (r.reply_to, list(r.path)) for r in got} == want
+    assert sum(r.depth > 0 for r in got) > 30
+    assert [(r.conv_id, list(r.path)) for r in got] == sorted((r.conv_id, list(r.path)) for r in got)
+    assert quotations.reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
 def test_toxicity_finds_documents_and_sentences(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -399,6 +473,28 @@ def test_rows_given_twice_keep_what_one_keeps(spark):
     assert [r[2] for r in got if r[0] == 5 and r[1] > len(lone)] == [len(lone)]
 
 
+def test_hot_triggers_are_split_and_joined_again(spark, monkeypatch):
+    """A passage that all documents share, with different surroundings, some of which two or more have in common for a while."""
+    for name, value in (("HOT_LEAST", 3), ("HOT_SHARE", 0.0), ("SORTED", 25), ("PART", 60)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(31)
+    passage, edge, end = sentence(rng, 60, 9000), sentence(rng, 12, 9000), sentence(rng, 10, 9000)
+    rows = []
+    for i in range(40):
+        left = sentence(rng, rng.randrange(0, 40), 9000) + (edge[-(3 * i) :] if i % 3 else "")
+        right = (end[: 4 * i] if i % 4 else "") + sentence(rng, rng.randrange(0, 40), 9000)
+        rows.append((i, left + passage[rng.choice([0, 0, 7, 30]) :] + right, "en", "a", 1))
+    rows += [rows[7], (8, rows[9][1][5:], "en", "a", 1), (None, passage, "en", "a", 1)]
+    few = frame(spark, rows)
+    assert len(repeats.hot_triggers(few.selectExpr("text", "coalesce(doc_id, 99) as o", "0L as v"), 100, len(rows))) > 3
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    got = sorted([tuple(r) for r in repeats.repeats_digest(few.repartition(5)).collect()], key=key)
+    alone = [r for r in rows if r[0] != 8]
+    want = sorted(brute_repeats(frame(spark, alone).collect(), 100), key=key)
+    assert [r for r in sorted([tuple(r) for r in repeats.repeats_digest(frame(spark, alone)).collect()], key=key)] == want
+    assert len(got) == len(rows) and sum(r[2] > 0 for r in got) > 35
+
+
 def test_long_texts_are_cut_into_the_same_phrases(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 123, 20_000).astype(np.uint8)
