@@ -1,9 +1,11 @@
 """Conversations in reply order, by linking quotations to the messages they come from.
 
-Lines that begin with ">" are quoted, as deeply as they have such marks. The quoted text of each level is cut into
-sentences, these are normalised and hashed, and a hash meets the own (unquoted) sentences of earlier messages of the same
-conversation. The message from which most quoted characters come, at the lowest level that matches any, is what a message
-replies to; one without a matching quotation follows the message before it. Replies come right after what they reply to.
+Lines that begin with ">" are quoted, as deeply as they have such marks. The quoted text of each level is cut into passages: its
+lines, and its sentences with line ends inside them as blanks, so that quotes that were wrapped anew still meet; long ones
+become overlapping windows of WINDOW words. Passages are normalised and hashed, and a hash meets the own passages (without
+quoted lines and the credits above them) of earlier messages of the same conversation. The message from which most quoted
+characters come, at the lowest level that matches any, is what a message replies to; one without a matching quotation
+follows the message before it. Replies come right after what they reply to.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql.window import Window
 from .shared import shared_table
 
 MARKS = r"^[ \t]{0,3}(?:>[ \t]?)+"
+#: Words of a passage at most; longer ones are cut into overlapping windows of so many.
+WINDOW = 8
 #: Turns that a task puts in order at a time.
 SPAN = 256
 
@@ -26,11 +30,17 @@ def line_levels(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
 
 
-def sentences(lines: Column, level: Column) -> Column:
-    """The normalised sentences (lower case, letters and digits with single spaces) of the lines of one level."""
-    text = F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: x["line"]), " ")
-    plain = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    return F.array_distinct(F.filter(plain, lambda s: F.length(s) > 0))
+def passages(lines: Column) -> Column:
+    """The distinct normalised passages (lower case, letters and digits with single spaces) of an array of lines."""
+    whole = F.split(F.array_join(lines, " "), r"(?<=[.!?])\s+")
+    plain = F.transform(F.concat(lines, whole), lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+    plain = F.array_distinct(F.filter(plain, lambda s: F.length(s) > 0))
+
+    def windows(s: Column) -> Column:
+        words = F.split(s, " ")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - WINDOW + 1)), lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
+
+    return F.array_distinct(F.flatten(F.transform(plain, windows)))
 
 
 def without_quotes(text: Column) -> Column:
@@ -42,12 +52,15 @@ def without_quotes(text: Column) -> Column:
 
 def quotation_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, origin): the earlier turn that a message quotes most, for messages with a matching quotation."""
-    rows = messages.where(F.col("turn").isNotNull()).select("conv_id", "turn", line_levels(F.col("text")).alias("lines"), F.col("text").rlike(r"(?m)^[ \t]{0,3}>").alias("quotes"))
-    quoting = rows.where("quotes").select("conv_id", "turn", "lines", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("lines", lambda x: x["level"])))).alias("level"))
-    quoted = quoting.select("conv_id", "turn", "level", F.explode(sentences(F.col("lines"), F.col("level"))).alias("s"))
-    threads = rows.where("quotes").select("conv_id").distinct()
-    own = rows.join(threads.withColumnRenamed("conv_id", "thread"), F.col("conv_id").eqNullSafe(F.col("thread")), "left_semi")
-    own = own.select("conv_id", "turn", F.lit(0).alias("level"), F.explode(sentences(F.col("lines"), F.lit(0))).alias("s"))
+    rows = messages.where(F.col("turn").isNotNull()).select("conv_id", "turn", "text", F.coalesce(F.col("text").rlike(r"(?m)^[ \t]{0,3}>"), F.lit(False)).alias("quotes"))
+    quoting = rows.where("quotes").withColumn("lines", line_levels(F.col("text")))
+    quoting = quoting.select("conv_id", "turn", "lines", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))).alias("level"))
+    of_level = F.transform(F.filter("lines", lambda x: x["level"] == F.col("level")), lambda x: x["line"])
+    quoted = quoting.select("conv_id", "turn", "level", F.explode(passages(of_level)).alias("s"))
+    threads = rows.where("quotes").select(F.col("conv_id").alias("thread")).distinct()
+    own = rows.join(threads, F.col("conv_id").eqNullSafe(F.col("thread")), "left_semi")
+    own_lines = F.split(F.regexp_replace(F.coalesce(without_quotes(F.col("text")), F.lit("")), r"\r\n?", "\n"), "\n")
+    own = own.select("conv_id", "turn", F.lit(0).alias("level"), F.explode(passages(own_lines)).alias("s"))
     both = quoted.unionByName(own).select("conv_id", "turn", "level", F.xxhash64("s").alias("key"), F.length("s").alias("size"))
     before = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     met = both.withColumn("origin", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)).where("level > 0 and origin is not null")
