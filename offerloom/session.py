@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that new_folder has named.
+_FOLDERS: list[str] = []
 
 #: Rows and bytes of an Arrow batch on its way to Python: texts are long, and both sides hold a batch or two for each task.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
@@ -31,16 +34,20 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
 
 
 def shared_table(df: DataFrame, tag: str) -> DataFrame:
@@ -48,3 +55,13 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def forget_tables(spark: SparkSession) -> int:
+    """Remove the tables that jobs of this process have left in the shared folder; for sessions that run many, once results are stored."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    gone = 0
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        gone += path.getFileSystem(hadoop).delete(path, True)
+    return gone
