@@ -15,6 +15,12 @@ def iso_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+def utc_instant(c: Column, zone: str = "UTC") -> Column:
+    """A time with an offset is that instant, one without is local time in `zone`; null if it cannot be read."""
+    at = F.try_to_timestamp(c)
+    return F.when(c.rlike(r"(?i)(?:z|[+-]\d{2}:?\d{2})\s*$") & c.contains(":"), at).otherwise(F.to_utc_timestamp(at, zone))
+
+
 def relative_date(c: Column, as_of: Column, word_bounded: bool = False) -> Column:
     """French and English relative dates, the first of minutes, hours, days, weeks and months (30 days) that is named."""
     text = fold(c)
@@ -89,6 +95,11 @@ def text_salary(c: Column) -> Column:
     return F.struct(F.try_element_at(amounts, F.lit(1)).alias("low"), F.try_element_at(amounts, F.lit(2)).alias("high"), currency.alias("currency"))
 
 
+def stated_minimum(c: Column) -> Column:
+    """The amount before the first euro sign of a text."""
+    return number(F.nullif(F.regexp_extract(c, r"(\d[\d\s\u00A0\u202F]*(?:[.,]\d+)?)\s*€", 1), F.lit("")))
+
+
 def salary_label(low: Column, high: Column, currency: Column) -> Column:
     """P5: null without a bound or with no three-letter currency."""
     show = lambda x: F.format_number(x, 0)
@@ -126,3 +137,16 @@ def contains_any(items: Column, wanted: list[str]) -> Column:
     if not wanted:
         return F.lit(False)
     return F.arrays_overlap(F.transform(items, filter_key), F.transform(F.array(*[F.lit(w) for w in wanted]), filter_key))
+
+
+def stable_intersection(a: Column, b: Column) -> Column:
+    """A5: the distinct items of a that b has, in a's order."""
+    return F.filter(F.array_distinct(a), lambda x: F.array_contains(b, x))
+
+
+def contract_families(requested: Column, families: dict[str, str]) -> Column:
+    """The distinct families of the requested contracts in the order in which they are first met; one null (no filter) if
+    nothing is requested, none at all if nothing that is requested has a family."""
+    table = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])
+    found = F.array_distinct(F.array_compact(F.transform(requested, lambda c: F.element_at(table, c))))
+    return F.when(F.coalesce(F.size(requested), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(found)

@@ -2,48 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.functions.scalars import haversine_km
-from offerloom.functions.text import fold, location_key, slug, squeeze, without_country
-from offerloom.functions.values import CITIES, COUNTRIES, NOT_A_PLACE, REGIONS
+from offerloom.functions.text import fold, let, location_key, slug, squeeze, without_country
+from offerloom.functions.values import CITIES, COUNTRIES, DEPARTMENTS, NOT_A_PLACE, REGIONS, REMOTE_MARKERS, REMOTE_WORDS
 
-CITY_NUMBER = r"^(paris|lyon|marseille) ([0-9]{1,2})(er|e|eme)?(?: (arrondissement))?(?: (0?[1-9]|[1-9][0-9]|2[ab]|97[1-6]))?$"
 #: How many districts a city has, and its own department.
 DISTRICTS = {"paris": (20, 75), "lyon": (9, 69), "marseille": (16, 13)}
-#: Words that make a clause about remote work, and words that describe it.
-REMOTE = ("hybrid", "hybride", "remote", "teletravail")
-REMOTE_WORDS = (
-    *REMOTE,
-    *("accord", "accords", "alternatif", "alternative", "complet", "complete", "convenir", "distance", "europe", "flexible", "full", "international", "jour", "jours", "la", "monde"),
-    *("occasionnel", "occasionnelle", "ponctuel", "ponctuelle", "pourcent", "par", "partiel", "partielle", "possible", "regulier", "reguliere", "semaine", "selon", "total", "totale", "worldwide", "100"),
-)
+ORDINAL = "^([0-9]{1,2})(er|e|eme)?$"
 
 
 def _of_city(city: Column, at: int) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for c, v in DISTRICTS.items() for x in (c, v[at])]), city)
 
 
+def _literals(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def district(plain: Column) -> Column:
+    """(city, number, bare) of a squeezed label "city number [arrondissement] [department]" of a city with districts, else null."""
+
+    def of(words: Column) -> Column:
+        second = F.try_element_at(words, F.lit(2))
+        rest = F.slice(words, F.when(F.try_element_at(words, F.lit(3)) == "arrondissement", 4).otherwise(3), F.lit(9))
+        fits = words[0].isin(*DISTRICTS) & F.coalesce(second.rlike(ORDINAL), F.lit(False)) & (F.size(rest) <= 1) & F.forall(rest, lambda w: w.isin(*DEPARTMENTS))
+        number_ = F.regexp_extract(second, ORDINAL, 1).try_cast("int")
+        return F.when(fits, F.struct(words[0].alias("city"), number_.alias("number"), ((F.size(words) == 2) & second.rlike("^[0-9]+$")).alias("bare")))
+
+    return let(F.split(plain, " "), of)
+
+
 def city_key(c: Column) -> Column:
     """Districts of Paris, Lyon and Marseille keep their number; a bare own department is the city; else T6."""
-    plain = squeeze(without_country(fold(c)))
-    part = lambda i: F.regexp_extract(plain, CITY_NUMBER, i)
-    number_ = part(2).try_cast("int")
-    own = (part(3) == "") & (part(4) == "") & (part(5) == "") & (number_ == _of_city(part(1), 1))
-    return F.when(~plain.rlike(CITY_NUMBER), location_key(c)).when(own, part(1)).otherwise(F.concat_ws(" ", part(1), number_.cast("string")))
+
+    def key(c: Column) -> Column:
+        shown = lambda d: F.when(d["bare"] & (d["number"] == _of_city(d["city"], 1)), d["city"]).otherwise(F.concat_ws(" ", d["city"], d["number"].cast("string")))
+        return let(district(squeeze(without_country(fold(c)))), lambda d: F.when(d.isNull(), location_key(c)).otherwise(shown(d)))
+
+    return let(c, key)
 
 
 def municipality(key: Column) -> Column:
     """A district that exists is its city."""
-    city, number_ = F.regexp_extract(key, CITY_NUMBER, 1), F.regexp_extract(key, CITY_NUMBER, 2).try_cast("int")
-    return F.when((city != "") & number_.between(1, _of_city(city, 0)), city).otherwise(key)
+    own = lambda key: let(district(key), lambda d: F.when(d["number"].between(1, _of_city(d["city"], 0)), d["city"]).otherwise(key))
+    return let(key, own)
 
 
 def clauses(c: Column) -> Column:
-    """The clauses of a label: cut at commas, slashes, bars, semicolons, parentheses and spaced dashes."""
-    cadence = F.regexp_replace(c, r"(?i)\b(jours?)\s*/\s*(semaine)\b", "$1 par $2")
-    return F.filter(F.transform(F.split(cadence, r"\s*(?:[,/|;()]|\s[-–—]\s)\s*"), lambda x: F.btrim(x)), lambda x: F.length(x) > 0)
+    """The clauses of a label: cut at commas, bars, semicolons, parentheses, spaced dashes, and slashes other than in "jours/semaine"."""
+    parts = F.split(c, r"[,|;()]|(?<=\s)[-–—](?=\s)|(?<!(?i:\bjours?)\s{0,9})/|/(?!\s*(?i:semaine\b))")
+    return F.filter(F.transform(parts, lambda x: F.btrim(x)), lambda x: F.length(x) > 0)
 
 
 def _typed(kind: str, key: Column | None = None) -> Column:
@@ -51,61 +62,104 @@ def _typed(kind: str, key: Column | None = None) -> Column:
 
 
 def _plain(key: Column) -> Column:
-    return F.when(key.rlike(NOT_A_PLACE), _typed("unknown")).when(key.isin(*COUNTRIES, *REGIONS), _typed("non_city", key)).otherwise(_typed("place", key))
+    return F.when(key.isin("", *NOT_A_PLACE), _typed("unknown")).when(key.isin(*COUNTRIES, *REGIONS), _typed("non_city", key)).otherwise(_typed("place", key))
+
+
+#: Letters for the words of a clause about remote work; a clause's shape is the string of its words' letters.
+SHAPE = {
+    "m": REMOTE_MARKERS,
+    "a": ("complet", "complete", "europe", "flexible", "international", "monde", "occasionnel", "occasionnelle", "partiel", "partielle", "ponctuel", "ponctuelle", "possible", "regulier", "reguliere", "total", "totale", "worldwide"),
+    "e": ("en",),
+    "f": ("full",),
+    "p": ("a",),
+}
+#: Expressions of several words, which become one word: a letter and a tilde.
+UNITS = {"m~": "a distance", "x~": "[0-9]{1,2} pourcent|100 pourcent|100", "a~": "selon accords?|a convenir|[0-9]+ jours?(?: par)?(?: semaine)?"}
+
+
+def remote_words(clause: Column) -> Column:
+    """The words of a clause's key, with percentages and expressions of several words as one word each."""
+    key = location_key(F.replace(clause, F.lit("%"), F.lit(" pourcent ")))
+    for name, unit in UNITS.items():
+        key = F.regexp_replace(key, rf"\b(?:{unit})\b", name)
+    return F.split(key, " ")
+
+
+def shape(words: Column) -> Column:
+
+    def letter(w: Column) -> Column:
+        kind = F.when(w.endswith("~"), F.left(w, F.lit(1)))
+        for name, members in SHAPE.items():
+            kind = kind.when(w.isin(*members), name)
+        return kind.otherwise("o")
+
+    return F.array_join(F.transform(words, letter), "")
 
 
 def _is_remote(key: Column) -> Column:
-    return F.arrays_overlap(F.split(key, " "), F.array(*[F.lit(w) for w in REMOTE])) | key.rlike(r"(^| )a distance( |$)")
-
-
-def _remote_clause(key: Column) -> Column:
-    """A clause with a remote marker: a place is proved only by "… à PLACE", "… en REGION", or a place before the marker."""
-    mode = r"(?:(?:en|full|\d{1,3}(?: pourcent)?) )*(?:remote|teletravail|hybride?|a distance)(?: (?:partiel|partielle|possible|flexible|complet|complete|total|totale|occasionnel|occasionnelle|ponctuel|ponctuelle|regulier|reguliere|selon accords?|a convenir|europe|international|monde|worldwide|\d{1,3} pourcent|\d+ jours?(?: par semaine)?|100|\d{1,2}))*"
-    after, suffix, tail = rf"^{mode} (a|en) (.+)$", rf"^(.+?) {mode}$", rf"^{mode} (.+)$"
-    words = F.array(*[F.lit(w) for w in REMOTE_WORDS])
-    describes = lambda k: (k == "") | k.rlike(NOT_A_PLACE) | F.arrays_overlap(F.split(k, " "), words) | k.rlike("^[0-9 ]+$")
-    bounded = lambda k: F.when(describes(k), _typed("remote_descriptor")).otherwise(_plain(k))
-    region = lambda k: k.isin(*COUNTRIES, *REGIONS)
-    place, lead, rest = F.regexp_extract(key, after, 2), F.regexp_extract(key, suffix, 1), F.regexp_extract(key, tail, 1)
+    return F.arrays_overlap(F.split(key, " "), _literals(REMOTE_MARKERS)) | F.concat(F.lit(" "), key, F.lit(" ")).contains(" a distance ")
+
+
+def _bounded(words: Column) -> Column:
+    """Words after a preposition or beside a mode: a place or region unless one of them is about remote work."""
+    key = F.array_join(words, " ")
+    describes = key.isin("", *NOT_A_PLACE) | key.contains("~") | F.arrays_overlap(words, _literals(REMOTE_WORDS)) | _is_remote(key)
+    return F.when(describes, _typed("remote_descriptor")).otherwise(_plain(key))
+
+
+def _remote_clause(words: Column, letters: Column) -> Column:
+    """A clause with a remote mode, by its shape: a place is proved only by "mode à PLACE", "mode en REGION", or a place before the mode."""
+    region = lambda w: F.array_join(w, " ").isin(*COUNTRIES, *REGIONS)
+    part = lambda pattern, i: F.length(F.regexp_extract(letters, pattern, i))
+    to_place, first, last = "^([efx]*m[ax]*)([pe]).+$", "^([efx]*m)", "^(.+?)[efx]*m[ax]*$"
+    named = F.slice(words, part(to_place, 1) + 2, F.size(words))
+    tail = F.slice(words, part(first, 1) + 1, F.size(words))
+    lead = F.slice(words, 1, part(last, 1))
+    says_nothing = F.forall(named, lambda w: w.rlike("^[0-9]*$") | w.isin("a", "en")) | ((F.regexp_extract(letters, to_place, 2) == "e") & ~region(named))
     return (
-        F.when(key.rlike(after), F.when((F.regexp_extract(key, after, 1) == "en") & ~region(place), _typed("remote_descriptor")).otherwise(bounded(place)))
-        .when(key.rlike(f"^{mode}$"), _typed("remote_descriptor"))
-        .when(key.rlike(tail), F.when(region(rest), _typed("non_city", rest)).otherwise(_typed("remote_descriptor")))
-        .when(key.rlike(suffix), bounded(lead))
+        F.when(letters.rlike(to_place), F.when(says_nothing, _typed("remote_descriptor")).otherwise(_bounded(named)))
+        .when(letters.rlike(first), F.when(region(tail), _typed("non_city", F.array_join(tail, " "))).otherwise(_typed("remote_descriptor")))
+        .when(letters.rlike(last), _bounded(lead))
         .otherwise(_typed("unknown"))
     )
 
 
-def _clause(key: Column, remote_context: Column) -> Column:
-    words = F.array(*[F.lit(w) for w in REMOTE_WORDS])
-    lead, rest = F.regexp_extract(key, r"^(a|en) (.+)$", 1), F.regexp_extract(key, r"^(a|en) (.+)$", 2)
-    standing = F.when(lead == "a", F.when(_is_remote(rest) | F.arrays_overlap(F.split(rest, " "), words), _typed("remote_descriptor")).otherwise(_plain(rest)))
-    standing = standing.when(lead == "en", F.when(rest.isin(*COUNTRIES, *REGIONS), _typed("non_city", rest)).otherwise(_typed("unknown")))
+def _clause(key: Column, words: Column, letters: Column, remote_context: Column) -> Column:
+    """What one clause proves, by its T6 key; a clause without a key, or a bare department, proves nothing."""
+    own = F.split(key, " ")
+    rest = F.slice(own, 2, F.size(own))
+    region = F.array_join(rest, " ").isin(*COUNTRIES, *REGIONS)
     return (
-        F.when((key == "") | key.rlike(r"^(?:0?[1-9]|[1-9][0-9]|2[ab]|97[1-6])$"), _typed("skip"))
-        .when(key.rlike(NOT_A_PLACE), _typed("unknown"))
-        .when((lead != "") & ~key.rlike("^a distance"), standing)
-        .when(_is_remote(key), _remote_clause(key))
-        .when(remote_context & F.arrays_overlap(F.split(key, " "), words), _typed("remote_descriptor"))
+        F.when(key.isin("", *DEPARTMENTS), _typed("skip"))
+        .when(key.isin(*NOT_A_PLACE), _typed("unknown"))
+        .when((F.size(own) > 1) & (own[0] == "a"), _bounded(rest))
+        .when((F.size(own) > 1) & (own[0] == "en"), F.when(region, _typed("non_city", F.array_join(rest, " "))).otherwise(_typed("unknown")))
+        .when(_is_remote(key), _remote_clause(words, letters))
+        .when(remote_context & F.arrays_overlap(own, _literals(REMOTE_WORDS)), _typed("remote_descriptor"))
         .otherwise(_plain(key))
     )
 
 
 def evidence(labels: DataFrame, column: str = "location") -> DataFrame:
-    """(label, kind, key) of the distinct labels of a column; kind is place, non_city, remote_descriptor, unknown or conflict.
+    """(label, kind, key) of the distinct labels of a column; kind is place, non_city, unknown or conflict.
 
     A null label is unknown. Labels are few against rows, so callers join this back.
     """
     rows = labels.select(F.col(column).alias("label")).distinct()
-    whole = F.regexp_extract(F.coalesce("label", F.lit("")), r"(?i)^\s*(.+?)(?:\s*,\s*france|\s*\(\s*france\s*\)|\s+[-–—]\s+france)\s*$", 1)
-    one = (whole != "") & (F.size(clauses(whole)) == 1) & ~whole.rlike(r"^\s*[-–—]|[-–—]\s*$|[,/|;()]")
-    parts = F.when(one, F.array(whole)).otherwise(clauses(F.coalesce("label", F.lit(""))))
-    rows = rows.withColumn("one", one).withColumn("parts", parts)
-    rows = rows.withColumn("keys", F.transform("parts", location_key))  # used often below, so that it stays a column of its own
-    rows = rows.withColumn("remote", F.transform("keys", _is_remote)).withColumn("in_remote", F.exists("remote", lambda r: r))
-    rows = rows.withColumn("typed", F.transform("keys", lambda k: _clause(k, F.col("in_remote"))))
+    # One clause before a last ", France" is typed as it is, dashes at its ends apart
+    rows = rows.withColumn("bare", without_country_as_is(F.btrim(F.coalesce("label", F.lit("")))))
+    bare = F.col("bare")
+    one = (F.length(bare) < F.length(F.btrim("label"))) & (F.size(clauses(bare)) == 1) & (clauses(bare)[0] == bare) & ~bare.rlike("^[-–—]|[-–—]$")
+    rows = rows.withColumn("one", F.coalesce(one, F.lit(False)))
+    rows = rows.withColumn("parts", F.when(F.col("one"), F.array(bare)).otherwise(clauses(F.coalesce("label", F.lit("")))))
+    # used often below, so that they stay columns of their own
+    rows = rows.withColumn("keys", F.transform("parts", location_key)).withColumn("words", F.transform("parts", remote_words))
+    rows = rows.withColumn("shapes", F.transform("words", shape)).withColumn("remote", F.transform("keys", _is_remote))
+    rows = rows.withColumn("in_remote", F.exists("remote", lambda r: r) & ~F.col("one"))
+    each = F.arrays_zip("keys", "words", "shapes")
+    rows = rows.withColumn("typed", F.transform(each, lambda x: _clause(x["keys"], x["words"], x["shapes"], F.col("in_remote"))))
     of = lambda kind: F.array_distinct(F.filter("typed", lambda t: t["kind"] == kind))
-    rows = rows.select("label", "one", "typed", "remote", of("place").alias("places"), of("non_city").alias("scopes"), of("unknown").alias("unknown"))
+    rows = rows.select("label", "typed", "remote", of("place").alias("places"), of("non_city").alias("scopes"), of("unknown").alias("unknown"))
     bearing = F.exists(F.arrays_zip("typed", "remote"), lambda x: (x["typed"]["kind"] == "place") & x["remote"])
     concrete = F.size("places") + F.size("scopes")
     kind = (
@@ -120,7 +174,13 @@ def evidence(labels: DataFrame, column: str = "location") -> DataFrame:
     return rows.select("label", kind["kind"].alias("kind"), kind["key"].alias("key"))
 
 
-def city_coordinates(spark) -> DataFrame:
+def without_country_as_is(label: Column) -> Column:
+    """A label without its last ", France", "(France)" or spaced "- France", in its own spelling."""
+    part = lambda i: F.regexp_extract(label, r"^(.*?)\s*(,|\(|\s[-–—]\s)\s*(?i:france)\s*(\)?)$", i)
+    return F.when((part(2) != "") & ((part(2) == "(") == (part(3) == ")")), part(1)).otherwise(label)
+
+
+def city_coordinates(spark: SparkSession) -> DataFrame:
     """(ord, city, slug, lat, lon), the table that distances are looked up in."""
     rows = [(i, c, lat, lon) for i, (c, (lat, lon)) in enumerate(CITIES.items())]
     return spark.createDataFrame(rows, "ord int, city string, lat double, lon double").withColumn("slug", slug(F.col("city")))
@@ -134,6 +194,17 @@ def located(labels: DataFrame, column: str = "location") -> DataFrame:
     return found.groupBy("label").agg(F.min(F.struct("ord", "lat", "lon")).alias("c")).select("label", "c.lat", "c.lon")
 
 
+def geocoded(labels: DataFrame, column: str = "location") -> DataFrame:
+    """(label, lat, lon) of the distinct labels; the first city of the table that holds the label, or that the label holds.
+
+    Case and outer blanks do not count, accents do; an empty label finds nothing.
+    """
+    rows = labels.select(F.col(column).alias("label")).distinct().withColumn("name", F.lower(F.btrim("label"))).where("name <> ''")
+    cities = F.broadcast(city_coordinates(labels.sparkSession))  # a fixed table
+    found = rows.join(cities, F.contains("name", "city") | F.contains("city", "name"))
+    return found.groupBy("label").agg(F.min(F.struct("ord", "lat", "lon")).alias("c")).select("label", "c.lat", "c.lon")
+
+
 def within_radius(rows: DataFrame, centre: str, km: float, column: str = "location") -> DataFrame:
     """Rows whose label is a known city within a distance of a known city; others do not match."""
     lat, lon = CITIES[centre]
@@ -141,20 +212,62 @@ def within_radius(rows: DataFrame, centre: str, km: float, column: str = "locati
     return rows.join(near, rows[column] == near["label"]).drop("label", "lat", "lon")
 
 
-def metropole_match(rows: DataFrame, requests: list[str], areas: DataFrame, column: str = "location") -> DataFrame:
-    """Rows in any requested place; `areas` has (alias, commune) keys. A request that is no alias matches its own key."""
+def near(rows: DataFrame, centre: str, km: float, column: str = "location") -> DataFrame:
+    """Rows whose label is found within a distance of a place, both by B6's lookup; a place that is not found has none."""
+    start = located(rows.sparkSession.createDataFrame([(centre,)], "label string"), "label").select(F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    found = located(rows, column).join(F.broadcast(start), F.lit(True))  # one row at most
+    found = found.where(haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")) <= km).select("label")
+    return rows.join(found, rows[column] == found["label"], "left_semi")
+
+
+def in_places(rows: DataFrame, keys: list[str], column: str = "location", labels: DataFrame | None = None) -> DataFrame:
+    """Rows whose municipality is one of `keys`, worked out once for each distinct label: of rows, or of `labels`, which may be cheaper to read."""
+    labels = (rows if labels is None else labels).select(F.col(column).alias("label")).distinct().where(municipality(city_key(F.col("label"))).isin(*keys))
+    return rows.join(labels, rows[column] == labels["label"], "left_semi")
+
+
+def metropole_match(rows: DataFrame, requests: list[str], areas: DataFrame, column: str = "location", labels: DataFrame | None = None) -> DataFrame:
+    """Rows in any requested place; `areas` has (alias, commune) keys. A request that is no alias matches its own key.
+
+    Labels are matched once each: those of rows, or of `labels`, which may be cheaper to read.
+    """
     spark = rows.sparkSession
     asked = spark.createDataFrame([(r,) for r in requests], "request string").select(city_key(F.col("request")).alias("key")).distinct()
     wide = asked.join(areas, asked["key"] == areas["alias"]).select(F.col("commune").alias("place"), F.lit(True).alias("wide"))
     plain = asked.join(areas, asked["key"] == areas["alias"], "left_anti").select(F.col("key").alias("place"), F.lit(False).alias("wide"))
-    labels = rows.select(F.col(column).alias("label")).distinct().withColumn("own", city_key(F.col("label")))
+    labels = (rows if labels is None else labels).select(F.col(column).alias("label")).distinct().withColumn("own", city_key(F.col("label")))
     labels = labels.join(wide.unionByName(plain), F.when(F.col("wide"), municipality(F.col("own"))).otherwise(F.col("own")) == F.col("place"), "left_semi")
     return rows.join(labels, rows[column] == labels["label"], "left_semi")
 
 
-#: Members of metropolitan areas that tests name.
+#: A file of metropolitan areas: one object with a reference date and its groups.
+AREA_FILE = "reference_date string, groups array<struct<key string, official_name string, city_center string, epci_code string, source_url string, activation_aliases array<string>, communes array<struct<insee_code string, name string>>>>"
+
+
+def read_areas(spark: SparkSession, path: str) -> DataFrame:
+    """The groups of an area file, as quality.area_violations takes them: area, center, alias_list, commune_codes, commune_names."""
+    groups = spark.read.option("multiLine", True).schema(AREA_FILE).json(path).select("reference_date", F.explode("groups").alias("g"))
+    keys = lambda c: F.transform(c, location_key)
+    return groups.select(
+        "reference_date",
+        F.col("g.key").alias("area"),
+        location_key(F.col("g.city_center")).alias("center"),
+        "g.epci_code",
+        "g.source_url",
+        keys(F.col("g.activation_aliases")).alias("alias_list"),
+        F.transform("g.communes", lambda c: F.upper(c["insee_code"])).alias("commune_codes"),
+        keys(F.transform("g.communes", lambda c: c["name"])).alias("commune_names"),
+    )
+
+
+def alias_communes(groups: DataFrame) -> DataFrame:
+    """(alias, commune) pairs of the groups of `read_areas`, as metropole_match takes them."""
+    return groups.select(F.explode("alias_list").alias("alias"), "commune_names").select("alias", F.explode("commune_names").alias("commune")).distinct()
+
+
+#: Members of metropolitan areas that tests name. Full tables are read by read_areas.
 AREAS = {"paris": ("paris", "boulogne billancourt"), "lyon": ("lyon", "villeurbanne"), "marseille": ("marseille",)}
 
 
-def areas(spark) -> DataFrame:
+def areas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, c) for a, members in AREAS.items() for c in members], "alias string, commune string")
