@@ -17,8 +17,8 @@ def reasons(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
 
 
-def checked_offers(offers: DataFrame) -> DataFrame:
-    """Add reasons and valid."""
+def checked_offers(offers: DataFrame, scanned: str | None = None) -> DataFrame:
+    """Q2: add reasons and valid. F18: an offer of another source than the scanned one (a column's name) is not valid."""
     optional = lambda c, domain: F.col(c).isNull() | F.col(c).isin(*domain)
     rules = {
         "source": F.col("source").isin(*SOURCES),
@@ -29,12 +29,14 @@ def checked_offers(offers: DataFrame) -> DataFrame:
         "contract_type": optional("contract_type", CONTRACTS),
         "experience_level": optional("experience_level", LEVELS),
     }
+    if scanned is not None:
+        rules["scanned"] = F.col("source") == F.col(scanned)
     rows = offers.withColumn("reasons", reasons(rules))
     return rows.withColumn("valid", F.size("reasons") == 0)
 
 
 def checked_searches(searches: DataFrame) -> DataFrame:
-    """Q3."""
+    """Q3, Q4: rules are flags, so older rows with repeats or unknown values stay readable."""
     rules = {
         "name": has_text(F.col("name")) & (F.length("name") <= 200),
         "keywords": F.size("keywords") >= 1,

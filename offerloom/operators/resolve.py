@@ -1,79 +1,146 @@
-"""Duplicates across sources: candidates, pair decisions, leader clusters, edges and merges."""
+"""Duplicates across sources: candidates, pair decisions, leader clusters, edges and merges.
+
+Decisions see a listing only by its company, title, seniority and place, so listings that agree in these are one profile, and
+profiles are paired, not listings: a company with a third of all listings has as many pairs as it has different titles and
+places squared, whatever its listings. Rows come back where a result is about listings.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from offerloom.functions.text import company_key, seniority, title_key
-from offerloom.functions.values import NOT_A_COMPANY
+from offerloom.functions.text import company_key, is_company, seniority, title_key
 from offerloom.operators.places import evidence
 from offerloom.session import shared_table
 
 CONFIRMED, POSSIBLE = 0.92, 0.78
+PROFILE = ("company_key", "title_key", "rank", "location", "loc_kind", "loc_key")
+
+
+def _letters(keys: pd.Series) -> np.ndarray:
+    """How often each byte value (modulo 64) occurs in each key; at most so many letters can match between two."""
+    raw = [k.encode() for k in keys]
+    owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    value = np.frombuffer(b"".join(raw), np.uint8) & 63
+    return np.bincount(owner * 64 + value, minlength=len(raw) * 64).reshape(-1, 64)
+
 
+def _ratio(least: float):
+    @F.pandas_udf(T.DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        bound = 2 * np.minimum(_letters(left), _letters(right)).sum(1) / np.maximum(1, [len(a.encode()) + len(b.encode()) for a, b in zip(left, right, strict=True)])
+        return pd.Series([SequenceMatcher(None, a, b).ratio() if most >= least else None for a, b, most in zip(left, right, bound, strict=True)], dtype="float64")
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+    return ratio
 
 
-def title_scores(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) keys, a <= b, with their similarity; only pairs whose lengths allow POSSIBLE are compared letter by letter."""
+def title_scores(pairs: DataFrame, least: float = POSSIBLE) -> DataFrame:
+    """The distinct (a, b) keys, a <= b, whose similarity is `least` or more, with it.
+
+    Only pairs whose lengths and letters allow `least` are compared letter by letter.
+    """
     pairs = pairs.select("a", "b").distinct()
     bound = 2 * F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a") + F.length("b"), F.lit(1))
     equal = pairs.where("a = b").withColumn("score", F.lit(1.0))
-    near = pairs.where((F.col("a") != F.col("b")) & (bound >= POSSIBLE)).withColumn("score", _ratio("a", "b"))
+    near = pairs.where((F.col("a") != F.col("b")) & (bound >= least)).withColumn("score", _ratio(least)("a", "b")).where(F.col("score") >= least)
     return equal.unionByName(near)
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Add company_key, title_key and rank to listings; they are made once for each distinct text and joined back."""
+    companies = rows.select(F.col("company").alias("c")).distinct().withColumn("company_key", company_key(F.col("c")))
+    titles = rows.select(F.col("title").alias("t"), F.col("experience_level").alias("e")).distinct()
+    titles = titles.withColumns({"title_key": title_key(F.col("t")), "rank": seniority(F.col("t"), F.col("e"))})
+    rows = rows.join(companies, F.col("company").eqNullSafe(F.col("c")))
+    return rows.join(titles, F.col("title").eqNullSafe(F.col("t")) & F.col("experience_level").eqNullSafe(F.col("e"))).drop("c", "t", "e")
+
+
 def prepared(listings: DataFrame) -> DataFrame:
     """Keys that decisions need: company, title, seniority and what the location proves; placeholders for a company are left out.
 
     They are written as a table: pairs read them many times, and plans over their expressions would grow with each use.
     """
-    listings = listings.select("ord", "source", "title", "company", "location", "experience_level")
-    rows = listings.withColumns({"company_key": company_key(F.col("company")), "title_key": title_key(F.col("title")), "rank": seniority(F.col("title"), F.col("experience_level"))})
-    rows = rows.where(~F.col("company_key").rlike(f"{NOT_A_COMPANY}|^$"))
+    rows = keyed(listings.select("ord", "source", "title", "company", "location", "experience_level")).where(is_company(F.col("company_key")))
     proved = evidence(listings).withColumnsRenamed({"kind": "loc_kind", "key": "loc_key"})
-    return shared_table(rows.join(proved, rows["location"].eqNullSafe(F.col("label"))).drop("label"), "keys")
+    return shared_table(rows.join(proved, F.col("location").eqNullSafe(F.col("label"))).drop("label"), "keys")
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """The profiles of prepared listings: PROFILE, profile (the smallest ord), listings (their number), sources (in order)."""
+    found = rows.groupBy(*PROFILE).agg(F.min("ord").alias("profile"), F.count(F.lit(1)).alias("listings"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return shared_table(found, "profiles")
 
 
-def decision(score: Column) -> Column:
-    """U4's last steps for a pair of one explicit company, with compatible seniority and places (columns a_* and b_*)."""
-    place = (F.col("a_loc_kind") == "place") & (F.col("b_loc_kind") == "place")
-    return F.when(place & (score >= CONFIRMED), "confirmed").when((score >= POSSIBLE) & (score < CONFIRMED), "possible").otherwise("none")
+def decision(score: Column, left: str = "a", right: str = "b") -> Column:
+    """U4's last steps, for two profiles of one explicit company with compatible seniority and places: (kind, reasons)."""
+    place = (F.col(f"{left}_loc_kind") == "place") & (F.col(f"{right}_loc_kind") == "place")
+    said = lambda kind, *reasons: F.struct(F.lit(kind).alias("kind"), F.array(*[F.lit(r) for r in reasons]).alias("reasons"))
+    return (
+        F.when(place & (score >= CONFIRMED), said("confirmed", "entreprise_identique", "lieu_identique", "titre_confirme"))
+        .when((score >= POSSIBLE) & (score < CONFIRMED), said("possible", "entreprise_identique", "lieu_compatible", "titre_proche"))
+        .when(~place, said("none", "lieu_non_explicite"))
+        .otherwise(said("none", "titre_insuffisant"))
+    )
+
 
+def classified(score: Column) -> Column:
+    """U4 whole, X4: (kind, reasons) of any two listings (columns a_ and b_ of company_key, rank, loc_kind, loc_key), tests in their order."""
+    none = lambda reason: F.struct(F.lit("none").alias("kind"), F.array(F.lit(reason)).alias("reasons"))
+    a, b = (lambda c, x=x: F.col(f"{x}_{c}") for x in "ab")
+    both_placed = (a("loc_kind") == "place") & (b("loc_kind") == "place")
+    same = (a("loc_kind") == b("loc_kind")) & (a("loc_key") == b("loc_key"))
+    return (
+        F.when(~is_company(a("company_key")) | ~is_company(b("company_key")), none("entreprise_non_explicite"))
+        .when(a("company_key") != b("company_key"), none("entreprise_differente"))
+        .when(F.coalesce(a("rank") != b("rank"), F.lit(False)), none("seniorite_incompatible"))
+        .when((a("loc_kind") == "conflict") | (b("loc_kind") == "conflict"), none("lieux_incompatibles"))
+        .when(both_placed & ~same, none("villes_incompatibles"))
+        .when(~same & (a("loc_kind") != "unknown") & (b("loc_kind") != "unknown"), none("lieux_incompatibles"))
+        .otherwise(decision(score))
+    )
 
-def candidate_pairs(rows: DataFrame, same_place: bool = True) -> DataFrame:
-    """Pairs (a before b by ord) of one company and different sources, with compatible seniority and places.
 
-    Equal evidence meets by an equi-join on company and place; unknown places meet all of their company. `same_place` leaves the
-    second kind out.
+def candidate_pairs(found: DataFrame) -> DataFrame:
+    """Pairs of profiles (a_*, b_*; a's first listing is not after b's) of one company that decisions can join.
+
+    Their seniority is compatible, their places are equal or one is unknown (never a conflict), and they have listings of
+    different sources; a profile of several sources meets itself. Equal evidence meets by an equi-join on company and place; unknown
+    places meet all of their company. Lengths of titles are put into bands a step of which is the largest ratio
+    that POSSIBLE allows, so that only neighbouring bands meet.
     """
-    side = lambda x: rows.select(*[F.col(c).alias(f"{x}_{c}") for c in ("ord", "source", "company_key", "title_key", "rank", "loc_kind", "loc_key")])
-    a, b = side("a").where("a_loc_kind <> 'conflict'"), side("b").where("b_loc_kind <> 'conflict'")
-    company = F.col("a_company_key") == F.col("b_company_key")
-    order = (F.col("a_ord") < F.col("b_ord")) & (F.col("a_source") != F.col("b_source"))
+    step = (2 - POSSIBLE) / POSSIBLE
+    band = F.floor(F.log(F.length("title_key") + 1e-9) / float(np.log(step))).cast("int")
+    rows = found.where("loc_kind <> 'conflict'").withColumn("band", F.when(F.length("title_key") == 0, -1).otherwise(band))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in (*PROFILE, "profile", "listings", "sources", "band")]
+    a = rows.select(*side("a")).withColumn("met_band", F.explode(F.array(F.col("a_band") - 1, F.col("a_band"), F.col("a_band") + 1)))
+    b = rows.select(*side("b"))
+    company = (F.col("a_company_key") == F.col("b_company_key")) & (F.col("met_band") == F.col("b_band"))
+    several = F.size(F.array_union("a_sources", "b_sources")) > 1
+    order = (F.col("a_profile") <= F.col("b_profile")) & several
     rank = F.col("a_rank").isNull() | F.col("b_rank").isNull() | (F.col("a_rank") == F.col("b_rank"))
+    rank = rank & (2 * F.least(F.length("a_title_key"), F.length("b_title_key")) >= POSSIBLE * (F.length("a_title_key") + F.length("b_title_key")))
     equal = a.join(b, company & (F.col("a_loc_kind") == F.col("b_loc_kind")) & (F.col("a_loc_key") == F.col("b_loc_key")) & order & rank)
-    if same_place:
-        return equal
-    open_a = a.where("a_loc_kind = 'unknown'").join(b.where("b_loc_kind <> 'unknown'"), company & order & rank)
-    open_b = a.where("a_loc_kind <> 'unknown'").join(b.where("b_loc_kind = 'unknown'"), company & order & rank)
-    return equal.unionByName(open_a).unionByName(open_b)
+    unknown_a = a.where("a_loc_kind = 'unknown'").join(b.where("b_loc_kind <> 'unknown'"), company & order & rank)
+    unknown_b = a.where("a_loc_kind <> 'unknown'").join(b.where("b_loc_kind = 'unknown'"), company & order & rank)
+    return equal.unionByName(unknown_a).unionByName(unknown_b)
+
 
+def decided(pairs: DataFrame, classify: Callable[[Column], Column] = decision) -> DataFrame:
+    """The candidate pairs that `classify` does not call none: left and right profile, kind, score, reasons, and both sides.
 
-def decided(pairs: DataFrame) -> DataFrame:
-    """U4: (left, right, kind, score) of the pairs that are not `none`; titles are scored once for each distinct pair of keys."""
+    Titles are scored once for each distinct pair of keys.
+    """
     keyed = pairs.withColumns({"a": F.least("a_title_key", "b_title_key"), "b": F.greatest("a_title_key", "b_title_key")})
-    scored = keyed.join(title_scores(keyed), ["a", "b"])
-    return scored.withColumn("kind", decision(F.col("score"))).where("kind <> 'none'").select(F.col("a_ord").alias("left"), F.col("b_ord").alias("right"), "kind", "score")
+    scored = keyed.join(title_scores(keyed), ["a", "b"]).withColumn("d", classify(F.col("score"))).where("d.kind <> 'none'")
+    return scored.select(F.col("a_profile").alias("left"), F.col("b_profile").alias("right"), "d.kind", "score", "d.reasons", *[c for c in pairs.columns if c.startswith(("a_", "b_")) and not c.endswith("band")])
 
 
 def exact_blocks(rows: DataFrame) -> DataFrame:
@@ -111,14 +178,30 @@ def replay(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ord": list(owner), "keep": list(owner.values())})
 
 
-def clusters(rows: DataFrame, classes: bool = True) -> DataFrame:
-    """(ord, keep) by replaying arrivals in each block of one company and one place.
+def clusters(rows: DataFrame) -> DataFrame:
+    """(ord, keep) for each prepared listing, as arrivals in order of ord would be merged.
 
-    Confirmed pairs never leave their block, so blocks are replayed apart. Rows of one source and title in a block that come after as
-    many sources as there are can join no cluster earlier than their own, so the replay sees the block's rows as they are.
+    Confirmed pairs never leave a block of one company and one place, and in it only titles meet that are confirmed to each other.
+    A title and rank with no such partner but itself needs no walk: the k-th listing of each source joins the k-th cluster, as
+    every earlier cluster has its source already. Only what has partners is replayed, block by block. A listing without
+    a proved place stays alone.
     """
-    placed = rows.where("loc_kind = 'place'").select("company_key", "loc_key", "ord", "source", "title_key", F.col("rank").cast("double").alias("rank"))
-    return placed.groupBy("company_key", "loc_key").applyInPandas(replay, "ord long, keep long")
+    block = ["company_key", "loc_key"]
+    placed = rows.where("loc_kind = 'place'").select(*block, "ord", "source", "title_key", F.coalesce(F.col("rank").cast("double"), F.lit(-1.0)).alias("rank"))
+    units = placed.select(*block, "title_key", "rank").distinct()
+    other = units.select(*block, F.col("title_key").alias("t2"), F.col("rank").alias("r2"))
+    alike = (F.col("rank") == -1) | (F.col("r2") == -1) | (F.col("rank") == F.col("r2"))
+    met = units.join(other, block).where(alike & ((F.col("title_key") != F.col("t2")) | (F.col("rank") != F.col("r2"))))
+    met = met.withColumns({"a": F.least("title_key", "t2"), "b": F.greatest("title_key", "t2")})
+    bound = 2 * F.least(F.length("a"), F.length("b")) >= CONFIRMED * (F.length("a") + F.length("b"))
+    met = met.where(bound)
+    mixed = met.join(title_scores(met, CONFIRMED), ["a", "b"]).select(*block, "title_key", "rank").distinct().withColumn("mixed", F.lit(True))
+    marked = placed.join(mixed, [*block, "title_key", "rank"], "left")
+    unit = [*block, "title_key", "rank"]
+    at = F.row_number().over(Window.partitionBy(*unit, "source").orderBy("ord"))
+    alone = marked.where("mixed is null").withColumn("at", at).withColumn("keep", F.min("ord").over(Window.partitionBy(*unit, "at"))).select("ord", "keep")
+    walked = marked.where("mixed").withColumn("rank", F.nullif(F.col("rank"), F.lit(-1.0))).drop("mixed").groupBy(*block).applyInPandas(replay, "ord long, keep long")
+    return alone.unionByName(walked).unionByName(rows.where("loc_kind <> 'place'").select("ord", F.col("ord").alias("keep")))
 
 
 def merge_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -140,6 +223,13 @@ def merge_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     return merged.select(F.col("keep_id").alias("job_id"), "title", "viewed_at", "description", "salary.salary_min", "salary.salary_max", "skills", "details_fetched_at", "merged")
 
 
+def remap_links(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links (job_id and what it is linked with) after merges given as (job_id, keep_id): those of both, once each."""
+    others = [c for c in links.columns if c != "job_id"]
+    moved = links.join(ids, "job_id", "left").select(F.coalesce("keep_id", "job_id").alias("job_id"), *others)
+    return moved.dropDuplicates()
+
+
 def remap_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges between survivors, ordered, loops dropped, the highest score kept."""
     to = lambda side: ids.select(F.col("job_id").alias(side), F.col("keep_id").alias(f"k_{side}"))
@@ -149,13 +239,18 @@ def remap_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.groupBy("left_id", "right_id").agg(F.max(F.struct("score", "kind")).alias("e")).select("left_id", "right_id", "e.kind", "e.score")
 
 
-def maintain_edges(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
-    """The new edges; those that were there keep created_at."""
-    kept = old.select("left_id", "right_id", "created_at")
-    return new.join(kept, ["left_id", "right_id"], "left").withColumn("created_at", F.coalesce("created_at", as_of)).withColumn("updated_at", as_of)
+def possible_edges(listings: DataFrame) -> DataFrame:
+    """(left_id, right_id, kind, score, reasons) of the possible duplicates among jobs, ids in order, the highest score of a pair.
 
+    A job is a company, a place as it is written and a title; its id is made of these.
+    """
+    rows = decided(candidate_pairs(profiles(prepared(listings)))).where("kind = 'possible'")
+    a, b = (F.concat_ws("|", f"{x}_company_key", f"{x}_location", f"{x}_title_key") for x in "ab")
+    rows = rows.select(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id"), "kind", "score", "reasons").where("left_id < right_id")
+    return rows.groupBy("left_id", "right_id", "kind").agg(F.max("score").alias("score"), F.min("reasons").alias("reasons"))
 
-def arrivals(rows: DataFrame) -> DataFrame:
-    """W1's order over a scan, for callers that need an ordinal."""
-    return rows.withColumn("arrival", F.row_number().over(Window.partitionBy("run_id", "source").orderBy("query", "page", "pos")))
 
+def maintain_edges(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
+    """The new edges; those that were there keep created_at. What is no candidate any more, or no possible duplicate, is not among them."""
+    kept = old.select("left_id", "right_id", "created_at")
+    return new.join(kept, ["left_id", "right_id"], "left").withColumn("created_at", F.coalesce("created_at", as_of)).withColumn("updated_at", as_of)

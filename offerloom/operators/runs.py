@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.functions.scalars import schedule_instant
+from offerloom.functions.scalars import schedule_instant, stable_intersection
 
 
 def first_sightings(rows: DataFrame) -> DataFrame:
@@ -29,13 +29,21 @@ def page_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "source", "page").agg(F.count(F.lit(1)).alias("cards"), new.alias("new_ids"))
 
 
-def scan_verdicts(pages: DataFrame) -> DataFrame:
-    """Q1: per scan, complete unless a page lost cards or a page after the first brought no new id; `ended` is an empty last page.
+def scan_verdicts(pages: DataFrame, most_pages: int | None = None) -> DataFrame:
+    """Q1: per scan, whether it is complete: nothing is broken and its last page is an end.
 
-    pages: run_id, source, page, cards, parsed, new_ids.
+    pages: run_id, source, page, cards, parsed, new_ids and, where pages tell them, total (results in all), malformed, and
+    last (the page says that it is the last). A scan is broken if a page lost cards, is malformed, is empty although
+    the total is positive, or after the first brought no new id; or if it reached `most_pages` with a page that is no end.
     """
-    bad = (F.col("parsed") != F.col("cards")) | ((F.col("page") > 1) & (F.col("cards") > 0) & (F.col("new_ids") == 0))
-    rows = pages.groupBy("run_id", "source").agg(F.bool_or(bad).alias("broken"), (F.max_by("cards", "page") == 0).alias("ended"), F.sum("cards").alias("cards"))
+    given = lambda name, kind, default: F.coalesce(F.col(name).cast(kind), F.lit(default)) if name in pages.columns else F.lit(default)
+    empty = F.col("cards") == 0
+    end = empty | given("last", "boolean", False)
+    bad = (F.col("parsed") != F.col("cards")) | ((F.col("page") > 1) & ~empty & (F.col("new_ids") == 0)) | given("malformed", "boolean", False)
+    bad = bad | ((F.col("page") == 1) & empty & (given("total", "long", 0) > 0))
+    if most_pages is not None:
+        bad = bad | ((F.col("page") >= most_pages) & ~end)
+    rows = pages.groupBy("run_id", "source").agg(F.bool_or(bad).alias("broken"), F.max_by(end, "page").alias("ended"), F.sum("cards").alias("cards"))
     return rows.withColumn("complete", ~F.col("broken") & F.col("ended"))
 
 
@@ -51,6 +59,12 @@ def run_status(results: DataFrame, run: str = "run") -> DataFrame:
     return results.groupBy(run).agg(F.when(ok, "succeeded").when(some, "partial").otherwise("failed").alias("status"))
 
 
+def batch_status(runs: DataFrame, batch: str = "batch") -> DataFrame:
+    """Of the runs of a batch all succeeded, all failed, or partial."""
+    every = lambda status: F.bool_and(F.col("status") == status)
+    return runs.groupBy(batch).agg(F.when(every("succeeded"), "succeeded").when(every("failed"), "failed").otherwise("partial").alias("status"), F.count(F.lit(1)).alias("runs"))
+
+
 def current_state(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last event of each key; times of an unfinished state are cleared."""
     rest = [c for c in events.columns if c not in keys]
@@ -71,6 +85,13 @@ def filled_results(runs: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("run", "pos", "source", F.coalesce("own", fill).alias("status"), F.coalesce("offers_seen", F.lit(0.0)).alias("offers_seen"))
 
 
+def allowed_sources(requests: DataFrame, configured: list[str]) -> DataFrame:
+    """L3: add `unknown` (requested sources that are not configured) and `sources` (those that are, in configured order)."""
+    known = F.array(*[F.lit(x) for x in configured])
+    asked = F.col("requested_sources")
+    return requests.withColumns({"unknown": F.array_except(asked, known), "sources": stable_intersection(known, asked)})
+
+
 def retryable(filled: DataFrame) -> DataFrame:
     """U16."""
     return filled.where(F.col("status").isin("failed", "partial"))
@@ -89,6 +110,11 @@ def overdue(searches: DataFrame, completions: DataFrame, as_of: Column, hour: in
     return rows.where((F.col("due_at") <= as_of) & (F.col("completed_at").isNull() | (F.col("completed_at") < F.col("due_at"))))
 
 
+def any_overdue(due: DataFrame) -> DataFrame:
+    """One row, whether any active search is overdue."""
+    return due.agg((F.count(F.lit(1)) > 0).alias("is_due"))
+
+
 def deactivate_unseen(listings: DataFrame, attached: DataFrame, scan: DataFrame, verified: DataFrame, never: tuple[str, ...] = ("linkedin",)) -> DataFrame:
     """`active` after complete scans.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.scalars import contains_all, cutoff
 from offerloom.functions.text import filter_key
+from offerloom.operators.places import near
 
 SORTS = {"newest": "newest", "date": "newest", "date_desc": "newest", "posted_at_desc": "newest", "oldest": "oldest", "relevance": "relevance", "title": "title"}
 STATES = ("confirmed", "possible", "none", "unique", "duplicate")
@@ -163,6 +164,28 @@ def facets(jobs: DataFrame, names: tuple[str, ...] = ("contract_type", "experien
     return jobs.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The days that a search's choice of dates goes back.
+AGES = {"past_24h": 1, "past_week": 7, "past_month": 30}
+
+
+def meets_criteria(offers: DataFrame, as_of: Column, contracts: tuple[str, ...] = (), location: str | None = None, radius_km: float | None = None, date_posted: str | None = None, posted_within_days: int | None = None) -> DataFrame:
+    """the offers that a saved search takes. A radius counts from any place but France itself; days count only without a choice of
+    dates; where an age counts, undated offers do not pass."""
+    if contracts:
+        offers = offers.where(F.col("contract_type").isin(*contracts))
+    if radius_km and location and location.casefold() != "france":
+        offers = near(offers, location, radius_km)
+    days = AGES.get(date_posted) if date_posted is not None else posted_within_days
+    if days:
+        offers = offers.where(F.col("posted_at") >= as_of - F.expr(f"interval {int(days)} days"))
+    return offers
+
+
+def with_active_source(jobs: DataFrame, listings: DataFrame, sources: tuple[str, ...]) -> DataFrame:
+    """jobs with any active listing from one of the sources."""
+    return jobs.join(listings.where(F.col("active") & F.col("source").isin(*sources)).select("job_id"), "job_id", "left_semi")
+
+
 def recent(offers: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """F16: undated rows stay."""
     return offers.where(F.col("posted_at").isNull() | (F.col("posted_at") >= as_of - F.expr(f"interval {timedelta(days=days).days} days")))

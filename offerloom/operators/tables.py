@@ -118,3 +118,15 @@ def update_fields(stored: DataFrame, changes: DataFrame, key: str, fields: tuple
     new = changes.select(key, "set_fields", *[F.col(f).alias(f"n_{f}") for f in fields])
     both = stored.join(new, key, "left")
     return both.select(key, *[F.when(F.coalesce(F.array_contains("set_fields", f), F.lit(False)), F.col(f"n_{f}")).otherwise(F.col(f)).alias(f) for f in fields])
+
+
+def provenance_at(provenance: Column, group: str) -> Column:
+    """When a group of fields was fetched last; null if never."""
+    return F.try_element_at(provenance, F.lit(group))
+
+
+def with_provenance(provenance: Column, group: str, at: Column) -> Column:
+    """The map with a group's time, or without the group where the time is null."""
+    empty = F.create_map().cast("map<string,timestamp>")
+    others = F.map_filter(F.coalesce(provenance, empty), lambda k, v: k != group)
+    return F.when(at.isNull(), others).otherwise(F.map_concat(others, F.create_map(F.lit(group), at)))
