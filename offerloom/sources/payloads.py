@@ -1,17 +1,16 @@
-"""Landed result pages to offers: JSON by schemas, HTML cards by a small extractor in tasks, JSON-LD by variants."""
+"""Landed result pages to offers: JSON by schemas, JSON-LD by variants; HTML is in cards."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions.scalars import iso_timestamp, relative_date
-from offerloom.functions.text import fold, has_text, masked
+from offerloom.functions.scalars import iso_timestamp
+from offerloom.functions.text import has_text
+from offerloom.sources import cards
 
 BOARD_PAGE = "results array<struct<id string, title string, company struct<display_name string>, location struct<display_name string>, redirect_url string, description string, contract_type string, created string, salary_min double, salary_max double>>, count long"
 INDEX_PAGE = "hits array<struct<reference string, objectID string, name string, organization struct<name string, slug string>, offices array<struct<city string, country string>>, slug string, summary string, contract_type string, remote string, published_at string, salary_minimum double, salary_yearly_minimum double, salary_maximum double, experience_level_minimum double>>, nbHits long, nbPages long"
@@ -69,110 +68,6 @@ def index_offers(pages: DataFrame) -> DataFrame:
     return rows.where(has_text(F.col("external_id")) & has_text(F.col("title")) & F.col("url").isNotNull())
 
 
-class _Cards(HTMLParser):
-    """Collects attributes and text pieces of the elements under each card."""
-
-    VOID = {"br", "img", "input", "meta", "link", "hr"}
-
-    def __init__(self, marker: str):
-        super().__init__(convert_charrefs=True)
-        self.marker, self.depth, self.cards, self.open = marker, 0, [], []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = {k: v or "" for k, v in attrs}
-        if not self.depth and self.marker in own:
-            self.cards.append([])
-            self.depth = 1
-        elif self.depth and tag not in self.VOID:
-            self.depth += 1
-        if self.depth:
-            self.cards[-1].append([tag, own, ""])
-            if tag not in self.VOID:
-                self.open.append(self.cards[-1][-1])
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.depth and tag not in self.VOID:
-            self.depth -= 1
-            if self.open:
-                self.open.pop()
-
-    def handle_data(self, data: str) -> None:
-        for element in self.open:
-            element[2] += data
-
-
-#: How the parts of a card are found, by source: the attribute that marks a card, then for each part (tag, attribute, its value or None, read).
-CARD_PARTS = {
-    "linkedin": ("data-entity-urn", {"id": (None, "data-entity-urn", None, "data-entity-urn"), "title": ("h3", None, None, None), "company": ("h4", None, None, None), "location": ("span", "class", "location", None), "contract": ("span", "class", "type", None), "date": ("time", "datetime", None, "datetime"), "url": ("a", "href", None, "href")}),
-    "hellowork": ("data-id-storage-item-id", {"id": (None, "data-id-storage-item-id", None, "data-id-storage-item-id"), "title": ("input", "name", "title", "value"), "company": ("input", "name", "company", "value"), "location": (None, "data-cy", "localisationCard", None), "contract": (None, "data-cy", "contractCard", None), "date": ("time", "datetime", None, "datetime"), "url": ("a", "href", None, "href")}),
-    "francetravail": ("data-id-offre", {"id": (None, "data-id-offre", None, "data-id-offre"), "title": ("h2", None, None, None), "company": ("p", "class", "subtext", None), "contract": ("p", "class", "contrat", None), "date": ("p", "class", "date", None), "url": ("a", "href", None, "href")}),
-    "freework": ("data-job-id", {"id": (None, "data-job-id", None, "data-job-id"), "title": ("h2", None, None, None), "company": (None, "class", "company", None), "location": (None, "class", "location", None), "contract": (None, "data-contract", None, "data-contract"), "date": ("time", "datetime", None, "datetime"), "url": ("a", "href", None, "href")}),
-}
-PARTS = ("id", "title", "company", "location", "contract", "date", "url")
-
-
-def cards(pages: DataFrame, source: str) -> DataFrame:
-    """(page_id, pos, id, title, …) of the cards on landed HTML pages; what a card lacks is null."""
-    marker, parts = CARD_PARTS[source]
-
-    def find(card: list, spec: tuple | None) -> str | None:
-        if spec is None:
-            return None
-        tag, name, value, read = spec
-        for element_tag, attrs, text in card:
-            if (tag is None or element_tag == tag) and (name is None or (name in attrs and (value is None or value in attrs[name]))):
-                found = " ".join((attrs.get(read, "") if read else text).split())
-                if found:
-                    return found
-        return None
-
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page, html in zip(frame["page_id"], frame["html"], strict=True):
-                parser = _Cards(marker)
-                parser.feed(html or "")
-                rows += [(page, i, *[find(card, parts.get(p)) for p in PARTS]) for i, card in enumerate(parser.cards)]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", *PARTS])
-
-    return pages.select("page_id", "html").mapInPandas(extract, "page_id long, pos int, " + ", ".join(f"{p} string" for p in PARTS))
-
-
-#: Contract labels, in the order in which they are tried.
-LADDER = (("freelance", "freelance|independant"), ("alternance", "alternance|apprenti"), ("interim", "interim|\\bmis\\b"), ("stage", "\\bstage"), ("cdd", "\\bcdd\\b"), ("cdi", "\\bcdi\\b|temps plein"))
-
-
-def contract_of(c):
-    text = fold(c)
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(LADDER):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
-
-
-def card_offers(pages: DataFrame, source: str, as_of) -> DataFrame:
-    """Cards as offers: titles required and not masked, ids prefixed, source C's "company - place" taken apart, defaults filled."""
-    rows = cards(pages, source)
-    if source == "francetravail":
-        parts = F.split("company", " - ", 2)
-        rows = rows.withColumns({"location": F.coalesce("location", F.try_element_at(parts, F.lit(2))), "company": F.coalesce(F.nullif(parts[0], F.lit("")), F.lit("Entreprise confidentielle"))})
-    tail = F.regexp_extract("url", r"(\d+)(?:[/?].*)?$", 1)
-    own = F.coalesce(F.nullif(tail, F.lit("")), F.regexp_extract("id", r"([A-Za-z0-9_-]+)$", 1)) if source == "linkedin" else F.col("id")
-    rows = rows.where(has_text(F.col("title")) & ~masked(F.col("title")) & has_text(F.col("company")) & ~masked(F.col("company")))
-    return rows.select(
-        F.concat(F.lit(f"{source}_"), own).alias("external_id"),
-        F.lit(source).alias("source"),
-        "url",
-        "title",
-        "company",
-        F.coalesce("location", F.lit("France")).alias("location"),
-        contract_of(F.col("contract")).alias("contract_type"),
-        F.coalesce(iso_timestamp(F.col("date")), relative_date(F.col("date"), as_of)).alias("posted_at"),
-        "page_id",
-        "pos",
-    )
-
-
 def json_ld(pages: DataFrame, body: str = "html") -> DataFrame:
     """(page_id, posting variant) of the JobPosting objects in ld+json blocks, at the top, in a list or in @graph."""
     blocks = F.regexp_extract_all(body, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
@@ -204,8 +99,13 @@ def details(postings: DataFrame) -> DataFrame:
 
 
 #: A parser for each source, from its landed pages to offers.
-PARSERS: dict[str, Callable[..., DataFrame]] = {"adzuna": lambda pages, as_of: board_offers(pages), "wttj": lambda pages, as_of: index_offers(pages)} | {
-    s: lambda pages, as_of, s=s: card_offers(pages, s, as_of) for s in CARD_PARTS
+PARSERS: dict[str, Callable[..., DataFrame]] = {
+    "linkedin": cards.card_offers_a,
+    "hellowork": cards.card_offers_b,
+    "francetravail": cards.card_offers_c,
+    "wttj": lambda pages, as_of: index_offers(pages),
+    "adzuna": lambda pages, as_of: board_offers(pages),
+    "freework": lambda pages, as_of: cards.card_offers_d(pages),
 }
 
 
