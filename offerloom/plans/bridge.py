@@ -53,12 +53,17 @@ def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings: the dimensions are joined as Spark's statistics decide; only used columns are read."""
-    line, part, supplier, orders, customer = (star(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "orders", "customer"))
+def offers(spark: SparkSession, sf_dir: str, searches: bool = False) -> DataFrame:
+    """Sightings: the dimensions are joined as Spark's statistics decide; only used columns are read.
+
+    search_name needs two large joins, which are left out unless `searches` asks for it; each line has an order and a customer.
+    """
+    line, part, supplier = (star(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(*[F.expr(e).alias(n) for n, e in OFFER.items()])
+    if searches:
+        orders, customer = (star(spark, sf_dir, t) for t in ("orders", "customer"))
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(*[F.expr(e).alias(n) for n, e in OFFER.items() if searches or n != "search_name"])
 
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -71,7 +76,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).select("search_name", "source", "external_id", "ord").distinct()
+    return offers(spark, sf_dir, searches=True).select("search_name", "source", "external_id", "ord").distinct()
 
 
 #: Outcomes of scans, from `events`: one per run and source, the last event decides.

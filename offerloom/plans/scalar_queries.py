@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import scalars as S
 from offerloom.functions import text as T
-from offerloom.functions.values import CONTRACT_LABELS, LEGAL_FORMS, NOT_A_COMPANY, RANK, SENIORITY_WORDS, SOURCE_LABELS
+from offerloom.functions.values import CONTRACT_LABELS, DEPARTMENTS, LEGAL_FORMS, NOT_A_COMPANY, RANK, SENIORITY_WORDS, SOURCE_LABELS
 from offerloom.operators import places as P
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, as_of, listings, offers, star
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-DEPARTMENT = T.DEPARTMENT
+DEPARTMENT = "(?:" + "|".join(DEPARTMENTS) + ")"
+DISTRICT = "^(" + "|".join(P.DISTRICTS) + f") ([0-9]{{1,2}})(er|e|eme)?( arrondissement)?( {DEPARTMENT})?$"
 FORMS = "|".join(sorted(LEGAL_FORMS, key=len, reverse=True))
 
 
@@ -60,13 +61,13 @@ def sql_filter_key(e: str) -> str:
 
 def sql_city(e: str) -> str:
     plain = sql_squeeze(sql_no_country(sql_fold(e)))
-    part = lambda i: f"regexp_extract({plain}, {quoted(P.CITY_NUMBER)}, {i})"
+    part = lambda i: f"regexp_extract({plain}, {quoted(DISTRICT)}, {i})"
     own = " OR ".join(f"({part(1)} = '{c}' AND try_cast({part(2)} AS INT) = {d[1]})" for c, d in P.DISTRICTS.items())
     return f"CASE WHEN {part(1)} = '' THEN {sql_location(e)} WHEN {part(3)} = '' AND {part(4)} = '' AND {part(5)} = '' AND ({own}) THEN {part(1)} ELSE concat({part(1)}, ' ', try_cast({part(2)} AS INT)) END"
 
 
 def sql_municipality(e: str) -> str:
-    part = lambda i: f"regexp_extract({e}, {quoted(P.CITY_NUMBER)}, {i})"
+    part = lambda i: f"regexp_extract({e}, {quoted(DISTRICT)}, {i})"
     ok = " OR ".join(f"({part(1)} = '{c}' AND try_cast({part(2)} AS INT) BETWEEN 1 AND {d[0]})" for c, d in P.DISTRICTS.items())
     return f"CASE WHEN {ok} THEN {part(1)} ELSE {e} END"
 
@@ -92,12 +93,11 @@ for _name, _column, _make, _sql in (
     ("t08_slug", "location", T.slug, lambda e: f"trim(regexp_replace({sql_fold(e)}, '[^a-z0-9]+', '-', 'g'), '-')"),
     ("t09_city_key", "location", P.city_key, sql_city),
     ("t10_municipality", "location", lambda c: P.municipality(P.city_key(c)), lambda e: sql_municipality(f"({sql_city(e)})")),
-    ("t14_explicit_company", "company", T.explicit_company, lambda e: f"length({sql_key(e)}) > 0 AND NOT regexp_matches({sql_key(e)}, {quoted(NOT_A_COMPANY)})"),
+    ("t14_explicit_company", "company", T.explicit_company, lambda e: f"{sql_key(e)} NOT IN ({', '.join(map(quoted, ('', *NOT_A_COMPANY)))})"),
     ("t16_masked", "title", T.masked, lambda e: f"length({e}) = 0 OR length(regexp_replace({e}, '[^*]', '', 'g')) > 0.3 * length({e})"),
     ("t18_has_text", "title", T.has_text, lambda e: f"length(trim({e})) > 0"),
     ("t23_source_label", "source", T.source_label, lambda e: f"coalesce({sql_map(f'lower(trim({e}))', SOURCE_LABELS)}, trim({e}))"),
     ("t23_contract_label", "contract_type", T.contract_label, lambda e: f"coalesce({sql_map(f'lower(trim({e}))', CONTRACT_LABELS)}, trim({e}))"),
-    ("x1_contract_family", "contract_type", lambda c: F.when(c == "cdi", "permanent").when(c == "cdd", "contract"), lambda e: f"CASE {e} WHEN 'cdi' THEN 'permanent' WHEN 'cdd' THEN 'contract' END"),
 ):
     QUERIES[_name], ORACLES[_name] = keyed(_column, _make, _sql)
 
@@ -107,11 +107,6 @@ def t05(spark, sf_dir):
     return offers(spark, sf_dir).groupBy(T.without_legal_form(T.squeeze(T.fold(F.col("company")))).alias("k")).agg(F.count_distinct("company").alias("n"))
 
 
-@query("t11_location_evidence")
-def t11(spark, sf_dir):
-    return P.evidence(offers(spark, sf_dir))
-
-
 @query("t13_non_city", WITH_OFFERS + f"SELECT DISTINCT location AS label, {sql_location('location')} AS key FROM offers WHERE {sql_location('location')} IN ('france', 'ile de france')")
 def t13(spark, sf_dir):
     rows = P.evidence(offers(spark, sf_dir)).where("kind = 'non_city'")
@@ -129,22 +124,27 @@ def t15(spark, sf_dir):
 
 @query("t17_title_similarity")
 def t17(spark, sf_dir):
-    from offerloom.operators.resolve import title_scores
+    """All pairs of titles that POSSIBLE lets be compared; SQL has no such similarity."""
+    from offerloom.operators import resolve as D
+
+    pairs = D.candidate_pairs(D.profiles(D.prepared(listings(spark, sf_dir))))
+    return D.title_scores(pairs.select(F.least("a_title_key", "b_title_key").alias("a"), F.greatest("a_title_key", "b_title_key").alias("b")))
 
-    keys = listings(spark, sf_dir).select(T.title_key(F.col("title")).alias("k"), T.company_key(F.col("company")).alias("c")).distinct()
-    other = keys.withColumnRenamed("k", "k2")
-    pairs = keys.join(other, "c").where("k <= k2").select(F.col("k").alias("a"), F.col("k2").alias("b"))
-    return title_scores(pairs)
 
+_BLOCKS = r"regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', '', 'gis'), '<style\b.*?</style\s*>', '', 'gis'), '<br\s*/?>|</(p|div|li|ul|ol|h[1-6]|tr|section|article)\s*>', chr(10), 'gi')"
+_ENTITIES = f"regexp_replace({_BLOCKS}, '<[^>]*>', '', 'g')"
+for _name, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _ENTITIES = f"replace({_ENTITIES}, '{_name}', '{_sign}')"
 
-@query("t19_rich_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM pages")
+
+@query("t19_rich_text", rf"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_ENTITIES}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM pages")
 def t19(spark, sf_dir):
-    return star(spark, sf_dir, "pages").select("page_id", T.one_line(F.col("html")).alias("line"))
+    return star(spark, sf_dir, "pages").select("page_id", T.rich_text(F.col("html")).alias("text"))
 
 
-@query("t20_rich_text_blocks")
+@query("t20_one_line", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM pages")
 def t20(spark, sf_dir):
-    return star(spark, sf_dir, "pages").select("page_id", T.rich_text(F.col("html")).alias("text"))
+    return star(spark, sf_dir, "pages").select("page_id", T.one_line(F.col("html")).alias("line"))
 
 
 @query("t21_text_lines", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0), chr(10)) AS lines FROM documents")
@@ -152,10 +152,33 @@ def t21(spark, sf_dir):
     return star(spark, sf_dir, "documents").select("doc_id", T.text_lines(F.col("text")).alias("lines"))
 
 
-@query("t24_external_id", WITH_OFFERS + "SELECT source, count(DISTINCT concat(source, '_', external_id)) AS ids, min(concat(source, '_', external_id)) AS least FROM offers GROUP BY 1")
+@query("t24_external_id", WITH_OFFERS + "SELECT source, external_id, CASE WHEN source = 'linkedin' THEN external_id ELSE concat(source, '_', external_id) END AS bare FROM offers")
 def t24(spark, sf_dir):
-    rows = offers(spark, sf_dir).select("source", F.concat_ws("_", "source", "external_id").alias("id"))
-    return rows.groupBy("source").agg(F.count_distinct("id").alias("ids"), F.min("id").alias("least"))
+    tagged = F.concat_ws("_", "source", "external_id")
+    return offers(spark, sf_dir).select("source", "external_id", T.without_prefix(tagged, "linkedin_").alias("bare"))
+
+
+_SAID = ("Contrat CDI, temps plein", "CDD de 6 mois", "Stage", "Contrat d'apprentissage", "Intérim / MIS", "Freelance ou indépendant", "VIE")
+_MEANT = ("cdi", "cdd", "stage", "alternance", "interim", "freelance", None)
+
+
+@query("x1_worded_contract", "SELECT contract, family, count(*) AS n FROM (SELECT " + " ".join(f"{'CASE' if not i else ''} WHEN o_orderkey % 7 = {i} THEN {quoted(x)}" for i, x in enumerate(_SAID)) + " END AS contract, " + " ".join(f"{'CASE' if not i else ''} WHEN o_orderkey % 7 = {i} THEN {quoted(x) if x else 'NULL'}" for i, x in enumerate(_MEANT)) + " END AS family FROM orders) GROUP BY ALL")
+def x1(spark, sf_dir):
+    from offerloom.sources.cards import worded_contract
+
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    rows = star(spark, sf_dir, "orders").select(said.alias("contract"))
+    return rows.groupBy("contract", worded_contract(F.col("contract")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Texts that reach each branch, made of the rows: T14, T16 and T18 of titles and companies that are often none.
+_ODD = "CASE c_custkey % 8 WHEN 0 THEN 'Confidentiel' WHEN 1 THEN 'Non communiqué' WHEN 2 THEN '***' WHEN 3 THEN concat('****', left(c_name, 6)) WHEN 4 THEN '   ' WHEN 5 THEN 'Entreprise générique' WHEN 6 THEN NULL ELSE c_name END"
+
+
+@query("t14_placeholders", f"SELECT c_custkey, c_custkey % 8 IN (3, 7) AS company, CASE WHEN c_custkey % 8 = 6 THEN true ELSE c_custkey % 8 IN (2, 3) END AS masked, coalesce(length(trim({_ODD})) > 0, false) AS told FROM customer")
+def t14(spark, sf_dir):
+    rows = star(spark, sf_dir, "customer").select("c_custkey", F.expr(_ODD).alias("odd"))
+    return rows.select("c_custkey", F.coalesce(T.explicit_company(F.col("odd")), F.lit(False)).alias("company"), T.masked(F.col("odd")).alias("masked"), T.has_text(F.col("odd")).alias("told"))
 
 
 @query("t25_clean_external_id", WITH_OFFERS + r"SELECT external_id AS raw, CASE WHEN regexp_matches(external_id, '^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$') THEN external_id END AS id FROM offers WHERE source = 'freework'")
@@ -275,7 +298,8 @@ def a4(spark, sf_dir):
     return rows.groupBy("skill_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j4_event_json", "SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
-def j4(spark, sf_dir):
-    k = F.from_json("props", "k long")["k"]
-    return star(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
+@query("p5_salary_label", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(format('{:,}', round(p_retailprice)::BIGINT), ' - ', format('{:,}', round(p_retailprice * 2)::BIGINT), ' EUR') WHEN 1 THEN concat('from ', format('{:,}', round(p_retailprice)::BIGINT), ' EUR') WHEN 2 THEN concat('up to ', format('{:,}', round(p_retailprice * 2)::BIGINT), ' EUR') END AS label FROM part")
+def p5(spark, sf_dir):
+    kind = F.col("p_partkey") % 4
+    low, high = F.when(kind.isin(0, 1, 3), F.round("p_retailprice")), F.when(kind.isin(0, 2, 3), F.round(F.col("p_retailprice") * 2))
+    return star(spark, sf_dir, "part").select("p_partkey", S.salary_label(low, high, F.when(kind == 3, "euro").otherwise("EUR")).alias("label"))

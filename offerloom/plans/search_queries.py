@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions import text as T
 from offerloom.functions.scalars import EARTH_KM
 from offerloom.functions.values import CITIES
 from offerloom.operators import places as P
+from offerloom.operators import resolve as D
 from offerloom.operators import search as Q
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, as_of, listings, offers, search_listings, star
 from offerloom.plans.scalar_queries import quoted, sql_city, sql_filter_key, sql_key, sql_municipality
+from offerloom.session import shared_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,11 +42,11 @@ def _filter(name: str, sql: str, **asked) -> None:
     QUERIES[name], ORACLES[name] = run, WITH_LISTINGS + f"SELECT {ROW} FROM listings WHERE {sql}"
 
 
-@query("m0_newest_page", WITH_LISTINGS + f"SELECT {ROW} FROM listings WHERE contract_type = 'cdi' AND posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND {sql_municipality(f'({sql_city('location')})')} = 'paris' ORDER BY posted_at DESC, ord DESC LIMIT 24")
+@query("m0_newest_page", WITH_LISTINGS + f"SELECT {ROW} FROM listings WHERE contract_type = 'cdi' AND {sql_municipality(f'({sql_city('location')})')} = 'paris' ORDER BY posted_at DESC NULLS LAST, ord DESC LIMIT 24")
 def m0(spark, sf_dir):
-    asked = Q.JobQuery(contracts=("cdi",), period="7d")
+    asked = Q.JobQuery(contracts=("cdi",))
     rows = Q.matching(jobs(spark, sf_dir), asked, as_of())
-    return Q.page(rows.where(P.municipality(P.city_key(F.col("location"))) == "paris"), asked).select(*COLUMNS)
+    return Q.page(P.in_places(rows, ["paris"], labels=offers(spark, sf_dir)), asked).select(*COLUMNS)
 
 
 _filter("f3_posted_since", f"posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY", period="3d")
@@ -79,7 +80,7 @@ _IN_PARIS = f"{sql_municipality(f'({sql_city('location')})')} IN ('paris', 'boul
 
 @query("f5_locations", WITH_LISTINGS + f"SELECT {ROW} FROM listings WHERE {_IN_PARIS} OR {sql_city('location')} = 'nantes'")
 def f5(spark, sf_dir):
-    return P.metropole_match(jobs(spark, sf_dir), ["Paris", "Nantes (44)"], P.areas(spark)).select(*COLUMNS)
+    return P.metropole_match(jobs(spark, sf_dir), ["Paris", "Nantes (44)"], P.areas(spark), labels=offers(spark, sf_dir)).select(*COLUMNS)
 
 
 @query("b5_metropole", WITH_OFFERS + f"SELECT location, count(*) AS n FROM offers WHERE {sql_municipality(f'({sql_city('location')})')} IN ('lyon', 'villeurbanne') GROUP BY 1")
@@ -87,9 +88,9 @@ def b5(spark, sf_dir):
     return P.metropole_match(offers(spark, sf_dir), ["Lyon"], P.areas(spark)).groupBy("location").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CITY = " UNION ALL ".join(f"SELECT {i} AS ord, {quoted(c)} AS city, {lat} AS lat, {lon} AS lon" for i, (c, (lat, lon)) in enumerate(CITIES.items()))
+_CITY = " UNION ALL ".join(f"SELECT {i} AS ord, {quoted(c)} AS city, {lat}::DOUBLE AS lat, {lon}::DOUBLE AS lon" for i, (c, (lat, lon)) in enumerate(CITIES.items()))
 _SLUG = "regexp_replace(strip_accents(lower(location)), '[^a-z0-9]+', '-', 'g')"
-_LOCATED = f"places AS (SELECT DISTINCT location FROM offers), located AS (SELECT location, min_by(lat, ord) AS lat, min_by(lon, ord) AS lon FROM places JOIN ({_CITY}) ON contains(concat('-', trim({_SLUG}, '-'), '-'), concat('-', replace(city, ' ', '-'), '-')) GROUP BY 1)"
+_LOCATED = f"places AS (SELECT DISTINCT location FROM offers), located AS (SELECT location, min_by(lat, ord) AS lat, min_by(lon, ord) AS lon FROM places JOIN ({_CITY}) ON contains(concat('-', trim({_SLUG}, '-'), '-'), concat('-', replace(strip_accents(city), ' ', '-'), '-')) GROUP BY 1)"
 _KM = f"2 * {EARTH_KM} * atan2(sqrt(a), sqrt(1 - a))"
 
 
@@ -99,21 +100,25 @@ def b6(spark, sf_dir):
     return rows.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("km"), 6).alias("km"))
 
 
-@query("b7_geocode", WITH_OFFERS + f", {_LOCATED} SELECT location AS label, lat, lon FROM located")
+_HELD = f"SELECT location AS label, min_by(lat, ord) AS lat, min_by(lon, ord) AS lon FROM (SELECT DISTINCT location FROM offers) JOIN ({_CITY}) ON contains(lower(trim(location)), city) OR contains(city, lower(trim(location))) GROUP BY 1"
+
+
+@query("b7_geocode", WITH_OFFERS + _HELD)
 def b7(spark, sf_dir):
-    return P.located(offers(spark, sf_dir))
+    return P.geocoded(offers(spark, sf_dir))
 
 
-@query("m1_haversine", f"SELECT city, round({_KM}, 6) AS km FROM (SELECT city, power(sin(radians(lat - 48.8566) / 2), 2) + cos(radians(48.8566)) * cos(radians(lat)) * power(sin(radians(lon - 2.3522) / 2), 2) AS a FROM ({_CITY}) WHERE EXISTS (SELECT 1 FROM lineitem))")
+@query("m1_haversine", WITH_OFFERS + f", {_LOCATED}, far AS (SELECT location, power(sin(radians(lat - 48.8566) / 2), 2) + cos(radians(48.8566)) * cos(radians(lat)) * power(sin(radians(lon - 2.3522) / 2), 2) AS a FROM located) SELECT source, external_id, round({_KM}, 6) AS km FROM offers JOIN far USING (location)")
 def m1(spark, sf_dir):
-    used = star(spark, sf_dir, "lineitem").limit(1).select(F.lit(1).alias("one"))
-    rows = P.city_coordinates(spark).join(F.broadcast(used))
-    return rows.select("city", F.round(P.haversine_km(F.lit(48.8566), F.lit(2.3522), F.col("lat"), F.col("lon")), 6).alias("km"))
+    rows = offers(spark, sf_dir).select("source", "external_id", "location")
+    found = rows.join(P.located(rows), F.col("location") == F.col("label"))
+    return found.select("source", "external_id", F.round(P.haversine_km(F.lit(48.8566), F.lit(2.3522), F.col("lat"), F.col("lon")), 6).alias("km"))
 
 
-@query("f11_active_source", WITH_LISTINGS + f"SELECT {ROW} FROM listings WHERE active AND source IN ('wttj', 'adzuna')")
+@query("f11_active_source", WITH_LISTINGS + "SELECT DISTINCT ord // 10 AS job_id FROM listings l WHERE EXISTS (SELECT 1 FROM listings o WHERE o.ord // 10 = l.ord // 10 AND o.active AND o.source IN ('wttj', 'adzuna'))")
 def f11(spark, sf_dir):
-    return jobs(spark, sf_dir).where("active and source in ('wttj', 'adzuna')").select(*COLUMNS)
+    links = listings(spark, sf_dir).select(F.floor(F.col("ord") / 10).alias("job_id"), "source", "active")
+    return Q.with_active_source(links.select("job_id").distinct(), links, ("wttj", "adzuna"))
 
 
 @query("f16_recency", WITH_OFFERS + f"SELECT source, count(*) AS n FROM offers WHERE posted_at IS NULL OR posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1")
@@ -161,20 +166,12 @@ _CANON = f"canon AS (SELECT *, concat({sql_key('company')}, '|', location, '|',
 
 
 def canonical(spark, sf_dir):
-    key = F.concat_ws("|", T.company_key(F.col("company")), F.col("location"), T.title_key(F.col("title")))
-    return listings(spark, sf_dir).withColumn("job_id", key)
-
+    """Listings with their job_id, written once: what is asked of jobs reads them several times."""
+    rows = D.keyed(listings(spark, sf_dir)).withColumn("job_id", F.concat_ws("|", "company_key", "location", "title_key"))
+    return shared_table(rows.select("job_id", "ord", "source", "url", "active", "title", "company", "location", "experience_level"), "jobs")
 
-def possible_edges(spark, sf_dir):
-    """Edges between jobs of one company with neighbouring brands, to have some."""
-    rows = canonical(spark, sf_dir).groupBy("job_id").agg(F.min("ord").alias("ord"), F.min("skill_brand").alias("brand"))
-    other = rows.select(F.col("job_id").alias("right_id"), F.col("ord").alias("o2"))
-    pairs = rows.where("ord % 50 = 1").join(other, F.col("ord") + 1 == F.col("o2"))
-    return pairs.select(F.least("job_id", "right_id").alias("left_id"), F.greatest("job_id", "right_id").alias("right_id"), F.lit("possible").alias("kind"), F.lit(0.8).alias("score"), F.array(F.lit("titre_proche")).alias("reasons"))
 
-
-_FIRST = "firsts AS (SELECT job_id, min(ord) AS ord FROM canon GROUP BY 1), edges AS (SELECT least(a.job_id, b.job_id) AS left_id, greatest(a.job_id, b.job_id) AS right_id FROM firsts a JOIN firsts b ON a.ord + 1 = b.ord WHERE a.ord % 50 = 1)"
-_WITH = WITH_LISTINGS.rstrip() + f", {_CANON}, {_FIRST} "
+_WITH = WITH_LISTINGS.rstrip() + f", {_CANON} "
 
 
 @query("g1_confirmed", _WITH + "SELECT job_id FROM canon GROUP BY 1 HAVING count(*) > 1")
@@ -182,9 +179,11 @@ def g1(spark, sf_dir):
     return Q.confirmed_jobs(canonical(spark, sf_dir))
 
 
-@query("g2_possible", _WITH + "SELECT job_id FROM (SELECT left_id AS job_id FROM edges UNION SELECT right_id FROM edges) WHERE job_id NOT IN (SELECT job_id FROM canon GROUP BY 1 HAVING count(*) > 1)")
+# SQL has no title similarity: what rests on possible duplicates is held against brute force in tests.
+@query("g2_possible")
 def g2(spark, sf_dir):
-    return Q.possible_jobs(possible_edges(spark, sf_dir), Q.confirmed_jobs(canonical(spark, sf_dir)))
+    rows = canonical(spark, sf_dir)
+    return Q.possible_jobs(D.possible_edges(rows), Q.confirmed_jobs(rows))
 
 
 @query("g3_sources", _WITH + "SELECT job_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM canon WHERE active GROUP BY 1")
@@ -192,37 +191,39 @@ def g3(spark, sf_dir):
     return canonical(spark, sf_dir).where("active").groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-_STATE = "states AS (SELECT f.job_id, CASE WHEN n > 1 THEN 'confirmed' WHEN p.job_id IS NOT NULL THEN 'possible' ELSE 'none' END AS duplicate_state FROM (SELECT job_id, count(*) AS n FROM canon GROUP BY 1) f LEFT JOIN (SELECT left_id AS job_id FROM edges UNION SELECT right_id FROM edges) p ON f.job_id = p.job_id)"
-
-
-@query("g4_duplicate_state", _WITH.rstrip() + f", {_STATE} SELECT * FROM states")
+@query("g4_duplicate_state")
 def g4(spark, sf_dir):
     links = canonical(spark, sf_dir)
-    return Q.with_state(links.select("job_id").distinct(), links, possible_edges(spark, sf_dir))
+    return Q.with_state(links.select("job_id").distinct(), links, D.possible_edges(links))
 
 
-@query("f13_state_filter", _WITH.rstrip() + f", {_STATE} SELECT * FROM states WHERE duplicate_state <> 'none'")
+@query("f13_state_filter")
 def f13(spark, sf_dir):
     return Q.in_state(g4(spark, sf_dir), "duplicate")
 
 
-@query("g5_cards", _WITH + "SELECT job_id, count(*) AS n_sources, array_to_string(list(source ORDER BY ord), ',') AS sources FROM canon GROUP BY 1")
+@query("g5_cards")
 def g5(spark, sf_dir):
     links = canonical(spark, sf_dir)
     shown = links.groupBy("job_id").agg(F.min_by("title", "ord").alias("title"), F.min_by("company", "ord").alias("company"), F.min_by("location", "ord").alias("location"))
-    rows = Q.cards(shown, links, possible_edges(spark, sf_dir))
+    return Q.cards(shown, links, shared_table(D.possible_edges(links), "edges"))
+
+
+@query("g5_card_sources", _WITH + "SELECT job_id, count(*) AS n_sources, array_to_string(list(source ORDER BY ord), ',') AS sources FROM canon GROUP BY 1")
+def g5_sources(spark, sf_dir):
+    links = canonical(spark, sf_dir)
+    none = spark.createDataFrame([], "left_id string, right_id string, score double, reasons array<string>")
+    rows = Q.cards(links.groupBy("job_id").agg(F.min("title").alias("title"), F.min("company").alias("company"), F.min("location").alias("location")), links, none)
     return rows.select("job_id", F.size("sources").cast("bigint").alias("n_sources"), F.array_join(F.transform("sources", lambda s: s["source"]), ",").alias("sources"))
 
 
-@query("b8_possible_pairs", _WITH + "SELECT left_id AS job_id, right_id AS other FROM edges UNION ALL SELECT right_id, left_id FROM edges")
+@query("b8_possible_pairs")
 def b8(spark, sf_dir):
-    e = possible_edges(spark, sf_dir)
-    return e.select(F.col("left_id").alias("job_id"), F.col("right_id").alias("other")).unionByName(e.select(F.col("right_id").alias("job_id"), F.col("left_id").alias("other")))
+    e = shared_table(D.possible_edges(canonical(spark, sf_dir)), "edges")
+    return e.select(F.col("left_id").alias("job_id"), F.col("right_id").alias("other"), "score").unionByName(e.select(F.col("right_id").alias("job_id"), F.col("left_id").alias("other"), "score"))
 
 
 @query("b4_listing_jobs", WITH_LISTINGS + "SELECT s.search_name, count(*) AS n, count(*) FILTER (l.active) AS active FROM search_listings s JOIN listings l USING (source, external_id) GROUP BY 1")
 def b4(spark, sf_dir):
     rows = search_listings(spark, sf_dir).join(listings(spark, sf_dir).select("source", "external_id", "active"), ["source", "external_id"])
     return rows.groupBy("search_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("active").alias("active"))
-
-

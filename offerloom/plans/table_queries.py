@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from offerloom.functions.values import RANK, SENIORITY_WORDS, SOURCES
 from offerloom.operators import quality as K
 from offerloom.operators import resolve as D
 from offerloom.operators import runs as R
 from offerloom.operators import tables as U
+from offerloom.operators.places import evidence
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, WITH_SYNCS, as_of, listings, offers, search_listings, star, sync_events, sync_results
 from offerloom.plans.scalar_queries import quoted, sql_key, sql_location, sql_map
-from offerloom.functions.values import RANK, SENIORITY_WORDS, SOURCES
+from offerloom.session import shared_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,17 +50,17 @@ def _facts(rows):
     return rows.select(F.expr("concat(source, ':', external_id)").alias("job_id"), "title", "company", "location", "contract_type", "experience_level", "remote", "posted_at", F.lit(None).cast("string").alias("description"), F.when(F.col("tie") % 3 == 0, F.col("salary_min")).alias("salary_min"), F.col("salary_max"), F.when(F.col("tie") % 2 == 0, F.lit("EUR")).alias("salary_currency"), F.array("skill_type", "skill_brand").alias("skills"), F.array().cast("array<string>").alias("benefits"))
 
 
-@query("u2_refresh_job", WITH_LISTINGS + "SELECT concat(source, ':', external_id) AS job_id, title, remote, CASE WHEN tie % 3 = 0 THEN salary_min ELSE salary_min END AS salary_min, CASE WHEN tie % 2 = 0 AND ((tie % 3 = 0 AND salary_min IS NOT NULL) OR salary_max IS NOT NULL) THEN 'EUR' ELSE 'GBP' END AS salary_currency FROM listings")
+@query("u2_refresh_job", WITH_LISTINGS + "SELECT concat(source, ':', external_id) AS job_id, title, remote, CASE WHEN tie % 3 = 0 AND salary_min IS NOT NULL THEN salary_min ELSE 1.0 END AS salary_min, CASE WHEN salary_max IS NOT NULL THEN salary_max ELSE 2.0 END AS salary_max, CASE WHEN tie % 2 = 0 AND ((tie % 3 = 0 AND salary_min IS NOT NULL) OR salary_max IS NOT NULL) THEN 'EUR' ELSE 'GBP' END AS salary_currency FROM listings")
 def u2(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    old = _facts(rows).withColumns({"title": F.lit("old"), "salary_currency": F.lit("GBP")})
-    old = old.drop("salary_min").join(rows.select(F.expr("concat(source, ':', external_id)").alias("job_id"), "salary_min"), "job_id")
-    return U.refresh_job(old, _facts(rows)).select("job_id", "title", "remote", "salary_min", "salary_currency")
+    """Jobs with a salary of 1 to 2 GBP, seen again with what each listing tells: a bound that is missing keeps the old one."""
+    rows = _facts(listings(spark, sf_dir))
+    old = rows.withColumns({"title": F.lit("old"), "salary_min": F.lit(1.0), "salary_max": F.lit(2.0), "salary_currency": F.lit("GBP")})
+    return U.refresh_job(old, rows).select("job_id", "title", "remote", "salary_min", "salary_max", "salary_currency")
 
 
 @query("u3_attach_searches", WITH_OFFERS + "SELECT search_name AS search_id, concat(source, ':', external_id) AS job_id, min(seen_at) AS created_at FROM offers GROUP BY ALL")
 def u3(spark, sf_dir):
-    rows = offers(spark, sf_dir).select(F.col("search_name").alias("search_id"), F.expr("concat(source, ':', external_id)").alias("job_id"), F.col("seen_at").alias("created_at"), "tie")
+    rows = offers(spark, sf_dir, searches=True).select(F.col("search_name").alias("search_id"), F.expr("concat(source, ':', external_id)").alias("job_id"), F.col("seen_at").alias("created_at"), "tie")
     return U.attach_searches(rows.where("tie % 2 = 0").drop("tie"), rows.where("tie % 2 = 1").drop("tie"))
 
 
@@ -121,16 +123,42 @@ def u4(spark, sf_dir):
     return D.exact_blocks(D.prepared(listings(spark, sf_dir)))
 
 
-@query("b1_candidates", WITH_LISTINGS.rstrip() + f", told AS (SELECT title, experience_level, greatest(max(r), {sql_map('experience_level', RANK)}) AS r FROM (SELECT title, experience_level, unnest(string_split({sql_key('title')}, ' ')) AS w FROM (SELECT DISTINCT title, experience_level FROM listings)) LEFT JOIN ({_WORDS}) USING (w) GROUP BY title, experience_level), k AS (SELECT l.source, ord, {sql_key('company')} AS c, {_PLACE} AS p, r FROM listings l JOIN told t ON l.title = t.title AND l.experience_level IS NOT DISTINCT FROM t.experience_level WHERE location IN ('Paris (75)', 'Lyon 7e - 69', 'Villeurbanne', 'Paris / télétravail', 'Marseille, France', 'Boulogne-Billancourt - 92', 'Nantes', 'Lyon')) SELECT a.c AS company_key, a.p AS loc_key, count(*) AS pairs FROM k a JOIN k b ON a.c = b.c AND a.p = b.p AND a.ord < b.ord AND a.source <> b.source AND (a.r IS NULL OR b.r IS NULL OR a.r = b.r) GROUP BY ALL")
+_KIND = "CASE WHEN location IN ('Télétravail', 'Non spécifié') THEN 'unknown' WHEN location IN ('Île-de-France', 'France') THEN 'non_city' ELSE 'place' END"
+_KEY = f"CASE WHEN location IN ('Télétravail', 'Non spécifié') THEN '' ELSE {_PLACE} END"
+_PROFILES = (
+    f"told AS (SELECT title, experience_level, greatest(max(r), {sql_map('experience_level', RANK)}) AS r FROM (SELECT title, experience_level, unnest(string_split({sql_key('title')}, ' ')) AS w FROM (SELECT DISTINCT title, experience_level FROM listings)) LEFT JOIN ({_WORDS}) USING (w) GROUP BY title, experience_level), "
+    f"k AS (SELECT l.source, ord, {sql_key('company')} AS c, {sql_key('l.title')} AS t, location, {_KIND} AS kind, {_KEY} AS p, r FROM listings l JOIN told t ON l.title = t.title AND l.experience_level IS NOT DISTINCT FROM t.experience_level), "
+    "profiles AS (SELECT c, t, r, location, kind, p, min(ord) AS profile, count(*) AS n, list_distinct(list(source)) AS s FROM k GROUP BY ALL)"
+)
+
+
+@query("t11_location_evidence", WITH_LISTINGS + f"SELECT DISTINCT location AS label, {_KIND} AS kind, {_KEY} AS key FROM offers")
+def t11(spark, sf_dir):
+    return evidence(offers(spark, sf_dir))
+
+
+@query("u4_profiles", WITH_LISTINGS.rstrip() + f", {_PROFILES} SELECT c AS company_key, t AS title_key, r AS rank, location, kind AS loc_kind, p AS loc_key, profile, n AS listings, array_to_string(list_sort(s), ',') AS sources FROM profiles")
+def u4_profiles(spark, sf_dir):
+    return D.profiles(D.prepared(listings(spark, sf_dir))).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("b1_candidates", WITH_LISTINGS.rstrip() + f", {_PROFILES} SELECT a.c AS company_key, count(*) AS pairs, sum(a.n * b.n)::BIGINT AS listing_pairs FROM profiles a JOIN profiles b ON a.c = b.c AND a.profile <= b.profile AND ((a.kind = b.kind AND a.p = b.p) OR (a.kind = 'unknown') <> (b.kind = 'unknown')) AND (a.r IS NULL OR b.r IS NULL OR a.r = b.r) AND len(list_distinct(list_concat(a.s, b.s))) > 1 AND 2 * least(length(a.t), length(b.t)) >= {D.POSSIBLE}::DOUBLE * (length(a.t) + length(b.t)) GROUP BY 1")
 def b1(spark, sf_dir):
-    pairs = D.candidate_pairs(D.prepared(listings(spark, sf_dir)).where("loc_kind = 'place'"))
-    return pairs.groupBy(F.col("a_company_key").alias("company_key"), F.col("a_loc_key").alias("loc_key")).agg(F.count(F.lit(1)).alias("pairs"))
+    pairs = D.candidate_pairs(D.profiles(D.prepared(listings(spark, sf_dir))))
+    return pairs.groupBy(F.col("a_company_key").alias("company_key")).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("a_listings") * F.col("b_listings")).alias("listing_pairs"))
 
 
 @query("u4_decisions")
 def u4_near(spark, sf_dir):
-    rows = D.decided(D.candidate_pairs(D.prepared(listings(spark, sf_dir)).where("loc_kind = 'place'")))
-    return rows.groupBy("kind", F.round("score", 3).alias("score")).agg(F.count(F.lit(1)).alias("pairs"))
+    """Every pair of profiles that is confirmed or possible; SQL has no title similarity."""
+    rows = D.decided(D.candidate_pairs(D.profiles(D.prepared(listings(spark, sf_dir)))))
+    return rows.select("left", "right", "kind", "score", "reasons", "a_listings", "b_listings")
+
+
+@query("u4_equal_titles", WITH_LISTINGS.rstrip() + f", {_PROFILES} SELECT a.profile AS left, b.profile AS right, (a.n * b.n)::BIGINT AS listing_pairs FROM profiles a JOIN profiles b ON a.c = b.c AND a.t = b.t AND a.kind = 'place' AND b.kind = 'place' AND a.p = b.p AND a.profile <= b.profile AND (a.r IS NULL OR b.r IS NULL OR a.r = b.r) AND len(list_distinct(list_concat(a.s, b.s))) > 1")
+def u4_equal(spark, sf_dir):
+    rows = D.decided(D.candidate_pairs(D.profiles(D.prepared(listings(spark, sf_dir))))).where("kind = 'confirmed' and score = 1.0")
+    return rows.select("left", "right", (F.col("a_listings") * F.col("b_listings")).alias("listing_pairs"))
 
 
 @query("u6_leader_clusters")
@@ -156,12 +184,12 @@ def u7_edges(spark, sf_dir):
     return D.remap_edges(edges.withColumn("left_id", -F.col("left_id")), ids.withColumn("job_id", -F.col("job_id"))).select("left_id", "right_id", "score")
 
 
-@query("u5_edges", WITH_LISTINGS + f"SELECT ord AS left_id, ord + 1 AS right_id, CASE WHEN tie % 2 = 0 THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '{AS_OF}' END AS created_at FROM listings WHERE ord % 10 = 1")
+@query("u5_edges")
 def u5(spark, sf_dir):
-    rows = listings(spark, sf_dir).where("ord % 10 = 1")
-    new = rows.select(F.col("ord").alias("left_id"), (F.col("ord") + 1).alias("right_id"))
-    old = rows.where("tie % 2 = 0").select(F.col("ord").alias("left_id"), (F.col("ord") + 1).alias("right_id"), F.to_timestamp(F.lit("2000-01-01")).alias("created_at"))
-    return D.maintain_edges(old, new, as_of()).select("left_id", "right_id", "created_at")
+    """The edges among all jobs, of which those that were there at SPLIT keep their first time."""
+    rows = listings(spark, sf_dir)
+    old = D.possible_edges(rows.where(f"seen_at < timestamp '{SPLIT}'")).withColumn("created_at", F.to_timestamp(F.lit(SPLIT)))
+    return D.maintain_edges(old, D.possible_edges(rows), as_of()).select("left_id", "right_id", "score", "created_at", "updated_at")
 
 
 # Scans: a run is a customer, a source's pages hold ten sightings each.
@@ -191,9 +219,19 @@ def w6(spark, sf_dir):
     return R.page_counts(scan(spark, sf_dir))
 
 
-@query("q1_scan_verdicts", f"WITH {_PAGES} SELECT run_id, source, bool_or(page > 1 AND new_ids = 0) AS broken, sum(cards)::BIGINT AS cards FROM pages_ GROUP BY ALL")
+_ENDS = "SELECT run_id, source, CASE WHEN page > 4 THEN 9 ELSE page END AS page, CASE WHEN page > 4 THEN 0 ELSE cards END AS cards, CASE WHEN page > 4 THEN 0 ELSE new_ids END AS new_ids FROM pages_ UNION ALL SELECT DISTINCT run_id, source, 8, 0, 0 FROM pages_ WHERE run_id % 3 = 0"
+
+
+@query("q1_scan_verdicts", f"WITH {_PAGES}, ends AS ({_ENDS}), told AS (SELECT *, cards - CASE WHEN run_id % 7 = 0 AND page = 1 THEN 1 ELSE 0 END AS parsed FROM ends), w AS (SELECT run_id, source, bool_or(parsed <> cards OR (page > 1 AND cards > 0 AND new_ids = 0)) AS broken, arg_max(cards, page) = 0 AS ended, sum(cards)::BIGINT AS cards FROM told GROUP BY ALL) SELECT *, NOT broken AND ended AS complete FROM w")
 def q1(spark, sf_dir):
-    return R.scan_verdicts(w6(spark, sf_dir).withColumn("parsed", F.col("cards"))).select("run_id", "source", "broken", "cards")
+    """Scans whose pages after the fourth are empty ends; some have an empty page more, some lost a card of the first page."""
+    pages = w6(spark, sf_dir)
+    late = F.col("page") > 4
+    ends = pages.withColumns({"cards": F.when(late, 0).otherwise(F.col("cards")), "new_ids": F.when(late, 0).otherwise(F.col("new_ids")), "page": F.when(late, 9).otherwise(F.col("page"))})
+    more = pages.where("run_id % 3 = 0").select("run_id", "source").distinct().withColumns({"page": F.lit(8), "cards": F.lit(0), "new_ids": F.lit(0)})
+    told = ends.select("run_id", "source", "page", "cards", "new_ids").unionByName(more)
+    told = told.withColumn("parsed", F.col("cards") - F.when((F.col("run_id") % 7 == 0) & (F.col("page") == 1), 1).otherwise(0))
+    return R.scan_verdicts(told)
 
 
 @query("g7_run_status", WITH_SYNCS + "SELECT run, CASE WHEN bool_and(status = 'succeeded') THEN 'succeeded' WHEN bool_or(status IN ('succeeded', 'partial')) THEN 'partial' ELSE 'failed' END AS status FROM results GROUP BY 1")
@@ -201,9 +239,9 @@ def g7(spark, sf_dir):
     return R.run_status(sync_results(spark, sf_dir))
 
 
-@query("g8_batch", WITH_SYNCS + "SELECT source, count(*) FILTER (status = 'succeeded') AS good, count(*) FILTER (status = 'failed') AS bad, count(*) AS n FROM results GROUP BY 1")
+@query("g8_batch", WITH_SYNCS + ", state AS (SELECT run, CASE WHEN bool_and(status = 'succeeded') THEN 'succeeded' WHEN bool_or(status IN ('succeeded', 'partial')) THEN 'partial' ELSE 'failed' END AS status FROM results GROUP BY 1) SELECT run % 97 AS batch, CASE WHEN bool_and(status = 'succeeded') THEN 'succeeded' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'partial' END AS status, count(*) AS runs FROM state GROUP BY 1".replace(") , state", "), state"))
 def g8(spark, sf_dir):
-    return sync_results(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("status") == "succeeded").alias("good"), F.count_if(F.col("status") == "failed").alias("bad"), F.count(F.lit(1)).alias("n"))
+    return R.batch_status(R.run_status(sync_results(spark, sf_dir)).withColumn("batch", F.col("run") % 97))
 
 
 @query("g9_source_counts", WITH_SYNCS + "SELECT run, source, count(*) AS seen, count(*) FILTER (status = 'succeeded') AS persisted FROM sync_events GROUP BY ALL")
@@ -274,7 +312,7 @@ _LIVE = f"attached AS (SELECT DISTINCT search_name AS search, source, external_i
 
 @query("u8_deactivate_unseen", WITH_LISTINGS.rstrip() + f", {_LIVE} SELECT source, external_id, active AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = seen.source AND g.external_id = seen.external_id) AS active FROM seen")
 def u8(spark, sf_dir):
-    every = search_listings(spark, sf_dir).select(F.col("search_name").alias("search"), "source", "external_id")
+    every = shared_table(search_listings(spark, sf_dir).select(F.col("search_name").alias("search"), "source", "external_id"), "attached")
     sources = every.select("source").distinct()
     scans = sources.select(F.lit("BUILDING").alias("search"), "source", F.to_timestamp(F.lit("2001-01-01")).alias("started_at"))
     proof = every.select("search", "source").distinct().where("search <> 'MACHINERY'").withColumn("started_at", F.to_timestamp(F.lit("2000-06-01")))
@@ -346,16 +384,3 @@ def s17(spark, sf_dir):
     from offerloom.sources.sinks import camel
 
     return camel(listings(spark, sf_dir).where("source = 'wttj'").select("external_id", "contract_type"))
-
-
-@query("s3_page_cards")
-def s3(spark, sf_dir):
-    """Cards of source D made of the pages' own titles, read back by the HTML extractor."""
-    from offerloom.sources.payloads import card_offers
-
-    pages = star(spark, sf_dir, "pages")
-    card = F.concat(F.lit('<article data-job-id="'), F.col("page_id"), F.lit('" data-contract="CDI"><a href="'), F.col("url"), F.lit('">x</a><h2>'), F.concat(F.lit("Poste "), F.col("page_id")), F.lit('</h2><p class="company">ACME</p><p class="location">Paris</p></article>'))
-    return card_offers(pages.select("page_id", F.concat("html", card).alias("html")), "freework", as_of()).select("external_id", "title", "company", "location", "contract_type")
-
-
-ORACLES["s3_page_cards"] = "SELECT concat('freework_', page_id) AS external_id, concat('Poste ', page_id) AS title, 'ACME' AS company, 'Paris' AS location, 'cdi' AS contract_type FROM pages"

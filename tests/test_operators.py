@@ -7,8 +7,9 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from offerloom.operators import quality, resolve, runs, search, tables
-from offerloom.sources import payloads, sinks
+from offerloom.functions import text
+from offerloom.operators import places, quality, resolve, runs, search, tables
+from offerloom.sources import cards, payloads, sinks
 from offerloom.streaming import jobs as streams
 
 DAY = lambda n: dt.datetime(2024, 1, n)
@@ -73,12 +74,177 @@ def test_leader_clusters_match_a_replay():
 def test_decisions(spark):
     rows = [(1, "a", "Dev Python", "ACME SAS", "Paris", None), (2, "b", "Dev Python H/F", "Acme", "Paris (75)", None), (3, "c", "Dev Pythons", "ACME", "Télétravail", None), (4, "c", "Dev Python", "Confidentiel", "Paris", None), (5, "d", "Dev Python Senior", "ACME", "Paris", "junior")]
     df = spark.createDataFrame(rows, "ord long, source string, title string, company string, location string, experience_level string")
-    got = {(r.left, r.right): r.kind for r in resolve.decided(resolve.candidate_pairs(resolve.prepared(df), same_place=False)).collect()}
+    got = {(r.left, r.right): r.kind for r in resolve.decided(resolve.candidate_pairs(resolve.profiles(resolve.prepared(df)))).collect()}
     assert got[(1, 2)] == "confirmed" and (1, 4) not in got and got.get((1, 3)) is None
     score = {(r.a, r.b): r.score for r in resolve.title_scores(spark.createDataFrame([("ab", "ab"), ("abc", "abd"), ("a", "zzzzzz")], "a string, b string")).collect()}
     assert score[("ab", "ab")] == 1.0 and ("a", "zzzzzz") not in score
 
 
+def classified_by_hand(x, y):
+    """A pair's decision as it is told, test by test, on (company key, title key, rank, place kind, place key)."""
+    score = resolve.SequenceMatcher(None, *sorted((x[1], y[1]))).ratio()
+    same, placed = x[3:] == y[3:], x[3] == y[3] == "place"
+    for test, reason in (
+        (x[0] != y[0], "entreprise_differente"),
+        (None not in (x[2], y[2]) and x[2] != y[2], "seniorite_incompatible"),
+        ("conflict" in (x[3], y[3]), "lieux_incompatibles"),
+        (placed and not same, "villes_incompatibles"),
+        (not same and "unknown" not in (x[3], y[3]), "lieux_incompatibles"),
+    ):
+        if test:
+            return "none", (reason,), score
+    if placed and score >= 0.92:
+        return "confirmed", ("entreprise_identique", "lieu_identique", "titre_confirme"), score
+    if 0.78 <= score < 0.92:
+        return "possible", ("entreprise_identique", "lieu_compatible", "titre_proche"), score
+    return "none", ("titre_insuffisant" if placed else "lieu_non_explicite",), score
+
+
+def some_listings(spark, n=160, seed=3):
+    rng = random.Random(seed)
+    titles = ["Développeur Python", "Développeur Python Backend", "Developpeur Pythons", "Data Engineer Senior", "Data Engineer", "Data Engineers Sr", "DBA"]
+    labels = ["Paris", "Paris (75)", "Lyon", "Télétravail", None, "France", "Paris / Belgique", "Remote Europe"]
+    rows = [(i, rng.choice("abc"), rng.choice(titles), rng.choice(["ACME", "Acme SAS", "Bolt", "Confidentiel"]), rng.choice(labels), rng.choice([None, None, "senior", "junior"])) for i in range(n)]
+    return spark.createDataFrame(rows, "ord long, source string, title string, company string, location string, experience_level string")
+
+
+def test_decided_pairs_match_brute_force(spark):
+    rows = resolve.prepared(some_listings(spark))
+    found = resolve.profiles(rows)
+    got = {(r.left, r.right): (r.kind, tuple(r.reasons), round(r.score, 9)) for r in resolve.decided(resolve.candidate_pairs(found)).collect()}
+    facts = {r.profile: ((r.company_key, r.title_key, r["rank"], r.loc_kind, r.loc_key), set(r.sources)) for r in found.collect()}
+    want = {}
+    for i, (x, s) in facts.items():
+        for j, (y, t) in facts.items():
+            kind, reasons, score = classified_by_hand(x, y)
+            if i <= j and len(s | t) > 1 and kind != "none":
+                want[i, j] = (kind, reasons, round(score, 9))
+    assert got == want and {k for k, _, _ in got.values()} == {"confirmed", "possible"}
+    pairs = found.select(*[F.col(c).alias(f"a_{c}") for c in ("profile", *resolve.PROFILE)]).join(found.select(*[F.col(c).alias(f"b_{c}") for c in ("profile", *resolve.PROFILE)]))
+    pairs = pairs.withColumn("score", resolve._ratio(0.0)(F.least("a_title_key", "b_title_key"), F.greatest("a_title_key", "b_title_key")))
+    for r in pairs.withColumn("d", resolve.classified(F.col("score"))).collect():
+        kind, reasons, _ = classified_by_hand(facts[r.a_profile][0], facts[r.b_profile][0])
+        assert (r.d["kind"], tuple(r.d["reasons"])) == (kind, reasons)
+
+
+def test_possible_edges_and_states_match_brute_force(spark):
+    rows = some_listings(spark, 90, 8)
+    edges = {(r.left_id, r.right_id): round(r.score, 9) for r in resolve.possible_edges(rows).collect()}
+    found = resolve.profiles(resolve.prepared(rows)).collect()
+    want = {}
+    for x in found:
+        for y in found:
+            kind, _, score = classified_by_hand(*[(p.company_key, p.title_key, p["rank"], p.loc_kind, p.loc_key) for p in (x, y)])
+            a, b = sorted("|".join(t for t in (p.company_key, p.location, p.title_key) if t is not None) for p in (x, y))
+            if kind == "possible" and a < b and len({*x.sources, *y.sources}) > 1:
+                want[a, b] = max(want.get((a, b), 0), round(score, 9))
+    assert edges == want and edges
+    old = resolve.possible_edges(rows.where("ord < 60")).withColumn("created_at", F.lit(DAY(1)))
+    kept = resolve.maintain_edges(old, resolve.possible_edges(rows), F.lit(DAY(2))).collect()
+    before = {(r.left_id, r.right_id) for r in old.collect()}
+    assert {(r.left_id, r.right_id): r.created_at for r in kept} == {k: DAY(1) if k in before else DAY(2) for k in edges}
+
+
+def test_clusters_match_a_replay_of_each_block(spark):
+    rows = resolve.prepared(some_listings(spark, 240, 5))
+    got = dict(resolve.clusters(rows).collect())
+    frame = rows.toPandas()
+    want = {o: o for o in frame["ord"]}
+    for _, block in frame[frame["loc_kind"] == "place"].groupby(["company_key", "loc_key"]):
+        done = resolve.replay(block[["ord", "source", "title_key", "rank"]].assign(rank=block["rank"].astype(float)))
+        want |= dict(zip(done["ord"], done["keep"], strict=True))
+    assert got == want and len(set(got.values())) < len(got)
+
+
+def test_what_locations_prove(spark):
+    paris, unknown, conflict, scope = ("place", "paris"), ("unknown", ""), ("conflict", ""), lambda key: ("non_city", key)
+    cases = {paris: "Paris|Paris (75)|Paris / télétravail|Paris | Full remote|Paris ; hybride 2 jours par semaine|Paris (télétravail partiel)|Paris – à distance|Paris 80% télétravail|Paris remote Europe|Paris - Hybride 2 jours/semaine|Paris Télétravail 80%|Télétravail occasionnel (Paris)|Télétravail — à Paris|À Paris, télétravail|Télétravail à Paris|Paris, France|Paris — France|À Paris (France)".split("|") + ["Paris | Hybride 2 jours/semaine"]}
+    cases[paris] = [c.strip() for c in cases[paris]]
+    cases[unknown] = [None, "", "Télétravail", "Full remote", "Remote Europe", "100% télétravail", "À distance", "Hybride 2 jours/semaine", "National", "Non spécifié", "Télétravail, en Paris", "Télétravail à convenir", "Remote Paris", "Télétravail 80% Paris", "Paris / Lyon / télétravail", "Paris remote Europe / télétravail", "Paris flexible / remote"]
+    cases[unknown] += ["Télétravail / partiel", "Remote-sur-Mer", "En Arbitraireville, France", "À National (France)", "À Non spécifié - France"]
+    cases[conflict] = ["Paris / Belgique / remote", "remote, Paris, France", "Paris (en Belgique) (remote)", "Paris, Île-de-France", "Paris /, France", "Paris - (France)", " – Paris – France", "Paris – Centre (France)", "Paris | France"]
+    cases[scope("france")] = ["France", "Télétravail, en France", "En France | télétravail", "Télétravail en France", "Remote France"]
+    cases[scope("bretagne")] = ["Bretagne", "En Bretagne, France"]
+    cases[("place", "chalons en champagne")] = ["Châlons-en-Champagne / télétravail", "Châlons-en-Champagne — France"]
+    cases |= {("place", "paris france"): ["Paris-France"], ("place", "remotely"): ["Remotely"], ("place", "pres de paris"): ["Télétravail, près de Paris"], scope("belgique"): ["En Belgique – France", "Belgique / remote"]}
+    want = {label: kind for kind, labels in cases.items() for label in labels}
+    got = {r.label: (r.kind, r.key) for r in places.evidence(spark.createDataFrame([(c,) for c in want], "location string")).collect()}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+
+
+def test_places(spark, tmp_path):
+    labels = spark.createDataFrame([(c,) for c in ("Saint-Étienne (42)", " LA DÉFENSE ", "Lyo", "Nowhere", "", None, "Saint-Denis-sur-Loire")], "location string")
+    assert {r.label: r.lat for r in places.geocoded(labels).collect()} == {"Saint-Étienne (42)": 45.4397, " LA DÉFENSE ": 48.8918, "Lyo": 45.7640, "Saint-Denis-sur-Loire": 48.9362}
+    assert {r.label for r in places.located(labels).collect()} == {"Saint-Étienne (42)", " LA DÉFENSE ", "Saint-Denis-sur-Loire"}
+    keys = {"Lyon 7ème arrondissement - 69": "lyon 7", "Paris 75": "paris", "Marseille 13": "marseille", "Lyon 3": "lyon 3", "Paris 21e": "paris 21", "Brest (29)": "brest"}
+    got = spark.createDataFrame([(k,) for k in keys], "c string").select("c", places.city_key(F.col("c")).alias("k"), places.municipality(places.city_key(F.col("c"))).alias("m")).collect()
+    assert {r.c: r.k for r in got} == keys and {r.k: r.m for r in got}["lyon 7"] == "lyon" and {r.k: r.m for r in got}["paris 21"] == "paris 21"
+    file = {"reference_date": "2026-01-01", "groups": [{"key": "lyon", "official_name": "L", "city_center": "Lyon", "epci_code": "2", "source_url": "u", "activation_aliases": ["Lyon", "Grand Lyon"], "communes": [{"insee_code": "69123", "name": "Lyon"}, {"insee_code": "69266", "name": "Villeurbanne"}]}]}
+    (tmp_path / "areas.json").write_text(json.dumps(file))
+    groups = places.read_areas(spark, str(tmp_path / "areas.json"))
+    assert quality.area_violations(groups).collect() == []
+    assert {tuple(r) for r in places.alias_communes(groups).collect()} == {(a, c) for a in ("lyon", "grand lyon") for c in ("lyon", "villeurbanne")}
+
+
+def blocks_by_hand(description):
+    """Headings, paragraphs and lists of a description, line by line."""
+    out, para, items, label = [], [], [], False
+
+    def close():
+        if para:
+            out.append(("paragraph", "\n".join(para)))
+        if items:
+            out.append(("list", *items))
+        para.clear(), items.clear()
+
+    for line in description:
+        if not line:
+            close()
+        elif line[0] in "-*•" or line.split()[0].rstrip(".)").isdigit() and line.split()[0][-1] in ".)":
+            if para:
+                out.append(("paragraph", "\n".join(para)))
+                para.clear()
+            items.append(line.lstrip("-*•0123456789.) "))
+            label = False
+        else:
+            if items:
+                out.append(("list", *items))
+                items.clear()
+            if line.lower() in text.SECTIONS or (line.isupper() and 2 <= len(line.split()) <= 8):
+                close()
+                out.append(("heading", line))
+                label = line.lower() in text.SECTIONS
+            elif label and line.startswith(":"):
+                told = [x.strip() for x in line[1:].split(";") if x.strip()]
+                if len(told) > 1:
+                    out.append(("list", *told))
+                para.extend(told if len(told) == 1 else [])
+                label = label and not told
+            else:
+                para.append(line)
+                label = False
+    close()
+    return out
+
+
+def test_description_blocks(spark):
+    rng = random.Random(2)
+    lines = ["", "Missions", "NOTRE ÉQUIPE DATA", "- écrire du code", "2) relire", "• tester", ": a ; b ;c", ":", ": seul", "Un texte simple", "profil recherché"]
+    cases = [[rng.choice(lines) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    rows = [(i, "\n".join(c)) for i, c in enumerate(cases)] + [(100, None), (101, "Bonjour. Missions : x ; y\r\nFin.Votre profil\nsenior"), (102, "les missions du poste")]
+    got = {r.i: [(b["type"], b["text"]) if b["text"] is not None else (b["type"], *b["items"]) for b in r.b] for r in spark.createDataFrame(rows, "i int, c string").select("i", text.description_blocks(F.col("c")).alias("b")).collect()}
+    assert {i: got[i] for i in range(60)} == {i: blocks_by_hand(c) for i, c in enumerate(cases)}
+    assert got[100] == [] and got[102] == [("paragraph", "les missions du poste")]
+    assert got[101] == [("paragraph", "Bonjour."), ("heading", "Missions"), ("list", "x", "y"), ("paragraph", "Fin."), ("heading", "Votre profil"), ("paragraph", "senior")]
+
+
+def test_broken_pages(spark):
+    """Elements that are never closed, cards without parts, embedded data that is no JSON, empty and null pages."""
+    pages = spark.createDataFrame([(1, "<div class='base-card'><h3 class='base-search-card__title'>Dev<h4 class='base-search-card__subtitle'>ACME<a class='base-card__full-link' href='x-77'>"), (2, None), (3, ""), (4, "<li class='result'>nothing</li>"), (5, "<script id='__NUXT_DATA__'>[1,</script><a href='/job-mission/a-1'>Dev</a>")], "page_id long, html string")
+    got = {s: [(r.page_id, r.external_id) for r in payloads.PARSERS[s](pages, F.current_timestamp()).collect()] for s in ("linkedin", "hellowork", "francetravail", "freework")}
+    assert got == {"linkedin": [(1, "linkedin_77")], "hellowork": [], "francetravail": [], "freework": [(5, "freework_a-1")]}
+
+
 def test_runs(spark):
     pages = spark.createDataFrame([(1, "a", 1, 3, 3, 3), (1, "a", 2, 0, 0, 0), (2, "a", 1, 3, 2, 3), (3, "a", 1, 3, 3, 3), (3, "a", 2, 3, 3, 0)], "run_id int, source string, page int, cards int, parsed int, new_ids int")
     assert {r.run_id: r.complete for r in runs.scan_verdicts(pages).collect()} == {1: True, 2: False, 3: False}
@@ -112,8 +278,8 @@ def test_cards_and_json_ld(spark):
     card = '<ul><li data-id-storage-item-id="5"><input name="title" value="Dev &amp; Ops"><input name="company" value="ACME"><div data-cy="localisationCard">Paris - 75</div><span data-cy="contractCard">CDI</span><a href="/x">y</a></li><li data-id-storage-item-id="6"><input name="title" value="****"></li></ul>'
     post = '<script type="application/ld+json">{"@graph":[{"@type":["JobPosting"],"title":"Dev","description":"d","baseSalary":{"currency":"EUR","value":{"minValue":1}},"jobLocation":{"address":{"postalCode":"75001","addressLocality":"Paris"}},"skills":["a","b"]},{"@type":"Thing"}]}</script>'
     pages = spark.createDataFrame([(1, card), (2, post), (3, None), (4, "<p>none</p>")], "page_id long, html string")
-    r = payloads.card_offers(pages, "hellowork", F.current_timestamp()).collect()
-    assert [(x.external_id, x.title, x.location, x.contract_type) for x in r] == [("hellowork_5", "Dev & Ops", "Paris - 75", "cdi")]
+    r = cards.card_offers_b(pages, F.current_timestamp()).collect()
+    assert [(x.external_id, x.title, x.location, x.contract_type) for x in r] == [("hellowork_5", "Dev & Ops", "Paris - 75", "cdi"), ("hellowork_6", "****", "France", None)]
     r = payloads.details(payloads.json_ld(pages)).collect()
     assert [(x.page_id, x.title, x.location, x.salary_min, x.skills) for x in r] == [(2, "Dev", "Paris (75001)", 1.0, ["a", "b"])]
 
