@@ -205,7 +205,11 @@ def clusters(rows: DataFrame) -> DataFrame:
 
 
 def merge_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Jobs after merges given as (job_id, keep_id): first view, newest texts with a stamp, union of skills."""
+    """Jobs after merges given as (job_id, keep_id): first view, newest texts with a stamp, union of skills and benefits.
+
+    Links and listings of the jobs move by `remap_links`, edges by `remap_edges`.
+    """
+    jobs = jobs if "benefits" in jobs.columns else jobs.withColumn("benefits", F.array().cast("array<string>"))
     rows = jobs.join(ids, "job_id", "left").withColumn("keep_id", F.coalesce("keep_id", "job_id"))
     own = (F.col("job_id") == F.col("keep_id")).cast("int")
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.coalesce("details_fetched_at", F.lit("1970-01-01").cast("timestamp")), own, "job_id"))).alias(c)
@@ -216,11 +220,11 @@ def merge_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
         F.min("viewed_at").alias("viewed_at"),
         newest("description"),
         F.max_by(salary, F.when(has, F.struct(F.coalesce("details_fetched_at", F.lit("1970-01-01").cast("timestamp")), own, "job_id"))).alias("salary"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("skills")))).alias("skills"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("skills", "benefits")],
         F.max("details_fetched_at").alias("details_fetched_at"),
         F.count(F.lit(1)).alias("merged"),
     )
-    return merged.select(F.col("keep_id").alias("job_id"), "title", "viewed_at", "description", "salary.salary_min", "salary.salary_max", "skills", "details_fetched_at", "merged")
+    return merged.select(F.col("keep_id").alias("job_id"), "title", "viewed_at", "description", "salary.salary_min", "salary.salary_max", "skills", "benefits", "details_fetched_at", "merged")
 
 
 def remap_links(links: DataFrame, ids: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions.scalars import iso_timestamp
+from offerloom.functions.scalars import iso_timestamp, stated_minimum
 from offerloom.functions.text import has_text
 from offerloom.sources import cards
 
@@ -68,8 +68,12 @@ def index_offers(pages: DataFrame) -> DataFrame:
     return rows.where(has_text(F.col("external_id")) & has_text(F.col("title")) & F.col("url").isNotNull())
 
 
-def json_ld(pages: DataFrame, body: str = "html") -> DataFrame:
-    """(page_id, posting variant) of the JobPosting objects in ld+json blocks, at the top, in a list or in @graph."""
+def json_ld(pages: DataFrame, body: str = "html", any_depth: bool = False) -> DataFrame:
+    """(page_id, posting variant) of the JobPosting objects in ld+json blocks, at the top, in a list or in @graph; or at any
+    depth, which takes a walk in Python and gives objects that tell the same once."""
+    if any_depth:
+        found = cards.structured_jobs(pages.select("page_id", F.col(body).alias("html"))).where("rank = 1")
+        return found.select("page_id", F.try_parse_json("job").alias("posting"))
     blocks = F.regexp_extract_all(body, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
     rows = pages.select("page_id", F.explode(blocks).alias("b")).select("page_id", F.try_parse_json("b").alias("v")).where("v is not null")
     listed = F.coalesce(F.expr("try_variant_get(v, '$.@graph', 'array<variant>')"), F.expr("try_variant_get(v, '$', 'array<variant>')"), F.array("v"))
@@ -78,10 +82,17 @@ def json_ld(pages: DataFrame, body: str = "html") -> DataFrame:
     return items.where(F.array_contains(kind, "JobPosting"))
 
 
-def details(postings: DataFrame) -> DataFrame:
-    """Detail snapshots of postings; they need a title and a description or a salary bound."""
+def details(postings: DataFrame, shown: DataFrame | None = None, zero_is_missing: bool = False) -> DataFrame:
+    """Detail snapshots of postings; they need a title and a description or a salary bound.
+
+    `shown` has what the pages show (page_id, title, company, location, description, skills, and salary_text), which stands in field by
+    field for what a posting lacks, or for the posting; a minimum is then the first amount in euros (P4). Where
+    `zero_is_missing`, a minimum of 0 gives way to the single value. Values that are no numbers, such as booleans, are none.
+    """
     get = lambda path, kind="string": F.expr(f"try_variant_get(posting, '{path}', '{kind}')")
-    low = F.coalesce(get("$.baseSalary.value.minValue", "double"), get("$.baseSalary.value.value", "double"))
+    number_ = lambda path: F.when(F.expr(f"schema_of_variant(try_variant_get(posting, '{path}', 'variant'))") != "BOOLEAN", get(path, "double"))
+    least = number_("$.baseSalary.value.minValue")
+    least = F.nullif(least, F.lit(0.0)) if zero_is_missing else least
     postal, town = get("$.jobLocation.address.postalCode"), get("$.jobLocation.address.addressLocality")
     rows = postings.select(
         "page_id",
@@ -89,12 +100,17 @@ def details(postings: DataFrame) -> DataFrame:
         get("$.hiringOrganization.name").alias("company"),
         F.when(postal.isNotNull(), F.concat(town, F.lit(" ("), postal, F.lit(")"))).otherwise(town).alias("location"),
         get("$.description").alias("description"),
-        low.alias("salary_min"),
-        get("$.baseSalary.value.maxValue", "double").alias("salary_max"),
+        F.coalesce(least, number_("$.baseSalary.value.value")).alias("salary_min"),
+        number_("$.baseSalary.value.maxValue").alias("salary_max"),
         get("$.baseSalary.currency").alias("salary_currency"),
         F.coalesce(get("$.skills", "array<string>"), F.split(get("$.skills"), r"\s*,\s*")).alias("skills"),
         iso_timestamp(get("$.datePosted")).alias("posted_at"),
     )
+    if shown is not None:
+        texts = ("title", "company", "location", "description")
+        page = shown.select("page_id", *[F.nullif(F.btrim(c), F.lit("")).alias(f"shown_{c}") for c in texts], F.col("skills").alias("shown_skills"), stated_minimum(F.col("salary_text")).alias("shown_min"))
+        rows = rows.join(page, "page_id", "full").withColumns({c: F.coalesce(F.nullif(F.btrim(c), F.lit("")), f"shown_{c}") for c in texts} | {"skills": F.coalesce("skills", "shown_skills"), "salary_min": F.coalesce("salary_min", "shown_min")})
+        rows = rows.select("page_id", *texts, "salary_min", "salary_max", "salary_currency", "skills", "posted_at")
     return rows.where(has_text(F.col("title")) & (has_text(F.col("description")) | F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()))
 
 

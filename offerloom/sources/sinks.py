@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of a CSV export, in order.
@@ -34,7 +34,14 @@ def camel(rows: DataFrame) -> DataFrame:
 
 
 def write_snapshot(rows: DataFrame, path: str, version: str, partition_by: tuple[str, ...] = ()) -> str:
-    """A snapshot in a folder of its own under `path`; readers change over to the folder that this returns."""
+    """A snapshot in a folder of its own under `path`, then a row that makes it the current one; readers see the old or the new."""
     folder = f"{path}/{version}"
     rows.write.partitionBy(*partition_by).parquet(folder)
+    rows.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/_versions")
     return folder
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot under `path` that was written last."""
+    last = spark.read.parquet(f"{path}/_versions").agg(F.max_by("version", "at").alias("version")).first()
+    return spark.read.parquet(f"{path}/{last['version']}")

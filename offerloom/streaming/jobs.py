@@ -40,6 +40,11 @@ def upsert_stream(sightings: DataFrame, merge: Callable[[DataFrame, int], None],
     return sightings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def liveness_stream(verdicts: DataFrame, deactivate: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Of the verdicts of ended scans (run_id, source, complete, …) the complete ones go to `deactivate`, micro-batch by micro-batch."""
+    return upsert_stream(verdicts.where("complete"), deactivate, checkpoint)
+
+
 def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """The table of a stream after all files landed so far; for tests and twins of batch queries."""
     query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Keys, dates, salaries and lists on cases that matter."""
 
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,11 @@ def test_urls_and_ids(spark):
     values = ["https://www.example.com/jobs/1/", "http://www.example.com/jobs/1", "https://evil.com/jobs/1", "https://www.example.com/jobs/1?x=1"]
     assert column(spark, values, lambda c: T.canonical_url(c, ("www.example.com",), "^/jobs/[0-9]+$")) == ["https://www.example.com/jobs/1", None, None, None]
     assert column(spark, ["tags-freework_9", "a b", "x-1"], lambda c: T.clean_external_id(c, "freework")) == ["9", None, "x-1"]
+
+
+def test_fold_agrees_with_unicode(spark):
+    """Every character of the scripts that are folded, as decomposition, no marks and case folding make it."""
+    codes = [c for c in [*range(0x20, 0x530), *range(0x1E00, 0x1F00)] if c != 0x34F and unicodedata.category(chr(c)) not in ("Cn", "Cc", "Me")]
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes], "c int, s string").select("c", T.fold(F.col("s")).alias("f")).collect()
+    want = lambda c: "".join(x for x in unicodedata.normalize("NFKD", f"a{chr(c)}b") if not unicodedata.combining(x)).casefold()
+    assert {chr(r.c): r.f for r in rows if r.f != want(r.c)} == {}

@@ -284,6 +284,35 @@ def test_cards_and_json_ld(spark):
     assert [(x.page_id, x.title, x.location, x.salary_min, x.skills) for x in r] == [(2, "Dev", "Paris (75001)", 1.0, ["a", "b"])]
 
 
+def test_details_fall_back_field_by_field(spark):
+    post = lambda **x: '<script type="application/ld+json">' + json.dumps({"@type": "JobPosting"} | x) + "</script>"
+    pages = spark.createDataFrame([(1, post(title="Dev", baseSalary={"value": {"minValue": 0, "value": 7}})), (2, post(title="Ops", baseSalary={"value": {"minValue": True, "value": 9}})), (3, post(description="d"))], "page_id long, html string")
+    shown = spark.createDataFrame([(1, "x", "ACME", "Paris", " ", ["a"], None), (3, "Shown", None, None, "e", None, "de 38 000 € à 40 000 €"), (4, "Only shown", "B", "Lyon", "text", [], "none")], "page_id long, title string, company string, location string, description string, skills array<string>, salary_text string")
+    got = {r.page_id: r for r in payloads.details(payloads.json_ld(pages), shown, zero_is_missing=True).collect()}
+    assert [(got[i].title, got[i].company, got[i].description, got[i].salary_min) for i in (1, 2, 3, 4)] == [("Dev", "ACME", None, 7.0), ("Ops", None, None, 9.0), ("Shown", None, "d", 38000.0), ("Only shown", "B", "text", None)]
+    deep = pages.select("page_id", F.replace("html", F.lit('{"@type"'), F.lit('{"a":[{"b":{"@type"')).alias("html")).select("page_id", F.replace("html", F.lit("}</script>"), F.lit("}}]}</script>")).alias("html"))
+    assert payloads.json_ld(deep).count() == 0 and payloads.json_ld(deep, any_depth=True).count() == 3
+    assert got[1].skills == ["a"] and {r.page_id: r.salary_min for r in payloads.details(payloads.json_ld(pages)).collect()} == {1: 0.0, 2: 9.0}
+
+
+def test_snapshots_and_merges(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "id int, x string")
+    sinks.write_snapshot(rows, str(tmp_path / "s"), "v1")
+    sinks.write_snapshot(rows.withColumn("x", F.lit("b")), str(tmp_path / "s"), "v0")
+    assert [r.x for r in sinks.read_snapshot(spark, str(tmp_path / "s")).collect()] == ["b"]
+    jobs = spark.createDataFrame([("j", "t", None, None, None, 5.0, ["x"], ["car"], DAY(1)), ("k", "u", DAY(2), "d", 1.0, None, ["y", "x"], ["meal"], DAY(3))], "job_id string, title string, viewed_at timestamp, description string, salary_min double, salary_max double, skills array<string>, benefits array<string>, details_fetched_at timestamp")
+    ids = spark.createDataFrame([("k", "j")], "job_id string, keep_id string")
+    r = resolve.merge_jobs(jobs, ids).first()
+    assert (r.title, r.viewed_at, r.description, r.salary_min, r.salary_max, r.skills, r.benefits, r.merged) == ("t", DAY(2), "d", 1.0, None, ["x", "y"], ["car", "meal"], 2)
+    links = spark.createDataFrame([("j", "s"), ("k", "s"), ("k", "t")], "job_id string, search string")
+    assert sorted(map(tuple, resolve.remap_links(links, ids).collect())) == [("j", "s"), ("j", "t")]
+    verdicts = spark.createDataFrame([(1, "a", True), (2, "a", False)], "run_id int, source string, complete boolean")
+    verdicts.write.parquet(str(tmp_path / "v"))
+    seen = []
+    streams.liveness_stream(streams.landed(spark, str(tmp_path / "v"), verdicts.schema), lambda batch, n: seen.extend(r.run_id for r in batch.collect()), str(tmp_path / "c")).awaitTermination()
+    assert seen == [1]
+
+
 def test_quality(spark):
     rows = spark.createDataFrame([("lyon", "lyon", ["lyon", "lyon"], ["69123"], ["lyon"]), ("x", "x", ["x"], ["1"], ["y"])], "area string, center string, alias_list array<string>, commune_codes array<string>, commune_names array<string>")
     assert {(r.area, r.rule) for r in quality.area_violations(rows).collect()} == {("lyon", "aliases_repeat"), ("x", "code_form"), ("x", "center_in_communes")}
