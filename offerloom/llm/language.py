@@ -23,6 +23,8 @@ from .texts import FOLD, PIECE, pieces, raw
 UNDETERMINED = "und"
 #: The context symbol of places before a text's start.
 START = 256
+#: Contexts of which the statistics are worked out at a time.
+SLICE = 1024
 
 
 def _history(symbols: np.ndarray, bounds: np.ndarray, lo: int, hi: int, start: int) -> list[np.ndarray]:
@@ -57,9 +59,13 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """The frozen trees of all languages: a node for each context, and the bits of each symbol after each node."""
+    """The frozen trees of all languages: a node for each context, and the bits of each symbol after each node.
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_nodes: int):
+    The table has at most `max_cells` numbers of four bytes for the longest contexts, the most frequent ones first, whatever the
+    number of languages; it is filled SLICE contexts at a time.
+    """
+
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_nodes: int, max_cells: int = 1 << 24):
         self.langs = langs
         parts = [gram >> 27 & 511, gram >> 18 & 511, gram >> 9 & 511, gram & 511]
         used = np.unique(parts[3])
@@ -69,36 +75,36 @@ class Trees:
         self.symbol[START] = k
         self.size, self.base = k, k + 1
         a, b, c, d = (self.symbol[x].astype(np.int64) for x in parts)
+        del parts
         base = self.base
         self.node = np.zeros(base**3, np.int32)
-        bits, parents, probabilities = [], np.zeros(1, np.int64), None
+        max_nodes = max(1, min(max_nodes, max_cells // (k * len(langs))))
+        bits, parents, above = [], np.zeros(1, np.int64), np.full((len(langs), 1, k), 1 / k, np.float32)
         start = 0
         for order in range(4):
             context = [np.zeros_like(c), c, b * base + c, (a * base + b) * base + c][order]
             keys, inverse = np.unique(context, return_inverse=True)
-            if order == 3:
+            rows = np.argsort(inverse, kind="stable")
+            if order == 3 and len(keys) > max_nodes:
                 weight = np.bincount(inverse, n)
                 chosen = np.zeros(len(keys), bool)
                 chosen[np.lexsort((keys, -weight))[:max_nodes]] = True
-                number = np.cumsum(chosen) - 1
-                keys, keep = keys[chosen], chosen[inverse]
-                inverse = number[inverse]
-            else:
-                keep = np.ones(len(n), bool)
-            counts = np.zeros((len(langs), len(keys), k))
-            np.add.at(counts, (lang[keep], inverse[keep], d[keep]), n[keep])
-            if order == 0:
-                parent = np.full((len(langs), 1, k), 1 / k)
-            else:
-                where = [np.zeros_like(keys), keys % base, keys % base**2][order - 1]
-                parent = probabilities[:, np.searchsorted(parents, where)]
-            total, different = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
-            rest = np.where(counts > 0, 0, parent)
-            mass = rest.sum(2, keepdims=True)
-            escape = np.where(mass > 0, different / np.maximum(total + different, 1), 0)
-            seen = counts / np.maximum(total, 1) * (1 - escape)
-            p = np.where(total > 0, seen + escape * rest / np.maximum(mass, 1e-300), parent)
-            bits.append(-np.log2(p).transpose(1, 2, 0).astype(np.float32))
+                rows = rows[chosen[inverse[rows]]]
+                inverse = (np.cumsum(chosen) - 1)[inverse]
+                keys = keys[chosen]
+            parent = np.searchsorted(parents, [np.zeros_like(keys), np.zeros_like(keys), keys % base, keys % base**2][order])
+            table = np.empty((len(keys), k, len(langs)), np.float32)
+            own = np.empty((len(langs), len(keys), k), np.float32) if order < 3 else None
+            cuts = np.searchsorted(inverse[rows], np.arange(0, len(keys) + SLICE, SLICE))
+            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                part, span = rows[lo:hi], slice(i * SLICE, min((i + 1) * SLICE, len(keys)))
+                counts = np.zeros((len(langs), span.stop - span.start, k))
+                np.add.at(counts, (lang[part], inverse[part] - span.start, d[part]), n[part])
+                p = self._probabilities(counts, above[:, parent[span]])
+                table[span] = -np.log2(p).transpose(1, 2, 0)
+                if own is not None:
+                    own[:, span] = p
+            bits.append(table)
             ids = start + np.arange(len(keys), dtype=np.int32)
             if order == 1:
                 self.node.reshape(base * base, base)[:, keys] = ids
@@ -107,9 +113,19 @@ class Trees:
             elif order == 3:
                 self.node[keys] = ids
             start += len(keys)
-            parents, probabilities = keys, p
+            parents, above = keys, own
         self.bits = np.concatenate(bits).reshape(-1, len(langs))
 
+    @staticmethod
+    def _probabilities(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Of each symbol: seen ones by their counts, the others by the escape and the shorter context, without those seen."""
+        total, different = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
+        rest = np.where(counts > 0, 0, parent)
+        mass = rest.sum(2, keepdims=True)
+        escape = np.where(mass > 0, different / np.maximum(total + different, 1), 0)
+        seen = counts / np.maximum(total, 1) * (1 - escape)
+        return np.where(total > 0, seen + escape * rest / np.maximum(mass, 1e-300), parent)
+
     def lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits of each row in each language."""
         out = np.zeros((len(bounds) - 1, len(self.langs)))
@@ -137,19 +153,13 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = 1500, longest: i
     rows = gram_counts(sample).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
     if not rows.num_rows:
         return None
-    langs, lang = np.unique(np.array(rows["lang"].to_pylist()), return_inverse=True)
-    return Trees([str(x) for x in langs], lang, rows["gram"].to_numpy(), rows["n"].to_numpy(), max_nodes)
+    coded = rows["lang"].combine_chunks().dictionary_encode()
+    langs, place = np.unique(np.array(coded.dictionary.to_pylist()), return_inverse=True)
+    return Trees([str(x) for x in langs], place[coded.indices.to_numpy()], rows["gram"].to_numpy(), rows["n"].to_numpy(), max_nodes)
 
 
-def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """Add lang_pred and score, the share of the best language in 2**-bits, from `text` alone.
-
-    A null text, one without a letter, or one scored without any tree is `und` with score 0. Equal texts get equal results;
-    ties go to the language first in code point order. Columns of docs with these names are replaced.
-    """
-    docs = docs.drop("lang_pred", "score")
-    if trees is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+def _scored(docs: DataFrame, trees: Trees) -> tuple[DataFrame, list[Column]]:
+    """docs under names of their own, with the best language, its share and its code length, and the columns of docs in it."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     others = [c for c in docs.columns if c != "text"]
 
@@ -160,17 +170,27 @@ def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
                 bits = own.lengths(*raw(piece.column(0)))
                 best = bits.argmin(1)
                 share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                arrays = [*piece.columns, pa.array([own.langs[i] for i in best], pa.string()), pa.array(share)]
-                yield pa.RecordBatch.from_arrays(arrays, [*piece.schema.names, "__lang", "__score"])
+                arrays = [*piece.columns, pa.array([own.langs[i] for i in best], pa.string()), pa.array(share), pa.array(bits.min(1))]
+                yield pa.RecordBatch.from_arrays(arrays, [*piece.schema.names, "__lang", "__score", "__bits"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"__{c}__") for c in others], lettered.alias("__lettered"))
-    rows = rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
-    return rows.select(
-        *[F.col("text" if c == "text" else f"`__{c}__`").alias(c) for c in docs.columns],
-        F.when(F.col("__lettered"), F.col("__lang")).otherwise(UNDETERMINED).alias("lang_pred"),
-        F.when(F.col("__lettered"), F.col("__score")).otherwise(0.0).alias("score"),
-    )
+    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"__{i}__") for i, c in enumerate(others)], lettered.alias("__lettered"))
+    rows = rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__bits", T.DoubleType())]))
+    rows = rows.withColumn("__lang", F.when(F.col("__lettered"), F.col("__lang")).otherwise(UNDETERMINED)).withColumn("__score", F.when(F.col("__lettered"), F.col("__score")).otherwise(0.0))
+    return rows, [F.col("text" if c == "text" else f"__{others.index(c)}__").alias(c) for c in docs.columns]
+
+
+def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
+    """Add lang_pred, score, the share of the best language in 2**-bits, and bits, the code length in it, from `text` alone.
+
+    A null text, one without a letter, or one scored without any tree is `und` with score 0. Equal texts get equal results;
+    ties go to the language first in code point order. Columns of docs with these names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score", "bits")
+    if trees is None:
+        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "bits": F.lit(0.0)})
+    rows, own = _scored(docs, trees)
+    return rows.select(*own, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__bits").alias("bits"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -183,7 +203,15 @@ def language_digest(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text"), trees).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def confident(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised: not `und`, and with a score of at least `least`."""
-    scored = predict(docs, fit(docs, id_remainder("doc_id", 4) != 2))
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+def confident(docs: DataFrame, least: float = 0.5, most_bits: float = 4.5, spare_bits: float = 64.0) -> DataFrame:
+    """The documents whose language is recognised: not `und`, with a score of at least `least`, and not foreign to all languages.
+
+    The share of the best language is near 1 for noise and unknown languages too; but these cost more than `most_bits` a byte
+    in every tree (text of a learned language costs 2 to 3), beside `spare_bits`, which short texts need.
+    """
+    trees = fit(docs, id_remainder("doc_id", 4) != 2)
+    if trees is None:
+        return docs.where(F.lit(False))
+    rows, own = _scored(docs, trees)
+    known = (F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)
+    return rows.where(known & (F.col("__bits") <= most_bits * F.octet_length("text") + spare_bits)).select(*own)
