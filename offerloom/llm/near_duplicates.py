@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +37,8 @@ BANDS = REGISTERS // BAND
 SMALL = 32
 #: Sets of one side that a block of a shingle's pairs has.
 BLOCK = 256
+#: Columns of 64 bits in which a set's members leave their parities.
+PARITY = tuple(f"m{i}" for i in range(8))
 #: The base of the spacing and the largest value of a register.
 BASE = 1.001
 TOP = 65_534
@@ -146,7 +150,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, members): the full set of each node, as its sorted shingle hashes, from the text of its representative."""
+    """(node, n, members, m0, …): the full set of each node, as its sorted shingle hashes, from the text of its representative, and the
+    parities of how many members fall to each of 64 * len(PARITY) places."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
     owners = nodes.select("node", F.col("rep_id").alias("doc_id"), F.col("rep_tid").alias("tid"))
 
@@ -154,10 +159,24 @@ def full_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 sets = shingle_sets(*raw(piece.column(0)), size)
-                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "members"])
+                places = 64 * len(PARITY)
+                odd = np.array([np.bincount((s % U64(places)).astype(np.int64), minlength=places) & 1 for s in sets], np.uint8)
+                parity = np.packbits(odd, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *[pa.array(np.ascontiguousarray(x)) for x in parity.T]], ["node", "n", "members", *PARITY])
 
     rows = texts.join(owners, texts.doc_id.eqNullSafe(owners.doc_id) & (texts.tid == owners.tid)).select("text", "node")
-    return rows.mapInArrow(cut, "node long, n long, members binary").dropDuplicates(["node"])
+    return rows.mapInArrow(cut, "node long, n long, members binary, " + ", ".join(f"{m} long" for m in PARITY)).dropDuplicates(["node"])
+
+
+def near_enough(percent: int) -> Column:
+    """Whether sizes (n_a, n_b) and parities (a_m0, b_m0, …) of two sets let them reach the threshold.
+
+    Each place where the parities differ has a member that only one of the sets has, and sets of that similarity have at most
+    (100 - percent) * (n_a + n_b) / (100 + percent) such members.
+    """
+    apart = reduce(add, [F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in PARITY])
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return alike & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,11 +239,15 @@ def open_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
     return shared_table(named.join(state.select("bucket"), "bucket"), "open")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """The (a, b) of different components in the buckets of SMALL members at most; prefix_pairs has those of larger ones."""
-    few = rows.where(F.col("members") <= SMALL)
-    other = few.select("bucket", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    return few.join(other, "bucket").where("node < b and component <> c_b").select(F.col("node").alias("a"), "b")
+def _side(x: str) -> list[Column]:
+    return [F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(m).alias(f"{x}_{m}") for m in PARITY]]
+
+
+def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of different components that can reach the threshold, in the buckets of SMALL members at most; prefix_pairs has those
+    of larger ones."""
+    few = rows.where(F.col("members") <= SMALL).drop("members").join(sets.select("node", "n", *PARITY), "node")
+    return few.select("bucket", *_side("a")).join(few.select("bucket", *_side("b")), "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near_enough(percent)).select("a", "b")
 
 
 def shingle_rows(sets: DataFrame) -> DataFrame:
@@ -257,21 +280,20 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
 def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b), a < b, of different components: all pairs of the sets that can reach the threshold, and few that cannot.
 
-    Two sets that reach it share a shingle of their prefixes, their sizes are alike, and from the first shared shingle on each has
-    as many members as the intersection needs. Shingles that many prefixes have are met in salted blocks.
+    Two sets that reach it share a shingle of their prefixes, their sizes and parities are near enough, and from the first shared
+    shingle on each has as many members as the intersection needs. Shingles that many prefixes have are met in salted blocks.
     """
     rows = prefixes(shared_table(shingle_rows(sets), "shingles"), percent)
     named = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = shared_table(named, "prefixes")
     open_ = named.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     rows = named.join(open_.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle")
-    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}")]
-    left = rows.select("shingle", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *side("a"))
-    right = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
-    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    rows = rows.join(sets.select("node", *PARITY), "node")
+    left = rows.select("shingle", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("place").alias("p_a"), *_side("a"))
+    right = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("place").alias("p_b"), *_side("b"))
     enough = (100 + percent) * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= percent * (F.col("n_a") + F.col("n_b"))
     met = (left["shingle"] == right["shingle"]) & (left["block"] == right["block"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    return left.join(right, met & alike & enough).select("a", "b").distinct()
+    return left.join(right, met & enough & near_enough(percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.14, with_node: bool = False) -> DataFrame:
@@ -304,7 +326,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
     label = shared_table(joined_components(label, verified(rest, sets, percent)), "label")
     rows = open_buckets(met, label)
     large = sets.join(rows.where(F.col("members") > SMALL).select("node").distinct(), "node", "left_semi")
-    left = cross_pairs(rows).unionByName(prefix_pairs(large, label, percent)).distinct().join(led, ["a", "b"], "left_anti")
+    left = cross_pairs(rows, sets, percent).unionByName(prefix_pairs(large, label, percent)).distinct().join(led, ["a", "b"], "left_anti")
     links = verified(estimated(shared_table(left, "left"), near, least), sets, percent)
     label = joined_components(label, links)
 
