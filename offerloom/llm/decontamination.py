@@ -9,7 +9,6 @@ bounded by `block_windows`, and a larger benchmark takes one more narrow pass ov
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,25 +62,39 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
 
 
 class Index:
-    """Windows by their rarest word; all arrays, so that it is sent to the tasks as it is."""
-
-    def __init__(self, rows: list, counts: dict[int, int]):
-        by_window: dict[bytes, list[str]] = {}
-        for item, hashes in rows:
-            by_window.setdefault(bytes(hashes), []).append(item)
-        self.items = [sorted(x) for x in by_window.values()]
-        self.words = [np.frombuffer(x, U64) for x in by_window]
-        self.length = np.array([len(x) for x in self.words], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.length)])
-        self.flat = np.concatenate([*self.words, np.zeros(0, U64)])
-        self.place = np.array([min(range(len(x)), key=lambda i: (counts.get(int(x[i]), 0), int(x[i]))) for x in self.words], np.int64)
-        prefix = np.array([x[i] for x, i in zip(self.words, self.place, strict=True)], U64)
-        order = np.argsort(prefix, kind="stable")
-        self.window_of = order
-        self.prefixes, self.at = np.unique(prefix[order], return_index=True)
-        self.at = np.append(self.at, len(order))
+    """Windows by their rarest word; all arrays, so that it is sent to the tasks as it is.
+
+    `windows` has the hashes of the words of each (item, window) row, equal windows next to each other; `known` and `counts` are the
+    sorted words of the windows and how often the corpus has each.
+    """
+
+    def __init__(self, items: pa.Array, windows: pa.Array, known: np.ndarray, counts: np.ndarray):
+        data, bounds = raw(windows)
+        flat, first = data.view(U64) if len(data) else np.zeros(0, U64), bounds // 8
+        cells = windows.to_pylist()
+        new = np.array([i == 0 or x != cells[i - 1] for i, x in enumerate(cells)], bool)
+        starts = np.flatnonzero(new)
+        self.items = items
+        self.item_at = np.append(starts, len(windows))
+        self.length = np.diff(first)[starts]
+        self.first = np.append(0, np.cumsum(self.length))
+        inside = np.repeat(new, np.diff(first))
+        self.flat = flat[inside]
+        # the rarest word of each window, ties by hash: the first in the order of (window, count, hash)
+        window = np.repeat(np.arange(len(starts)), self.length)
+        n = counts[np.searchsorted(known, self.flat)] if len(known) else np.zeros(0, np.int64)
+        order = np.lexsort((self.flat, n, window))
+        rarest = order[self.first[:-1]] if len(starts) else np.zeros(0, np.int64)
+        self.place = rarest - self.first[:-1]
+        prefix = self.flat[rarest]
+        self.window_of = np.argsort(prefix, kind="stable")
+        self.prefixes, at = np.unique(prefix[self.window_of], return_index=True)
+        self.at = np.append(at, len(prefix))
         self.bits = sieve(self.prefixes)
-        self.words = None
+
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        """The items that hold any of the windows."""
+        return {x for w in windows for x in self.items[self.item_at[w] : self.item_at[w + 1]].to_pylist()}
 
     def matches(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of each occurrence in rows whose words begin at `first`."""
@@ -102,9 +115,9 @@ class Index:
         return start, window
 
 
-def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """How often each of the given words (hashes) occurs in all the documents."""
-    known, bits = np.sort(vocabulary), sieve(vocabulary)
+def corpus_counts(docs: DataFrame, known: np.ndarray) -> np.ndarray:
+    """How often each of the given sorted words (hashes) occurs in all the documents."""
+    bits = sieve(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known), np.int64)
@@ -115,33 +128,37 @@ def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known[used].astype(np.int64)), pa.array(total[used])], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect()
-    return {w & (1 << 64) - 1: n for w, n in rows}
+    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(len(known), np.int64)
+    total[np.searchsorted(known, rows["word"].to_numpy().view(U64))] = rows["n"].to_numpy()
+    return total
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_windows: int = 500_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_windows: int = 100_000) -> DataFrame:
     """Add n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256 and contaminated to docs.
 
     docs needs `text`, benchmark `item_id` and `text`. Null and empty texts have no words and no hits; items without words
     have no windows; a null item id counts as the empty string; equal windows of several items count for each of them.
     Repeated rows get equal results; columns of docs of the same names are replaced. `block_windows` bounds what is broadcast
-    at once (about 100 bytes a window). Words are compared by 64-bit hashes, all words of a window each.
+    at once and what the driver holds (about 300 bytes a window). Words are compared by 64-bit hashes, all words of a window each.
     """
     docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     spark, windows = docs.sparkSession, item_windows(benchmark, size).cache()
     blocks = -(-windows.count() // block_windows)
     others = [c for c in docs.columns if c != "text"]
-    out = docs.select("text", *[F.col(f"`{c}`").alias(f"__{c}") for c in others], F.lit(None).cast("binary").alias("__hit__"), F.lit(None).cast("array<string>").alias("__items__"))
-    for block in range(blocks):
-        rows = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == block).collect()]
-        vocabulary = np.unique(np.concatenate([np.frombuffer(h, U64) for _, h in rows] + [np.zeros(0, U64)]))
-        index = spark.sparkContext.broadcast(Index(rows, corpus_counts(docs, vocabulary)))
-        out = out.mapInArrow(_matcher(index, len(others) + 1), out.schema)
+    out = docs.select("text", *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)], F.lit(None).cast("binary").alias("__hit__"), F.lit(None).cast("array<string>").alias("__items__"))
+    counted = T.StructType([T.StructField("__n__", T.LongType()), T.StructField("__h__", T.LongType()), *[f for f in out.schema if f.name != "__hit__"]])
+    for block in range(max(1, blocks)):
+        part = windows.where(F.pmod(F.xxhash64("hashes"), F.lit(max(1, blocks))) == block).toArrow().sort_by("hashes")
+        items, hashes = (part[c].combine_chunks() if part.num_rows else pa.array([], k) for c, k in (("item", pa.string()), ("hashes", pa.binary())))
+        known = np.unique(raw(hashes)[0].view(U64)) if part.num_rows else np.zeros(0, U64)
+        index = spark.sparkContext.broadcast(Index(items, hashes, known, corpus_counts(docs, known) if len(known) else np.zeros(0, np.int64)))
+        last = block >= blocks - 1
+        out = out.mapInArrow(_matcher(index, len(others) + 1, last), counted if last else out.schema)
     windows.unpersist()
-    out = out.mapInArrow(_count_words, T.StructType([T.StructField("__n__", T.LongType()), T.StructField("__h__", T.LongType()), *[f for f in out.schema if f.name != "__hit__"]]))
     items = F.coalesce(F.col("__items__"), F.array().cast("array<string>"))
     return out.select(
-        *[F.col("text" if c == "text" else f"`__{c}`").alias(c) for c in docs.columns],
+        *[F.col("text" if c == "text" else f"__{others.index(c)}").alias(c) for c in docs.columns],
         F.col("__n__").alias("n_words"),
         F.col("__h__").alias("n_hit"),
         F.size(items).cast("bigint").alias("n_items"),
@@ -150,7 +167,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
     )
 
 
-def _matcher(index, hit_at: int):
+def _matcher(index, hit_at: int, last: bool):
+    """Note the hit words and items of a block of windows in the columns at `hit_at`; the `last` block counts words and hits instead."""
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
@@ -172,24 +191,20 @@ def _matcher(index, hit_at: int):
                         if hits[r] is not None:
                             covered |= np.unpackbits(np.frombuffer(hits[r], np.uint8), count=size).astype(bool)
                         hits[r] = np.packbits(covered).tobytes()
-                        items[r] = sorted({x for w in np.unique(window[mine]) for x in own.items[w]}.union(items[r] or ()))
+                        items[r] = sorted(own.items_of(np.unique(window[mine])).union(items[r] or ()))
                     arrays = list(piece.columns)
                     arrays[hit_at], arrays[hit_at + 1] = pa.array(hits, piece.schema.field(hit_at).type), pa.array(items, piece.schema.field(hit_at + 1).type)
                     piece = pa.RecordBatch.from_arrays(arrays, schema=piece.schema)
-                yield piece
+                yield _counted(piece, np.diff(first), hit_at) if last else piece
 
     return match
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch):
-            data, bounds = raw(piece.column(0))
-            n = np.diff(np.searchsorted(words(data, bounds, ALNUM)[0], bounds))
-            names = piece.schema.names
-            hit = [0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in piece.column(names.index("__hit__")).to_pylist()]
-            kept = [i for i, x in enumerate(names) if x != "__hit__"]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(hit, pa.int64()), *[piece.column(i) for i in kept]], ["__n__", "__h__", *[names[i] for i in kept]])
+def _counted(piece: pa.RecordBatch, n: np.ndarray, hit_at: int) -> pa.RecordBatch:
+    """The piece with numbers of words and of hit words first, without the hit words themselves."""
+    hit = [0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in piece.column(hit_at).to_pylist()]
+    kept = [i for i in range(piece.num_columns) if i != hit_at]
+    return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(hit, pa.int64()), *[piece.column(i) for i in kept]], ["__n__", "__h__", *[piece.schema.names[i] for i in kept]])
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

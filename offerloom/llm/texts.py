@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is a piece of its own, cut again inside.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -51,6 +53,13 @@ ALNUM = byte_class(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A
 VISIBLE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
 
+def trimmed() -> None:
+    """Give freed memory back: Python workers stay when their task ends, beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose first column (texts) holds about `most` bytes, one row at least."""
     if not batch.num_rows:
@@ -61,6 +70,7 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[pa.RecordBatch]
         end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    trimmed()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
