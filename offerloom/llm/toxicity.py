@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence is toxic with the logistic of the summed weights of its words and their beginnings, and a document
-with the noisy-or of its sentences, so weights for sentences are learned though only documents have labels. The same
+A document is a bag of sentences. A sentence is toxic with the logistic of the summed weights of its words and their beginnings,
+and a document with the noisy-or of its sentences, so weights for sentences are learned though only documents have labels. The same
 sentence probabilities then tell where in a document the offence is.
 """
 
@@ -21,15 +21,15 @@ from .texts import ALNUM, BYTE_VALUE, FOLD, U64, byte_class, mixed, pieces, raw,
 
 #: Bytes that end a sentence.
 STOP = byte_class(lambda b: b in b".!?\n")
-#: Bytes of a word's beginning, which stands for words that the sample lacks.
-STEM = 5
+#: Bytes of a word's beginnings, which stand for words that the sample lacks.
+STEMS = (4, 5)
 #: A sentence's log-odds before any word speaks.
 PRIOR = -7.0
 
 
 def sentences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features (a hash of each word, then of its beginning), the first feature of each sentence (and the end), the first sentence
-    of each row (and the end), and the features' places.
+    """Features (32-bit hashes of each word, then of its beginnings), the first feature of each sentence (and the end), the first
+    sentence of each row (and the end), and the features' places.
 
     A sentence holds a word at least and lies in one row.
     """
@@ -37,12 +37,14 @@ def sentences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     number = np.searchsorted(np.flatnonzero(STOP[data]), starts) + np.searchsorted(bounds, starts, "right")
     first = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(hashes)) if len(hashes) else np.zeros(1, np.int64)
     row = np.searchsorted(first[:-1], np.searchsorted(starts, bounds))
-    begin = np.zeros(len(starts), U64)
-    for j in range(STEM):
-        long = starts + j < ends
+    begin, parts = np.zeros(len(starts), U64), [hashes]
+    for j in range(max(STEMS)):
         at = np.minimum(starts + j, max(0, len(data) - 1))
-        begin = np.where(long, mixed(begin + BYTE_VALUE[FOLD[data[at]]]), begin) if len(data) else begin
-    return np.stack([hashes, begin ^ U64(STEM)], 1).ravel(), 2 * first, row, np.repeat(np.stack([starts, ends]), 2, axis=1)
+        begin = np.where(starts + j < ends, mixed(begin + BYTE_VALUE[FOLD[data[at]]]), begin) if len(data) else begin
+        if j + 1 in STEMS:
+            parts.append(begin ^ U64(j + 1))
+    features = np.stack(parts, 1).ravel() & U64(0xFFFFFFFF)
+    return features, len(parts) * first, row, np.repeat(np.stack([starts, ends]), len(parts), axis=1)
 
 
 class Weights:
@@ -58,20 +60,21 @@ class Weights:
         return -np.logaddexp(0, self.bias + spoken)
 
 
-def learn(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.15, ridge: float = 2e-4, least_docs: int = 3) -> Weights:
-    """Fit by full-batch gradient steps (Adam) on (label, word hashes, first word of each sentence and the end) of each document."""
-    bags = [b for b in bags if len(b[1])]
-    label = np.array([b[0] for b in bags], float)
+def learn(bags: list[tuple[int, float, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.15, ridge: float = 2e-4, least_docs: int = 3) -> Weights:
+    """Fit by full-batch gradient steps (Adam) on (label, weight, features, first feature of each sentence and the end) of each document."""
+    bags = [b for b in bags if len(b[2])]
+    label, weight = np.array([b[0] for b in bags], float), np.array([b[1] for b in bags], float)
     if not len(bags):
         return Weights(np.zeros(0, U64), np.zeros(0), PRIOR)
-    kept, n = np.unique(np.concatenate([np.unique(b[1]) for b in bags]), return_counts=True)
-    known = kept[n >= least_docs]
-    size = np.array([len(b[1]) for b in bags])
-    hashes = np.concatenate([b[1] for b in bags])
-    per_doc = np.array([len(b[2]) - 1 for b in bags])
-    first = np.concatenate([b[2][:-1] + o for b, o in zip(bags, np.cumsum(size) - size, strict=True)])
+    kept, n = np.unique(np.concatenate([np.unique(b[2]) for b in bags]), return_counts=True)
+    known = kept[n >= least_docs].astype(U64)
+    size = np.array([len(b[2]) for b in bags])
+    hashes = np.concatenate([b[2] for b in bags]).astype(U64)
+    per_doc = np.array([len(b[3]) - 1 for b in bags])
+    first = np.concatenate([b[3][:-1] + o for b, o in zip(bags, np.cumsum(size) - size, strict=True)])
     at, word = places_in(hashes, sieve(known), known)
-    sentence = np.searchsorted(first, at, "right") - 1
+    word, sentence = word.astype(np.int32), (np.searchsorted(first, at, "right") - 1).astype(np.int32)
+    del hashes, at, kept
     begin = np.cumsum(per_doc) - per_doc
     doc = np.repeat(np.arange(len(bags)), per_doc)
     x = np.zeros(len(known) + 1)
@@ -81,8 +84,8 @@ def learn(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rat
         z = x[-1] + np.bincount(sentence, x[word], len(first))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.add.reduceat(np.log1p(-p * (1 - 1e-12)), begin)
-        pull = np.where(label > 0, -np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), 1.0)
-        to_z = p * pull[doc] / len(bags)
+        pull = weight * np.where(label > 0, -np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), 1.0)
+        to_z = p * pull[doc] / weight.sum()
         g = np.append(np.bincount(word, to_z[sentence], len(known)), to_z.sum()) + ridge * np.append(x[:-1], x[-1] - PRIOR) / 10
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -91,27 +94,33 @@ def learn(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, rat
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_docs: int = 6000, longest: int = 1 << 16) -> Weights:
-    """Fit on about `sample_docs` labelled documents, chosen by hash, of `longest` bytes at most each.
+    """Fit on about `sample_docs` labelled documents, chosen by hash, of `longest` bytes at most each: half of each label, as far as
+    there are so many, with weights that give the labels their shares back.
 
-    Rows without an id or a label teach nothing; of several labels of a document the largest counts.
+    Rows without an id or a label teach nothing; of several labels of a document the largest counts. The driver holds the words of the
+    sample as numbers, four bytes each.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn)
     marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    share = sample_docs / max(1, marked.count())
-    chosen = unit_hash("doc_id", seed=43) < share
-    sample = docs.where(chosen & (F.octet_length("text") <= longest)).select("text", "doc_id").join(marked.where(chosen), "doc_id").select("text", "toxic")
+    share = {r["toxic"]: min(1.0, sample_docs / 2 / r["n"]) for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = max(share.values(), default=1.0)
+    of_label = lambda value: F.when(F.col("toxic") == 1, value(share.get(1, most))).otherwise(value(share.get(0, most)))
+    draw = unit_hash("doc_id", seed=43)
+    marked = marked.where(draw < of_label(lambda x: x)).withColumn("weight", of_label(lambda x: most / x))
+    sample = docs.where((draw < most) & (F.octet_length("text") <= longest)).select("text", "doc_id").join(marked, "doc_id").select("text", "toxic", "weight")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 hashes, first, row, _ = sentences(*raw(piece.column(0)))
                 word = first[row]
-                out = [(hashes[a:b].tobytes(), (first[r : s + 1] - a).tobytes()) for a, b, r, s in zip(word[:-1], word[1:], row[:-1], row[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["toxic", "words", "first"])
+                out = [(hashes[a:b].astype(np.uint32).tobytes(), (first[r : s + 1] - a).tobytes()) for a, b, r, s in zip(word[:-1], word[1:], row[:-1], row[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[1:], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["toxic", "weight", "words", "first"])
 
-    rows = sample.mapInArrow(bags, "toxic int, words binary, first binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["words"], r["toxic"]))  # the order of the sums, and so the weights, agree from run to run
-    return learn([(r["toxic"], np.frombuffer(r["words"], U64), np.frombuffer(r["first"], np.int64)) for r in rows])
+    # in an order of their own, so that sums, and so the weights, agree from run to run
+    rows = sample.mapInArrow(bags, "toxic int, weight double, words binary, first binary").toArrow().sort_by([("words", "ascending"), ("toxic", "ascending")])
+    views = zip(rows["toxic"].to_pylist(), rows["weight"].to_pylist(), *[[np.frombuffer(x.as_buffer(), kind) for x in rows[c]] for c, kind in (("words", np.uint32), ("first", np.int64))], strict=True)
+    return learn(list(views))
 
 
 def score(docs: DataFrame, weights: Weights, offending: float = 0.5) -> DataFrame:
@@ -123,7 +132,7 @@ def score(docs: DataFrame, weights: Weights, offending: float = 0.5) -> DataFram
     docs = docs.drop("score", "predicted", "n_sentences", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"__{c}__") for c in others])
+    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"__{i}__") for i, c in enumerate(others)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -144,7 +153,7 @@ def score(docs: DataFrame, weights: Weights, offending: float = 0.5) -> DataFram
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
     rows = rows.mapInArrow(judge, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_sentences", T.LongType()), T.StructField("spans", spans)]))
-    return rows.select(*[F.col("text" if c == "text" else f"`__{c}__`").alias(c) for c in docs.columns], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "spans")
+    return rows.select(*[F.col("text" if c == "text" else f"__{others.index(c)}__").alias(c) for c in docs.columns], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "spans")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
