@@ -6,13 +6,14 @@ signs give unbiased estimates of inner products with a query and a bound on the
 distance. The nearest by estimate are measured on the original vectors; the distance of the last of them is the limit, and
 whatever has a lower bound within it is measured too.
 
-The query set meets all rows in blocks: a block of codes and their vectors, a few megabytes, by a block of queries; of each
-such meeting only the nearest of each query leave the task.
+The query set meets all rows in blocks: codes and vectors stay where they are, in blocks of a few megabytes, and a pass over them
+takes a broadcast block of queries, whose size is a parameter; of each meeting only the nearest of each query leave the task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,19 +75,48 @@ class Frame:
             middle[:, at], low[:, at] = distance, distance - error
         return middle, low
 
-    def nearest(self, codes: tuple, vectors: np.ndarray, query: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the columns of its k nearest and their distances, ties with the last included."""
+    def nearest(self, codes: tuple, vectors: np.ndarray, query: np.ndarray, k: int, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the columns of its k nearest that are not beyond its limit, and their distances; ties with the last are included."""
         middle, low = self.estimates(codes, query)
-        for q, m, lo in zip(query, middle, low, strict=True):
+        reach = limit**2 * (1 + 1e-6)
+        for q, m, lo, most in zip(query, middle, low, reach, strict=True):
+            if lo.min() > most:
+                yield np.zeros(0, np.int64), np.zeros(0)
+                continue
             some = np.argpartition(m, min(4 * k, len(m)) - 1)[: 4 * k]
             first = np.sort(((vectors[some] - q) ** 2).sum(1))
-            at = np.flatnonzero(lo <= first[min(k, len(first)) - 1] * (1 + 1e-6))
+            at = np.flatnonzero(lo <= min(most, first[min(k, len(first)) - 1] * (1 + 1e-6)))
             at = np.union1d(at, some)
             distance = np.sqrt(((vectors[at] - q) ** 2).sum(1))
             keep = distance <= np.partition(distance, min(k, len(at)) - 1)[min(k, len(at)) - 1]
             yield at[keep], distance[keep]
 
 
+class Best:
+    """The k nearest found so far of each query of a block, ties with the last included."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.limit = np.full(len(ids), np.inf)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+
+    def add(self, at: int, nodes: np.ndarray, distance: np.ndarray) -> None:
+        if not len(nodes):
+            return
+        nodes, distance = (np.concatenate(x) for x in zip(self.found[at], (nodes, distance), strict=True))
+        if len(nodes) >= self.k:
+            self.limit[at] = np.partition(distance, self.k - 1)[self.k - 1]
+            near = distance <= self.limit[at]
+            nodes, distance = nodes[near], distance[near]
+        self.found[at] = nodes, distance
+
+    def batches(self, size: int = 512) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.ids), size):
+            part = self.found[at : at + size]
+            query = np.repeat(self.ids[at : at + size], [len(n) for n, _ in part])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([n for n, _ in part])), pa.array(np.concatenate([d for _, d in part]))], ["query_id", "node", "score"])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """The rows with an id and a vector that is not null, empty, zero, or with a null or non-finite component."""
     v = F.col("embedding")
@@ -118,59 +148,75 @@ def _by_length(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, pa.RecordB
         yield int(size), batch.filter(pa.array(sizes == size))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 20_000, centroids: int = 32, rotations: int = 4, code_block: int = 8192, query_block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = 20_000, centroids: int = 32, rotations: int = 4, code_block: int = 8192, query_block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each query row by Euclidean distance, ties to smaller ids.
 
     The rotation and the centroids are fitted on about `sample` vectors chosen by hash; every usable vector is coded.
     Rows that are not `usable` take no part; vectors of another length are not compared; all rows with a query's id count as
-    its own; repeated ids are found once. A query without other rows has no result.
+    its own; repeated ids are found once. A query without other rows has no result. A pass over the codes takes about
+    `query_block` queries, which the driver holds at a time.
     """
+    spark = vectors.sparkSession
     sound = usable(vectors)
     nodes = shared_table(distinct_vectors(sound, k + 1), "vectors")
     queries = shared_table(sound.where(is_query).dropDuplicates(["vec_id"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))), "queries")
     total, asked = nodes.count(), queries.count()
     if not total or not asked:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = min(1.0, sample / total)
     rows = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("node", "embedding").orderBy("node").limit(2 * sample).toArrow()
     frames = {}
     for batch in rows.combine_chunks().to_batches():
         frames |= {size: Frame(_matrix(part.column(1)), centroids, rotations) for size, part in _by_length(batch, 1)}
-    shared = vectors.sparkSession.sparkContext.broadcast(frames)
-    parts = -(-asked // query_block)
+    shared = spark.sparkContext.broadcast(frames)
+    frame_of = lambda size: shared.value.get(size) or Frame(np.zeros((1, size)), 1, rotations)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, own in _by_length(batch, 1):
-                frame = shared.value.get(size) or Frame(np.zeros((1, size)), 1, rotations)
+                frame = frame_of(size)
                 for at in range(0, own.num_rows, code_block):
                     part = own.slice(at, code_block)
                     x = _matrix(part.column(1))
                     cells = [c.tobytes() for c in (part.column(0).to_numpy(), x, *frame.encode(x))]
                     yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["size", *CELLS])
 
-    codes = nodes.select("node", "embedding").mapInArrow(encode, "size int, " + ", ".join(f"{c} binary" for c in CELLS))
-    asks = queries.select((F.col("part") % parts).alias("part"), F.size("embedding").alias("q_size"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asks = asks.groupBy("part", "q_size").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked"))
-    met = codes.withColumn("code_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asks, (F.col("code_part") == F.col("part")) & (F.col("size") == F.col("q_size")))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                size = row["size"]
-                frame = shared.value.get(size) or Frame(np.zeros((1, size)), 1, rotations)
-                node = np.frombuffer(row["nodes"], np.int64)
-                x = np.frombuffer(row["vectors"]).reshape(len(node), size)
-                code = (np.frombuffer(row["near"], np.int32), np.frombuffer(row["packed"], np.uint8).reshape(len(node), -1), np.frombuffer(row["length"]), np.frombuffer(row["own"]).reshape(len(node), -1))
-                for at in range(0, len(row["asked"]), 256):
-                    asked = row["asked"][at : at + 256]
-                    found = list(frame.nearest(code, x, np.array([a["embedding"] for a in asked]), k + 1))
-                    many = [len(c) for c, _ in found]
-                    ids = np.repeat([a["vec_id"] for a in asked], many)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(node[np.concatenate([c for c, _ in found])]), pa.array(np.concatenate([d for _, d in found]))], ["query_id", "node", "score"])
-
-    found = met.select("size", *CELLS, "asked").mapInArrow(scan, "query_id long, node long, score double")
+    codes = shared_table(nodes.select("node", "embedding").mapInArrow(encode, "size int, " + ", ".join(f"{c} binary" for c in CELLS)), "codes")
+
+    def scanned(block) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {size: Best(ids, k + 1) for size, (ids, _) in block.value.items()}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    size = row["size"]
+                    if size not in best:
+                        continue
+                    asked, own = block.value[size][1], best[size]
+                    node = np.frombuffer(row["nodes"], np.int64)
+                    x = np.frombuffer(row["vectors"]).reshape(len(node), size)
+                    code = (np.frombuffer(row["near"], np.int32), np.frombuffer(row["packed"], np.uint8).reshape(len(node), -1), np.frombuffer(row["length"]), np.frombuffer(row["own"]).reshape(len(node), -1))
+                    for at in range(0, len(asked), 256):
+                        near = frame_of(size).nearest(code, x, asked[at : at + 256], k + 1, own.limit[at : at + 256].copy())
+                        for j, (columns, distance) in enumerate(near, at):
+                            own.add(j, node[columns], distance)
+            for own in best.values():
+                yield from own.batches()
+
+        return codes.mapInArrow(scan, "query_id long, node long, score double")
+
+    passes, parts = [], -(-asked // query_block)
+    for part in range(parts):
+        chosen = queries.where(F.col("part") % parts == part).select("vec_id", "embedding").toArrow().combine_chunks().to_batches()
+        by_size: dict[int, list] = {}
+        for batch in chosen:
+            for size, own in _by_length(batch, 1):
+                by_size.setdefault(size, []).append((own.column(0).to_numpy(), _matrix(own.column(1))))
+        block = spark.sparkContext.broadcast({size: tuple(np.concatenate(x) for x in zip(*found, strict=True)) for size, found in by_size.items()})
+        passes.append(shared_table(scanned(block), "found"))
+        block.destroy()
+    shared.destroy()
+    found = reduce(DataFrame.unionByName, passes)
     pairs = found.join(nodes.select("node", "vec_ids"), "node").select("query_id", "score", F.explode("vec_ids").alias("vec_id")).where("vec_id <> query_id")
     by_query = Window.partitionBy("query_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
