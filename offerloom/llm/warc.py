@@ -74,6 +74,7 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, segment_bytes
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"), F.monotonically_increasing_id().alias("uid"))
+    rows = shared_table(rows, "numbered")  # so that both readers below see the same numbers, whatever the input is and whoever is lost
     rows = rows.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("identity", F.concat_ws(":", F.lit("urn:page"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("uid").cast("string")))
     shares = F.octet_length("payload") >= at_least
     first = rows.where(shares).groupBy("digest").agg(F.max(F.struct(F.col("page_id"), "identity")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
