@@ -107,8 +107,8 @@ def reply_order(messages: DataFrame) -> DataFrame:
     heads = heads.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "before")
     placed = turns.join(heads, _same("conv_id", "c") & (F.col("head") == F.col("t")), "left")
     before = F.coalesce("before", F.array().cast("array<bigint>"))
-    placed = placed.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.coalesce("origin", "prior").alias("reply_to"), F.size(before).alias("depth"), F.concat(before, F.array("turn")).alias("path"))
-    out = messages.join(placed, _same("conv_id", "c") & _same("turn", "t")).drop("c", "t")
+    placed = placed.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), F.coalesce("origin", "prior").alias("reply_to"), F.size(before).alias("depth"), F.concat(before, F.array("turn")).alias("path"))
+    out = messages.join(placed, _same("conv_id", "__conv") & _same("turn", "__turn")).drop("__conv", "__turn")
     quoted = F.size(F.filter(line_levels(F.col("text")), lambda x: x["level"] > 0))
     out = out.withColumn("quoted_lines", quoted).withColumn("text", without_quotes(F.col("text")))
     return out.repartitionByRange("conv_id", "path").sortWithinPartitions("conv_id", "path")

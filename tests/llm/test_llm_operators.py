@@ -116,7 +116,12 @@ def test_language_learns_and_ignores_labels(spark):
         assert got[i].held_out == held and got[i].lang_pred == lang and 0.5 < got[i].score <= 1
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert got[None].lang_pred == "fr" and not got[None].held_out
-    assert {r.doc_id for r in language.confident(df).collect()} == set(range(300)) | {None}
+    noise = [(910, "".join(random.Random(1).choice("bcdfghjklmnpqrstvwxz ") for _ in range(900)), "en", "s", 0), (911, "не знакомый язык, которого никто не учил " * 9, "xx", "s", 0)]
+    learned = [r for r in rows if r[2] != "xx"]
+    assert {r.doc_id for r in language.confident(frame(spark, learned)).collect()} == set(range(300)) | {None}
+    odd = language.predict(frame(spark, [*learned, *noise]), language.fit(frame(spark, learned), F.lit(True)))
+    foreign = odd.where("bits > 4.5 * octet_length(text) + 64 and lang_pred <> 'und'")
+    assert {r.doc_id for r in foreign.collect()} == {910, 911}
     assert language.language_digest(frame(spark, [])).collect() == []
 
 
@@ -516,3 +521,48 @@ def test_words_match_patterns(texts):
         want = [w for b in raw for w in re.findall(pattern, bytes(FOLD[np.frombuffer(b, np.uint8)]))]
         assert got == want
         assert len({(w, int(h)) for w, h in zip(got, hashes, strict=True)}) == len(set(got)) == len(set(hashes.tolist()))
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    some = frame(spark, [(1, "one two three four", "en", "a", 1)])
+    assert mixing.mix(none).collect() == [] and mixing.mix_digest(none).collect() == []
+    assert sharding.interleave_shards(none, 4).collect() == []
+    assert near_duplicates.near_duplicates_digest(none).collect() == [] and near_duplicates.keep_one(none).collect() == []
+    assert neighbours.nearest_digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    assert warc.archive_digest(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    assert decontamination.contamination_digest(none, items).collect() == []
+    r = decontamination.contamination_digest(some, items.limit(0)).first()
+    assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (4, 0, 0, False)
+    assert [x.n_hit for x in decontamination.contamination_digest(some, items).collect()] == [3]
+
+
+def test_columns_with_clashing_names(spark):
+    """What a table has beside the named columns passes through, and what has a result's name is replaced."""
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 30), "en", "a", 1) for i in range(12)]
+    extra = ("lang_pred", "score", "bits", "n_words", "n_hit", "shard", "slot", "rate", "spans", "predicted", "contaminated")
+    inside = ("row", "id", "node", "uid", "same", "__row", "__hash", "weight", "toxic", "t", "o", "v", "number", "__lang", "text_hash", "dotted.name")
+    docs = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in (*extra, *inside)})
+    items = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    weights = toxicity.fit(docs, marks, F.lit(True))
+    results = {
+        "language": language.predict(docs, language.fit(docs, F.lit(True))),
+        "decontamination": decontamination.contamination(docs, items),
+        "toxicity": toxicity.score(docs, weights),
+        "sharding": sharding.interleave_shards(docs, 3),
+        "mixing": mixing.mix(docs),
+        "near-duplicates": near_duplicates.keep_one(docs),
+        "confident": language.confident(docs),
+    }
+    for name, result in results.items():
+        got = result.collect()
+        assert {r.doc_id for r in got} <= set(range(12)) and got, name
+        assert all(r[c] == f"own {c}" for r in got for c in inside), name
+    assert {r.lang_pred for r in results["language"].collect()} == {"en"}
+    assert {r.lang_pred for r in results["confident"].collect()} == {"own lang_pred"}
+    turns = spark.createDataFrame([(1, 0, "u", "Hello there."), (1, 1, "a", "> Hello there.\nHi")], "conv_id long, turn long, role string, text string").withColumns({c: F.lit("own") for c in ("path", "c", "t", "span", "head", "before", "level", "s")})
+    got = quotations.reply_order(turns).collect()
+    assert [(r.turn, r.reply_to, list(r.path), r.c, r.span) for r in got] == [(0, None, [0], "own", "own"), (1, 0, [0, 1], "own", "own")]
