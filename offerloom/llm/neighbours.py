@@ -26,7 +26,7 @@ from .shared import shared_table
 #: The binary columns of a block of codes.
 CELLS = ("nodes", "vectors", "near", "packed", "length", "own")
 #: Standard deviations that the error bound covers.
-SURE = 2.0
+SURE = 4.5
 
 
 class Frame:
