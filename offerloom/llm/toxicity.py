@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_docs: int
     of_label = lambda value: F.when(F.col("toxic") == 1, value(share.get(1, most))).otherwise(value(share.get(0, most)))
     draw = unit_hash("doc_id", seed=43)
     marked = marked.where(draw < of_label(lambda x: x)).withColumn("weight", of_label(lambda x: most / x))
-    sample = docs.where((draw < most) & (F.octet_length("text") <= longest)).select("text", "doc_id").join(marked, "doc_id").select("text", "toxic", "weight")
+    sample = docs.where((draw < most) & (F.octet_length("text") <= longest)).select("text", "doc_id").join(F.broadcast(marked), "doc_id").select("text", "toxic", "weight")  # about sample_docs rows
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
