@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment_digest
 from .decontamination import contamination_digest
 from .language import language_digest
 from .mixing import mix_digest
 from .near_duplicates import near_duplicates_digest
 from .neighbours import nearest_digest
+from .private_data import private_digest
 from .quotations import quotation_digest
+from .ranking import search
 from .repeats import repeats_digest
 from .sharding import shard_digest
 from .shared import table
@@ -59,6 +62,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,12 +87,15 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quotations,
         op9_toxicity,
         op10_repeats,
+        op11_personal_data,
+        op12_alignment,
+        op13_ranked_search,
     )
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SHINGLE_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
-#: SQL for the queries that SQL can express on whole tables (the CRC-32 of op1 byte by byte, with a table made from its rule). op8 and op10
+#: SQL for the queries that SQL can express on whole tables (the CRC-32 of op1 byte by byte, with a table made from its rule). op8, op10, op11 and op12
 #: are held against brute force in tests/llm, the models of op3 and op9 by their accuracy on planted and held-out documents.
 LLM_ORACLES: dict[str, str] = {
     "op1_sharding": r"""
@@ -132,4 +150,14 @@ links AS (SELECT a.r AS x, b.r AS y FROM s a JOIN s b ON a.g = b.g AND a.r <> b.
 reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
 comp AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d LEFT JOIN n USING (r) JOIN comp USING (r)""",
+    "op13_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+sums AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS docs, sum(len(w))::BIGINT AS length FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+post AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+parts AS (SELECT p.r, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(w) * docs) // length))) AS part
+  FROM post p JOIN dfs USING (term) JOIN d ON d.r = p.r, sums),
+scored AS (SELECT item_id, r, sum(part)::BIGINT AS score FROM parts JOIN q USING (term) GROUP BY item_id, r HAVING sum(part) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN d USING (r)) WHERE rank <= 50""",
 }
