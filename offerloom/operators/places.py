@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.scalars import haversine_km
 from offerloom.functions.text import fold, let, location_key, slug, squeeze, without_country
-from offerloom.functions.values import CITIES, COUNTRIES, DEPARTMENTS, NOT_A_PLACE, REGIONS, REMOTE_MARKERS, REMOTE_WORDS
+from offerloom.functions.values import CITIES, COUNTRIES, DEPARTMENTS, NOT_A_PLACE, REGIONS, REMOTE_MARKERS, REMOTE_QUALIFIERS, REMOTE_WORDS
+from offerloom.session import shared_table
 
 #: How many districts a city has, and its own department.
 DISTRICTS = {"paris": (20, 75), "lyon": (9, 69), "marseille": (16, 13)}
@@ -61,83 +62,97 @@ def _typed(kind: str, key: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), (F.lit("") if key is None else key).alias("key"))
 
 
-def _plain(key: Column) -> Column:
-    return F.when(key.isin("", *NOT_A_PLACE), _typed("unknown")).when(key.isin(*COUNTRIES, *REGIONS), _typed("non_city", key)).otherwise(_typed("place", key))
-
-
-#: Letters for the words of a clause about remote work; a clause's shape is the string of its words' letters.
-SHAPE = {
-    "m": REMOTE_MARKERS,
-    "a": ("complet", "complete", "europe", "flexible", "international", "monde", "occasionnel", "occasionnelle", "partiel", "partielle", "ponctuel", "ponctuelle", "possible", "regulier", "reguliere", "total", "totale", "worldwide"),
-    "e": ("en",),
-    "f": ("full",),
-    "p": ("a",),
+#: What a word or glued phrase of a clause says about remote work; any other word may name a place.
+SAYS = {
+    **dict.fromkeys((*REMOTE_MARKERS, "a_distance"), "mode"),
+    **dict.fromkeys((*REMOTE_QUALIFIERS, "selon_accord", "selon_accords", "a_convenir", "jours_"), "manner"),
+    **dict.fromkeys(("full", "share_"), "amount"),
+    "a": "at",
+    "en": "in",
 }
-#: Expressions of several words, which become one word: a letter and a tilde.
-UNITS = {"m~": "a distance", "x~": "[0-9]{1,2} pourcent|100 pourcent|100", "a~": "selon accords?|a convenir|[0-9]+ jours?(?: par)?(?: semaine)?"}
+#: Phrases that count as one word.
+GLUED = {r"a distance": "a_distance", r"(?:[0-9]{1,2} pourcent|100(?: pourcent)?)": "share_", r"selon accord": "selon_accord", r"selon accords": "selon_accords", r"a convenir": "a_convenir", r"[0-9]+ jours?(?: par)?(?: semaine)?": "jours_"}
 
 
 def remote_words(clause: Column) -> Column:
-    """The words of a clause's key, with percentages and expressions of several words as one word each."""
+    """The words of a clause's key, with GLUED phrases as one word each."""
     key = location_key(F.replace(clause, F.lit("%"), F.lit(" pourcent ")))
-    for name, unit in UNITS.items():
-        key = F.regexp_replace(key, rf"\b(?:{unit})\b", name)
+    for phrase, word in GLUED.items():
+        key = F.regexp_replace(key, rf"\b{phrase}\b", word)
     return F.split(key, " ")
 
 
-def shape(words: Column) -> Column:
-
-    def letter(w: Column) -> Column:
-        kind = F.when(w.endswith("~"), F.left(w, F.lit(1)))
-        for name, members in SHAPE.items():
-            kind = kind.when(w.isin(*members), name)
-        return kind.otherwise("o")
-
-    return F.array_join(F.transform(words, letter), "")
-
-
 def _is_remote(key: Column) -> Column:
     return F.arrays_overlap(F.split(key, " "), _literals(REMOTE_MARKERS)) | F.concat(F.lit(" "), key, F.lit(" ")).contains(" a distance ")
 
 
-def _bounded(words: Column) -> Column:
-    """Words after a preposition or beside a mode: a place or region unless one of them is about remote work."""
-    key = F.array_join(words, " ")
-    describes = key.isin("", *NOT_A_PLACE) | key.contains("~") | F.arrays_overlap(words, _literals(REMOTE_WORDS)) | _is_remote(key)
-    return F.when(describes, _typed("remote_descriptor")).otherwise(_plain(key))
-
-
-def _remote_clause(words: Column, letters: Column) -> Column:
-    """A clause with a remote mode, by its shape: a place is proved only by "mode à PLACE", "mode en REGION", or a place before the mode."""
-    region = lambda w: F.array_join(w, " ").isin(*COUNTRIES, *REGIONS)
-    part = lambda pattern, i: F.length(F.regexp_extract(letters, pattern, i))
-    to_place, first, last = "^([efx]*m[ax]*)([pe]).+$", "^([efx]*m)", "^(.+?)[efx]*m[ax]*$"
-    named = F.slice(words, part(to_place, 1) + 2, F.size(words))
-    tail = F.slice(words, part(first, 1) + 1, F.size(words))
-    lead = F.slice(words, 1, part(last, 1))
-    says_nothing = F.forall(named, lambda w: w.rlike("^[0-9]*$") | w.isin("a", "en")) | ((F.regexp_extract(letters, to_place, 2) == "e") & ~region(named))
-    return (
-        F.when(letters.rlike(to_place), F.when(says_nothing, _typed("remote_descriptor")).otherwise(_bounded(named)))
-        .when(letters.rlike(first), F.when(region(tail), _typed("non_city", F.array_join(tail, " "))).otherwise(_typed("remote_descriptor")))
-        .when(letters.rlike(last), _bounded(lead))
-        .otherwise(_typed("unknown"))
-    )
-
-
-def _clause(key: Column, words: Column, letters: Column, remote_context: Column) -> Column:
-    """What one clause proves, by its T6 key; a clause without a key, or a bare department, proves nothing."""
+def _run(says: Column, *kinds: str) -> Column:
+    """How many entries at the beginning are of some kinds."""
+    stop = F.array_position(F.transform(says, lambda k: k.isin(*kinds)), F.lit(False))
+    return F.when(stop == 0, F.size(says)).otherwise(stop - 1).cast("int")
+
+
+def span_beside_mode(words: Column) -> Column:
+    """(stands, span): the words of a clause that may name a place, and where they stand to its remote mode, in one scan from either end:
+    at or in (after the mode and that preposition), after, before, or apart (the mode is in the middle of other words)."""
+    told = F.create_map(*[F.lit(x) for pair in SAYS.items() for x in pair])
+
+    def scan(says: Column) -> Column:
+        start = _run(says, "amount", "in")
+        manner = _run(F.slice(says, start + 2, F.size(says)), "manner", "amount")
+        opens = F.try_element_at(says, start + 1) == "mode"
+        link = start + manner + 2  # the place after the mode and what it is said to be like
+        back = F.reverse(says)
+        end = _run(back, "manner", "amount")
+        closes = F.try_element_at(back, end + 1) == "mode"
+        lead = F.size(says) - end - 1 - _run(F.slice(back, end + 2, F.size(says)), "amount", "in")
+        found = lambda stands, span: F.struct(stands.alias("stands"), span.alias("span"))
+        linked = opens & F.try_element_at(says, link).isin("at", "in") & (link < F.size(says))
+        return (
+            F.when(linked, found(F.try_element_at(says, link), F.slice(words, link + 1, F.size(words))))
+            .when(opens, found(F.lit("after"), F.slice(words, start + 2, F.size(words))))
+            .when(closes, found(F.lit("before"), F.slice(words, F.lit(1), lead)))
+            .otherwise(found(F.lit("apart"), F.array().cast("array<string>")))
+        )
+
+    return let(F.transform(words, lambda w: F.coalesce(F.element_at(told, w), F.lit("name"))), scan)
+
+
+def _clause(key: Column, beside: Column, remote_context: Column) -> Column:
+    """What one clause proves, by its T6 key and, with a remote mode in it, the span beside that. A clause without a key, or a bare
+    department, proves nothing. How a span is tied to the rest decides what it may prove:
+
+    | tied                     | region or country | descriptor of remote work, placeholder | other    |
+    | nothing else             | non_city          | unknown                                | place    |
+    | "a", or before the mode  | non_city          | descriptor                             | place    |
+    | "en"                     | non_city          | descriptor (unknown without a mode)    | as left  |
+    | after the mode           | non_city          | descriptor                             | as left  |
+    | apart                    | unknown           | unknown                                | unknown  |
+    """
     own = F.split(key, " ")
-    rest = F.slice(own, 2, F.size(own))
-    region = F.array_join(rest, " ").isin(*COUNTRIES, *REGIONS)
-    return (
-        F.when(key.isin("", *DEPARTMENTS), _typed("skip"))
-        .when(key.isin(*NOT_A_PLACE), _typed("unknown"))
-        .when((F.size(own) > 1) & (own[0] == "a"), _bounded(rest))
-        .when((F.size(own) > 1) & (own[0] == "en"), F.when(region, _typed("non_city", F.array_join(rest, " "))).otherwise(_typed("unknown")))
-        .when(_is_remote(key), _remote_clause(words, letters))
-        .when(remote_context & F.arrays_overlap(own, _literals(REMOTE_WORDS)), _typed("remote_descriptor"))
-        .otherwise(_plain(key))
-    )
+    mode = _is_remote(key)
+    first = F.when((F.size(own) > 1) & own[0].isin("a", "en"), F.when(own[0] == "a", "at").otherwise("in"))
+    # "a" and "en" at the beginning tie what follows before any mode does
+    tied = F.when(first.isNotNull(), first).when(mode, beside["stands"]).otherwise("alone")
+    words = F.when(first.isNotNull(), F.slice(own, 2, F.size(own))).when(mode, beside["span"]).otherwise(own)
+    said = F.struct(tied.alias("tied"), words.alias("words"), (mode & first.isNull()).alias("by_mode"))
+
+    def proves(x: Column) -> Column:
+        name = F.array_join(x["words"], " ")
+        wide = name.isin(*COUNTRIES, *REGIONS)
+        empty = F.forall(x["words"], lambda w: w.rlike("^[0-9]*$") | w.isin("a", "en"))
+        about = name.isin("", *NOT_A_PLACE) | name.contains("_") | F.arrays_overlap(x["words"], _literals(REMOTE_WORDS)) | _is_remote(name)
+        descriptor = F.when(x["by_mode"] | (x["tied"] != "in"), _typed("remote_descriptor")).otherwise(_typed("unknown"))
+        return (
+            F.when(x["tied"] == "apart", _typed("unknown"))
+            .when((x["tied"] == "alone") & remote_context & F.arrays_overlap(x["words"], _literals(REMOTE_WORDS)), _typed("remote_descriptor"))
+            .when(wide, _typed("non_city", name))
+            .when(x["tied"] == "alone", _typed("place", name))
+            .when(x["tied"].isin("in", "after") | about | (x["by_mode"] & (x["tied"] == "at") & empty), descriptor)
+            .otherwise(_typed("place", name))
+        )
+
+    return F.when(key.isin("", *DEPARTMENTS), _typed("skip")).when(key.isin(*NOT_A_PLACE), _typed("unknown")).otherwise(let(said, proves))
 
 
 def evidence(labels: DataFrame, column: str = "location") -> DataFrame:
@@ -154,10 +169,10 @@ def evidence(labels: DataFrame, column: str = "location") -> DataFrame:
     rows = rows.withColumn("parts", F.when(F.col("one"), F.array(bare)).otherwise(clauses(F.coalesce("label", F.lit("")))))
     # used often below, so that they stay columns of their own
     rows = rows.withColumn("keys", F.transform("parts", location_key)).withColumn("words", F.transform("parts", remote_words))
-    rows = rows.withColumn("shapes", F.transform("words", shape)).withColumn("remote", F.transform("keys", _is_remote))
+    rows = rows.withColumn("beside", F.transform("words", span_beside_mode)).withColumn("remote", F.transform("keys", _is_remote))
     rows = rows.withColumn("in_remote", F.exists("remote", lambda r: r) & ~F.col("one"))
-    each = F.arrays_zip("keys", "words", "shapes")
-    rows = rows.withColumn("typed", F.transform(each, lambda x: _clause(x["keys"], x["words"], x["shapes"], F.col("in_remote"))))
+    each = F.arrays_zip("keys", "beside")
+    rows = rows.withColumn("typed", F.transform(each, lambda x: _clause(x["keys"], x["beside"], F.col("in_remote"))))
     of = lambda kind: F.array_distinct(F.filter("typed", lambda t: t["kind"] == kind))
     rows = rows.select("label", "typed", "remote", of("place").alias("places"), of("non_city").alias("scopes"), of("unknown").alias("unknown"))
     bearing = F.exists(F.arrays_zip("typed", "remote"), lambda x: (x["typed"]["kind"] == "place") & x["remote"])
@@ -220,9 +235,14 @@ def near(rows: DataFrame, centre: str, km: float, column: str = "location") -> D
     return rows.join(found, rows[column] == found["label"], "left_semi")
 
 
+def _labels(rows: DataFrame, column: str) -> DataFrame:
+    """(label, own): the distinct labels and their keys, written, as a filter on the key would else be worked out on every row."""
+    return shared_table(rows.select(F.col(column).alias("label")).distinct().withColumn("own", city_key(F.col("label"))), "labels")
+
+
 def in_places(rows: DataFrame, keys: list[str], column: str = "location", labels: DataFrame | None = None) -> DataFrame:
     """Rows whose municipality is one of `keys`, worked out once for each distinct label: of rows, or of `labels`, which may be cheaper to read."""
-    labels = (rows if labels is None else labels).select(F.col(column).alias("label")).distinct().where(municipality(city_key(F.col("label"))).isin(*keys))
+    labels = _labels(rows if labels is None else labels, column).where(municipality(F.col("own")).isin(*keys))
     return rows.join(labels, rows[column] == labels["label"], "left_semi")
 
 
@@ -235,7 +255,7 @@ def metropole_match(rows: DataFrame, requests: list[str], areas: DataFrame, colu
     asked = spark.createDataFrame([(r,) for r in requests], "request string").select(city_key(F.col("request")).alias("key")).distinct()
     wide = asked.join(areas, asked["key"] == areas["alias"]).select(F.col("commune").alias("place"), F.lit(True).alias("wide"))
     plain = asked.join(areas, asked["key"] == areas["alias"], "left_anti").select(F.col("key").alias("place"), F.lit(False).alias("wide"))
-    labels = (rows if labels is None else labels).select(F.col(column).alias("label")).distinct().withColumn("own", city_key(F.col("label")))
+    labels = _labels(rows if labels is None else labels, column)
     labels = labels.join(wide.unionByName(plain), F.when(F.col("wide"), municipality(F.col("own"))).otherwise(F.col("own")) == F.col("place"), "left_semi")
     return rows.join(labels, rows[column] == labels["label"], "left_semi")
 

@@ -7,6 +7,8 @@ places squared, whatever its listings. Rows come back where a result is about li
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from collections import defaultdict
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -14,51 +16,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from offerloom.functions.text import company_key, is_company, seniority, title_key
 from offerloom.operators.places import evidence
+from offerloom.operators.similarity import components, similar_titles
 from offerloom.session import shared_table
 
 CONFIRMED, POSSIBLE = 0.92, 0.78
 PROFILE = ("company_key", "title_key", "rank", "location", "loc_kind", "loc_key")
 
 
-def _letters(keys: pd.Series) -> np.ndarray:
-    """How often each byte value (modulo 64) occurs in each key; at most so many letters can match between two."""
-    raw = [k.encode() for k in keys]
-    owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-    value = np.frombuffer(b"".join(raw), np.uint8) & 63
-    return np.bincount(owner * 64 + value, minlength=len(raw) * 64).reshape(-1, 64)
-
-
-def _ratio(least: float):
-    @F.pandas_udf(T.DoubleType())
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        bound = 2 * np.minimum(_letters(left), _letters(right)).sum(1) / np.maximum(1, [len(a.encode()) + len(b.encode()) for a, b in zip(left, right, strict=True)])
-        return pd.Series([SequenceMatcher(None, a, b).ratio() if most >= least else None for a, b, most in zip(left, right, bound, strict=True)], dtype="float64")
-
-    return ratio
-
-
-def title_scores(pairs: DataFrame, least: float = POSSIBLE) -> DataFrame:
-    """The distinct (a, b) keys, a <= b, whose similarity is `least` or more, with it.
-
-    Only pairs whose lengths and letters allow `least` are compared letter by letter.
-    """
-    pairs = pairs.select("a", "b").distinct()
-    bound = 2 * F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a") + F.length("b"), F.lit(1))
-    equal = pairs.where("a = b").withColumn("score", F.lit(1.0))
-    near = pairs.where((F.col("a") != F.col("b")) & (bound >= least)).withColumn("score", _ratio(least)("a", "b")).where(F.col("score") >= least)
-    return equal.unionByName(near)
-
-
 def keyed(rows: DataFrame) -> DataFrame:
-    """Add company_key, title_key and rank to listings; they are made once for each distinct text and joined back."""
-    companies = rows.select(F.col("company").alias("c")).distinct().withColumn("company_key", company_key(F.col("c")))
+    """Add company_key, title_key and rank to listings; they are made once for each distinct text, written, and joined back: a filter on
+    a key that is only an expression would be worked out on every row."""
+    companies = shared_table(rows.select(F.col("company").alias("c")).distinct().withColumn("company_key", company_key(F.col("c"))), "companies")
     titles = rows.select(F.col("title").alias("t"), F.col("experience_level").alias("e")).distinct()
-    titles = titles.withColumns({"title_key": title_key(F.col("t")), "rank": seniority(F.col("t"), F.col("e"))})
+    titles = shared_table(titles.withColumns({"title_key": title_key(F.col("t")), "rank": seniority(F.col("t"), F.col("e"))}), "titles")
     rows = rows.join(companies, F.col("company").eqNullSafe(F.col("c")))
     return rows.join(titles, F.col("title").eqNullSafe(F.col("t")) & F.col("experience_level").eqNullSafe(F.col("e"))).drop("c", "t", "e")
 
@@ -68,8 +42,9 @@ def prepared(listings: DataFrame) -> DataFrame:
 
     They are written as a table: pairs read them many times, and plans over their expressions would grow with each use.
     """
-    rows = keyed(listings.select("ord", "source", "title", "company", "location", "experience_level")).where(is_company(F.col("company_key")))
-    proved = evidence(listings).withColumnsRenamed({"kind": "loc_kind", "key": "loc_key"})
+    base = shared_table(listings.select("ord", "source", "title", "company", "location", "experience_level"), "texts")
+    rows = keyed(base).where(is_company(F.col("company_key")))
+    proved = evidence(base).withColumnsRenamed({"kind": "loc_kind", "key": "loc_key"})
     return shared_table(rows.join(proved, F.col("location").eqNullSafe(F.col("label"))).drop("label"), "keys")
 
 
@@ -133,14 +108,27 @@ def candidate_pairs(found: DataFrame) -> DataFrame:
     return equal.unionByName(unknown_a).unionByName(unknown_b)
 
 
-def decided(pairs: DataFrame, classify: Callable[[Column], Column] = decision) -> DataFrame:
-    """The candidate pairs that `classify` does not call none: left and right profile, kind, score, reasons, and both sides.
+def decided(found: DataFrame, classify: Callable[[Column], Column] = decision) -> DataFrame:
+    """The pairs of profiles that `classify` does not call none: left and right profile, kind, score, reasons, and both sides.
 
-    Titles are scored once for each distinct pair of keys.
+    Which titles of a company are near comes first (similar_titles); profiles then meet by company, title and place, and unknown places
+    by company and title. Further columns of `found` come along on both sides. A profile of several sources meets itself.
     """
-    keyed = pairs.withColumns({"a": F.least("a_title_key", "b_title_key"), "b": F.greatest("a_title_key", "b_title_key")})
-    scored = keyed.join(title_scores(keyed), ["a", "b"]).withColumn("d", classify(F.col("score"))).where("d.kind <> 'none'")
-    return scored.select(F.col("a_profile").alias("left"), F.col("b_profile").alias("right"), "d.kind", "score", "d.reasons", *[c for c in pairs.columns if c.startswith(("a_", "b_")) and not c.endswith("band")])
+    rows = found.where("loc_kind <> 'conflict'")
+    near = similar_titles(rows, POSSIBLE)
+    near = near.unionByName(near.select("company_key", F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    near = shared_table(near.unionByName(rows.select("company_key", F.col("title_key").alias("a"), F.col("title_key").alias("b"), F.lit(1.0).alias("score")).distinct()), "near")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in found.columns]
+    a = rows.select(*side("a")).join(near.select(F.col("company_key").alias("a_company_key"), F.col("a").alias("a_title_key"), F.col("b").alias("to"), "score"), ["a_company_key", "a_title_key"])
+    b = rows.select(*side("b"))
+    title = (F.col("a_company_key") == F.col("b_company_key")) & (F.col("to") == F.col("b_title_key"))
+    fits = (F.col("a_profile") <= F.col("b_profile")) & (F.size(F.array_union("a_sources", "b_sources")) > 1)
+    fits = fits & (F.col("a_rank").isNull() | F.col("b_rank").isNull() | (F.col("a_rank") == F.col("b_rank")))
+    pairs = a.join(b, title & (F.col("a_loc_kind") == F.col("b_loc_kind")) & (F.col("a_loc_key") == F.col("b_loc_key")) & fits)
+    for x, y in ((a.where("a_loc_kind = 'unknown'"), b.where("b_loc_kind <> 'unknown'")), (a.where("a_loc_kind <> 'unknown'"), b.where("b_loc_kind = 'unknown'"))):
+        pairs = pairs.unionByName(x.join(y, title & fits))
+    said = pairs.withColumn("d", classify(F.col("score"))).where("d.kind <> 'none'")
+    return said.select(F.col("a_profile").alias("left"), F.col("b_profile").alias("right"), "d.kind", "score", "d.reasons", *[f"{x}_{c}" for x in "ab" for c in found.columns])
 
 
 def exact_blocks(rows: DataFrame) -> DataFrame:
@@ -152,55 +140,72 @@ def exact_blocks(rows: DataFrame) -> DataFrame:
 def replay(block: pd.DataFrame) -> pd.DataFrame:
     """U6 in one block: offers in arrival order walk the clusters before them; sources must be disjoint, the candidate survives.
 
-    `block` has ord, source, title_key and rank; result: ord, keep.
+    `block` has ord, source, title_key and rank; result: ord, keep. Clusters alike in sources, title and rank are one class, in
+    which the next one is found by bisection, so an offer looks at classes, not at clusters.
     """
     block = block.sort_values("ord")
-    clusters: list[dict] = []
-    owner: dict[int, int] = {}
+    masks = {s: 1 << i for i, s in enumerate(sorted(block["source"].unique()))}
+    classes: dict[tuple, list[int]] = defaultdict(list)
+    kind: dict[int, tuple] = {}
+    above: dict[int, int] = {}
     scores: dict[tuple[str, str], float] = {}
+
+    def fits(other: tuple, mine: tuple) -> bool:
+        if other[0] & mine[0] or (other[2] is not None and mine[2] is not None and other[2] != mine[2]):
+            return False
+        pair = (other[1], mine[1]) if other[1] <= mine[1] else (mine[1], other[1])
+        if pair not in scores:
+            scores[pair] = 1.0 if pair[0] == pair[1] else SequenceMatcher(None, *pair).ratio()
+        return scores[pair] >= CONFIRMED
+
     for row in block.itertuples():
-        current = {"ord": row.ord, "members": [row.ord], "sources": {row.source}, "title": row.title_key, "rank": row.rank}
-        for other in list(clusters):
-            if other["sources"] & current["sources"] or (pd.notna(other["rank"]) and pd.notna(current["rank"]) and other["rank"] != current["rank"]):
-                continue
-            pair = tuple(sorted((other["title"], current["title"])))
-            if pair not in scores:
-                scores[pair] = 1.0 if pair[0] == pair[1] else SequenceMatcher(None, *pair).ratio()
-            if scores[pair] >= CONFIRMED:
-                other["members"] += current["members"]
-                other["sources"] |= current["sources"]
-                clusters = [c for c in clusters if c is not current]
-                current = other
-        if current["ord"] == row.ord:
-            clusters.append(current)
-    for c in clusters:
-        owner |= dict.fromkeys(c["members"], c["ord"])
-    return pd.DataFrame({"ord": list(owner), "keep": list(owner.values())})
+        current, mine, at = row.ord, (masks[row.source], row.title_key, None if pd.isna(row.rank) else row.rank), None
+        above[current] = current
+        while True:
+            following = [own[i] for c, own in classes.items() if own and fits(c, mine) and (i := 0 if at is None else bisect_right(own, at)) < len(own)]
+            if not following:
+                break
+            at = other = min(following)
+            for cluster in {other, current} & kind.keys():
+                classes[kind[cluster]].remove(cluster)
+            above[current], old = other, kind.pop(other)
+            kind.pop(current, None)
+            current, mine = other, (old[0] | mine[0], old[1], old[2])
+            kind[current] = mine
+            insort(classes[mine], current)
+        if current not in kind:
+            kind[current] = mine
+            insort(classes[mine], current)
+
+    def survivor(cluster: int) -> int:
+        while above[cluster] != cluster:
+            above[cluster] = above[above[cluster]]
+            cluster = above[cluster]
+        return cluster
+
+    return pd.DataFrame({"ord": list(above), "keep": [survivor(o) for o in above]}, dtype="int64")
 
 
 def clusters(rows: DataFrame) -> DataFrame:
     """(ord, keep) for each prepared listing, as arrivals in order of ord would be merged.
 
-    Confirmed pairs never leave a block of one company and one place, and in it only titles meet that are confirmed to each other.
-    A title and rank with no such partner but itself needs no walk: the k-th listing of each source joins the k-th cluster, as
-    every earlier cluster has its source already. Only what has partners is replayed, block by block. A listing without
-    a proved place stays alone.
+    Confirmed pairs never leave a block of one company, one place and titles that are joined by confirmed similarities, step by step. A
+    title and rank with no partner but itself needs no walk: the k-th listing of each source joins the k-th cluster, as every
+    earlier cluster has its source already. Only what has partners is replayed, component by component: one task holds the listings of a
+    company's place whose titles are joined. A listing without a proved place stays alone.
     """
-    block = ["company_key", "loc_key"]
-    placed = rows.where("loc_kind = 'place'").select(*block, "ord", "source", "title_key", F.coalesce(F.col("rank").cast("double"), F.lit(-1.0)).alias("rank"))
-    units = placed.select(*block, "title_key", "rank").distinct()
-    other = units.select(*block, F.col("title_key").alias("t2"), F.col("rank").alias("r2"))
-    alike = (F.col("rank") == -1) | (F.col("r2") == -1) | (F.col("rank") == F.col("r2"))
-    met = units.join(other, block).where(alike & ((F.col("title_key") != F.col("t2")) | (F.col("rank") != F.col("r2"))))
-    met = met.withColumns({"a": F.least("title_key", "t2"), "b": F.greatest("title_key", "t2")})
-    bound = 2 * F.least(F.length("a"), F.length("b")) >= CONFIRMED * (F.length("a") + F.length("b"))
-    met = met.where(bound)
-    mixed = met.join(title_scores(met, CONFIRMED), ["a", "b"]).select(*block, "title_key", "rank").distinct().withColumn("mixed", F.lit(True))
-    marked = placed.join(mixed, [*block, "title_key", "rank"], "left")
-    unit = [*block, "title_key", "rank"]
+    placed = rows.where("loc_kind = 'place'").select("company_key", "loc_key", "ord", "source", "title_key", F.coalesce(F.col("rank").cast("double"), F.lit(-1.0)).alias("rank"))
+    joined = shared_table(components(similar_titles(placed, CONFIRMED)), "components")
+    block = ["company_key", "loc_key", "component"]
+    marked = placed.join(joined, ["company_key", "title_key"], "left").withColumn("component", F.coalesce("component", "title_key"))
+    # a block needs a walk where two of its titles and ranks can meet: several titles, or one with a rank beside none
+    kinds = marked.groupBy(*block).agg(F.size(F.collect_set("title_key")).alias("titles"), F.min("rank").alias("least"), F.max("rank").alias("most"))
+    walk = (F.col("titles") > 1) | ((F.col("least") == -1) & (F.col("most") > -1))
+    marked = marked.join(kinds.select(*block, walk.alias("walk")), block)
+    unit = [*block, "rank"]
     at = F.row_number().over(Window.partitionBy(*unit, "source").orderBy("ord"))
-    alone = marked.where("mixed is null").withColumn("at", at).withColumn("keep", F.min("ord").over(Window.partitionBy(*unit, "at"))).select("ord", "keep")
-    walked = marked.where("mixed").withColumn("rank", F.nullif(F.col("rank"), F.lit(-1.0))).drop("mixed").groupBy(*block).applyInPandas(replay, "ord long, keep long")
+    alone = marked.where("not walk").withColumn("at", at).withColumn("keep", F.min("ord").over(Window.partitionBy(*unit, "at"))).select("ord", "keep")
+    walked = marked.where("walk").withColumn("rank", F.nullif(F.col("rank"), F.lit(-1.0))).select(*block, "ord", "source", "title_key", "rank").groupBy(*block).applyInPandas(replay, "ord long, keep long")
     return alone.unionByName(walked).unionByName(rows.where("loc_kind <> 'place'").select("ord", F.col("ord").alias("keep")))
 
 
@@ -243,18 +248,43 @@ def remap_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.groupBy("left_id", "right_id").agg(F.max(F.struct("score", "kind")).alias("e")).select("left_id", "right_id", "e.kind", "e.score")
 
 
-def possible_edges(listings: DataFrame) -> DataFrame:
-    """(left_id, right_id, kind, score, reasons) of the possible duplicates among jobs, ids in order, the highest score of a pair.
+def written_jobs(listings: DataFrame) -> DataFrame:
+    """Profiles of listings as jobs that nobody has merged: a job is a company, a place as it is written and a title, and its id is made of these.
+    `sources` are those of all listings of the job, active or not."""
+    found = profiles(prepared(listings)).withColumn("job_id", F.concat_ws("|", "company_key", "location", "title_key"))
+    whole = found.groupBy("job_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("all_sources"))
+    return found.join(whole, "job_id").drop("sources").withColumnRenamed("all_sources", "sources")
+
+
+def merged_jobs(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Profiles of the jobs that are left of prepared listings after merges (ord, keep): the survivor's keys, the sources of all members."""
+    members = rows.join(kept, "ord")
+    whole = members.groupBy(F.col("keep").alias("profile")).agg(F.count(F.lit(1)).alias("listings"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return rows.where("ord is not null").select(*PROFILE, F.col("ord").alias("profile")).join(whole, "profile").withColumn("job_id", F.col("profile"))
 
-    A job is a company, a place as it is written and a title; its id is made of these.
+
+def possible_edges(jobs: DataFrame) -> DataFrame:
+    """(left_id, right_id, kind, score, reasons) of the possible duplicates among jobs, ids in order, the highest score of a pair.
+
+    Jobs that have a source in common are never duplicates: a source does not show one job twice. `jobs` has PROFILE, profile, listings, sources, job_id.
     """
-    rows = decided(candidate_pairs(profiles(prepared(listings)))).where("kind = 'possible'")
-    a, b = (F.concat_ws("|", f"{x}_company_key", f"{x}_location", f"{x}_title_key") for x in "ab")
-    rows = rows.select(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id"), "kind", "score", "reasons").where("left_id < right_id")
+    rows = decided(jobs).where(F.col("kind") == "possible").where(~F.arrays_overlap("a_sources", "b_sources"))
+    rows = rows.select(F.least("a_job_id", "b_job_id").alias("left_id"), F.greatest("a_job_id", "b_job_id").alias("right_id"), "kind", "score", "reasons").where("left_id < right_id")
     return rows.groupBy("left_id", "right_id", "kind").agg(F.max("score").alias("score"), F.min("reasons").alias("reasons"))
 
 
-def maintain_edges(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
-    """The new edges; those that were there keep created_at. What is no candidate any more, or no possible duplicate, is not among them."""
-    kept = old.select("left_id", "right_id", "created_at")
-    return new.join(kept, ["left_id", "right_id"], "left").withColumn("created_at", F.coalesce("created_at", as_of)).withColumn("updated_at", as_of)
+def maintain_edges(old: DataFrame, new: DataFrame, as_of: Column, touched: DataFrame | None = None) -> DataFrame:
+    """(left_id, right_id, score, created_at, updated_at, change) after an update: kept, added or removed.
+
+    `new` are the edges worked out again, of all jobs or only of the ids in `touched` (job_id): an old edge without a touched
+    end stays as it is. One that is worked out no more goes: its jobs came to share a source, are no longer near, or were merged.
+    """
+    if touched is not None:
+        ends = old.select("left_id", "right_id", F.explode(F.array("left_id", "right_id")).alias("job_id")).join(touched.select("job_id").distinct(), "job_id", "left_semi")
+        again = ends.select("left_id", "right_id").distinct()
+        still = old.join(again, ["left_id", "right_id"], "left_anti").select("left_id", "right_id", "score", "created_at", "updated_at", F.lit("kept").alias("change"))
+        return maintain_edges(old.join(again, ["left_id", "right_id"], "left_semi"), new, as_of).unionByName(still)
+    before = old.select("left_id", "right_id", F.col("score").alias("was"), F.col("created_at"), F.col("updated_at").alias("before"))
+    rows = before.join(new.select("left_id", "right_id", "score"), ["left_id", "right_id"], "full")
+    change = F.when(F.col("score").isNull(), "removed").when(F.col("created_at").isNull(), "added").otherwise("kept")
+    return rows.select("left_id", "right_id", F.coalesce("score", "was").alias("score"), F.coalesce("created_at", as_of).alias("created_at"), F.when(F.col("score").isNull(), F.col("before")).otherwise(as_of).alias("updated_at"), change.alias("change"))

@@ -66,6 +66,11 @@ def offers(spark: SparkSession, sf_dir: str, searches: bool = False) -> DataFram
     return rows.select(*[F.expr(e).alias(n) for n, e in OFFER.items() if searches or n != "search_name"])
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The locations of all offers, which need no other table than lineitem."""
+    return star(spark, sf_dir, "lineitem").select(F.expr(OFFER["location"]).alias("location"))
+
+
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order; Spark cuts to one row per key before the shuffle too."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")

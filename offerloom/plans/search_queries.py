@@ -10,7 +10,7 @@ from offerloom.functions.values import CITIES
 from offerloom.operators import places as P
 from offerloom.operators import resolve as D
 from offerloom.operators import search as Q
-from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, as_of, listings, offers, search_listings, star
+from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, as_of, labels, listings, offers, search_listings, star
 from offerloom.plans.scalar_queries import quoted, sql_city, sql_filter_key, sql_key, sql_municipality
 from offerloom.session import shared_table
 
@@ -46,7 +46,7 @@ def _filter(name: str, sql: str, **asked) -> None:
 def m0(spark, sf_dir):
     asked = Q.JobQuery(contracts=("cdi",))
     rows = Q.matching(jobs(spark, sf_dir), asked, as_of())
-    return Q.page(P.in_places(rows, ["paris"], labels=offers(spark, sf_dir)), asked).select(*COLUMNS)
+    return Q.page(P.in_places(rows, ["paris"], labels=labels(spark, sf_dir)), asked).select(*COLUMNS)
 
 
 _filter("f3_posted_since", f"posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY", period="3d")
@@ -80,7 +80,7 @@ _IN_PARIS = f"{sql_municipality(f'({sql_city('location')})')} IN ('paris', 'boul
 
 @query("f5_locations", WITH_LISTINGS + f"SELECT {ROW} FROM listings WHERE {_IN_PARIS} OR {sql_city('location')} = 'nantes'")
 def f5(spark, sf_dir):
-    return P.metropole_match(jobs(spark, sf_dir), ["Paris", "Nantes (44)"], P.areas(spark), labels=offers(spark, sf_dir)).select(*COLUMNS)
+    return P.metropole_match(jobs(spark, sf_dir), ["Paris", "Nantes (44)"], P.areas(spark), labels=labels(spark, sf_dir)).select(*COLUMNS)
 
 
 @query("b5_metropole", WITH_OFFERS + f"SELECT location, count(*) AS n FROM offers WHERE {sql_municipality(f'({sql_city('location')})')} IN ('lyon', 'villeurbanne') GROUP BY 1")
@@ -167,8 +167,9 @@ _CANON = f"canon AS (SELECT *, concat({sql_key('company')}, '|', location, '|',
 
 def canonical(spark, sf_dir):
     """Listings with their job_id, written once: what is asked of jobs reads them several times."""
-    rows = D.keyed(listings(spark, sf_dir)).withColumn("job_id", F.concat_ws("|", "company_key", "location", "title_key"))
-    return shared_table(rows.select("job_id", "ord", "source", "url", "active", "title", "company", "location", "experience_level"), "jobs")
+    columns = ["ord", "source", "url", "active", "title", "company", "location", "experience_level"]
+    rows = D.keyed(shared_table(listings(spark, sf_dir).select(*columns), "texts")).withColumn("job_id", F.concat_ws("|", "company_key", "location", "title_key"))
+    return shared_table(rows.select("job_id", *columns), "jobs")
 
 
 _WITH = WITH_LISTINGS.rstrip() + f", {_CANON} "
@@ -183,7 +184,7 @@ def g1(spark, sf_dir):
 @query("g2_possible")
 def g2(spark, sf_dir):
     rows = canonical(spark, sf_dir)
-    return Q.possible_jobs(D.possible_edges(rows), Q.confirmed_jobs(rows))
+    return Q.possible_jobs(D.possible_edges(D.written_jobs(rows)), Q.confirmed_jobs(rows))
 
 
 @query("g3_sources", _WITH + "SELECT job_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM canon WHERE active GROUP BY 1")
@@ -194,7 +195,7 @@ def g3(spark, sf_dir):
 @query("g4_duplicate_state")
 def g4(spark, sf_dir):
     links = canonical(spark, sf_dir)
-    return Q.with_state(links.select("job_id").distinct(), links, D.possible_edges(links))
+    return Q.with_state(links.select("job_id").distinct(), links, shared_table(D.possible_edges(D.written_jobs(links)), "edges"))
 
 
 @query("f13_state_filter")
@@ -206,7 +207,7 @@ def f13(spark, sf_dir):
 def g5(spark, sf_dir):
     links = canonical(spark, sf_dir)
     shown = links.groupBy("job_id").agg(F.min_by("title", "ord").alias("title"), F.min_by("company", "ord").alias("company"), F.min_by("location", "ord").alias("location"))
-    return Q.cards(shown, links, shared_table(D.possible_edges(links), "edges"))
+    return Q.cards(shown, links, shared_table(D.possible_edges(D.written_jobs(links)), "edges"))
 
 
 @query("g5_card_sources", _WITH + "SELECT job_id, count(*) AS n_sources, array_to_string(list(source ORDER BY ord), ',') AS sources FROM canon GROUP BY 1")
@@ -219,7 +220,7 @@ def g5_sources(spark, sf_dir):
 
 @query("b8_possible_pairs")
 def b8(spark, sf_dir):
-    e = shared_table(D.possible_edges(canonical(spark, sf_dir)), "edges")
+    e = shared_table(D.possible_edges(D.written_jobs(canonical(spark, sf_dir))), "edges")
     return e.select(F.col("left_id").alias("job_id"), F.col("right_id").alias("other"), "score").unionByName(e.select(F.col("right_id").alias("job_id"), F.col("left_id").alias("other"), "score"))
 
 

@@ -151,13 +151,13 @@ def b1(spark, sf_dir):
 @query("u4_decisions")
 def u4_near(spark, sf_dir):
     """Every pair of profiles that is confirmed or possible; SQL has no title similarity."""
-    rows = D.decided(D.candidate_pairs(D.profiles(D.prepared(listings(spark, sf_dir)))))
+    rows = D.decided(D.profiles(D.prepared(listings(spark, sf_dir))))
     return rows.select("left", "right", "kind", "score", "reasons", "a_listings", "b_listings")
 
 
 @query("u4_equal_titles", WITH_LISTINGS.rstrip() + f", {_PROFILES} SELECT a.profile AS left, b.profile AS right, (a.n * b.n)::BIGINT AS listing_pairs FROM profiles a JOIN profiles b ON a.c = b.c AND a.t = b.t AND a.kind = 'place' AND b.kind = 'place' AND a.p = b.p AND a.profile <= b.profile AND (a.r IS NULL OR b.r IS NULL OR a.r = b.r) AND len(list_distinct(list_concat(a.s, b.s))) > 1")
 def u4_equal(spark, sf_dir):
-    rows = D.decided(D.candidate_pairs(D.profiles(D.prepared(listings(spark, sf_dir))))).where("kind = 'confirmed' and score = 1.0")
+    rows = D.decided(D.profiles(D.prepared(listings(spark, sf_dir)))).where("kind = 'confirmed' and score = 1.0")
     return rows.select("left", "right", (F.col("a_listings") * F.col("b_listings")).alias("listing_pairs"))
 
 
@@ -186,10 +186,16 @@ def u7_edges(spark, sf_dir):
 
 @query("u5_edges")
 def u5(spark, sf_dir):
-    """The edges among all jobs, of which those that were there at SPLIT keep their first time."""
-    rows = listings(spark, sf_dir)
-    old = D.possible_edges(rows.where(f"seen_at < timestamp '{SPLIT}'")).withColumn("created_at", F.to_timestamp(F.lit(SPLIT)))
-    return D.maintain_edges(old, D.possible_edges(rows), as_of()).select("left_id", "right_id", "score", "created_at", "updated_at")
+    """The edges among merged jobs: those found before SPLIT, and what the listings seen since change in the companies they touch."""
+    rows = D.prepared(listings(spark, sf_dir))
+    seen = rows.join(listings(spark, sf_dir).select("ord", "seen_at"), "ord")
+    before = shared_table(seen.where(f"seen_at < timestamp '{SPLIT}'").drop("seen_at"), "before")
+    first = F.to_timestamp(F.lit(SPLIT))
+    old = D.possible_edges(D.merged_jobs(before, D.clusters(before))).withColumns({"created_at": first, "updated_at": first})
+    touched = seen.where(f"seen_at >= timestamp '{SPLIT}'").select("company_key").distinct()
+    again = shared_table(rows.join(touched, "company_key", "left_semi"), "again")
+    new = D.possible_edges(D.merged_jobs(again, D.clusters(again)))
+    return D.maintain_edges(old, new, as_of(), again.select(F.col("ord").alias("job_id")))
 
 
 # Scans: a run is a customer, a source's pages hold ten sightings each.

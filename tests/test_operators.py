@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from offerloom.functions import text
-from offerloom.operators import places, quality, resolve, runs, search, tables
+from offerloom.operators import places, quality, resolve, runs, search, similarity, tables
 from offerloom.sources import cards, payloads, sinks
 from offerloom.streaming import jobs as streams
 
@@ -74,9 +74,9 @@ def test_leader_clusters_match_a_replay():
 def test_decisions(spark):
     rows = [(1, "a", "Dev Python", "ACME SAS", "Paris", None), (2, "b", "Dev Python H/F", "Acme", "Paris (75)", None), (3, "c", "Dev Pythons", "ACME", "Télétravail", None), (4, "c", "Dev Python", "Confidentiel", "Paris", None), (5, "d", "Dev Python Senior", "ACME", "Paris", "junior")]
     df = spark.createDataFrame(rows, "ord long, source string, title string, company string, location string, experience_level string")
-    got = {(r.left, r.right): r.kind for r in resolve.decided(resolve.candidate_pairs(resolve.profiles(resolve.prepared(df)))).collect()}
+    got = {(r.left, r.right): r.kind for r in resolve.decided(resolve.profiles(resolve.prepared(df))).collect()}
     assert got[(1, 2)] == "confirmed" and (1, 4) not in got and got.get((1, 3)) is None
-    score = {(r.a, r.b): r.score for r in resolve.title_scores(spark.createDataFrame([("ab", "ab"), ("abc", "abd"), ("a", "zzzzzz")], "a string, b string")).collect()}
+    score = {(r.a, r.b): r.score for r in similarity.title_scores(spark.createDataFrame([("ab", "ab"), ("abc", "abd"), ("a", "zzzzzz")], "a string, b string"), 0.78).collect()}
     assert score[("ab", "ab")] == 1.0 and ("a", "zzzzzz") not in score
 
 
@@ -111,7 +111,7 @@ def some_listings(spark, n=160, seed=3):
 def test_decided_pairs_match_brute_force(spark):
     rows = resolve.prepared(some_listings(spark))
     found = resolve.profiles(rows)
-    got = {(r.left, r.right): (r.kind, tuple(r.reasons), round(r.score, 9)) for r in resolve.decided(resolve.candidate_pairs(found)).collect()}
+    got = {(r.left, r.right): (r.kind, tuple(r.reasons), round(r.score, 9)) for r in resolve.decided(found).collect()}
     facts = {r.profile: ((r.company_key, r.title_key, r["rank"], r.loc_kind, r.loc_key), set(r.sources)) for r in found.collect()}
     want = {}
     for i, (x, s) in facts.items():
@@ -121,28 +121,75 @@ def test_decided_pairs_match_brute_force(spark):
                 want[i, j] = (kind, reasons, round(score, 9))
     assert got == want and {k for k, _, _ in got.values()} == {"confirmed", "possible"}
     pairs = found.select(*[F.col(c).alias(f"a_{c}") for c in ("profile", *resolve.PROFILE)]).join(found.select(*[F.col(c).alias(f"b_{c}") for c in ("profile", *resolve.PROFILE)]))
-    pairs = pairs.withColumn("score", resolve._ratio(0.0)(F.least("a_title_key", "b_title_key"), F.greatest("a_title_key", "b_title_key")))
+    pairs = pairs.withColumn("score", similarity.ratio_udf(0.0)(F.least("a_title_key", "b_title_key"), F.greatest("a_title_key", "b_title_key")))
     for r in pairs.withColumn("d", resolve.classified(F.col("score"))).collect():
         kind, reasons, _ = classified_by_hand(facts[r.a_profile][0], facts[r.b_profile][0])
         assert (r.d["kind"], tuple(r.d["reasons"])) == (kind, reasons)
 
 
-def test_possible_edges_and_states_match_brute_force(spark):
-    rows = some_listings(spark, 90, 8)
-    edges = {(r.left_id, r.right_id): round(r.score, 9) for r in resolve.possible_edges(rows).collect()}
-    found = resolve.profiles(resolve.prepared(rows)).collect()
+def edges_by_hand(jobs):
+    """Possible duplicates of jobs given as rows of profiles, every pair looked at: a source in common forbids them."""
     want = {}
-    for x in found:
-        for y in found:
+    for x in jobs:
+        for y in jobs:
             kind, _, score = classified_by_hand(*[(p.company_key, p.title_key, p["rank"], p.loc_kind, p.loc_key) for p in (x, y)])
-            a, b = sorted("|".join(t for t in (p.company_key, p.location, p.title_key) if t is not None) for p in (x, y))
-            if kind == "possible" and a < b and len({*x.sources, *y.sources}) > 1:
-                want[a, b] = max(want.get((a, b), 0), round(score, 9))
-    assert edges == want and edges
-    old = resolve.possible_edges(rows.where("ord < 60")).withColumn("created_at", F.lit(DAY(1)))
-    kept = resolve.maintain_edges(old, resolve.possible_edges(rows), F.lit(DAY(2))).collect()
-    before = {(r.left_id, r.right_id) for r in old.collect()}
-    assert {(r.left_id, r.right_id): r.created_at for r in kept} == {k: DAY(1) if k in before else DAY(2) for k in edges}
+            if kind == "possible" and x.job_id < y.job_id and not {*x.sources} & {*y.sources}:
+                pair = (x.job_id, y.job_id)
+                want[pair] = max(want.get(pair, 0), round(score, 9))
+    return want
+
+
+def test_possible_edges_match_brute_force(spark):
+    jobs = resolve.written_jobs(some_listings(spark, 90, 8))
+    edges = {(r.left_id, r.right_id): round(r.score, 9) for r in resolve.possible_edges(jobs).collect()}
+    found = jobs.collect()
+    assert edges == edges_by_hand(found) and edges
+    sources = {r.job_id: set() for r in found}
+    for r in some_listings(spark, 90, 8).transform(resolve.prepared).collect():
+        sources["|".join(t for t in (r.company_key, r.location, r.title_key) if t is not None)] |= {r.source}
+    assert all({*r.sources} == sources[r.job_id] for r in found) and not any(sources[a] & sources[b] for a, b in edges)
+
+
+def test_edges_of_touched_jobs_equal_all_worked_out_again(spark):
+    rows = resolve.prepared(some_listings(spark, 120, 11))
+    before, first, now = rows.where("ord < 70"), F.lit(DAY(1)), F.lit(DAY(2))
+    old = resolve.possible_edges(resolve.merged_jobs(before, resolve.clusters(before))).withColumns({"created_at": first, "updated_at": first})
+    touched = rows.where("ord >= 70 and company_key = 'acme'").select("company_key").distinct()
+    seen = before.unionByName(rows.where("ord >= 70 and company_key = 'acme'"))
+    again = seen.join(touched, "company_key", "left_semi")
+    new = resolve.possible_edges(resolve.merged_jobs(again, resolve.clusters(again)))
+    part = resolve.maintain_edges(old, new, now, again.select(F.col("ord").alias("job_id"))).collect()
+    jobs = resolve.merged_jobs(seen, resolve.clusters(seen)).collect()
+    assert {(r.left_id, r.right_id): round(r.score, 9) for r in part if r.change != "removed"} == edges_by_hand(jobs)
+    known = {(r.left_id, r.right_id) for r in old.collect()}
+    assert {r.change for r in part} == {"kept", "added", "removed"} and all(((r.left_id, r.right_id) in known) == (r.change != "added") for r in part)
+    acme = {r.ord for r in again.collect()}
+    assert all(r.updated_at == (DAY(2) if r.left_id in acme and r.change != "removed" else DAY(1)) for r in part)
+
+
+def test_near_titles_match_all_pairs(spark):
+    rng = random.Random(4)
+    parts = ["data", "engineer", "engineers", "senior", "python", "dev", "developer", "a", "ab", "java", "javas", "x"]
+    titles = sorted({" ".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(160)} | {"", "a", "b", "ab", "abc", "abcd", "abce", "a" * 210, "a" * 215 + "b"})
+    units = spark.createDataFrame([(c, t) for t in titles for c in (["one", "two"] if len(t) % 2 else ["one"])], "company_key string, title_key string")
+    for least in (0.78, 0.92):
+        got = {(r.company_key, r.a, r.b): r.score for r in similarity.similar_titles(units, least).collect()}
+        want = {}
+        for company in ("one", "two"):
+            own = [t for t in titles if company == "one" or len(t) % 2]
+            for a in own:
+                for b in own:
+                    if a < b and (score := resolve.SequenceMatcher(None, a, b).ratio()) >= least:
+                        want[company, a, b] = score
+        assert got == want and want
+
+
+def test_components_follow_chains(spark):
+    edges = [("c", f"{i:03}", f"{i + 1:03}") for i in range(40) if i != 20] + [("d", "000", "030")]
+    got = {(r.company_key, r.title_key): r.component for r in similarity.components(spark.createDataFrame(edges, "company_key string, a string, b string")).collect()}
+    want = {("c", f"{i:03}"): "000" if i <= 20 else "021" for i in range(41)} | {("d", "000"): "000", ("d", "030"): "000"}
+    assert got == want
+    assert similarity.components(spark.createDataFrame([], "company_key string, a string, b string")).isEmpty()
 
 
 def test_clusters_match_a_replay_of_each_block(spark):
