@@ -33,13 +33,13 @@ from .texts import BYTE_VALUE, U64, mixed, pieces, raw, trimmed
 
 FILES = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 #: Bytes of a text from which it is cut into chunks of so many.
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 #: Fragments that a task of the tree composes.
 FAN = 32
-#: Bytes of the longest unit that is kept by its hash, units that a worker keeps, and units encoded at once.
-KEPT, CACHE, BLOCK = 256, 300_000, 1000
+#: Bytes of the longest unit that is kept by its hash, units that a worker keeps before it forgets those not met since as many others, and units encoded at once.
+KEPT, CACHE, BLOCK = 256, 200_000, 2000
 #: Bytes of texts handled at a time.
-SLICE = 1 << 21
+SLICE = 1 << 22
 #: Token pairs that are broadcast at once, 17 bytes each.
 PAIRS = 4_000_000
 SPACES = np.array([b in (*range(9, 14), *range(28, 33)) for b in range(256)])
@@ -91,6 +91,7 @@ class Encoder:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in ids)]
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.known: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
 
     def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts (after the space in front), ends and rows of the units; a space stands in front of each row's first one too."""
@@ -122,21 +123,27 @@ class Encoder:
         """What _alone gives for each; encoded in one go, as units do not see each other."""
         raw_units = [b" " + c.encode() for c in contents]
         whole = b"".join(raw_units)
-        a = np.array(self.a.encode_batch_fast(["".join(" " + c for c in contents)], add_special_tokens=False)[0].ids, np.int64)
-        b = np.array(self.b.encode(" ".join(contents), num_threads=1), np.int64)
+        a = self.a.encode_batch_fast(["".join(" " + c for c in contents)], add_special_tokens=False)[0].ids
+        b = self.b.encode(" ".join(contents), num_threads=1)
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         end_a, end_b, ends = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), np.cumsum([len(x) for x in raw_units])
         both = np.intersect1d(end_a, end_b, assume_unique=True)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole or not np.isin(ends, both).all():
+        if not same or not np.isin(ends, both).all():
             return [self._alone(c) for c in contents]
         cut_a, cut_b = (np.searchsorted(x, both, "right") for x in (end_a, end_b))
-        of_a, of_b, g = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0), np.searchsorted(both, ends, "right")
-        a, b, of_a, of_b = (x.astype(np.uint32) for x in (a, b, of_a, of_b))
-        out, g0, a0, b0 = [], 0, 0, 0
-        for g1 in g.tolist():
-            a1, b1 = int(cut_a[g1 - 1]), int(cut_b[g1 - 1])
-            out.append(np.array([g1 - g0, a1 - a0], np.uint32).tobytes() + of_a[g0:g1].tobytes() + of_b[g0:g1].tobytes() + a[a0:a1].tobytes() + b[b0:b1].tobytes())
-            g0, a0, b0 = g1, a1, b1
-        return out
+        g = np.searchsorted(both, ends, "right")
+        # each unit's numbers of groups and tokens, then its parts one after the other
+        parts = [(np.diff(cut_a, prepend=0), g), (np.diff(cut_b, prepend=0), g), (a, cut_a[g - 1]), (b, cut_b[g - 1])]
+        sizes = [np.diff(last, prepend=0) for _, last in parts]
+        bounds = _bounds(2 + sum(sizes))
+        flat, at = np.zeros(bounds[-1], np.uint32), bounds[:-1] + 2
+        flat[at - 2], flat[at - 1] = sizes[0], sizes[2]
+        for (values, last), n in zip(parts, sizes, strict=True):
+            flat[np.repeat(at - last + n, n) + np.arange(last[-1])] = values[: last[-1]]
+            at = at + n
+        packed_units, places = flat.tobytes(), (4 * bounds).tolist()
+        return [packed_units[i:j] for i, j in zip(places[:-1], places[1:], strict=True)]
 
     def encoded(self, data: np.ndarray, bounds: np.ndarray) -> tuple[Units, np.ndarray, np.ndarray]:
         """The different units of the rows, the unit at each occurrence, and each row's number of occurrences."""
@@ -145,19 +152,20 @@ class Encoder:
             return Units.of([]), np.zeros(0, np.int64), np.zeros(len(bounds) - 1, np.int64)
         size = ends - starts
         short = np.minimum(size, KEPT)
-        places = _gather(np.stack([starts, starts + short], 1).ravel(), np.arange(0, 2 * len(starts), 2))
-        inside = np.arange(len(places)) - np.repeat(np.cumsum(short) - short, short)
+        hashes = np.zeros(len(starts), U64)
         with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE_VALUE[data[places]] * _POWERS[inside])])
-            at = _bounds(short)
-            hashes = mixed(sums[at[1:]] - sums[at[:-1]] + size.astype(U64))
+            for i in range(0, len(starts), 1 << 16):
+                begin, n = starts[i : i + (1 << 16)], short[i : i + (1 << 16)]
+                at = _bounds(n)
+                inside = np.arange(at[-1]) - np.repeat(at[:-1], n)
+                sums = np.zeros(at[-1] + 1, U64)
+                np.cumsum(BYTE_VALUE[data[np.repeat(begin, n) + inside]] * _POWERS[inside], out=sums[1:])
+                hashes[i : i + (1 << 16)] = mixed(sums[at[1:]] - sums[at[:-1]] + size[i : i + (1 << 16)].astype(U64))
             long = np.flatnonzero(size > KEPT)  # each on its own
             hashes[long] = mixed(long.astype(U64) ^ U64(0x5851F42D4C957F2D))
         hashes, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
-        found = [self.known.get(h) if s <= KEPT else None for h, s in zip(hashes.tolist(), size[first].tolist(), strict=True)]
+        found = [self.known.get(h) or self.before.get(h) if s <= KEPT else None for h, s in zip(hashes.tolist(), size[first].tolist(), strict=True)]
         new = [i for i, x in enumerate(found) if x is None]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
         last, block = data[ends[first] - 1], []
         for i in new:
             content = data[starts[first[i]] : ends[first[i]]].tobytes().decode("utf-8", "replace")
@@ -169,7 +177,9 @@ class Encoder:
             some = block[at : at + BLOCK]
             for (i, _), value in zip(some, self._block([c for _, c in some]), strict=True):
                 found[i] = value
-        self.known.update((int(hashes[i]), found[i]) for i in new if size[first[i]] <= KEPT)
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
+        self.known.update((h, value) for h, value, s in zip(hashes.tolist(), found, size[first].tolist(), strict=True) if s <= KEPT)
         return Units.of(found), codes.ravel(), np.bincount(rows, minlength=len(bounds) - 1)
 
 
