@@ -37,9 +37,9 @@ CHUNK = 1 << 16
 #: Fragments that a task of the tree composes.
 FAN = 32
 #: Bytes of the longest unit that is kept by its hash, units that a worker keeps before it forgets those not met since as many others, and units encoded at once.
-KEPT, CACHE, BLOCK = 256, 200_000, 2000
+KEPT, CACHE, BLOCK = 256, 150_000, 2000
 #: Bytes of texts handled at a time.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Token pairs that are broadcast at once, 17 bytes each.
 PAIRS = 4_000_000
 SPACES = np.array([b in (*range(9, 14), *range(28, 33)) for b in range(256)])
