@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.functions.text import company_key, is_company, seniority, title_key
+from offerloom.functions.text import company_key, has_text, is_company, seniority, stable_distinct, title_key
 from offerloom.operators.places import evidence
 from offerloom.operators.similarity import components, similar_titles
 from offerloom.session import shared_table
@@ -209,27 +209,75 @@ def clusters(rows: DataFrame) -> DataFrame:
     return alone.unionByName(walked).unionByName(rows.where("loc_kind <> 'place'").select("ord", F.col("ord").alias("keep")))
 
 
+GROUPS = ("description", "salary", "skills", "benefits")
+
+
+def final_keeps(ids: DataFrame) -> DataFrame:
+    """(job_id, keep_id) of merges of which a survivor may be merged again later: each job's last survivor, by pointer jumping.
+
+    A round halves the chains that are left and is written; a job is merged once at most, and never in a circle."""
+    now = shared_table(ids.select("job_id", "keep_id"), "keeps")
+    while True:
+        on = now.select(F.col("job_id").alias("keep_id"), F.col("keep_id").alias("on"))
+        step = shared_table(now.join(on, "keep_id", "left").select("job_id", F.coalesce("on", "keep_id").alias("keep_id"), F.col("on").isNotNull().alias("moved")), "keeps")
+        now = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return now
+
+
+def group_stamps(jobs: DataFrame) -> Column:
+    """When each group of details that a job has was fetched: by its provenance, or without any by details_fetched_at."""
+    has = {"description": has_text(F.col("description")), "salary": _told_salary(jobs)} | {g: F.coalesce(F.size(g), F.lit(0)) > 0 for g in ("skills", "benefits")}
+    legacy = F.coalesce(F.size("provenance"), F.lit(0)) <= 0
+    return F.struct(*[F.when(has[g], F.when(legacy, F.col("details_fetched_at")).otherwise(F.try_element_at("provenance", F.lit(g)))).alias(g) for g in GROUPS])
+
+
+def _told_salary(jobs: DataFrame) -> Column:
+    return F.coalesce(F.length("salary_currency") > 0, F.lit(False)) & (F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull())
+
+
 def merge_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Jobs after merges given as (job_id, keep_id): first view, newest texts with a stamp, union of skills and benefits.
+    """Jobs after merges given as (job_id, keep_id), chains included (final_keeps); others stay as they are.
 
-    Links and listings of the jobs move by `remap_links`, edges by `remap_edges`.
+    The survivor comes first, the others by id. Title: the survivor's. First view: the earliest. Description and salary: of those who have one
+    the newest fetched, the first of equal ones. Skills and benefits: the first spelling of each, in order. provenance tells for each group when
+    what is kept was fetched, details_fetched_at is the newest of all. A job's members are few: sources are disjoint. Links and listings move
+    by `remap_links`, edges by `remap_edges`. Benefits, provenance and currency may be missing among the columns; then a salary needs none.
     """
-    jobs = jobs if "benefits" in jobs.columns else jobs.withColumn("benefits", F.array().cast("array<string>"))
-    rows = jobs.join(ids, "job_id", "left").withColumn("keep_id", F.coalesce("keep_id", "job_id"))
-    own = (F.col("job_id") == F.col("keep_id")).cast("int")
-    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.coalesce("details_fetched_at", F.lit("1970-01-01").cast("timestamp")), own, "job_id"))).alias(c)
-    salary = F.struct("salary_min", "salary_max")
-    has = F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()
-    merged = rows.groupBy("keep_id").agg(
-        F.max_by("title", F.struct(own, "job_id")).alias("title"),
-        F.min("viewed_at").alias("viewed_at"),
-        newest("description"),
-        F.max_by(salary, F.when(has, F.struct(F.coalesce("details_fetched_at", F.lit("1970-01-01").cast("timestamp")), own, "job_id"))).alias("salary"),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("skills", "benefits")],
-        F.max("details_fetched_at").alias("details_fetched_at"),
-        F.count(F.lit(1)).alias("merged"),
+    types = {"benefits": "array<string>", "provenance": "map<string,timestamp>"}
+    jobs = jobs.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in jobs.columns} | ({} if "salary_currency" in jobs.columns else {"salary_currency": F.lit("EUR")}))
+    rows = jobs.join(final_keeps(ids), "job_id", "left").withColumn("keep_id", F.coalesce("keep_id", "job_id"))
+    salary = F.when(_told_salary(jobs), F.struct("salary_min", "salary_max", "salary_currency")).alias("salary")
+    text = F.when(has_text(F.col("description")), F.col("description")).alias("description")
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("skills", "benefits")]
+    member = F.struct((F.col("job_id") != F.col("keep_id")).alias("later"), "job_id", "title", "viewed_at", text, salary, *lists, group_stamps(jobs).alias("at"), "details_fetched_at")
+    rows = rows.groupBy("keep_id").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    epoch = F.timestamp_seconds(F.lit(-(10**11)))
+
+    def newest(c: str) -> Column:
+        told = F.transform("m", lambda m, i: F.struct(F.coalesce(m["at"][c], epoch).alias("t"), (-i).alias("first"), m["at"][c].alias("at"), m[c].alias("value")))
+        return F.element_at(F.array_sort(F.filter(told, lambda x: x["value"].isNotNull()), lambda x, y: F.when((x["t"] > y["t"]) | ((x["t"] == y["t"]) & (x["first"] > y["first"])), -1).otherwise(1)), 1)
+
+    every = lambda c: F.array_max(F.transform("m", lambda m: m["at"][c]))
+    rows = rows.withColumns({"d": F.when(F.exists("m", lambda m: m["description"].isNotNull()), newest("description")), "s": F.when(F.exists("m", lambda m: m["salary"].isNotNull()), newest("salary"))})
+    stamps = {"description": F.col("d.at"), "salary": F.col("s.at"), "skills": every("skills"), "benefits": every("benefits")}
+    told = F.filter(F.array(*[F.struct(F.lit(g).alias("key"), at.alias("value")) for g, at in stamps.items()]), lambda x: x["value"].isNotNull())
+    return rows.select(
+        F.col("keep_id").alias("job_id"),
+        F.col("m")[0]["title"].alias("title"),
+        F.array_min(F.transform("m", lambda m: m["viewed_at"])).alias("viewed_at"),
+        F.col("d.value").alias("description"),
+        *[F.col(f"s.value.{c}").alias(c) for c in ("salary_min", "salary_max", "salary_currency")],
+        _union("skills"),
+        _union("benefits"),
+        F.map_from_entries(told).alias("provenance"),
+        F.greatest(F.array_max(F.transform("m", lambda m: m["details_fetched_at"])), *stamps.values()).alias("details_fetched_at"),
+        F.size("m").cast("bigint").alias("merged"),
     )
-    return merged.select(F.col("keep_id").alias("job_id"), "title", "viewed_at", "description", "salary.salary_min", "salary.salary_max", "skills", "benefits", "details_fetched_at", "merged")
+
+
+def _union(c: str) -> Column:
+    return stable_distinct(F.flatten(F.transform("m", lambda m: m[c]))).alias(c)
 
 
 def remap_links(links: DataFrame, ids: DataFrame) -> DataFrame:

@@ -178,13 +178,16 @@ def s6(spark, sf_dir):
     return cards.card_offers_d(parts.select("page_id", html.alias("html"))).select(*ROWS.split(", "))
 
 
-@query("s7_json_ld_details", WITH_OFFERS + "SELECT ord AS page_id, title, company, CASE WHEN tie % 2 = 0 THEN concat(location, ' (75000)') ELSE location END AS location, salary_min, salary_max, CASE WHEN tie % 3 = 0 THEN 2 ELSE 1 END AS skills FROM offers WHERE tie % 5 <> 0 OR salary_min IS NOT NULL")
+@query("s7_json_ld_details", WITH_OFFERS + "SELECT ord AS page_id, title, CASE WHEN tie % 11 NOT IN (3, 5) THEN company END AS company, CASE WHEN tie % 2 = 0 THEN concat(location, ' (75000)') ELSE location END AS location, salary_min, salary_max, CASE WHEN tie % 3 = 0 THEN 2 ELSE 1 END AS skills FROM offers WHERE tie % 5 <> 0 OR salary_min IS NOT NULL")
 def s7(spark, sf_dir):
     rows = offers(spark, sf_dir)
     address = F.struct(F.col("location").alias("addressLocality"), _when("tie % 2 = 0", "75000", None).alias("postalCode"))
     skills = _when("tie % 3 = 0", "sql, spark", "sql")
     posting = F.struct(F.lit("JobPosting").alias("@type"), "title", F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.struct(address.alias("address")).alias("jobLocation"), _when("tie % 5 = 0", " ", "A job").alias("description"), F.struct(F.lit("EUR").alias("currency"), F.struct(F.col("salary_min").alias("minValue"), F.col("salary_max").alias("maxValue")).alias("value")).alias("baseSalary"), skills.alias("skills"))
-    pages = rows.select(F.col("ord").alias("page_id"), F.concat(F.lit('<script type="application/ld+json">{"@graph":['), F.to_json(posting), F.lit("]}</script>")).alias("html"))
+    # a title as a list of one; a company as an object, or as a list of two
+    odd = F.when(F.expr("tie % 7 = 1"), F.regexp_replace(F.to_json(posting), '"title":("[^"]*")', '"title":[$1]')).otherwise(F.to_json(posting))
+    odd = F.when(F.expr("tie % 11 = 3"), F.regexp_replace(odd, '"name":("[^"]*")', '"name":{"legal":$1}')).when(F.expr("tie % 11 = 5"), F.regexp_replace(odd, '"name":("[^"]*")', '"name":[$1,$1]')).otherwise(odd)
+    pages = rows.select(F.col("ord").alias("page_id"), F.concat(F.lit('<script type="application/ld+json">{"@graph":['), odd, F.lit("]}</script>")).alias("html"))
     found = payloads.details(payloads.json_ld(pages))
     return found.select("page_id", "title", "company", "location", "salary_min", "salary_max", F.size("skills").alias("skills"))
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.operators import tables as U
 from offerloom.session import new_folder
+from offerloom.sources import sinks
 from offerloom.streaming import jobs as J
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+STORED = "source string, external_id string, url string, title string, company string, location string, posted_at timestamp, active boolean, first_seen_at timestamp, last_seen_at timestamp"
 
 
 def landed_events(spark, sf_dir) -> DataFrame:
@@ -42,6 +45,24 @@ def r5(spark, sf_dir):
     return settled(J.progress(seen), "r5")
 
 
+def counted_upsert(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """U1 with the number of sightings of each listing, which shows a batch that is applied twice."""
+    old = stored if stored is not None else U.upsert_listings(batch.sparkSession.createDataFrame([], STORED), batch.limit(0)).withColumn("sightings", F.lit(0).cast("bigint"))
+    seen = old.select(*U.LISTING, "sightings").unionByName(batch.groupBy(*U.LISTING).agg(F.count(F.lit(1)).alias("sightings"))).groupBy(*U.LISTING).agg(F.sum("sightings").alias("sightings"))
+    return U.upsert_listings(old.drop("sightings"), batch).join(seen, list(U.LISTING))
+
+
+def r1(spark, sf_dir):
+    """Sightings land in files of their own; each is a batch of the stream, which keeps a snapshot with a ledger."""
+    folder = new_folder(spark, "r1")
+    seen = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.col("props").alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("url", "company", "location")], F.lit(None).cast("timestamp").alias("posted_at"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("tie"))
+    seen.repartitionByRange(4, "tie").write.parquet(f"{folder}/landed")
+    J.upsert_stream(J.landed(spark, f"{folder}/landed", seen.schema, 1), J.exactly_once(f"{folder}/listings", counted_upsert), f"{folder}/state").awaitTermination()
+    return sinks.read_snapshot(spark, f"{folder}/listings").select(*U.LISTING, "active", "first_seen_at", "last_seen_at", "sightings")
+
+
+QUERIES |= {"r1_upsert_stream": r1}
+ORACLES |= {"r1_upsert_stream": "SELECT event_type AS source, user_id::VARCHAR AS external_id, true AS active, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY ALL"}
 QUERIES |= {"r3_latest_sightings": r3, "r4_first_views": r4, "r5_progress": r5}
 ORACLES |= {
     "r3_latest_sightings": "SELECT event_type AS source, user_id::VARCHAR AS external_id, max(ts) AS last_seen_at FROM events GROUP BY ALL",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from offerloom.functions.values import RANK, SENIORITY_WORDS, SOURCES
 from offerloom.operators import quality as K
@@ -166,13 +167,28 @@ def u6(spark, sf_dir):
     return D.clusters(D.prepared(listings(spark, sf_dir)))
 
 
-@query("u7_merge_jobs", WITH_LISTINGS.rstrip() + f", {_JOBS} SELECT min(ord) AS job_id, arg_min(title, ord) AS title, count(*) AS merged, max(posted_at) AS details_fetched_at FROM jobs GROUP BY ord // 10")
+# Jobs to merge: the listings of ten neighbouring ord, the next into the one before, so that merges are chains.
+_TOLD = (
+    "told AS (SELECT ord AS job_id, title, ord // 10 AS g, CASE WHEN tie % 3 = 0 THEN posted_at END AS viewed_at, CASE WHEN tie % 4 <> 0 THEN concat('about ', ord) END AS description, "
+    "CASE WHEN tie % 5 <> 0 THEN salary_min END AS salary_min, CASE WHEN tie % 5 <> 0 THEN salary_max END AS salary_max, CASE WHEN tie % 5 <> 0 THEN 'EUR' END AS salary_currency, "
+    "[skill_brand, skill_type] AS skills, CASE WHEN tie % 2 = 0 THEN [contract_type] ELSE [] END AS benefits, posted_at AS fetched FROM listings), "
+    "best AS (SELECT g, min(job_id) AS job_id, arg_min(title, job_id) AS title, min(viewed_at) AS viewed_at, count(*) AS merged, "
+    "min_by(description, {'t': -coalesce(epoch(fetched), -1e11), 'j': job_id}) FILTER (description IS NOT NULL) AS description, min_by(fetched, {'t': -coalesce(epoch(fetched), -1e11), 'j': job_id}) FILTER (description IS NOT NULL AND fetched IS NOT NULL) AS d_at, "
+    "min_by({'a': salary_min, 'b': salary_max, 'c': salary_currency}, {'t': -coalesce(epoch(fetched), -1e11), 'j': job_id}) FILTER (salary_currency IS NOT NULL) AS s, max(fetched) AS fetched FROM told GROUP BY g), "
+    "firsts AS (SELECT g, x, min(job_id * 10 + i) AS p FROM (SELECT g, job_id, unnest(skills) AS x, unnest([1, 2]) AS i FROM told) GROUP BY g, x), "
+    "also AS (SELECT g, x, min(job_id) AS p FROM (SELECT g, job_id, unnest(benefits) AS x FROM told) GROUP BY g, x)"
+)
+
+
+@query("u7_merge_jobs", WITH_LISTINGS.rstrip() + f", {_TOLD} SELECT job_id, title, viewed_at, description, s.a AS salary_min, s.b AS salary_max, s.c AS salary_currency, (SELECT string_agg(x, ',' ORDER BY p) FROM firsts f WHERE f.g = best.g) AS skills, coalesce((SELECT string_agg(x, ',' ORDER BY p) FROM also f WHERE f.g = best.g), '') AS benefits, d_at AS described_at, fetched AS details_fetched_at, merged FROM best")
 def u7(spark, sf_dir):
     rows = listings(spark, sf_dir)
-    keep = rows.groupBy(F.floor(F.col("ord") / 10).alias("g")).agg(F.min("ord").alias("keep_id"))
-    ids = rows.select(F.col("ord").alias("job_id"), F.floor(F.col("ord") / 10).alias("g")).join(keep, "g").select("job_id", "keep_id")
-    jobs = rows.select(F.col("ord").alias("job_id"), "title", F.lit(None).cast("timestamp").alias("viewed_at"), F.lit(None).cast("string").alias("description"), "salary_min", "salary_max", F.array("skill_brand").alias("skills"), F.col("posted_at").alias("details_fetched_at"))
-    return D.merge_jobs(jobs, ids).select("job_id", "title", "merged", "details_fetched_at")
+    some = lambda c, test: F.when(F.expr(test), F.col(c))
+    paid = "tie % 5 <> 0"
+    jobs = rows.select(F.col("ord").alias("job_id"), "title", some("posted_at", "tie % 3 = 0").alias("viewed_at"), F.when(F.expr("tie % 4 <> 0"), F.concat(F.lit("about "), "ord")).alias("description"), some("salary_min", paid).alias("salary_min"), some("salary_max", paid).alias("salary_max"), F.when(F.expr(paid), "EUR").alias("salary_currency"), F.array("skill_brand", "skill_type").alias("skills"), F.when(F.expr("tie % 2 = 0"), F.array("contract_type")).alias("benefits"), F.col("posted_at").alias("details_fetched_at"))
+    ids = rows.select(F.col("ord").alias("job_id"), F.lag("ord").over(Window.partitionBy(F.expr("ord div 10")).orderBy("ord")).alias("keep_id")).where("keep_id is not null")
+    merged = D.merge_jobs(jobs, ids).withColumns({c: F.array_join(c, ",") for c in ("skills", "benefits")})
+    return merged.withColumn("described_at", F.try_element_at("provenance", F.lit("description"))).drop("provenance")
 
 
 @query("u7_remap_edges", WITH_LISTINGS + "SELECT a AS left_id, b AS right_id, max(s) AS score FROM (SELECT least(ord // 10, tie) AS a, greatest(ord // 10, tie) AS b, salary_min AS s FROM listings) WHERE a < b GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.functions.scalars import iso_timestamp, stated_minimum
@@ -83,7 +83,8 @@ def json_ld(pages: DataFrame, body: str = "html", any_depth: bool = False) -> Da
 
 
 def details(postings: DataFrame, shown: DataFrame | None = None, zero_is_missing: bool = False) -> DataFrame:
-    """Detail snapshots of postings; they need a title and a description or a salary bound.
+    """Detail snapshots of postings; they need a title and a description or a salary bound. A text is a string that is
+    not blank, or a list of one such; objects, numbers and longer lists are none.
 
     `shown` has what the pages show (page_id, title, company, location, description, skills, and salary_text), which stands in field by
     field for what a posting lacks, or for the posting; a minimum is then the first amount in euros (P4). Where
@@ -91,18 +92,24 @@ def details(postings: DataFrame, shown: DataFrame | None = None, zero_is_missing
     """
     get = lambda path, kind="string": F.expr(f"try_variant_get(posting, '{path}', '{kind}')")
     number_ = lambda path: F.when(F.expr(f"schema_of_variant(try_variant_get(posting, '{path}', 'variant'))") != "BOOLEAN", get(path, "double"))
+
+    def said(path: str) -> Column:
+        kind = F.expr(f"schema_of_variant(try_variant_get(posting, '{path}', 'variant'))")
+        one = F.when(kind == "STRING", get(path)).when((kind == "ARRAY<STRING>") & (F.size(get(path, "array<string>")) == 1), F.try_element_at(get(path, "array<string>"), F.lit(1)))
+        return F.nullif(F.btrim(one, F.lit(" \t\r\n")), F.lit(""))
+
     least = number_("$.baseSalary.value.minValue")
     least = F.nullif(least, F.lit(0.0)) if zero_is_missing else least
-    postal, town = get("$.jobLocation.address.postalCode"), get("$.jobLocation.address.addressLocality")
+    postal, town = said("$.jobLocation.address.postalCode"), said("$.jobLocation.address.addressLocality")
     rows = postings.select(
         "page_id",
-        get("$.title").alias("title"),
-        get("$.hiringOrganization.name").alias("company"),
+        said("$.title").alias("title"),
+        said("$.hiringOrganization.name").alias("company"),
         F.when(postal.isNotNull(), F.concat(town, F.lit(" ("), postal, F.lit(")"))).otherwise(town).alias("location"),
-        get("$.description").alias("description"),
+        said("$.description").alias("description"),
         F.coalesce(least, number_("$.baseSalary.value.value")).alias("salary_min"),
         number_("$.baseSalary.value.maxValue").alias("salary_max"),
-        get("$.baseSalary.currency").alias("salary_currency"),
+        said("$.baseSalary.currency").alias("salary_currency"),
         F.coalesce(get("$.skills", "array<string>"), F.split(get("$.skills"), r"\s*,\s*")).alias("skills"),
         iso_timestamp(get("$.datePosted")).alias("posted_at"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +36,76 @@ def camel(rows: DataFrame) -> DataFrame:
     return rows.toDF(*["".join(p if not i else p.capitalize() for i, p in enumerate(c.split("_"))) for c in rows.columns])
 
 
-def write_snapshot(rows: DataFrame, path: str, version: str, partition_by: tuple[str, ...] = ()) -> str:
-    """A snapshot in a folder of its own under `path`, then a row that makes it the current one; readers see the old or the new."""
-    folder = f"{path}/{version}"
-    rows.write.partitionBy(*partition_by).parquet(folder)
-    rows.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/_versions")
-    return folder
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int
+    folder: str
+    batch: int | None
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot under `path` that was written last."""
-    last = spark.read.parquet(f"{path}/_versions").agg(F.max_by("version", "at").alias("version")).first()
-    return spark.read.parquet(f"{path}/{last['version']}")
+def versions(spark: SparkSession, path: str) -> list[Version]:
+    """The committed versions under `path`, oldest first."""
+    at, fs, jvm = _hadoop(spark, f"{path}/_versions")
+    found = []
+    for status in fs.listStatus(at) if fs.exists(at) else []:
+        stream = fs.open(status.getPath())
+        try:
+            row = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        found.append(Version(int(status.getPath().getName()), row["folder"], row["batch"]))
+    return sorted(found, key=lambda v: v.number)
+
+
+def current_version(spark: SparkSession, path: str) -> Version | None:
+    return next(iter(versions(spark, path)[::-1]), None)
+
+
+def write_snapshot(rows: DataFrame, path: str, version: str, partition_by: tuple[str, ...] = (), parent: int | None = None, batch: int | None = None) -> Version:
+    """A snapshot in a folder of its own under `path`, and then a commit that makes it the current one; readers see the old or the new.
+
+    The commit is a file with the number after the parent's (0: none; null: whichever is current when this begins), which only one writer can create: if another
+    one was first, this raises Conflict, its folder goes, and nothing is lost. `batch` is kept with the commit, as the ledger of a stream's batches.
+    """
+    spark = rows.sparkSession
+    if parent is None:
+        parent = getattr(current_version(spark, path), "number", 0)
+    folder = f"{path}/{version}"
+    rows.write.partitionBy(*partition_by).parquet(folder)
+    at, fs, _ = _hadoop(spark, f"{path}/_versions/{parent + 1:012d}")
+    try:
+        if fs.exists(at):
+            raise Conflict(f"version {parent + 1} of {path} is taken")
+        out = fs.create(at, False)
+    except Exception as e:
+        gone, fs, _ = _hadoop(spark, folder)
+        fs.delete(gone, True)
+        raise e if isinstance(e, Conflict) else Conflict(str(e)) from e
+    out.write(bytearray(json.dumps({"folder": version, "batch": batch}).encode()))
+    out.close()
+    return Version(parent + 1, version, batch)
+
+
+def read_snapshot(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The current snapshot under `path`, or an older version that is still kept."""
+    folder = next(v.folder for v in versions(spark, path)[::-1] if number in (None, v.number))
+    return spark.read.parquet(f"{path}/{folder}")
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Remove all versions but the last `keep`: as many as the longest reader may fall behind. The commits stay, so numbers do not come again."""
+    gone = 0
+    for v in versions(spark, path)[: -keep or None]:
+        at, fs, _ = _hadoop(spark, f"{path}/{v.folder}")
+        gone += fs.delete(at, True)
+    return gone

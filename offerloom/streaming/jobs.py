@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from offerloom.sources import sinks
+
 
 def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -40,6 +43,23 @@ def upsert_stream(sightings: DataFrame, merge: Callable[[DataFrame, int], None],
     return sightings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def exactly_once(path: str, apply: Callable[[DataFrame | None, DataFrame], DataFrame], keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A merge for upsert_stream into the snapshot under `path`. The number of a batch is committed in one step with the snapshot that has it,
+    so a batch that comes again after a failure, or after a restart, writes nothing; of two streams that run at once one fails. `apply` gives the next
+    snapshot from the current one (none at first) and the batch."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = sinks.current_version(spark, path)
+        if now is not None and now.batch is not None and now.batch >= number:
+            return
+        stored = None if now is None else sinks.read_snapshot(spark, path, now.number)
+        sinks.write_snapshot(apply(stored, batch), path, f"batch-{number}-{uuid.uuid4().hex}", parent=now.number if now else 0, batch=number)
+        sinks.drop_old_versions(spark, path, keep)
+
+    return merge
+
+
 def liveness_stream(verdicts: DataFrame, deactivate: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Of the verdicts of ended scans (run_id, source, complete, …) the complete ones go to `deactivate`, micro-batch by micro-batch."""
     return upsert_stream(verdicts.where("complete"), deactivate, checkpoint)

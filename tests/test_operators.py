@@ -5,6 +5,7 @@ import json
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from offerloom.functions import text
@@ -342,6 +343,64 @@ def test_details_fall_back_field_by_field(spark):
     assert got[1].skills == ["a"] and {r.page_id: r.salary_min for r in payloads.details(payloads.json_ld(pages)).collect()} == {1: 0.0, 2: 9.0}
 
 
+def test_only_one_of_two_writers_commits(spark, tmp_path):
+    rows, path = spark.range(3), str(tmp_path / "s")
+    first = sinks.write_snapshot(rows, path, "a")
+    assert sinks.write_snapshot(rows.where("id > 0"), path, "b", parent=first.number).number == 2
+    with pytest.raises(sinks.Conflict):
+        sinks.write_snapshot(rows.where("id > 1"), path, "c", parent=first.number)
+    assert sinks.read_snapshot(spark, path).count() == 2 and sinks.read_snapshot(spark, path, 1).count() == 3
+    assert not (tmp_path / "s" / "c").exists()
+    assert sinks.drop_old_versions(spark, path, 1) == 1 and not (tmp_path / "s" / "a").exists()
+    assert sinks.write_snapshot(rows, path, "d").number == 3
+
+
+def test_a_batch_that_comes_again_writes_nothing(spark, tmp_path):
+    seen = spark.createDataFrame([(i % 5, i) for i in range(40)], "key int, at int")
+    for i in range(4):
+        seen.where(f"at % 4 = {i}").coalesce(1).write.parquet(str(tmp_path / "landed" / str(i)))
+
+    def counted(stored, batch):
+        new = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        return new if stored is None else stored.unionByName(new).groupBy("key").agg(F.sum("n").alias("n"))
+
+    path, state = str(tmp_path / "table"), str(tmp_path / "state")
+    whole, calls = streams.exactly_once(path, counted), []
+
+    def killed(batch, number):
+        whole(batch, number)
+        calls.append(number)
+        if number == 1 and calls.count(1) == 1:
+            raise RuntimeError("lost after the commit")
+
+    for _ in range(2):
+        query = streams.upsert_stream(streams.landed(spark, str(tmp_path / "landed" / "*"), seen.schema, 1), killed, state)
+        try:
+            query.awaitTermination()
+        except Exception as e:
+            assert "lost after the commit" in str(e)
+    assert calls.count(1) == 2 and max(calls) == 3
+    assert sorted(map(tuple, sinks.read_snapshot(spark, path).collect())) == [(k, 8) for k in range(5)]
+    assert [v.batch for v in sinks.versions(spark, path)] == [0, 1, 2, 3]
+
+
+def test_merges_in_chains_keep_the_newest_of_each_group(spark):
+    schema = "job_id long, title string, viewed_at timestamp, description string, salary_min double, salary_max double, salary_currency string, skills array<string>, benefits array<string>, provenance map<string,timestamp>, details_fetched_at timestamp"
+    jobs = [
+        (1, "kept", None, "old", None, None, None, ["SQL", "java"], None, {"description": DAY(2), "skills": DAY(1)}, DAY(2)),
+        (2, "b", DAY(5), "new", 10.0, None, None, ["sql ", "Spark"], ["meal"], None, DAY(4)),
+        (3, "c", DAY(3), " ", 20.0, 30.0, "EUR", None, ["Meal", "car"], {"salary": DAY(6)}, DAY(9)),
+        (4, "d", None, "same day", None, 40.0, "GBP", ["go"], [], {"salary": DAY(6), "description": DAY(4)}, None),
+        (9, "alone", None, None, None, None, None, [], [], None, DAY(1)),
+    ]
+    got = {r.job_id: r for r in resolve.merge_jobs(spark.createDataFrame(jobs, schema), spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "job_id long, keep_id long")).collect()}
+    r = got[1]
+    assert set(got) == {1, 9} and (r.title, r.viewed_at, r.description, r.merged, got[9].merged) == ("kept", DAY(3), "new", 4, 1)
+    assert (r.salary_min, r.salary_max, r.salary_currency) == (20.0, 30.0, "EUR")
+    assert r.skills == ["SQL", "java", "Spark", "go"] and r.benefits == ["meal", "car"]
+    assert r.provenance == {"description": DAY(4), "salary": DAY(6), "skills": DAY(4), "benefits": DAY(4)} and r.details_fetched_at == DAY(9)
+
+
 def test_snapshots_and_merges(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a")], "id int, x string")
     sinks.write_snapshot(rows, str(tmp_path / "s"), "v1")
