@@ -53,16 +53,17 @@ def counted_upsert(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def r1(spark, sf_dir):
-    """Sightings land in files of their own; each is a batch of the stream, which keeps a snapshot with a ledger."""
+    """Sightings land in files of their own; each is a batch of the stream, which keeps a snapshot with a ledger. When a listing was first seen depends on
+    the order in which files land (U1), so it is not shown."""
     folder = new_folder(spark, "r1")
     seen = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.col("props").alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("url", "company", "location")], F.lit(None).cast("timestamp").alias("posted_at"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("tie"))
     seen.repartitionByRange(4, "tie").write.parquet(f"{folder}/landed")
     J.upsert_stream(J.landed(spark, f"{folder}/landed", seen.schema, 1), J.exactly_once(f"{folder}/listings", counted_upsert), f"{folder}/state").awaitTermination()
-    return sinks.read_snapshot(spark, f"{folder}/listings").select(*U.LISTING, "active", "first_seen_at", "last_seen_at", "sightings")
+    return sinks.read_snapshot(spark, f"{folder}/listings").select(*U.LISTING, "active", "last_seen_at", "sightings")
 
 
 QUERIES |= {"r1_upsert_stream": r1}
-ORACLES |= {"r1_upsert_stream": "SELECT event_type AS source, user_id::VARCHAR AS external_id, true AS active, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY ALL"}
+ORACLES |= {"r1_upsert_stream": "SELECT event_type AS source, user_id::VARCHAR AS external_id, true AS active, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY ALL"}
 QUERIES |= {"r3_latest_sightings": r3, "r4_first_views": r4, "r5_progress": r5}
 ORACLES |= {
     "r3_latest_sightings": "SELECT event_type AS source, user_id::VARCHAR AS external_id, max(ts) AS last_seen_at FROM events GROUP BY ALL",
