@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import has_text
@@ -35,6 +35,15 @@ def checked_offers(offers: DataFrame, scanned: str | None = None) -> DataFrame:
     return rows.withColumn("valid", F.size("reasons") == 0)
 
 
+def store_checked(rows: DataFrame, path: str, rules: tuple[str, ...]) -> dict[str, int]:
+    """Q2: write checked rows in one job, the good ones under valid=true and the rejected ones with their reasons under valid=false, and return
+    what was observed on the way: offers, valid, and how many broke each of `rules`. Nothing is counted by reading again."""
+    seen = Observation("checked")
+    broken = [F.count_if(F.array_contains("reasons", rule)).alias(rule) for rule in rules]
+    rows.observe(seen, F.count(F.lit(1)).alias("offers"), F.count_if("valid").alias("valid"), *broken).write.partitionBy("valid").parquet(path)
+    return seen.get
+
+
 def checked_searches(searches: DataFrame) -> DataFrame:
     """Q3, Q4: rules are flags, so older rows with repeats or unknown values stay readable."""
     rules = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +165,18 @@ def facets(jobs: DataFrame, names: tuple[str, ...] = ("contract_type", "experien
     return jobs.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def facets_beside(jobs: DataFrame, chosen: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(facet, value, n) where each facet is counted under the choices of all other facets, not under its own, so that a reader sees what
+    another choice would find. One pass: a row goes to the facets whose other choices it meets, and tasks add up before the shuffle.
+
+    `chosen` has the facets (columns) and the values chosen of each; none chosen is no filter.
+    """
+    meets = {name: F.coalesce(F.col(name).isin(*values), F.lit(False)) if values else F.lit(True) for name, values in chosen.items()}
+    others = lambda name: reduce(lambda a, b: a & b, [m for n, m in meets.items() if n != name], F.lit(True))
+    pairs = F.array(*[F.when(others(n), F.struct(F.lit(n).alias("facet"), F.col(n).alias("value"))) for n in chosen])
+    return jobs.select(F.explode(F.array_compact(pairs)).alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 #: The days that a search's choice of dates goes back.
 AGES = {"past_24h": 1, "past_week": 7, "past_month": 30}
 

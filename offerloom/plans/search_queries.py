@@ -161,6 +161,15 @@ def g14(spark, sf_dir):
     return Q.facets(jobs(spark, sf_dir).where("active"))
 
 
+_CHOSEN = {"contract_type": ("cdi", "cdd"), "experience_level": ("senior", "lead"), "source": ("wttj", "adzuna", "freework")}
+_MEETS = {n: f"coalesce({n} IN {v}, false)" for n, v in _CHOSEN.items()}
+
+
+@query("g14_facets_beside", WITH_LISTINGS + " UNION ALL ".join(f"SELECT '{n}' AS facet, {n} AS value, count(*) AS n FROM listings WHERE {' AND '.join(m for o, m in _MEETS.items() if o != n)} GROUP BY ALL" for n in _CHOSEN))
+def g14_beside(spark, sf_dir):
+    return Q.facets_beside(jobs(spark, sf_dir), _CHOSEN)
+
+
 # Canonical jobs: listings of one company, place and title are one job here.
 _CANON = f"canon AS (SELECT *, concat({sql_key('company')}, '|', location, '|', {sql_key('title')}) AS job_id FROM listings)"
 

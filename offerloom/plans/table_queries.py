@@ -13,7 +13,7 @@ from offerloom.operators import tables as U
 from offerloom.operators.places import evidence
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, WITH_SYNCS, as_of, listings, offers, search_listings, star, sync_events, sync_results
 from offerloom.plans.scalar_queries import quoted, sql_key, sql_location, sql_map
-from offerloom.session import shared_table
+from offerloom.session import new_folder, shared_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -362,6 +362,18 @@ def q2(spark, sf_dir):
     return rows.groupBy("source").agg(F.count_if("valid").alias("valid"), broken("title").alias("no_title"), broken("url").alias("bad_url"))
 
 
+@query("q2_observed", WITH_OFFERS + "SELECT unnest(['offers', 'valid', 'title', 'url']) AS metric, unnest([count(*), count(*) FILTER (tie % 5 <> 0 AND tie % 7 <> 0), count(*) FILTER (tie % 5 = 0), count(*) FILTER (tie % 7 = 0)]) AS observed, unnest([count(*), count(*) FILTER (tie % 5 <> 0 AND tie % 7 <> 0), count(*) FILTER (tie % 5 = 0), count(*) FILTER (tie % 7 = 0)]) AS stored FROM offers")
+def q2_observed(spark, sf_dir):
+    """What was observed while the offers were written, beside what the stored rows say."""
+    rows = offers(spark, sf_dir).withColumns({"title": F.when(F.col("tie") % 5 != 0, F.col("title")), "url": F.when(F.col("tie") % 7 == 0, "ftp:").otherwise(F.col("url"))})
+    path = new_folder(spark, "checked")
+    seen = K.store_checked(K.checked_offers(rows), path, ("title", "url"))
+    stored = spark.read.parquet(path)
+    counts = {"offers": F.count(F.lit(1)), "valid": F.count_if("valid"), "title": F.count_if(F.array_contains("reasons", "title")), "url": F.count_if(F.array_contains("reasons", "url"))}
+    told = stored.agg(*[c.alias(n) for n, c in counts.items()])
+    return told.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(seen[n]).cast("bigint").alias("observed"), F.col(n).alias("stored")) for n in counts])).alias("x")).select("x.*")
+
+
 @query("q3_search_checks", "SELECT c_custkey AS id, c_acctbal >= 0 AND c_custkey % 1500 BETWEEN 1 AND 1000 AS valid FROM customer")
 def q3(spark, sf_dir):
     rows = star(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("keywords"), F.lit(10).alias("radius_km"), F.col("c_acctbal").alias("salary_min"), (F.col("c_custkey") % 1500).alias("max_results"), F.array(F.lit(SOURCES[0]), F.lit(SOURCES[1])).alias("sources"))
