@@ -29,12 +29,13 @@ def page_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "source", "page").agg(F.count(F.lit(1)).alias("cards"), new.alias("new_ids"))
 
 
-def scan_verdicts(pages: DataFrame, most_pages: int | None = None) -> DataFrame:
+def scan_verdicts(pages: DataFrame, most_pages: int | None = None, keys: tuple[Column | str, ...] = ("run_id", "source")) -> DataFrame:
     """Q1: per scan, whether it is complete: nothing is broken and its last page is an end.
 
     pages: run_id, source, page, cards, parsed, new_ids and, where pages tell them, total (results in all), malformed, and
     last (the page says that it is the last). A scan is broken if a page lost cards, is malformed, is empty although
     the total is positive, or after the first brought no new id; or if it reached `most_pages` with a page that is no end.
+    Pages may be a stream; `keys` then have a window of event time, and a verdict comes when the watermark closes it.
     """
     given = lambda name, kind, default: F.coalesce(F.col(name).cast(kind), F.lit(default)) if name in pages.columns else F.lit(default)
     empty = F.col("cards") == 0
@@ -43,7 +44,7 @@ def scan_verdicts(pages: DataFrame, most_pages: int | None = None) -> DataFrame:
     bad = bad | ((F.col("page") == 1) & empty & (given("total", "long", 0) > 0))
     if most_pages is not None:
         bad = bad | ((F.col("page") >= most_pages) & ~end)
-    rows = pages.groupBy("run_id", "source").agg(F.bool_or(bad).alias("broken"), F.max_by(end, "page").alias("ended"), F.sum("cards").alias("cards"))
+    rows = pages.groupBy(*keys).agg(F.bool_or(bad).alias("broken"), F.max_by(end, "page").alias("ended"), F.sum("cards").alias("cards"))
     return rows.withColumn("complete", ~F.col("broken") & F.col("ended"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.operators import tables as U
-from offerloom.session import new_folder
+from offerloom.plans import table_queries
+from offerloom.plans.bridge import listings, search_listings
+from offerloom.session import new_folder, shared_table
 from offerloom.sources import sinks
 from offerloom.streaming import jobs as J
 
@@ -62,6 +64,27 @@ def r1(spark, sf_dir):
     return sinks.read_snapshot(spark, f"{folder}/listings").select(*U.LISTING, "active", "last_seen_at", "sightings")
 
 
+def r6(spark, sf_dir):
+    """u8_deactivate_unseen from pages that land: BUILDING's scans end, MACHINERY's lose a card, and the first page of a later run closes them."""
+    folder = new_folder(spark, "r6")
+    attached = shared_table(search_listings(spark, sf_dir).select(F.col("search_name").alias("search"), "source", "external_id", "ord"), "attached")
+    at = lambda day: F.to_timestamp(F.lit(day))
+    page = (F.col("ord") % 4 + 1).cast("int")
+    seen = attached.where("search in ('BUILDING', 'MACHINERY')").groupBy("search", "source", page.alias("page")).agg(F.count(F.lit(1)).alias("cards"))
+    last = seen.select("search", "source").distinct().withColumns({"page": F.lit(5), "cards": F.lit(0).cast("bigint")})
+    rows = seen.unionByName(last).withColumns({"run_id": F.lit(1), "started_at": at("2001-01-01")})
+    rows = rows.unionByName(last.withColumns({"page": F.lit(1), "run_id": F.lit(2), "started_at": at("2001-02-01")}))
+    rows = rows.withColumns({"parsed": F.col("cards") - F.when((F.col("search") == "MACHINERY") & (F.col("page") == 1), 1).otherwise(0), "new_ids": F.col("cards"), "at": F.col("started_at") + F.make_dt_interval(mins=F.col("page"))})
+    for run in (1, 2):
+        rows.where(F.col("run_id") == run).write.mode("append").parquet(f"{folder}/landed/{run}")
+    sinks.write_snapshot(listings(spark, sf_dir).select("source", "external_id", "active", F.col("seen_at").alias("last_seen_at")), f"{folder}/listings", "first")
+    proof = attached.select("search", "source").distinct().where("search <> 'MACHINERY'").withColumn("started_at", at("2000-06-01"))
+    J.keep_alive(J.landed(spark, f"{folder}/landed/*", rows.schema), f"{folder}/listings", attached.drop("ord"), proof, f"{folder}/state").awaitTermination()
+    return sinks.read_snapshot(spark, f"{folder}/listings").select("source", "external_id", "active")
+
+
+QUERIES |= {"r6_liveness_stream": r6}
+ORACLES |= {"r6_liveness_stream": table_queries.ORACLES["u8_deactivate_unseen"]}
 QUERIES |= {"r1_upsert_stream": r1}
 ORACLES |= {"r1_upsert_stream": "SELECT event_type AS source, user_id::VARCHAR AS external_id, true AS active, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY ALL"}
 QUERIES |= {"r3_latest_sightings": r3, "r4_first_views": r4, "r5_progress": r5}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from offerloom.operators.runs import deactivate_unseen, scan_verdicts
 from offerloom.sources import sinks
 
 
@@ -65,6 +66,22 @@ def liveness_stream(verdicts: DataFrame, deactivate: Callable[[DataFrame, int],
     return upsert_stream(verdicts.where("complete"), deactivate, checkpoint)
 
 
+def closed_scans(pages: DataFrame, idle: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """A stream of verdicts (run_id, search, source, started_at, complete, …), one when no page of a scan has come for `idle`, from a stream of pages
+    with their time `at`. State is held for open scans alone: the watermark, `delay` behind the newest page, drops what it has closed."""
+    keys = ("run_id", "search", "source", "started_at", F.session_window("at", idle))
+    return scan_verdicts(pages.withWatermark("at", delay), keys=keys).drop("session_window")
+
+
+def keep_alive(pages: DataFrame, path: str, attached: DataFrame, verified: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Scans that close deactivate in the snapshot under `path` what they did not see, each batch of verdicts once; scans that are not complete change nothing."""
+
+    def apply(stored: DataFrame, verdicts: DataFrame) -> DataFrame:
+        return deactivate_unseen(stored, attached, verdicts.select("search", "source", "started_at"), verified)
+
+    return liveness_stream(closed_scans(pages), exactly_once(path, apply), checkpoint)
+
+
 def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """The table of a stream after all files landed so far; for tests and twins of batch queries."""
     query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
