@@ -144,12 +144,12 @@ class Trees:
 def fit(docs: DataFrame, may_learn: Column, per_language: int = 1500, longest: int = 1 << 16, max_nodes: int = 20_000, max_grams: int = 2_000_000) -> Trees | None:
     """Fit on a hash-chosen sample of about `per_language` texts of each non-null `lang`, of `longest` bytes at most each.
 
-    What reaches the driver is bounded by `max_grams` counts (the most frequent), the trees by `max_nodes` contexts of the
+    The shares, a number for each language, are broadcast: no text is shuffled. What reaches the driver is bounded by `max_grams` counts (the most frequent), the trees by `max_nodes` contexts of the
     longest order. None if there is nothing to learn from.
     """
     may = docs.where(may_learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= longest))
     share = may.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
-    sample = may.join(share, "lang").where(unit_hash("doc_id", seed=41) < F.col("share"))
+    sample = may.join(F.broadcast(share), "lang").where(unit_hash("doc_id", seed=41) < F.col("share"))
     rows = gram_counts(sample).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
     if not rows.num_rows:
         return None
