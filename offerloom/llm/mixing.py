@@ -40,16 +40,32 @@ def source_targets(sizes: DataFrame, pattern: tuple[int, ...] = (5, 2, 1), most:
     return sums.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def with_copies(docs: DataFrame, targets: DataFrame, seed: int = 29, id_col: str = "doc_id") -> DataFrame:
+def with_copies(docs: DataFrame, targets: DataFrame, seed: int = 29, draw: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add source_size, target, rate and `copies`, how often the mix takes the document.
 
-    The extra copy depends on the seed and the id alone, so reruns agree and equal rows are taken alike. Columns of the
-    same names in docs are replaced.
+    The extra copy depends on the seed and the columns of `draw` alone, so reruns agree and rows equal in these are taken
+    alike. Columns of the added names in docs are replaced.
     """
     docs = docs.drop("source_size", "target", "rate", "copies")
     joined = docs.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (unit_hash(id_col, seed=seed) < F.col("rate") - whole).cast("int")).cast("int"))
+    return joined.withColumn("copies", (whole + (unit_hash(*draw, seed=seed) < F.col("rate") - whole).cast("int")).cast("int"))
+
+
+def text_hash(text: str = "text"):
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def numbered(rows: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """The rows with `number`, which counts equal rows from 0. They are counted, not ranked: equal rows are one row on their way,
+    and come back `most` at a time, in tasks of their own."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(most).cast("bigint"))))
+    # only a row given more than `most` times has several blocks
+    many = F.col("__n") > most
+    spread = blocks.where(many).repartition(*rows.columns, "__from").unionByName(blocks.where(~many))
+    number = F.explode(F.sequence("__from", F.least(F.col("__from") + (most - 1), F.col("__n") - 1)))
+    return spread.select(*rows.columns, number.alias("number"))
 
 
 def word_count(text: str = "text"):
@@ -59,15 +75,19 @@ def word_count(text: str = "text"):
 def mix(docs: DataFrame, pattern: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 29) -> DataFrame:
     """The mixed documents: each row as often as its rate says, columns unchanged.
 
-    Null texts have no words, null sources are one source, an empty table gives no rows.
+    Null texts have no words, null sources are one source, an empty table gives no rows. The draw knows id and text, so rows
+    without an id differ by their texts; rows equal in both are taken alike (mix_digest numbers them, as they are all that it
+    returns; here that would shuffle the texts).
     """
     targets = source_targets(docs.select("source", word_count().alias("size")), pattern, most)
-    taken = with_copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source"), targets, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", text_hash().alias("__text"), F.lit(0).alias("__number"))
+    taken = with_copies(rows, targets, seed, ("doc_id", "__text", "__number"))
     return taken.withColumn("__copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))).select("__row.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words that the mix takes of it."""
-    sizes = shared_table(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
-    taken = with_copies(sizes, source_targets(sizes))
+    """One row per document: its size, its source's size and target, and the words that the mix takes of it. Rows equal in id,
+    text and source are numbered, and each number draws on its own."""
+    sizes = shared_table(docs.select("doc_id", "source", word_count().alias("size"), text_hash().alias("hash")), "mix-sizes")
+    taken = with_copies(numbered(sizes), source_targets(sizes), draw=("doc_id", "hash", "number"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

@@ -100,14 +100,15 @@ _SHINGLE_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXY
 LLM_ORACLES: dict[str, str] = {
     "op1_sharding": r"""
 WITH crc AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
-d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 16 AS size, md5(concat('17:', coalesce(doc_id::VARCHAR, ''))) AS h, hex(encode(coalesce(text, ''))) AS x FROM documents),
-sums AS (SELECT doc_id, source, size, h, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 16), lambda i: CAST(concat('0x', substr(x, (2 * i + 1)::INT, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
-ranked AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, text_crc32) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM sums),
+d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 16 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+sums AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 16), lambda i: CAST(concat('0x', substr(x, (2 * i + 1)::INT, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+hashed AS (SELECT *, md5(concat('17:', coalesce(doc_id::VARCHAR, ''), ':', text_crc32)) AS h FROM sums),
+ranked AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, text_crc32) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM hashed),
 placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, h, text_crc32) - 1 AS p, count(*) OVER () AS n FROM ranked),
 sharded AS (SELECT *, (p * 40) // n AS shard FROM placed)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (p - (shard * n + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM sharded""",
     "op2_mixing": r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS hash, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS number FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight FROM sized GROUP BY source),
 levels AS (SELECT *, 3 * source_size / weight AS stop,
   (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -115,7 +116,7 @@ levels AS (SELECT *, 3 * source_size / weight AS stop,
 targets AS (SELECT source, source_size, coalesce(least(3 * source_size::DOUBLE, weight * max(CASE WHEN level <= stop THEN level END) OVER ()), 0) AS target FROM levels),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM targets),
 picked AS (SELECT s.doc_id, s.size, r.source_size, r.target, s.source, floor(rate)::INT + (CASE WHEN
-  CAST(concat('0x', substr(md5(concat('29:', coalesce(s.doc_id::VARCHAR, ''))), 1, 13)) AS BIGINT) / power(2::DOUBLE, 52) < rate - floor(rate) THEN 1 ELSE 0 END) AS copies
+  CAST(concat('0x', substr(md5(concat('29:', coalesce(s.doc_id::VARCHAR, ''), ':', s.hash, ':', s.number)), 1, 13)) AS BIGINT) / power(2::DOUBLE, 52) < rate - floor(rate) THEN 1 ELSE 0 END) AS copies
   FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM picked""",
     "op4_neighbours": r"""

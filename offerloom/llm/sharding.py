@@ -16,23 +16,23 @@ from pyspark.sql.window import Window
 RANGES = 4096
 
 
-def interleave_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def interleave_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", crc_col: str | None = None) -> DataFrame:
     """Add `shard` (0 to shards-1, row counts at most one apart) and `slot` (gapless from 0 in each shard).
 
     Null ids, sources and texts are ordinary values: a null source is a source of its own. Repeated rows each get a slot;
-    which of two equal rows gets which slot makes no difference to the result. Ties in the hash are broken by the text's
-    checksum and size. An empty table gives no rows. Other columns pass through; the columns `shard` and `slot` are
+    which of two equal rows gets which slot makes no difference to the result. The hash is that of the id and of the
+    text's checksum (`crc_col`, where it is known already), so rows without an id are spread by their texts. An empty table gives no rows. Other columns pass through; the columns `shard` and `slot` are
     replaced if the table has them, and the columns used inside start with two underscores.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     kept = docs.drop("shard", "slot")
-    text = F.col(text_col)
+    crc = F.col(crc_col) if crc_col else F.coalesce(F.crc32(F.col(text_col).cast("string").cast("binary")), F.lit(0))
     rows = kept.select(
         F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("__row"),
         F.col(source_col).alias("__source"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("__hash"),
-        F.coalesce(F.crc32(text.cast("string").cast("binary")), F.lit(0)).alias("__crc"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), crc.cast("string")).cast("binary")).alias("__hash"),
+        crc.alias("__crc"),
     ).withColumn("__range", F.substring("__hash", 1, 3))
 
     ranges = rows.groupBy("__source", "__range").agg(F.count(F.lit(1)).alias("__in_range"))
@@ -76,5 +76,5 @@ def shard_digest(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
     )
     # the checksum stands in for the text, which then stays out of the shuffles
-    placed = interleave_shards(narrow, shards, seed, text_col="text_crc32")
+    placed = interleave_shards(narrow, shards, seed, crc_col="text_crc32")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -59,6 +59,18 @@ def test_sharding_rows_and_slots(spark, docs):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(b) + 16, zlib.crc32(b), "rows", None)
 
 
+def test_mixing_without_ids_comes_near_the_targets(spark):
+    rows = [(None, f"a b c {i}" if same else "one of many", "x") for same in (0, 1) for i in range(400)] + [(7, "again", "y")] * 500 + [(i, "w " * 40, "z") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_digest(docs).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[r.source] - r.target) < 0.12 * r.target for r in got)
+    numbers = mixing.numbered(docs, most=7).groupBy("doc_id", "text", "source").agg(F.sort_array(F.collect_list("number")).alias("n")).collect()
+    assert all(r.n == list(range(len(r.n))) for r in numbers) and sum(len(r.n) for r in numbers) == len(rows)
+
+
 def test_sharding_keeps_the_mixture(spark):
     rows = [(i, str(i), "en", "hot" if i % 3 else f"s{i % 5}", 1) for i in range(3000)]
     got = sharding.interleave_shards(frame(spark, rows), 10).groupBy("shard", "source").count().collect()
