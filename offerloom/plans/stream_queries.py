@@ -11,6 +11,7 @@ from offerloom.plans.bridge import listings, search_listings
 from offerloom.session import new_folder, shared_table
 from offerloom.sources import sinks
 from offerloom.streaming import jobs as J
+from offerloom.streaming import state as S
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,16 @@ def r3(spark, sf_dir):
     return settled(J.latest_sightings(seen), "r3").select("source", "external_id", "last_seen_at")
 
 
+def r3_remembered(spark, sf_dir):
+    """Each change is written under its batch's number, so a batch that comes again writes the same; the last change of a listing is its state."""
+    folder = new_folder(spark, "r3-state")
+    seen = landed_events(spark, sf_dir).select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("props").alias("title"))
+    J.upsert_stream(S.remembered_sightings(seen, idle_days=2), lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}"), f"{folder}/state").awaitTermination()
+    changes = spark.read.parquet(f"{folder}/changes")
+    newest = changes.groupBy(*S.KEYS).agg(F.max_by(F.struct("last_seen_at", "title", "forgotten"), F.struct("batch", "forgotten")).alias("x"))
+    return newest.select(*S.KEYS, "x.*")
+
+
 def r4(spark, sf_dir):
     views = landed_events(spark, sf_dir).where("event_type = 'view'").select(F.col("user_id").alias("job_id"), F.col("ts").alias("viewed_at"))
     return settled(J.first_views(views), "r4")
@@ -87,6 +98,11 @@ QUERIES |= {"r6_liveness_stream": r6}
 ORACLES |= {"r6_liveness_stream": table_queries.ORACLES["u8_deactivate_unseen"]}
 QUERIES |= {"r1_upsert_stream": r1}
 ORACLES |= {"r1_upsert_stream": "SELECT event_type AS source, user_id::VARCHAR AS external_id, true AS active, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY ALL"}
+QUERIES |= {"r3_remembered_sightings": r3_remembered}
+ORACLES |= {
+    "r3_remembered_sightings": """SELECT event_type AS source, user_id::VARCHAR AS external_id, max(ts) AS last_seen_at, max_by(props, {'ts': ts, 'props': props}) AS title,
+  max(ts) + INTERVAL 2 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS forgotten FROM events GROUP BY ALL"""
+}
 QUERIES |= {"r3_latest_sightings": r3, "r4_first_views": r4, "r5_progress": r5}
 ORACLES |= {
     "r3_latest_sightings": "SELECT event_type AS source, user_id::VARCHAR AS external_id, max(ts) AS last_seen_at FROM events GROUP BY ALL",

@@ -12,6 +12,7 @@ from offerloom.functions import text
 from offerloom.operators import places, quality, resolve, runs, search, similarity, tables
 from offerloom.sources import cards, payloads, sinks
 from offerloom.streaming import jobs as streams
+from offerloom.streaming import state
 
 DAY = lambda n: dt.datetime(2024, 1, n)
 LISTING = "source string, external_id string, url string, title string, company string, location string, posted_at timestamp"
@@ -452,3 +453,23 @@ def test_sinks_and_streams(spark, tmp_path):
     lines = "".join(p.read_text() for p in (tmp_path / "json").glob("part-*"))
     assert "é" in lines and '"note":null' in lines
     assert sinks.camel(rows).columns == ["externalId", "source", "seenAt", "runId", "title", "note"]
+
+
+def test_state_of_sightings(spark, tmp_path):
+    """A late sighting moves nothing back, a restart goes on where it was, and what is unseen for a time is forgotten once."""
+    schema = "source string, external_id string, seen_at timestamp, title string"
+    out = []
+
+    def land(number, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "landed" / str(number)))
+        changes = state.remembered_sightings(streams.landed(spark, str(tmp_path / "landed" / "*"), schema, 1))
+        begin = len(out)
+        streams.upsert_stream(changes, lambda batch, n: out.extend(batch.collect()), str(tmp_path / "state")).awaitTermination()
+        return {(r.source, r.external_id, r.last_seen_at, r.title, r.forgotten) for r in out[begin:]}
+
+    assert land(0, [("a", "1", DAY(5), "x"), ("a", "1", DAY(3), "old"), (None, "2", DAY(5), None), ("a", "9", None, "never")]) == {("a", "1", DAY(5), "x", False), (None, "2", DAY(5), None, False)}
+    assert land(1, [("a", "1", DAY(5), "x"), ("a", "1", DAY(4), "late"), ("b", "3", DAY(6), "q")]) == {("b", "3", DAY(6), "q", False)}
+    moved = land(2, [("b", "3", DAY(28) + dt.timedelta(days=30), "z")])
+    gone = {("a", "1", DAY(5), "x", True), (None, "2", DAY(5), None, True)}
+    assert moved | land(3, [("b", "3", DAY(28) + dt.timedelta(days=31), "y")]) == gone | {("b", "3", DAY(28) + dt.timedelta(days=n), t, False) for n, t in ((30, "z"), (31, "y"))}
+    assert not any(r.external_id == "1" for r in out[-1:] if not r.forgotten)
