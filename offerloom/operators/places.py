@@ -261,19 +261,25 @@ def metropole_match(rows: DataFrame, requests: list[str], areas: DataFrame, colu
 
 
 #: A file of metropolitan areas: one object with a reference date and its groups.
-AREA_FILE = "reference_date string, groups array<struct<key string, official_name string, city_center string, epci_code string, source_url string, activation_aliases array<string>, communes array<struct<insee_code string, name string>>>>"
+AREA_FILE = "reference_date string, groups array<struct<key string, official_name string, city_center string, epci_code string, source_url string, machine_readable_source_url string, activation_aliases array<string>, communes array<struct<insee_code string, name string>>>>"
 
 
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
-    """The groups of an area file, as quality.area_violations takes them: area, center, alias_list, commune_codes, commune_names."""
-    groups = spark.read.option("multiLine", True).schema(AREA_FILE).json(path).select("reference_date", F.explode("groups").alias("g"))
+    """The groups of an area file, with keys for its names."""
+    return area_keys(spark.read.option("multiLine", True).schema(AREA_FILE).json(path).select("reference_date", F.explode("groups").alias("g")))
+
+
+def area_keys(groups: DataFrame) -> DataFrame:
+    """Groups (reference_date, g) as the rules of operators/quality.py take them: a row for each, with the keys of its centre, aliases and communes."""
     keys = lambda c: F.transform(c, location_key)
     return groups.select(
         "reference_date",
         F.col("g.key").alias("area"),
+        "g.official_name",
         location_key(F.col("g.city_center")).alias("center"),
         "g.epci_code",
         "g.source_url",
+        "g.machine_readable_source_url",
         keys(F.col("g.activation_aliases")).alias("alias_list"),
         F.transform("g.communes", lambda c: F.upper(c["insee_code"])).alias("commune_codes"),
         keys(F.transform("g.communes", lambda c: c["name"])).alias("commune_names"),

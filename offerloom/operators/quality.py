@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import has_text
-from offerloom.functions.values import SOURCES
+from offerloom.functions.values import METROPOLES, METROPOLES_DATE, METROPOLES_LIST, METROPOLES_PAGE, SOURCES
 
 CONTRACTS = ("cdi", "cdd", "interim", "stage", "alternance", "freelance", "other")
 LEVELS = ("internship", "junior", "mid", "senior", "lead", "director")
@@ -80,3 +80,37 @@ def area_violations(areas: DataFrame) -> DataFrame:
         "center_in_communes": F.array_contains("commune_names", name),
     }
     return areas.select("area", F.explode(reasons(rules)).alias("rule"))
+
+
+def area_file_violations(areas: DataFrame) -> DataFrame:
+    """Q7: (area, rule) of all that is wrong with a full area file, as read_areas gives it: the rules of each group by itself, what is expected of the
+    areas that are known, and what only shows between groups (an area given twice or not at all, an alias of several areas).
+
+    Nothing stops at a first fault, and an absent value breaks its rule. An area without a key has the area null. Rules of an
+    unknown area's size, code and addresses have nothing to compare with and are left out.
+    """
+    expected = areas.sparkSession.createDataFrame(
+        [(key, n, code, METROPOLES_PAGE.get(key, METROPOLES_LIST.format(code)), METROPOLES_LIST.format(code)) for key, (n, code) in METROPOLES.items()],
+        "known string, communes int, code string, page string, machine string",
+    )
+    rows = areas.join(F.broadcast(expected), F.col("area") == F.col("known"), "left")
+    foreign = F.col("known").isNull()
+    texts = lambda c: F.forall(c, lambda x: has_text(x))
+    rules = {
+        "reference_date": F.col("reference_date") == METROPOLES_DATE,
+        "unknown_area": ~foreign,
+        "official_name": has_text(F.col("official_name")),
+        "epci_code": foreign | (F.col("epci_code") == F.col("code")),
+        "source_url": foreign | (F.col("source_url") == F.col("page")),
+        "machine_url": foreign | (F.col("machine_readable_source_url") == F.col("machine")),
+        "commune_count": foreign | (F.size("commune_codes") == F.col("communes")),
+        "aliases": (F.size("alias_list") > 0) & texts("alias_list"),
+        "commune_names": texts("commune_names"),
+    }
+    inside = rows.select("area", F.explode(reasons(rules)).alias("rule"))
+    twice = repeated_keys(areas, "area").select("area", F.lit("area_repeats").alias("rule"))
+    absent = expected.join(areas, F.col("area") == F.col("known"), "left_anti").select(F.col("known").alias("area"), F.lit("missing").alias("rule"))
+    named = areas.select("area", F.explode(F.array_distinct("alias_list")).alias("alias"))
+    shared = named.groupBy("alias").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = named.join(shared, "alias", "left_semi").select("area", F.lit("alias_of_several").alias("rule")).distinct()
+    return area_violations(areas).unionByName(inside).unionByName(twice).unionByName(absent).unionByName(shared)

@@ -155,7 +155,7 @@ def cards(jobs: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
     listed = links.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source", "url", "active"))), lambda x: F.struct(x["source"].alias("source"), x["url"].alias("url"), x["active"].alias("active"))).alias("sources"))
     sides = edges.select(F.col("left_id").alias("job_id"), F.col("right_id").alias("other"), "score", "reasons").unionByName(edges.select(F.col("right_id").alias("job_id"), F.col("left_id").alias("other"), "score", "reasons"))
     shown = jobs.select(F.col("job_id").alias("other"), "title", "company", "location")
-    near = sides.join(shown, "other").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("other", "title", "company", "location", "score", "reasons"))).alias("possible_duplicates"))
+    near = sides.join(shown, "other").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.col("other").alias("id"), "title", "company", "location", "score", "reasons"))).alias("possible_duplicates"))
     return jobs.join(listed, "job_id", "left").join(near, "job_id", "left")
 
 

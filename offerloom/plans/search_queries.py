@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from offerloom.functions.scalars import EARTH_KM
 from offerloom.functions.values import CITIES
@@ -13,6 +14,7 @@ from offerloom.operators import search as Q
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, as_of, labels, listings, offers, search_listings, star
 from offerloom.plans.scalar_queries import quoted, sql_city, sql_filter_key, sql_key, sql_municipality
 from offerloom.session import shared_table
+from offerloom.sources.sinks import card_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -237,3 +239,30 @@ def b8(spark, sf_dir):
 def b4(spark, sf_dir):
     rows = search_listings(spark, sf_dir).join(listings(spark, sf_dir).select("source", "external_id", "active"), ["source", "external_id"])
     return rows.groupBy("search_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("active").alias("active"))
+
+
+_CARD_KEYS = "id,title,company,location,salaryMin,salaryMax,salaryCurrency,contractType,experienceLevel,remote,postedAt,viewedAt,sources,duplicateState,possibleDuplicates"
+
+
+@query(
+    "s17_nested_cards",
+    _WITH
+    + f""", jobs AS (SELECT job_id, arg_min(title, ord) AS title, arg_min(company, ord) AS company, arg_min(location, ord) AS location, count(*) AS n, list({{'source': source, 'url': url, 'active': active}} ORDER BY ord) AS sources FROM canon GROUP BY 1),
+pairs AS (SELECT job_id AS a, title, company, location, lead(job_id) OVER w AS b, lead(location) OVER w AS b_location FROM jobs WHERE title <> '' AND company <> '' WINDOW w AS (PARTITION BY title, company ORDER BY job_id)),
+sides AS (SELECT a AS job_id, b AS other, title, company, b_location AS location FROM pairs WHERE b IS NOT NULL UNION ALL SELECT b, a, title, company, location FROM pairs WHERE b IS NOT NULL),
+near AS (SELECT job_id, list({{'id': other, 'title': title, 'company': company, 'location': location, 'score': 0.9::DOUBLE, 'reasons': ['title']}} ORDER BY other) AS near FROM sides GROUP BY 1)
+SELECT job_id AS id, '{_CARD_KEYS}' AS keys, title, to_json(sources)::VARCHAR AS sources, coalesce(to_json(near)::VARCHAR, '[]') AS possible, CASE WHEN n > 1 THEN 'confirmed' WHEN near IS NOT NULL THEN 'possible' ELSE 'none' END AS state
+FROM jobs LEFT JOIN near USING (job_id)""",
+)
+def s17_nested(spark, sf_dir):
+    """Cards as texts and read again; neighbours in order among jobs of one title and company are their possible duplicates here."""
+    links = canonical(spark, sf_dir)
+    jobs = links.groupBy("job_id").agg(*[F.min_by(c, "ord").alias(c) for c in ("title", "company", "location")])
+    after = F.lead("job_id").over(Window.partitionBy("title", "company").orderBy("job_id"))
+    edges = jobs.where("title <> '' and company <> ''").select(F.col("job_id").alias("left_id"), after.alias("right_id"), F.lit(0.9).alias("score"), F.array(F.lit("title")).alias("reasons")).where("right_id is not null")
+    edges = shared_table(edges, "edges")
+    absent = {c: F.lit(None).cast(t) for c, t in (("salary_min", "double"), ("salary_max", "double"), ("salary_currency", "string"), ("contract_type", "string"), ("experience_level", "string"), ("remote", "boolean"), ("posted_at", "timestamp"), ("viewed_at", "timestamp"))}
+    stated = Q.with_state(jobs, links, edges.withColumn("kind", F.lit("possible"))).withColumns(absent)
+    lines = card_lines(Q.cards(stated, links, edges).withColumnRenamed("job_id", "id"))
+    part = lambda name: F.get_json_object("card", f"$.{name}")
+    return lines.select("id", F.array_join(F.json_object_keys("card"), ",").alias("keys"), part("title").alias("title"), part("sources").alias("sources"), part("possibleDuplicates").alias("possible"), part("duplicateState").alias("state"))

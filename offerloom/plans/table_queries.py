@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.functions.values import RANK, SENIORITY_WORDS, SOURCES
+from offerloom.functions.values import METROPOLES, METROPOLES_DATE, METROPOLES_LIST, METROPOLES_PAGE, RANK, SENIORITY_WORDS, SOURCES
 from offerloom.operators import quality as K
 from offerloom.operators import resolve as D
 from offerloom.operators import runs as R
 from offerloom.operators import tables as U
-from offerloom.operators.places import evidence
+from offerloom.operators.places import area_keys, evidence
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, WITH_SYNCS, as_of, listings, offers, search_listings, star, sync_events, sync_results
 from offerloom.plans.scalar_queries import quoted, sql_key, sql_location, sql_map
 from offerloom.session import new_folder, shared_table
@@ -390,6 +390,60 @@ def q6(spark, sf_dir):
     return K.repeated_keys(search_runs(spark, sf_dir).where("status in ('pending', 'running')"), "search")
 
 
+_KEYS = list(METROPOLES)
+
+
+def area_groups(spark, sf_dir):
+    """Groups of an area file from the nations, one for each, and the bands of 100 that balances of their customers are in (110 at most) as communes; faults
+    by the nation: a repeated and unknown keys, a false code, address, date or name, aliases that regions share; and by the bands."""
+    band = F.expr("cast(floor(c_acctbal / 100) as int)")
+    far = F.abs(band)
+    communes = star(spark, sf_dir, "customer").select("c_nationkey", band.alias("band"), far.alias("far")).distinct()
+    code = F.when(F.col("band") < 0, F.concat(F.lit("2a"), F.lpad(F.col("far").cast("string"), 3, "0"))).when(F.col("band") > 95, F.concat(F.lit("x"), F.col("far").cast("string"))).otherwise(F.lpad((F.col("far") + 69000).cast("string"), 5, "0"))
+    name = F.concat(F.lit("Ville-"), F.char(F.expr("97 + far div 26")), F.char(F.expr("97 + far % 26")))
+    communes = communes.groupBy("c_nationkey").agg(F.collect_list(F.struct(code.alias("insee_code"), name.alias("name"))).alias("communes"))
+    n, nation, region = F.col("n_nationkey"), F.lower("n_name"), F.lower("r_name")
+    key = F.when(n < 8, F.element_at(F.array(*[F.lit(k) for k in _KEYS]), (n + 1).cast("int"))).when(n == 8, F.lit(_KEYS[0])).otherwise(nation)
+    epci = F.element_at(F.create_map(*[F.lit(x) for k, (_, c) in METROPOLES.items() for x in (k, c)]), key)
+    machine = F.concat(F.lit(METROPOLES_LIST.split("{}")[0]), epci, F.lit(METROPOLES_LIST.split("{}")[1]))
+    page = F.when(key == "lyon", F.lit(METROPOLES_PAGE["lyon"])).otherwise(machine)
+    aliases = F.array_compact(F.array(F.lit("Ville-AH"), nation, F.when(n % 2 == 1, region), F.when(n == 3, F.upper(nation)), F.when(n == 5, F.lit(" "))))
+    rows = star(spark, sf_dir, "nation").join(F.broadcast(star(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).join(communes, n == F.col("c_nationkey"))
+    group = F.struct(key.alias("key"), F.when(n != 6, nation).otherwise(" ").alias("official_name"), F.lit("VILLE-AH").alias("city_center"), F.when(n % 3 > 0, epci).otherwise("0").alias("epci_code"), F.when(n % 4 != 1, page).alias("source_url"), F.when(n % 5 != 2, machine).alias("machine_readable_source_url"), F.when(n != 7, aliases).otherwise(F.array().cast("array<string>")).alias("activation_aliases"), "communes")
+    return rows.select(F.when(n != 11, METROPOLES_DATE).otherwise("2025-01-01").alias("reference_date"), group.alias("g"))
+
+
+@query(
+    "q7_area_violations",
+    f"""
+WITH known AS (SELECT unnest({_KEYS}) AS area, unnest({[n for n, _ in METROPOLES.values()]}) AS communes),
+bands AS (SELECT DISTINCT c_nationkey AS n, floor(c_acctbal / 100)::INT AS band FROM customer),
+b AS (SELECT n, count(*) AS size, count(DISTINCT abs(band)) AS names, count(*) FILTER (band > 95) AS odd, count(*) FILTER (abs(band) = 7) AS centre FROM bands GROUP BY 1),
+g AS (SELECT n.n_nationkey AS n, lower(r_name) AS region, CASE WHEN n.n_nationkey < 8 THEN ({_KEYS})[n.n_nationkey + 1] WHEN n.n_nationkey = 8 THEN '{_KEYS[0]}' ELSE lower(n_name) END AS area, b.* EXCLUDE n
+  FROM nation n JOIN region ON n_regionkey = r_regionkey JOIN b ON b.n = n.n_nationkey),
+r AS (SELECT g.*, k.area IS NOT NULL AS known, k.communes FROM g LEFT JOIN known k USING (area)),
+v AS (SELECT area, 'aliases_repeat' AS rule FROM r WHERE n = 3
+  UNION ALL SELECT area, 'names_repeat' FROM r WHERE names < size
+  UNION ALL SELECT area, 'code_form' FROM r WHERE odd > 0
+  UNION ALL SELECT area, 'center_in_aliases' FROM r WHERE n = 7
+  UNION ALL SELECT area, 'center_in_communes' FROM r WHERE centre = 0
+  UNION ALL SELECT area, 'reference_date' FROM r WHERE n = 11
+  UNION ALL SELECT area, 'unknown_area' FROM r WHERE NOT known
+  UNION ALL SELECT area, 'official_name' FROM r WHERE n = 6
+  UNION ALL SELECT area, 'epci_code' FROM r WHERE known AND n % 3 = 0
+  UNION ALL SELECT area, 'source_url' FROM r WHERE known AND n % 4 = 1
+  UNION ALL SELECT area, 'machine_url' FROM r WHERE known AND n % 5 = 2
+  UNION ALL SELECT area, 'commune_count' FROM r WHERE known AND size <> communes
+  UNION ALL SELECT area, 'aliases' FROM r WHERE n IN (5, 7)
+  UNION ALL SELECT area, 'area_repeats' FROM r GROUP BY 1 HAVING count(*) > 1
+  UNION ALL SELECT area, 'missing' FROM known WHERE area NOT IN (SELECT area FROM r)
+  UNION ALL SELECT DISTINCT area, 'alias_of_several' FROM r WHERE n <> 7)
+SELECT area, rule, count(*) AS n FROM v GROUP BY ALL""",
+)
+def q7(spark, sf_dir):
+    return K.area_file_violations(area_keys(area_groups(spark, sf_dir))).groupBy("area", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s9_union_of_sources", WITH_OFFERS + "SELECT source, count(*) AS n, count(remote) AS remotes FROM offers GROUP BY 1")
 def s9(spark, sf_dir):
     from offerloom.sources.payloads import union_of_sources

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The columns of a CSV export, in order.
 CSV_COLUMNS = ("external_id", "source", "title", "company", "location", "contract_type", "experience_level", "salary_min", "salary_max", "posted_at", "url")
@@ -31,9 +32,32 @@ def preview(rows: DataFrame, n: int = 20) -> DataFrame:
     return rows.limit(n).select(cut(F.col("title"), 40).alias("title"), cut(F.col("company"), 25).alias("company"), cut(F.col("location"), 20).alias("location"))
 
 
+def _camel(name: str) -> str:
+    return "".join(p if not i else p.capitalize() for i, p in enumerate(name.split("_")))
+
+
+def _camel_type(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(_camel(f.name), _camel_type(f.dataType), f.nullable) for f in kind])
+    return T.ArrayType(_camel_type(kind.elementType), kind.containsNull) if isinstance(kind, T.ArrayType) else kind
+
+
 def camel(rows: DataFrame) -> DataFrame:
-    """Column names in camel case."""
-    return rows.toDF(*["".join(p if not i else p.capitalize() for i, p in enumerate(c.split("_"))) for c in rows.columns])
+    """Column names in camel case, also inside structs and arrays of them; keys of maps are data and stay."""
+    fields = rows.schema.fields
+    named = rows.toDF(*[f"c{i}" for i in range(len(fields))])
+    return named.select(*[F.col(f"c{i}").cast(_camel_type(f.dataType)).alias(_camel(f.name)) for i, f in enumerate(fields)])
+
+
+#: What a card shows, in order.
+CARD = ("id", "title", "company", "location", "salary_min", "salary_max", "salary_currency", "contract_type", "experience_level", "remote", "posted_at", "viewed_at", "sources", "duplicate_state", "possible_duplicates")
+
+
+def card_lines(cards: DataFrame) -> DataFrame:
+    """One JSON text for each card, nested as search.cards has it and in camel case, absent values as nulls and absent lists as empty ones."""
+    lists = {c: F.coalesce(F.col(c), F.array().cast(cards.schema[c].dataType)) for c in ("sources", "possible_duplicates")}
+    shown = camel(cards.withColumns(lists).select(*CARD))
+    return shown.select("id", F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "false"}).alias("card"))
 
 
 class Conflict(RuntimeError):

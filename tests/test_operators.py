@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.functions import text
+from offerloom.functions import text, values
 from offerloom.operators import places, quality, resolve, runs, search, similarity, tables
 from offerloom.sources import cards, payloads, sinks
 from offerloom.streaming import jobs as streams
@@ -235,6 +235,29 @@ def test_places(spark, tmp_path):
     assert {tuple(r) for r in places.alias_communes(groups).collect()} == {(a, c) for a in ("lyon", "grand lyon") for c in ("lyon", "villeurbanne")}
 
 
+def test_a_full_area_file(spark, tmp_path):
+    def group(key, n, code, **other):
+        link = values.METROPOLES_LIST.format(code)
+        named = [{"insee_code": f"{10000 + i}", "name": f"Ville {chr(97 + i // 26)}{chr(97 + i % 26)}"} for i in range(n)]
+        return {"key": key, "official_name": key, "city_center": "ville aa", "epci_code": code, "source_url": values.METROPOLES_PAGE.get(key, link), "machine_readable_source_url": link, "activation_aliases": [key.replace("_", " ")], "communes": named} | other
+
+    def faults(groups, date="2026-01-01"):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps({"reference_date": date, "groups": groups}))
+        return {tuple(r) for r in quality.area_file_violations(places.read_areas(spark, str(path))).collect()}
+
+    good = [group(k, n, c, activation_aliases=[f"alias of {k}"], city_center=f"alias of {k}") for k, (n, c) in values.METROPOLES.items()]
+    for g in good:
+        g["communes"][0]["name"] = g["city_center"]
+    assert faults(good) == set()
+    assert faults(good, None) == {(k, "reference_date") for k in values.METROPOLES}
+    bad = [*good[1:], good[1], good[2] | {"key": "elsewhere", "epci_code": "1", "activation_aliases": [good[2]["city_center"]]}]
+    bad[5] = good[6] | {"official_name": " ", "source_url": None, "communes": [*good[6]["communes"][:-1], {"insee_code": "2c001", "name": None}]}
+    first, second, nantes = good[1]["key"], good[2]["key"], good[6]["key"]
+    want = {("grand_paris", "missing"), (first, "area_repeats"), (first, "alias_of_several"), ("elsewhere", "unknown_area"), ("elsewhere", "alias_of_several"), (second, "alias_of_several")}
+    assert faults(bad) == want | {(nantes, "official_name"), (nantes, "source_url"), (nantes, "code_form"), (nantes, "commune_names")}
+
+
 def blocks_by_hand(description):
     """Headings, paragraphs and lists of a description, line by line."""
     out, para, items, label = [], [], [], False
