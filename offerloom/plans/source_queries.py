@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions import text as T
+from offerloom.functions.values import SOURCE_CODES
 from offerloom.operators import quality as K
 from offerloom.operators import runs as R
 from offerloom.operators import search as Q
@@ -280,10 +281,32 @@ def x2(spark, sf_dir):
     return rows.join(F.broadcast(codes), F.col("contract_type") == F.col("value"), "left").select("contract_type", "code", "n")
 
 
+_EVERY_CODE = ", ".join(str((source, kind, value, code)) for (source, kind), codes in SOURCE_CODES.items() for value, code in codes.items())
+_ASKED = {
+    "contract": "contract_type",
+    "experience": "experience_level",
+    "workplace": "CASE WHEN remote THEN 'remote' WHEN remote IS NULL THEN 'hybrid' ELSE 'on_site' END",
+    "date": "CASE WHEN posted_at IS NULL THEN 'any_time' WHEN tie % 3 = 0 THEN 'past_24h' WHEN tie % 3 = 1 THEN 'past_week' ELSE 'past_month' END",
+    "sort": "CASE WHEN salary_max IS NULL THEN 'date' ELSE 'relevance' END",
+}
+
+
+@query(
+    "x2_every_source_code",
+    WITH_OFFERS.rstrip()
+    + f", codes(source, kind, value, code) AS (VALUES {_EVERY_CODE}), asked AS ({' UNION ALL '.join(f"SELECT '{k}' AS kind, {e} AS value FROM offers" for k, e in _ASKED.items())}) "
+    + "SELECT source, kind, value, code, count(*) AS n FROM asked JOIN codes USING (kind, value) GROUP BY ALL",
+)
+def x2_every(spark, sf_dir):
+    """What each source would be asked for to find each offer, by all tables of codes."""
+    asked = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(e).alias("value")) for k, e in _ASKED.items()])
+    rows = offers(spark, sf_dir).select(F.explode(asked).alias("a")).groupBy("a.kind", "a.value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(F.broadcast(cards.source_codes(spark)), ["kind", "value"]).select("source", "kind", "value", "code", "n")
+
+
 @query("x3_contract_families", "SELECT o_orderkey, (['-', 'permanent,contract', 'contract', ''])[o_orderkey % 4 + 1] AS families FROM orders")
 def x3(spark, sf_dir):
     from offerloom.functions.scalars import contract_families
-    from offerloom.functions.values import SOURCE_CODES
 
     asked = F.expr("element_at(array(cast(array() as array<string>), array('cdi', 'interim', 'cdd'), array('freelance', 'stage'), array('stage')), cast(o_orderkey % 4 + 1 as int))")
     rows = star(spark, sf_dir, "orders").select("o_orderkey", contract_families(asked, SOURCE_CODES["adzuna", "contract"]).alias("f"))

@@ -107,6 +107,25 @@ def u10(spark, sf_dir):
     return rows.select("job_id", F.when(F.col("description") == "old", "old").otherwise(F.md5(F.col("description").cast("binary"))).alias("description_md5"), "refreshed")
 
 
+@query(
+    "u11_legacy_provenance",
+    """WITH j AS (SELECT doc_id, doc_id % 3 <> 2 AND doc_id % 7 <> 0 AS legacy, CASE WHEN length(trim(text)) > 0 AND quality IS NOT NULL THEN 1000000 + 1000000 * quality END AS shot FROM documents LEFT JOIN labels USING (doc_id)),
+s AS (SELECT *, CASE WHEN legacy AND doc_id % 2 = 0 THEN 1500000 END AS d, CASE WHEN doc_id % 3 = 2 THEN 1200000 WHEN legacy AND doc_id % 5 = 0 THEN 1500000 END AS k FROM j)
+SELECT doc_id AS job_id, (CASE WHEN shot > coalesce(d, 0) THEN shot ELSE d END)::BIGINT AS description, k::BIGINT AS skills, coalesce(shot > coalesce(d, 0), false) AS refreshed FROM s""",
+)
+def u11(spark, sf_dir):
+    """Jobs with one time for all details, with stamps, and with neither meet snapshots that are older or newer than that time."""
+    at, none, n = lambda s: F.timestamp_seconds(F.lit(s)), F.lit(None), F.col("doc_id")
+    stamps = F.create_map(F.lit("skills"), at(1200000))
+    texts = F.array().cast("array<string>")
+    salary = [none.cast(t).alias(c) for c, t in (("salary_min", "double"), ("salary_max", "double"), ("salary_currency", "string"))]
+    docs = star(spark, sf_dir, "documents")
+    jobs = docs.select(n.alias("job_id"), F.when(n % 2 == 0, F.lit("old")).alias("description"), *salary, F.when(n % 5 == 0, F.array(F.lit("sql"))).otherwise(texts).alias("skills"), texts.alias("benefits"), F.when(n % 3 == 2, stamps).when(n % 3 == 1, F.map_filter(stamps, lambda k, v: F.lit(False))).alias("provenance"), F.when(n % 7 > 0, at(1500000)).alias("details_fetched_at"))
+    shots = docs.join(star(spark, sf_dir, "labels"), "doc_id").select(n.alias("job_id"), F.timestamp_seconds(1000000 + 1000000 * F.col("quality")).alias("fetched_at"), F.col("text").alias("description"), *salary, texts.alias("skills"), texts.alias("benefits"))
+    rows = U.apply_details(jobs, shots)
+    return rows.select("job_id", *[F.unix_seconds(U.provenance_at(F.col("provenance"), g)).alias(g) for g in ("description", "skills")], "refreshed")
+
+
 @query("u18_update_fields", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS name, c_mktsegment AS segment FROM customer")
 def u18(spark, sf_dir):
     rows = star(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
@@ -380,6 +399,23 @@ def q3(spark, sf_dir):
     return K.checked_searches(rows).select("id", "valid")
 
 
+_READ = f"CASE WHEN c_custkey % 4 = 0 THEN ['{SOURCES[0]}', '{SOURCES[0]}'] WHEN c_custkey % 4 = 1 THEN ['{SOURCES[1]}', lower(c_mktsegment)] WHEN c_acctbal < 0 THEN []::VARCHAR[] ELSE ['{SOURCES[0]}', '{SOURCES[2]}'] END"
+
+
+@query(
+    "q4_tolerant_reads",
+    f"""WITH r AS (SELECT c_custkey AS id, c_acctbal, {_READ} AS sources FROM customer)
+SELECT id, array_to_string(sources, ',') AS sources, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'salary_min' END, CASE WHEN id % 4 < 2 OR len(sources) = 0 THEN 'sources' END) AS reasons FROM r""",
+)
+def q4(spark, sf_dir):
+    """Searches stored before today's rules, with repeated, unknown and no sources: every row is read, with the rules that it breaks."""
+    known = [F.lit(s) for s in SOURCES]
+    first, second = F.col("c_custkey") % 4 == 0, F.col("c_custkey") % 4 == 1
+    sources = F.when(first, F.array(known[0], known[0])).when(second, F.array(known[1], F.lower("c_mktsegment"))).when(F.col("c_acctbal") < 0, F.array().cast("array<string>")).otherwise(F.array(known[0], known[2]))
+    rows = star(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("keywords"), F.lit(None).cast("int").alias("radius_km"), F.col("c_acctbal").alias("salary_min"), F.lit(100).alias("max_results"), sources.alias("sources"))
+    return K.checked_searches(rows).select("id", F.array_join("sources", ",").alias("sources"), F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("q5_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def q5(spark, sf_dir):
     return K.repeated_keys(star(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
