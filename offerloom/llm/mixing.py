@@ -79,7 +79,8 @@ def mix(docs: DataFrame, pattern: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     without an id differ by their texts; rows equal in both are taken alike (mix_digest numbers them, as they are all that it
     returns; here that would shuffle the texts).
     """
-    targets = source_targets(docs.select("source", word_count().alias("size")), pattern, most)
+    # written, so that its size is known when the join is planned: few sources are broadcast then, and no text is shuffled
+    targets = shared_table(source_targets(docs.select("source", word_count().alias("size")), pattern, most), "mix-targets")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", text_hash().alias("__text"), F.lit(0).alias("__number"))
     taken = with_copies(rows, targets, seed, ("doc_id", "__text", "__number"))
     return taken.withColumn("__copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))).select("__row.*")
