@@ -3,7 +3,9 @@
 Lines that begin with ">" are quoted, as deeply as they have such marks. The quoted text of each level is cut into passages: its
 lines, and its sentences with line ends inside them as blanks, so that quotes that were wrapped anew still meet; long ones
 become overlapping windows of WINDOW words. Passages are normalised and hashed, and a hash meets the own passages (without
-quoted lines and the credits above them) of earlier messages of the same conversation. The message from which most quoted
+quoted lines and the credits above them) of earlier messages of the same conversation. A quoted passage of fewer words than a
+window, but SHORT or more, that is no earlier passage whole is looked for inside longer ones: of the messages of a conversation,
+runs of just those numbers of words are hashed that its quotations have. The message from which most quoted
 characters come, at the lowest level that matches any, is what a message replies to; one without a matching quotation
 follows the message before it. Replies come right after what they reply to.
 """
@@ -19,6 +21,8 @@ from .shared import shared_table
 MARKS = r"^[ \t]{0,3}(?:>[ \t]?)+"
 #: Words of a passage at most; longer ones are cut into overlapping windows of so many.
 WINDOW = 8
+#: Words that a quoted passage needs to be found inside a longer line or sentence.
+SHORT = 3
 #: Turns that a task puts in order at a time.
 SPAN = 256
 
@@ -30,17 +34,27 @@ def line_levels(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
 
 
-def passages(lines: Column) -> Column:
-    """The distinct normalised passages (lower case, letters and digits with single spaces) of an array of lines."""
+def _words(lines: Column) -> Column:
+    """The words (lower case, letters and digits) of each distinct line and each distinct sentence of an array of lines."""
     whole = F.split(F.array_join(lines, " "), r"(?<=[.!?])\s+")
     plain = F.transform(F.concat(lines, whole), lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    plain = F.array_distinct(F.filter(plain, lambda s: F.length(s) > 0))
+    return F.transform(F.array_distinct(F.filter(plain, lambda s: F.length(s) > 0)), lambda s: F.split(s, " "))
+
+
+def _runs(words: Column, n: Column) -> Column:
+    """All runs of n words, or the whole of what has fewer."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def passages(lines: Column) -> Column:
+    """The distinct normalised passages of an array of lines."""
+    return F.array_distinct(F.flatten(F.transform(_words(lines), lambda w: _runs(w, F.lit(WINDOW)))))
 
-    def windows(s: Column) -> Column:
-        words = F.split(s, " ")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - WINDOW + 1)), lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
 
-    return F.array_distinct(F.flatten(F.transform(plain, windows)))
+def parts(lines: Column, lengths: Column) -> Column:
+    """The distinct runs of so many words, for each of `lengths`, out of the longer lines and sentences of an array of lines."""
+    longer = lambda n: F.filter(_words(lines), lambda w: F.size(w) > n)
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(longer(n), lambda w: _runs(w, n))))))
 
 
 def without_quotes(text: Column) -> Column:
@@ -57,13 +71,21 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     quoting = quoting.select("conv_id", "turn", "lines", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))).alias("level"))
     of_level = F.transform(F.filter("lines", lambda x: x["level"] == F.col("level")), lambda x: x["line"])
     quoted = quoting.select("conv_id", "turn", "level", F.explode(passages(of_level)).alias("s"))
-    threads = rows.where("quotes").select(F.col("conv_id").alias("thread")).distinct()
-    own = rows.join(threads, F.col("conv_id").eqNullSafe(F.col("thread")), "left_semi")
+    # a bit for each number of words, SHORT or more but less than a window, that a conversation quotes
+    length = F.size(F.split("s", " "))
+    asked = F.when((length >= SHORT) & (length < WINDOW), F.expr("shiftleft(1, size(split(s, ' ')))")).otherwise(0)
+    threads = quoted.groupBy(F.col("conv_id").alias("thread")).agg(F.bit_or(asked).alias("asked"))
+    own = rows.join(threads, F.col("conv_id").eqNullSafe(F.col("thread")))
     own_lines = F.split(F.regexp_replace(F.coalesce(without_quotes(F.col("text")), F.lit("")), r"\r\n?", "\n"), "\n")
-    own = own.select("conv_id", "turn", F.lit(0).alias("level"), F.explode(passages(own_lines)).alias("s"))
+    lengths = F.filter(F.array(*[F.lit(n) for n in range(SHORT, WINDOW)]), lambda n: F.getbit(F.col("asked"), n) == 1)
+    own = own.select("conv_id", "turn", own_lines.alias("lines"), lengths.alias("lengths"))
+    at_level = lambda level, found: F.transform(found, lambda s: F.struct(F.lit(level).alias("level"), s.alias("s")))
+    of_own = F.concat(at_level(0, passages(F.col("lines"))), at_level(-1, parts(F.col("lines"), F.col("lengths"))))
+    own = own.select("conv_id", "turn", F.explode(of_own).alias("own")).select("conv_id", "turn", "own.level", "own.s")
     both = quoted.unionByName(own).select("conv_id", "turn", "level", F.xxhash64("s").alias("key"), F.length("s").alias("size"))
     before = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    met = both.withColumn("origin", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)).where("level > 0 and origin is not null")
+    latest = lambda level: F.max(F.when(F.col("level") == level, F.col("turn"))).over(before)
+    met = both.withColumn("origin", F.coalesce(latest(0), latest(-1))).where("level > 0 and origin is not null")
     votes = met.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("size").alias("size"))
     best = F.max(F.struct(F.negative("level").alias("level"), "size", "origin")).alias("best")
     return votes.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", F.col("best.origin").alias("origin"))

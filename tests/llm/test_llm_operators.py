@@ -338,6 +338,10 @@ def test_quotations(spark):
         (None, 1, "u", "x"),
         (2, 0, "u", None),
         (3, 0, "u", "> Good to know.\nfrom elsewhere"),
+        (4, 0, "u", "We meet at noon by the old harbour, and then we go on by train to the coast."),
+        (4, 1, "a", "Not now."),
+        (4, 2, "u", "> by the old harbour, and\nwhich one?"),
+        (4, 3, "a", "> the coast\ntwo words are too few"),
     ]
     got = quotations.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("role", "role")).collect()
     assert len(got) == len(rows)
@@ -347,6 +351,7 @@ def test_quotations(spark):
     assert (one[5].reply_to, one[5].text) == (3, "yes")
     assert one[6].path == [*one[4].path, 6] and one[6].reply_to == 4
     assert [r.reply_to for r in got if r.conv_id == 3] == [None]
+    assert {r.turn: (r.reply_to, r.depth) for r in got if r.conv_id == 4} == {0: (None, 0), 1: (0, 0), 2: (0, 1), 3: (2, 1)}
     assert quotations.reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
@@ -357,7 +362,10 @@ def brute_reply_order(messages):
         whole = re.split(r"(?<=[.!?])\s+", " ".join(lines))
         plain = {" ".join(re.findall(r"[^\W_]+", x.lower())) for x in [*lines, *whole]} - {""}
         cut = lambda w: [" ".join(w[i : i + 8]) for i in range(max(1, len(w) - 7))]
-        return {x for s in plain for x in cut(s.split())}
+        return {x for s in plain for x in cut(s.split())}, plain
+
+    def inside(x, plain):
+        return 3 <= len(x.split()) <= 7 and any(x != s and f" {x} " in f" {s} " for s in plain)
 
     def levels(text):
         out, own = defaultdict(list), []
@@ -381,8 +389,8 @@ def brute_reply_order(messages):
             quoted, own_passages = levels(text)
             votes = defaultdict(int)
             for level, lines in quoted.items():
-                for x in passages(lines):
-                    earlier = [t for t, o in own.items() if x in o]
+                for x in passages(lines)[0]:
+                    earlier = [t for t, (o, _) in own.items() if x in o] or [t for t, (_, o) in own.items() if inside(x, o)]
                     if earlier:
                         votes[-level, max(earlier)] += len(x)
             reply = prior
