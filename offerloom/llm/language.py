@@ -59,62 +59,72 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """The frozen trees of all languages: a node for each context, and the bits of each symbol after each node.
+    """The frozen trees of all languages, without loss: every context of the sample, whatever their number.
 
-    The table has at most `max_cells` numbers of four bytes for the longest contexts, the most frequent ones first, whatever the
-    number of languages; it is filled SLICE contexts at a time.
+    Contexts of up to two symbols have the bits of each symbol in a table. Of the longest contexts, the symbols seen after them
+    have a row each; for all others, what the escape costs in each language is added to the bits after the shorter context. So the tables
+    grow with the different four-symbol sequences of the sample, not with contexts times symbols.
     """
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_nodes: int, max_cells: int = 1 << 24):
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
-        parts = [gram >> 27 & 511, gram >> 18 & 511, gram >> 9 & 511, gram & 511]
-        used = np.unique(parts[3])
+        # in an order of their own, so that sums agree from run to run
+        rank = np.lexsort((gram, lang))
+        lang, gram, n = lang[rank], gram[rank], n[rank]
+        symbols = [gram >> 27 & 511, gram >> 18 & 511, gram >> 9 & 511, gram & 511]
+        used = np.unique(symbols[3])
         k = len(used) + 1  # the last symbol stands for all bytes that the sample lacks
         self.symbol = np.full(257, k - 1, np.int32)
         self.symbol[used] = np.arange(k - 1)
         self.symbol[START] = k
         self.size, self.base = k, k + 1
-        a, b, c, d = (self.symbol[x].astype(np.int64) for x in parts)
-        del parts
+        a, b, c, d = (self.symbol[x].astype(np.int64) for x in symbols)
         base = self.base
-        self.node = np.zeros(base**3, np.int32)
-        max_nodes = max(1, min(max_nodes, max_cells // (k * len(langs))))
-        bits, parents, above = [], np.zeros(1, np.int64), np.full((len(langs), 1, k), 1 / k, np.float32)
-        start = 0
-        for order in range(4):
-            context = [np.zeros_like(c), c, b * base + c, (a * base + b) * base + c][order]
+        self.node = np.zeros((base, base), np.int32)
+        tables, parents, above, start = [], np.zeros(1, np.int64), np.full((len(langs), 1, k), 1 / k), 0
+        for order in range(3):
+            context = [np.zeros_like(c), c, b * base + c][order]
             keys, inverse = np.unique(context, return_inverse=True)
+            parent = np.searchsorted(parents, [np.zeros_like(keys), np.zeros_like(keys), keys % base][order])
+            own = np.empty((len(langs), len(keys), k))
             rows = np.argsort(inverse, kind="stable")
-            if order == 3 and len(keys) > max_nodes:
-                weight = np.bincount(inverse, n)
-                chosen = np.zeros(len(keys), bool)
-                chosen[np.lexsort((keys, -weight))[:max_nodes]] = True
-                rows = rows[chosen[inverse[rows]]]
-                inverse = (np.cumsum(chosen) - 1)[inverse]
-                keys = keys[chosen]
-            parent = np.searchsorted(parents, [np.zeros_like(keys), np.zeros_like(keys), keys % base, keys % base**2][order])
-            table = np.empty((len(keys), k, len(langs)), np.float32)
-            own = np.empty((len(langs), len(keys), k), np.float32) if order < 3 else None
-            cuts = np.searchsorted(inverse[rows], np.arange(0, len(keys) + SLICE, SLICE))
-            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                part, span = rows[lo:hi], slice(i * SLICE, min((i + 1) * SLICE, len(keys)))
-                counts = np.zeros((len(langs), span.stop - span.start, k))
-                np.add.at(counts, (lang[part], inverse[part] - span.start, d[part]), n[part])
-                p = self._probabilities(counts, above[:, parent[span]])
-                table[span] = -np.log2(p).transpose(1, 2, 0)
-                if own is not None:
-                    own[:, span] = p
-            bits.append(table)
+            for lo in range(0, len(keys), SLICE):
+                hi = min(lo + SLICE, len(keys))
+                part = rows[slice(*np.searchsorted(inverse[rows], [lo, hi]))]
+                counts = np.zeros((len(langs), hi - lo, k))
+                np.add.at(counts, (lang[part], inverse[part] - lo, d[part]), n[part])
+                own[:, lo:hi] = self._probabilities(counts, above[:, parent[lo:hi]])
+            tables.append(-np.log2(own.transpose(1, 2, 0)).astype(np.float32))
             ids = start + np.arange(len(keys), dtype=np.int32)
             if order == 1:
-                self.node.reshape(base * base, base)[:, keys] = ids
+                self.node[:, keys] = ids
             elif order == 2:
-                self.node.reshape(base, base * base)[:, keys] = ids
-            elif order == 3:
-                self.node[keys] = ids
+                self.node.reshape(-1)[keys] = ids
             start += len(keys)
             parents, above = keys, own
-        self.bits = np.concatenate(bits).reshape(-1, len(langs))
+        self.bits = np.concatenate(tables).reshape(-1, len(langs))
+        self._longest((a * base + b) * base + c, d, lang, n, parents, above)
+
+    def _longest(self, context: np.ndarray, d: np.ndarray, lang: np.ndarray, n: np.ndarray, parents: np.ndarray, above: np.ndarray) -> None:
+        """Tables of the longest contexts: `seen`, the bits of the symbols seen in any language, and `escape`, what all others cost more
+        than after the shorter context."""
+        k, base, many = self.size, self.base, len(self.langs)
+        keys, at = np.unique(context, return_inverse=True)
+        parent = np.searchsorted(parents, keys % base**2)
+        self.deepest = np.full(base**3, len(keys), np.int32)
+        self.deepest[keys] = np.arange(len(keys), dtype=np.int32)
+        cell, size = at * many + lang, len(keys) * many
+        total, different = np.bincount(cell, n, size), np.bincount(cell, minlength=size)
+        mass = 1 - np.bincount(cell, above[lang, parent[at], d], size)
+        leaves = (different > 0) & (different < k) & (mass > 0)
+        escape = np.where(leaves, different / np.maximum(total + different, 1), 0.0)
+        cost = np.zeros(size)
+        cost[leaves] = -np.log2(escape[leaves] / mass[leaves])
+        self.escape = np.append(cost, np.zeros(many)).reshape(-1, many).astype(np.float32)  # the last row: a context never met
+        self.grams, row = np.unique(at * k + d, return_inverse=True)
+        node, symbol = self.grams // k, self.grams % k
+        self.seen = self.escape[node] - np.log2(above[:, parent[node], symbol].T).astype(np.float32)
+        self.seen[row, lang] = -np.log2(n / total[cell] * (1 - escape[cell]))
 
     @staticmethod
     def _probabilities(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -133,7 +143,15 @@ class Trees:
         for lo in range(0, len(data), PIECE):
             hi = min(lo + PIECE, len(data))
             a, b, c = _history(symbols, bounds, lo, hi, self.size)
-            bits = self.bits[self.node[(a * self.base + b) * self.base + c] * self.size + symbols[lo:hi]]
+            d = symbols[lo:hi]
+            node = self.deepest[(a * self.base + b) * self.base + c]
+            # each different sequence of the piece is looked up once
+            asked, again = np.unique(node.astype(np.int64) * self.size + d, return_inverse=True)
+            place = np.searchsorted(self.grams, asked)
+            place[place == len(self.grams)] = 0
+            known = self.grams[place] == asked
+            bits, other = self.seen[place[again]], np.flatnonzero(~known[again])
+            bits[other] = self.escape[node[other]] + self.bits[self.node[b[other], c[other]].astype(np.int64) * self.size + d[other]]
             cuts = np.clip(bounds, lo, hi) - lo
             rows = np.flatnonzero(np.diff(cuts))
             if len(rows):
@@ -141,21 +159,25 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, may_learn: Column, per_language: int = 1500, longest: int = 1 << 16, max_nodes: int = 20_000, max_grams: int = 2_000_000) -> Trees | None:
-    """Fit on a hash-chosen sample of about `per_language` texts of each non-null `lang`, of `longest` bytes at most each.
+def fit(docs: DataFrame, may_learn: Column, per_language: int = 1500, passage: int = 1 << 14) -> Trees | None:
+    """Fit on a hash-chosen sample of about `per_language` texts of each non-null `lang`; a text of more than `passage` characters teaches
+    by a passage of so many, the place of which its hash chooses.
 
-    The shares, a number for each language, are broadcast: no text is shuffled. What reaches the driver is bounded by `max_grams` counts (the most frequent), the trees by `max_nodes` contexts of the
-    longest order. None if there is nothing to learn from.
+    The shares, a number for each language, are broadcast: no text is shuffled. Nothing that the sample holds is left out of the
+    trees; what reaches the driver are the counts of its different four-symbol sequences, which those two parameters bound. None if there
+    is nothing to learn from.
     """
-    may = docs.where(may_learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= longest))
+    may = docs.where(may_learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     share = may.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
     sample = may.join(F.broadcast(share), "lang").where(unit_hash("doc_id", seed=41) < F.col("share"))
-    rows = gram_counts(sample).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
+    spare = F.char_length("text") - passage
+    chosen = F.when(spare > 0, F.substr("text", (F.pmod(F.xxhash64("text"), spare + 1) + 1).cast("int"), F.lit(passage))).otherwise(F.col("text"))
+    rows = gram_counts(sample.select(chosen.alias("text"), "lang")).toArrow()
     if not rows.num_rows:
         return None
     coded = rows["lang"].combine_chunks().dictionary_encode()
     langs, place = np.unique(np.array(coded.dictionary.to_pylist()), return_inverse=True)
-    return Trees([str(x) for x in langs], place[coded.indices.to_numpy()], rows["gram"].to_numpy(), rows["n"].to_numpy(), max_nodes)
+    return Trees([str(x) for x in langs], place[coded.indices.to_numpy()], rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
 def _scored(docs: DataFrame, trees: Trees) -> tuple[DataFrame, list[Column]]:

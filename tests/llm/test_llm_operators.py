@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm import decontamination, language, mixing, near_duplicates, neighbours, quotations, repeats, sharding, toxicity, warc
 from offerloom.llm.components import components
-from offerloom.llm.texts import ALNUM, FOLD, VISIBLE, words
+from offerloom.llm.texts import ALNUM, FOLD, VISIBLE, raw, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,13 +138,53 @@ def test_language_learns_and_ignores_labels(spark):
     assert language.language_digest(frame(spark, [])).collect() == []
 
 
-def test_code_lengths_are_probabilities():
-    """After any context, the probabilities of all symbols sum to one in each language."""
-    grams = [b"aaab", b"abab", b"bbba", b"abca"]
-    packed = np.array([((g[0] << 9 | g[1]) << 9 | g[2]) << 9 | g[3] for g in grams], np.int64)
-    trees = language.Trees(["x", "y"], np.array([0, 0, 1, 1]), packed, np.array([5, 3, 2, 7]), 100)
-    total = np.exp2(-trees.bits.astype(float)).reshape(-1, trees.size, 2).sum(1)
-    assert np.allclose(total, 1, atol=1e-5)
+def brute_bits(learned, text, alphabet):
+    """Bits of the last symbol of a byte string after up to three before it, by trees of dictionaries; None stands before a text."""
+    trees = defaultdict(lambda: defaultdict(int))
+    for x in learned:
+        symbols = [None, None, None, *x]
+        for i in range(3, len(symbols)):
+            for order in range(4):
+                trees[tuple(symbols[i - order : i])][symbols[i]] += 1
+
+    def probabilities(context):
+        if context is None:
+            return {s: 1 / len(alphabet) for s in alphabet}
+        shorter, seen = probabilities(context[1:] if context else None), trees.get(context)
+        if not seen:
+            return shorter
+        total, rest = sum(seen.values()), sum(p for s, p in shorter.items() if s not in seen)
+        escape = len(seen) / (total + len(seen)) if len(seen) < len(alphabet) else 0
+        return {s: seen[s] / total * (1 - escape) if s in seen else escape * p / rest for s, p in shorter.items()}
+
+    symbols, bits = [None, None, None, *text], 0
+    for i in range(3, len(symbols)):
+        chances = probabilities(tuple(symbols[i - 3 : i]))
+        assert math.isclose(sum(chances.values()), 1)
+        bits -= math.log2(chances[symbols[i] if symbols[i] in chances else -1])
+    return bits
+
+
+def test_code_lengths_match_brute_force(spark):
+    rng = random.Random(9)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 90)))
+    learned = {"x": [text("aab cé") for _ in range(20)], "y": [text("abbd ") for _ in range(9)], "z": ["a"]}
+    rows = [(i, t, lang, None, None) for i, (lang, t) in enumerate((lang, t) for lang, ts in learned.items() for t in ts)]
+    trees = language.fit(frame(spark, rows), F.lit(True))
+    asked = [*(text("abcdé e!") for _ in range(40)), "a", *learned["y"], "ab d" * 200]
+    got = trees.lengths(*raw(pa.array(asked)))
+    # the last symbol stands for all bytes that nothing was learned of
+    alphabet = {b for ts in learned.values() for t in ts for b in t.lower().encode()} | {-1}
+    for i, lang in enumerate(trees.langs):
+        want = [brute_bits([t.lower().encode() for t in learned[lang]], t.lower().encode(), alphabet) for t in asked]
+        assert np.allclose(got[:, i], want, rtol=1e-5, atol=1e-4)
+
+
+def test_long_texts_teach_by_a_passage(spark):
+    rows = [(0, "le chat noir " * 20_000, "fr", None, None), (1, "the black cat " * 60_000, "en", None, None)]
+    trees = language.fit(frame(spark, rows), F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame(spark, rows + [(2, "the black cat", None, None, None), (3, "le chat noir", None, None, None)]), trees).collect()}
+    assert got == {0: "fr", 1: "en", 2: "en", 3: "fr"}
 
 
 def brute_neighbours(rows, k):
