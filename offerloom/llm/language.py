@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import id_remainder, unit_hash
-from .texts import FOLD, PIECE, pieces, raw
+from .texts import FOLD, PIECE, U64, pieces, raw
 
 UNDETERMINED = "und"
 #: The context symbol of places before a text's start.
@@ -122,10 +122,25 @@ class Trees:
         cost[leaves] = -np.log2(escape[leaves] / mass[leaves])
         self.escape = np.append(cost, np.zeros(many)).reshape(-1, many).astype(np.float32)  # the last row: a context never met
         self.grams, row = np.unique(at * k + d, return_inverse=True)
+        self.shift = U64(61 - len(self.grams).bit_length())  # eight slots or more for each sequence
+        self.slots = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.slots[self._slot(self.grams)] = np.arange(len(self.grams), dtype=np.int32)
         node, symbol = self.grams // k, self.grams % k
         self.seen = self.escape[node] - np.log2(above[:, parent[node], symbol].T).astype(np.float32)
         self.seen[row, lang] = -np.log2(n / total[cell] * (1 - escape[cell]))
 
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return grams.astype(U64) * U64(0x9E3779B97F4A7C15) >> self.shift
+
+    def _places(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of sequences in `seen`, and the places of those that have none; what shares a slot is searched for."""
+        place = self.slots[self._slot(asked)]
+        rest = np.flatnonzero(self.grams[place] != asked)
+        found = np.searchsorted(self.grams, asked[rest])
+        found[found == len(self.grams)] = 0
+        place[rest] = found
+        return place, rest[self.grams[found] != asked[rest]]
+
     @staticmethod
     def _probabilities(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Of each symbol: seen ones by their counts, the others by the escape and the shorter context, without those seen."""
@@ -145,12 +160,8 @@ class Trees:
             a, b, c = _history(symbols, bounds, lo, hi, self.size)
             d = symbols[lo:hi]
             node = self.deepest[(a * self.base + b) * self.base + c]
-            # each different sequence of the piece is looked up once
-            asked, again = np.unique(node.astype(np.int64) * self.size + d, return_inverse=True)
-            place = np.searchsorted(self.grams, asked)
-            place[place == len(self.grams)] = 0
-            known = self.grams[place] == asked
-            bits, other = self.seen[place[again]], np.flatnonzero(~known[again])
+            place, other = self._places(node.astype(np.int64) * self.size + d)
+            bits = self.seen[place]
             bits[other] = self.escape[node[other]] + self.bits[self.node[b[other], c[other]].astype(np.int64) * self.size + d[other]]
             cuts = np.clip(bounds, lo, hi) - lo
             rows = np.flatnonzero(np.diff(cuts))
