@@ -5,6 +5,7 @@ not match, so k - 1 <= la + lb - 2 * M, and as a block of n letters holds n - 1
 least M - k >= 3 * M - (la + lb) - 1 of these. A threshold t thus asks for (1.5 * t - 1) * (la + lb) - 1 shared pairs of letters. Pairs of letters,
 each with its number among equal ones, are put in order of rarity; what shares so many has one of the first few of each in
 common. So titles meet by company and pair of letters, never by company alone, and only what shares enough is compared letter by letter.
+Where companies share their titles, a pair of letters that few different titles have is met once for all companies.
 """
 
 from __future__ import annotations
@@ -76,27 +77,40 @@ def similar_titles(units: DataFrame, least: float) -> DataFrame:
     share = 1.5 * least - 1
     if share <= 0:
         raise ValueError("the bound holds for thresholds over two thirds")
+    units = shared_table(units.select("company_key", "title_key").distinct(), "units")
     tokens = title_tokens(units)
     bits = tokens.select("title_key", F.explode("tokens").alias("token")).withColumn("bit", F.pmod(F.hash("token"), F.lit(64 * MASKS))).groupBy("title_key").agg(*[F.bit_or(F.when(F.expr(f"bit div 64 = {i}"), F.expr("shiftleft(1L, bit % 64)")).otherwise(0)).alias(f"mask{i}") for i in range(MASKS)])
     masks = [f"mask{i}" for i in range(MASKS)]
-    tokens = shared_table(tokens.join(bits, "title_key", "left").fillna(0, masks), "letters")
+    held = units.groupBy("title_key").agg(F.count(F.lit(1)).alias("companies"))
+    tokens = shared_table(tokens.join(bits, "title_key", "left").fillna(0, masks).join(held, "title_key"), "letters")
     shortest = F.col("size") * (1 + least / (2 - least))  # with the shortest title that can still be near enough
     need = F.greatest(F.lit(1), F.ceil(share * shortest - 1 - SLACK))
     prefix = F.slice("tokens", 1, F.greatest(F.lit(0), (F.size("tokens") - need + 1).cast("int")))
     tiny = F.when(share * (F.col("size") + 1) - 1 - SLACK <= 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     lost = F.size("tokens") - sum(F.bit_count(m) for m in masks)  # tokens that share their bit with another one
-    rows = tokens.withColumns({"prefix": F.concat(tiny, prefix), "lost": lost})
-    rows = units.select("company_key", "title_key").distinct().join(rows, "title_key")
-    side = lambda x: rows.select("company_key", F.explode("prefix").alias("token"), *[F.col(c).alias(f"{x}_{c}") for c in ("title_key", "size", "lost", *masks)])
+    each = tokens.withColumn("lost", lost).select("title_key", "companies", "size", "lost", *masks, F.explode(F.concat(tiny, prefix)).alias("token"))
+    # a token whose titles are no more, squared, than its rows in all companies is met without companies
+    once = each.groupBy("token").agg((F.count(F.lit(1)) * F.count(F.lit(1)) <= F.sum("companies")).alias("once"))
+    each = shared_table(each.join(once, "token").drop("companies"), "prefixes")
+    side = lambda rows, x, keys: rows.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in ("title_key", "size", "lost", *masks)])
     both = F.col("a_size") + F.col("b_size")
     long_enough = (F.col("a_title_key") < F.col("b_title_key")) & (2 * F.least("a_size", "b_size") >= least * both - SLACK)
     most = sum(F.bit_count(F.col(f"a_{m}").bitwiseAND(F.col(f"b_{m}"))) for m in masks) + F.least("a_lost", "b_lost")  # at most so many tokens are common
-    met = side("a").join(side("b"), ["company_key", "token"]).where(long_enough & (most >= share * both - 1 - SLACK))
-    met = shared_table(met.select("company_key", F.col("a_title_key").alias("a"), F.col("b_title_key").alias("b")).distinct(), "met-titles")
-    of = lambda x: tokens.select(F.col("title_key").alias(x), F.col("tokens").alias(f"{x}_tokens"))
-    pairs = met.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+
+    def meet(rows: DataFrame, *keys: str) -> DataFrame:
+        met = side(rows, "a", keys).join(side(rows, "b", keys), list(keys)).where(long_enough & (most >= share * both - 1 - SLACK))
+        return met.select(F.col("a_title_key").alias("a"), F.col("b_title_key").alias("b"))
+
+    met = meet(each.where("once"), "token").unionByName(meet(units.join(each.where("not once"), "title_key"), "company_key", "token"))
+    met = shared_table(met.distinct(), "met-titles")
+    of = lambda x: tokens.select(F.col("title_key").alias(x), F.col("tokens").alias(f"{x}_tokens"), F.col("companies").alias(f"{x}_companies"))
+    pairs = met.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("a_tokens", "b_tokens")) >= share * (F.length("a") + F.length("b")) - 1 - SLACK
-    return met.join(title_scores(pairs.where(common), least), ["a", "b"]).select("company_key", "a", "b", "score")
+    rarer = F.col("a_companies") <= F.col("b_companies")
+    scored = title_scores(pairs.where(common), least).join(pairs.select("a", "b", rarer.alias("rarer")), ["a", "b"])
+    # from the title of fewer companies to the other one
+    scored = shared_table(scored.select("a", "b", "score", F.when(F.col("rarer"), F.col("a")).otherwise(F.col("b")).alias("title_key"), F.when(F.col("rarer"), F.col("b")).otherwise(F.col("a")).alias("other")), "scores")
+    return units.join(scored, "title_key").drop("title_key").join(units.withColumnRenamed("title_key", "other"), ["company_key", "other"]).select("company_key", "a", "b", "score")
 
 
 def components(edges: DataFrame) -> DataFrame:

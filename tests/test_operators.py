@@ -496,3 +496,15 @@ def test_state_of_sightings(spark, tmp_path):
     gone = {("a", "1", DAY(5), "x", True), (None, "2", DAY(5), None, True)}
     assert moved | land(3, [("b", "3", DAY(28) + dt.timedelta(days=31), "y")]) == gone | {("b", "3", DAY(28) + dt.timedelta(days=n), t, False) for n, t in ((30, "z"), (31, "y"))}
     assert not any(r.external_id == "1" for r in out[-1:] if not r.forgotten)
+
+
+def test_companies_that_share_their_titles_meet_them_once(spark, monkeypatch):
+    titles = [f"{a} {b}" for a in ("data", "web", "cloud", "mobile") for b in ("engineer", "engineers", "developer", "developers", "analyst")]
+    rows = [(f"c{c}", t) for c in range(60) for i, t in enumerate(titles) if (c + i) % 7]
+    met = []
+    real = similarity.shared_table
+    monkeypatch.setattr(similarity, "shared_table", lambda df, tag: met.append((tag, real(df, tag))) or met[-1][1])
+    got = {(r.company_key, r.a, r.b) for r in similarity.similar_titles(spark.createDataFrame(rows, "company_key string, title_key string"), 0.78).collect()}
+    held = set(rows)
+    assert got == {(c, a, b) for c, a in held for b in titles if a < b and (c, b) in held and resolve.SequenceMatcher(None, a, b).ratio() >= 0.78} and got
+    assert dict(met)["met-titles"].count() <= len(titles) * (len(titles) - 1) / 2
