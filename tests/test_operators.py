@@ -508,3 +508,14 @@ def test_companies_that_share_their_titles_meet_them_once(spark, monkeypatch):
     held = set(rows)
     assert got == {(c, a, b) for c, a in held for b in titles if a < b and (c, b) in held and resolve.SequenceMatcher(None, a, b).ratio() >= 0.78} and got
     assert dict(met)["met-titles"].count() <= len(titles) * (len(titles) - 1) / 2
+
+
+def test_titles_of_candidates_are_those_of_all_pairs(spark):
+    from offerloom.plans.bridge import listings
+    from offerloom.plans.catalog import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {(r.a, r.b): r.score for r in QUERIES["t17_title_similarity"](spark, sf_dir).collect()}
+    pairs = resolve.candidate_pairs(resolve.profiles(resolve.prepared(listings(spark, sf_dir)))).select("a_title_key", "b_title_key").distinct().collect()
+    near = {(a, b): resolve.SequenceMatcher(None, a, b).ratio() for a, b in map(sorted, pairs)}
+    assert got == {p: score for p, score in near.items() if score >= 0.78} and got
