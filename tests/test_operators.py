@@ -519,3 +519,11 @@ def test_titles_of_candidates_are_those_of_all_pairs(spark):
     pairs = resolve.candidate_pairs(resolve.profiles(resolve.prepared(listings(spark, sf_dir)))).select("a_title_key", "b_title_key").distinct().collect()
     near = {(a, b): resolve.SequenceMatcher(None, a, b).ratio() for a, b in map(sorted, pairs)}
     assert got == {p: score for p, score in near.items() if score >= 0.78} and got
+
+
+def test_labels_are_proved_once_for_each_text(spark):
+    from offerloom.plans.catalog import QUERIES
+
+    rows = QUERIES["t13_non_city"](spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for f in rows.inputFiles())
+    assert {tuple(r) for r in rows.collect()} == {("France", "france"), ("Île-de-France", "ile de france")}
