@@ -527,3 +527,15 @@ def test_labels_are_proved_once_for_each_text(spark):
     rows = QUERIES["t13_non_city"](spark, "/root/testdata/sf0.001")
     assert not any("lineitem" in f for f in rows.inputFiles())
     assert {tuple(r) for r in rows.collect()} == {("France", "france"), ("Île-de-France", "ile de france")}
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    rng = random.Random(6)
+    bits = ['<div class="base-card x">', "</div>", "Dev &amp; Ops", "a &lt b", "<br>", '<input name="title" value="x">', '<a href="/job-mission/x">', "</a>", "<p>", "</p>", '<script id="x">{"a":"b &amp; c"}', "</script>", "\n", '<div a="b" a="c" d>', "<!-- c -->", "<x y>", "<P>", "<title>", "</title>", "<", "&", '<i a="x &amp; y">']
+    read = 0
+    for n in range(3000):
+        html = "".join(rng.choice(bits[: 14 if n % 2 else None]) for _ in range(rng.randrange(12)))
+        a, b = (cards._Page(f"<root>{html}</root>", plain) for plain in (True, False))
+        assert [(*e[:4], a.text(i)) for i, e in enumerate(a.elements)] == [(*e[:4], b.text(i)) for i, e in enumerate(b.elements)]
+        read += "rawdata" not in vars(a)
+    assert 500 < read < 2900
