@@ -196,7 +196,7 @@ def s7(spark, sf_dir):
 @query("s8_detail_pages", WITH_OFFERS + "SELECT ord AS page_id, CASE WHEN tie % 5 = 0 THEN 'Unknown' ELSE title END AS title, CASE WHEN tie % 7 = 0 THEN 'Unknown' ELSE company END AS company, location, CASE tie % 3 WHEN 0 THEN 'cdi' WHEN 1 THEN 'cdd' ELSE 'stage' END AS contract_type, CASE tie % 2 WHEN 0 THEN 'senior' ELSE 'junior' END AS experience_level FROM offers")
 def s8(spark, sf_dir):
     """Criteria of which a later one overrules an earlier one."""
-    rows = offers(spark, sf_dir)
+    rows = offers(spark, sf_dir).repartition("ord")  # a page each: a file's few row groups would be as many tasks
     item = lambda c: F.concat(F.lit('<li class="description__job-criteria-item">'), c, F.lit("</li>"))
     html = F.concat(
         _when("tie % 5 = 0", "", _tag("h1", 'class="top-card-layout__title"', "title")),

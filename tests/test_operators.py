@@ -539,3 +539,10 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
         assert [(*e[:4], a.text(i)) for i, e in enumerate(a.elements)] == [(*e[:4], b.text(i)) for i, e in enumerate(b.elements)]
         read += "rawdata" not in vars(a)
     assert 500 < read < 2900
+
+
+def test_detail_pages_of_one_row_group_are_spread(spark):
+    from offerloom.plans.catalog import QUERIES
+
+    for name in ("s8_detail_pages",):
+        assert "RepartitionByExpression" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
