@@ -181,7 +181,7 @@ def s6(spark, sf_dir):
 
 @query("s7_json_ld_details", WITH_OFFERS + "SELECT ord AS page_id, title, CASE WHEN tie % 11 NOT IN (3, 5) THEN company END AS company, CASE WHEN tie % 2 = 0 THEN concat(location, ' (75000)') ELSE location END AS location, salary_min, salary_max, CASE WHEN tie % 3 = 0 THEN 2 ELSE 1 END AS skills FROM offers WHERE tie % 5 <> 0 OR salary_min IS NOT NULL")
 def s7(spark, sf_dir):
-    rows = offers(spark, sf_dir)
+    rows = offers(spark, sf_dir).repartition("ord")  # as in s8
     address = F.struct(F.col("location").alias("addressLocality"), _when("tie % 2 = 0", "75000", None).alias("postalCode"))
     skills = _when("tie % 3 = 0", "sql, spark", "sql")
     posting = F.struct(F.lit("JobPosting").alias("@type"), "title", F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.struct(address.alias("address")).alias("jobLocation"), _when("tie % 5 = 0", " ", "A job").alias("description"), F.struct(F.lit("EUR").alias("currency"), F.struct(F.col("salary_min").alias("minValue"), F.col("salary_max").alias("maxValue")).alias("value")).alias("baseSalary"), skills.alias("skills"))
