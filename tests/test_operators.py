@@ -544,5 +544,5 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
 def test_detail_pages_of_one_row_group_are_spread(spark):
     from offerloom.plans.catalog import QUERIES
 
-    for name in ("s8_detail_pages", "s7_json_ld_details"):
+    for name in ("s8_detail_pages", "s7_json_ld_details", "t22_description_blocks"):
         assert "RepartitionByExpression" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
