@@ -11,6 +11,7 @@ from offerloom.operators import resolve as D
 from offerloom.operators import runs as R
 from offerloom.operators import tables as U
 from offerloom.operators.places import area_keys, evidence
+from offerloom.operators.similarity import similar_titles
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, WITH_SYNCS, as_of, listings, offers, search_listings, star, sync_events, sync_results
 from offerloom.plans.scalar_queries import quoted, sql_key, sql_location, sql_map
 from offerloom.session import new_folder, shared_table
@@ -222,15 +223,18 @@ def u7_edges(spark, sf_dir):
 @query("u5_edges")
 def u5(spark, sf_dir):
     """The edges among merged jobs: those found before SPLIT, and what the listings seen since change in the companies they touch."""
-    rows = D.prepared(listings(spark, sf_dir))
-    seen = rows.join(listings(spark, sf_dir).select("ord", "seen_at"), "ord")
-    before = shared_table(seen.where(f"seen_at < timestamp '{SPLIT}'").drop("seen_at"), "before")
+    rows = D.prepared(listings(spark, sf_dir), "seen_at")
+    near = shared_table(similar_titles(rows.where("loc_kind <> 'conflict'"), D.POSSIBLE), "near")
+    before = shared_table(rows.where(f"seen_at < timestamp '{SPLIT}'"), "before")
     first = F.to_timestamp(F.lit(SPLIT))
-    old = D.possible_edges(D.merged_jobs(before, D.clusters(before))).withColumns({"created_at": first, "updated_at": first})
-    touched = seen.where(f"seen_at >= timestamp '{SPLIT}'").select("company_key").distinct()
+
+    def edges(some):
+        return D.possible_edges(shared_table(D.merged_jobs(some, shared_table(D.clusters(some, near), "clusters")), "merged"), near)
+
+    old = edges(before).withColumns({"created_at": first, "updated_at": first})
+    touched = rows.where(f"seen_at >= timestamp '{SPLIT}'").select("company_key").distinct()
     again = shared_table(rows.join(touched, "company_key", "left_semi"), "again")
-    new = D.possible_edges(D.merged_jobs(again, D.clusters(again)))
-    return D.maintain_edges(old, new, as_of(), again.select(F.col("ord").alias("job_id")))
+    return D.maintain_edges(shared_table(old, "old"), edges(again), as_of(), again.select(F.col("ord").alias("job_id")))
 
 
 # Scans: a run is a customer, a source's pages hold ten sightings each.

@@ -205,6 +205,26 @@ def test_clusters_match_a_replay_of_each_block(spark):
     assert got == want and len(set(got.values())) < len(got)
 
 
+def test_replay_of_many_blocks_in_one_task():
+    rng, blocks, rows = random.Random(12), {}, []
+    for c in range(30):
+        for ord_ in range(c % 7 + 1) if c else range(400):
+            rows.append(("acme", "paris" if c % 2 else "lyon", f"c{c:02}", ord_ * 100 + c, rng.choice("abcd"), f"data engineer {'x' * rng.randint(0, 2)}", float("nan")))
+    frame = pd.DataFrame(sorted(rows, key=lambda r: (r[:3], r[3])), columns=["company_key", "loc_key", "component", "ord", "source", "title_key", "rank"])
+    got = pd.concat(resolve.replayed(frame.iloc[i : i + 7] for i in range(0, len(frame), 7)))
+    for _, block in frame.groupby(["company_key", "loc_key", "component"]):
+        blocks |= replay_by_hand(list(block[["ord", "source", "title_key"]].itertuples(index=False)))
+    assert dict(zip(got["ord"], got["keep"], strict=True)) == blocks and len(set(blocks.values())) < len(blocks)
+    assert pd.concat(resolve.replayed(iter([]))).empty
+
+
+def test_near_titles_known_before_change_nothing(spark):
+    rows = resolve.prepared(some_listings(spark, 60, 5)).where("ord < 50")
+    near = similarity.similar_titles(resolve.prepared(some_listings(spark, 60, 5)), resolve.POSSIBLE)
+    assert dict(resolve.clusters(rows).collect()) == dict(resolve.clusters(rows, near).collect())
+    assert sorted(resolve.possible_edges(resolve.merged_jobs(rows, resolve.clusters(rows, near)), near).collect()) == sorted(resolve.possible_edges(resolve.merged_jobs(rows, resolve.clusters(rows))).collect())
+
+
 def test_what_locations_prove(spark):
     paris, unknown, conflict, scope = ("place", "paris"), ("unknown", ""), ("conflict", ""), lambda key: ("non_city", key)
     cases = {paris: "Paris|Paris (75)|Paris / télétravail|Paris | Full remote|Paris ; hybride 2 jours par semaine|Paris (télétravail partiel)|Paris – à distance|Paris 80% télétravail|Paris remote Europe|Paris - Hybride 2 jours/semaine|Paris Télétravail 80%|Télétravail occasionnel (Paris)|Télétravail — à Paris|À Paris, télétravail|Télétravail à Paris|Paris, France|Paris — France|À Paris (France)".split("|") + ["Paris | Hybride 2 jours/semaine"]}
