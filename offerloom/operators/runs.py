@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from offerloom.functions.scalars import schedule_instant, stable_intersection
+from offerloom.session import spread
 
 
 def first_sightings(rows: DataFrame) -> DataFrame:
@@ -23,9 +24,11 @@ def capped(rows: DataFrame, most: int) -> DataFrame:
 
 def page_counts(rows: DataFrame) -> DataFrame:
     """Per page, the rows and how many ids no earlier page of the scan had."""
-    first = F.min("page").over(Window.partitionBy("run_id", "source", "external_id"))
-    rows = rows.withColumn("first_page", first)
-    new = F.count_distinct(F.when(F.col("first_page") == F.col("page"), F.col("external_id")))
+    keys = ("run_id", "source", "external_id")
+    rows = spread(rows.select(*keys, "page"), *keys)
+    # the first row of an id by page stands for it, so nothing distinct is counted
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("page"))))
+    new = F.count_if((F.col("at") == 1) & F.col("external_id").isNotNull() & F.col("page").isNotNull())
     return rows.groupBy("run_id", "source", "page").agg(F.count(F.lit(1)).alias("cards"), new.alias("new_ids"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from offerloom.functions.text import has_text
+from offerloom.session import spread
 
 LISTING = ("source", "external_id")
 TEXTS = ("url", "title", "company", "location", "posted_at")
@@ -48,7 +49,7 @@ def refresh_job(stored: DataFrame, offer: DataFrame) -> DataFrame:
 
 def attach_searches(stored: DataFrame, new: DataFrame) -> DataFrame:
     """The union of links; a link keeps its first created_at."""
-    return stored.unionByName(new).groupBy("search_id", "job_id").agg(F.min("created_at").alias("created_at"))
+    return spread(stored.unionByName(new), "search_id", "job_id").groupBy("search_id", "job_id").agg(F.min("created_at").alias("created_at"))
 
 
 def mark_viewed(jobs: DataFrame, views: DataFrame) -> DataFrame:

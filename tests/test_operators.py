@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import text, values
 from offerloom.operators import places, quality, resolve, runs, search, similarity, tables
+from offerloom.session import shared_table, spread
 from offerloom.sources import cards, payloads, sinks
 from offerloom.streaming import jobs as streams
 from offerloom.streaming import state
@@ -225,6 +226,18 @@ def test_near_titles_known_before_change_nothing(spark):
     assert sorted(resolve.possible_edges(resolve.merged_jobs(rows, resolve.clusters(rows, near)), near).collect()) == sorted(resolve.possible_edges(resolve.merged_jobs(rows, resolve.clusters(rows))).collect())
 
 
+def test_parts_grow_with_the_input(spark):
+    rows = shared_table(spark.range(1_000_000).withColumn("k", F.hash("id")), "rows")
+    parts = spread(rows, "k", mb=1).rdd.getNumPartitions()
+    assert parts > spark.sparkContext.defaultParallelism and spread(rows.limit(5), "k", mb=10**6).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_page_counts_take_an_id_once(spark):
+    rows = spark.createDataFrame([(1, 0, "a", 1), (1, 0, "a", 1), (1, 0, "b", 1), (1, 0, "a", 2), (1, 0, "c", 2), (1, 0, None, 2), (2, 0, "a", 2)], "run_id int, source int, external_id string, page int")
+    counts = runs.page_counts(rows)
+    assert {tuple(r) for r in counts.collect()} == {(1, 0, 1, 3, 2), (1, 0, 2, 3, 1), (2, 0, 2, 1, 1)}
+
+
 def test_what_locations_prove(spark):
     paris, unknown, conflict, scope = ("place", "paris"), ("unknown", ""), ("conflict", ""), lambda key: ("non_city", key)
     cases = {paris: "Paris|Paris (75)|Paris / télétravail|Paris | Full remote|Paris ; hybride 2 jours par semaine|Paris (télétravail partiel)|Paris – à distance|Paris 80% télétravail|Paris remote Europe|Paris - Hybride 2 jours/semaine|Paris Télétravail 80%|Télétravail occasionnel (Paris)|Télétravail — à Paris|À Paris, télétravail|Télétravail à Paris|Paris, France|Paris — France|À Paris (France)".split("|") + ["Paris | Hybride 2 jours/semaine"]}
