@@ -579,3 +579,21 @@ def test_detail_pages_of_one_row_group_are_spread(spark):
 
     for name in ("s8_detail_pages", "s7_json_ld_details", "t22_description_blocks"):
         assert "RepartitionByExpression" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cards_are_read_once_and_listings_meet_by_numbers(spark):
+    from offerloom.plans.bridge import listings
+    from offerloom.plans.catalog import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    cards_plan = plan(QUERIES["s17_nested_cards"](spark, sf_dir))
+    assert cards_plan.count("from_json(") == 1 and "get_json_object" not in cards_plan
+    window = next(line for line in plan(listings(spark, sf_dir)).splitlines() if "Window [" in line)
+    assert "l_orderkey" in window and "concat" not in window
+    links = spark.createDataFrame([("a", 2, "t2", "s", "u2", True), ("a", 1, "t1", "q", None, None), ("b", 3, None, None, "u3", False)], "job_id string, ord long, title string, source string, url string, active boolean")
+    got = {r.job_id: (r.title, [tuple(x) for x in r.sources]) for r in search.shown_jobs(links, "title").collect()}
+    assert got == {"a": ("t1", [("q", None, None), ("s", "u2", True)]), "b": (None, [(None, "u3", False)])}
+    edges = spark.createDataFrame([("a", "b", "possible"), ("b", "c", "possible")], "left_id string, right_id string, kind string")
+    jobs = search.shown_jobs(links, "title")
+    assert sorted(search.with_state(jobs, None, edges).select("job_id", "duplicate_state").collect()) == sorted(search.with_state(jobs, links, edges).select("job_id", "duplicate_state").collect()) == [("a", "confirmed"), ("b", "possible")]
