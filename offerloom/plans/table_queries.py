@@ -202,7 +202,7 @@ _TOLD = (
 
 @query("u7_merge_jobs", WITH_LISTINGS.rstrip() + f", {_TOLD} SELECT job_id, title, viewed_at, description, s.a AS salary_min, s.b AS salary_max, s.c AS salary_currency, (SELECT string_agg(x, ',' ORDER BY p) FROM firsts f WHERE f.g = best.g) AS skills, coalesce((SELECT string_agg(x, ',' ORDER BY p) FROM also f WHERE f.g = best.g), '') AS benefits, d_at AS described_at, fetched AS details_fetched_at, merged FROM best")
 def u7(spark, sf_dir):
-    rows = listings(spark, sf_dir)
+    rows = shared_table(listings(spark, sf_dir).select("ord", "title", "tie", "posted_at", "salary_min", "salary_max", "skill_brand", "skill_type", "contract_type"), "told")  # read twice
     some = lambda c, test: F.when(F.expr(test), F.col(c))
     paid = "tie % 5 <> 0"
     jobs = rows.select(F.col("ord").alias("job_id"), "title", some("posted_at", "tie % 3 = 0").alias("viewed_at"), F.when(F.expr("tie % 4 <> 0"), F.concat(F.lit("about "), "ord")).alias("description"), some("salary_min", paid).alias("salary_min"), some("salary_max", paid).alias("salary_max"), F.when(F.expr(paid), "EUR").alias("salary_currency"), F.array("skill_brand", "skill_type").alias("skills"), F.when(F.expr("tie % 2 = 0"), F.array("contract_type")).alias("benefits"), F.col("posted_at").alias("details_fetched_at"))

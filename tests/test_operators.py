@@ -629,3 +629,31 @@ def test_listings_and_profiles_are_dealt_out_to_growing_tasks(spark):
     finally:
         resolve.shared_table = made
     assert "RepartitionByExpression [company_key" in found[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merges_settle_chains_and_make_a_key_once_for_each_item(spark):
+    from offerloom.functions.text import stable_distinct
+
+    rows = spark.createDataFrame([(["SQL", "sql ", None, "Éa", None, "éa", "b"],), ([],), (None,)], "x array<string>").select(stable_distinct(F.col("x")).alias("y"))
+    assert [r.y for r in rows.collect()] == [["SQL", None, "Éa", None, "b"], [], None]
+    expression = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert expression.count("transform(x") == 1 and "exists(" not in expression
+    ids = [(n, n - 1) for n in range(1, 14)] + [(31, 30), (33, 30), (42, 41), (41, 40)]
+    want = {n: 0 for n in range(1, 14)} | {31: 30, 33: 30, 42: 40, 41: 40}
+    assert {r.job_id: r.keep_id for r in resolve.final_keeps(spark.createDataFrame(ids, "job_id long, keep_id long")).collect()} == want
+    assert resolve.final_keeps(spark.createDataFrame([], "job_id long, keep_id long")).count() == 0
+
+
+def test_checked_offers_are_written_without_a_sort(spark, tmp_path):
+    rows = spark.range(20).select("id", (F.col("id") % 3 > 0).alias("valid"), F.when(F.col("id") % 3 == 0, F.array(F.lit("title"))).otherwise(F.array().cast("array<string>")).alias("reasons")).repartition(1)
+    assert quality.store_checked(rows, str(tmp_path / "c"), ("title",)) == {"offers": 20, "valid": 13, "title": 7}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    # unsorted rows keep their order inside a file of one task
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "c" / "valid=false")).select("id").collect()] == list(range(0, 20, 3))
+
+
+def test_pages_are_dealt_out_before_texts_are_made(spark):
+    from offerloom.plans.catalog import QUERIES
+
+    plan = QUERIES["s1_board_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat" not in plan[plan.index("RepartitionByExpression [l_orderkey") :]
