@@ -11,7 +11,7 @@ from offerloom.operators import quality as K
 from offerloom.operators import runs as R
 from offerloom.operators import search as Q
 from offerloom.operators import tables as U
-from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, as_of, listings, offers, star
+from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, as_of, listings, offers, paged_offers, star
 from offerloom.plans.scalar_queries import sql_map
 from offerloom.sources import cards, payloads
 
@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 def _pages(rows: DataFrame, each: Column, head: Column | None = None, tail: str = "") -> DataFrame:
     """(page_id, html): the parts of an order's offers in order; an order has seven at most."""
-    parts = rows.groupBy(F.floor(F.col("ord") / 10).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("ord", each.alias("part")))).alias("parts"))
+    parts = rows.groupBy(F.col("page").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("ord", each.alias("part")))).alias("parts"))
     body = F.array_join(F.transform("parts", lambda x: x["part"]), "\n")
     return parts.select("page_id", F.concat(F.lit("<html><body>") if head is None else head, body, F.lit(tail + "</body></html>")).alias("html"))
 
@@ -52,7 +52,7 @@ def _iso() -> Column:
 
 @query("s1_board_pages", WITH_OFFERS + "SELECT concat('adzuna_', external_id) AS external_id, title, company, CASE WHEN tie % 7 = 0 THEN 'France' ELSE location END AS location, CASE WHEN contract_type <> 'freelance' THEN contract_type END AS contract_type, CASE WHEN tie % 4 <> 0 THEN posted_at END AS posted_at, salary_min, salary_max FROM offers WHERE tie % 5 <> 0")
 def s1(spark, sf_dir):
-    rows = offers(spark, sf_dir)
+    rows = paged_offers(spark, sf_dir)
     result = F.struct(
         F.col("external_id").alias("id"),
         F.expr("if(tie % 5 = 0, ' ', title)").alias("title"),
@@ -64,13 +64,13 @@ def s1(spark, sf_dir):
         "salary_min",
         "salary_max",
     )
-    pages = rows.groupBy(F.floor(F.col("ord") / 10)).agg(F.to_json(F.struct(F.collect_list(result).alias("results"), F.count(F.lit(1)).alias("count"))).alias("body"))
+    pages = rows.groupBy("page").agg(F.to_json(F.struct(F.collect_list(result).alias("results"), F.count(F.lit(1)).alias("count"))).alias("body"))
     return payloads.board_offers(pages).select(*ROWS.split(", "), "salary_min", "salary_max")
 
 
 @query("s2_index_pages", WITH_OFFERS + "SELECT concat('wttj_', external_id) AS external_id, title, CASE WHEN tie % 3 = 0 THEN 'Non spécifié' ELSE company END AS company, CASE tie % 4 WHEN 0 THEN 'France' WHEN 1 THEN 'FR' ELSE concat(location, ', FR') END AS location, CASE contract_type WHEN 'cdi' THEN 'cdi' WHEN 'cdd' THEN 'alternance' ELSE 'freelance' END AS contract_type, CASE WHEN tie % 6 <= 1 THEN 'junior' WHEN tie % 6 <= 3 THEN 'mid' ELSE 'senior' END AS experience_level, CASE WHEN tie % 2 = 0 THEN salary_min ELSE salary_min * 2 END AS salary_min FROM offers WHERE tie % 5 <> 0")
 def s2(spark, sf_dir):
-    rows = offers(spark, sf_dir)
+    rows = paged_offers(spark, sf_dir)
     office = F.struct(_when("tie % 4 > 1", F.col("location"), "").alias("city"), _when("tie % 4 > 0", "FR", "").alias("country"))
     hit = F.struct(
         _when("tie % 2 = 0", F.col("external_id"), None).alias("reference"),
@@ -84,7 +84,7 @@ def s2(spark, sf_dir):
         (F.col("salary_min") * 2).alias("salary_yearly_minimum"),
         (F.col("tie") % 6).cast("double").alias("experience_level_minimum"),
     )
-    pages = rows.groupBy(F.floor(F.col("ord") / 10)).agg(F.to_json(F.struct(F.collect_list(hit).alias("hits"))).alias("body"))
+    pages = rows.groupBy("page").agg(F.to_json(F.struct(F.collect_list(hit).alias("hits"))).alias("body"))
     return payloads.index_offers(pages).select("external_id", "title", "company", "location", "contract_type", "experience_level", "salary_min")
 
 
@@ -94,7 +94,7 @@ _DATED = f"CASE WHEN tie % 4 <> 0 AND posted_at IS NOT NULL THEN posted_at WHEN
 @query("s3_cards_a", WITH_OFFERS + f"SELECT concat('linkedin_', ord) AS external_id, title, company, CASE WHEN tie % 7 = 0 THEN 'France' ELSE location END AS location, contract_type, {_DATED} AS posted_at FROM offers WHERE tie % 9 <> 0")
 def s3(spark, sf_dir):
     """Two kinds of pages; some titles are masked, some ids are only in the URN, some dates are relative."""
-    rows = offers(spark, sf_dir)
+    rows = paged_offers(spark, sf_dir)
     card = F.when(F.expr("(ord div 10) % 2 = 0"), F.lit('<div class="base-card x"')).otherwise(F.lit('<div class="job-search-card"'))
     title = _when("tie % 9 = 0", "****** x", F.col("title"))
     each = F.concat(
@@ -120,7 +120,7 @@ def s3(spark, sf_dir):
 @query("s4_cards_b", WITH_OFFERS + f"SELECT concat('hellowork_', ord) AS external_id, title, CASE WHEN tie % 5 = 0 THEN 'Non spécifié' ELSE company END AS company, CASE tie % 3 WHEN 0 THEN location WHEN 1 THEN 'Nantes 44' ELSE 'France' END AS location, contract_type, {_DATED} AS posted_at FROM offers")
 def s4(spark, sf_dir):
     """Hidden fields or visible text, named places and contracts or tags."""
-    rows = offers(spark, sf_dir)
+    rows = paged_offers(spark, sf_dir)
     each = F.concat(
         F.lit('<li data-id-storage-item-id="'),
         F.col("ord"),
@@ -141,7 +141,7 @@ def s4(spark, sf_dir):
 @query("s5_cards_c", WITH_OFFERS + f"SELECT concat('francetravail_', ord) AS external_id, title, CASE tie % 3 WHEN 2 THEN 'Entreprise confidentielle' WHEN 1 THEN concat(company, CASE WHEN contains(location, ' - ') THEN concat(' ', split_part(location, ' - ', 1)) ELSE '' END) ELSE company END AS company, CASE tie % 3 WHEN 2 THEN 'France' WHEN 1 THEN split_part(location, ' - ', -1) ELSE location END AS location, CASE contract_type WHEN 'freelance' THEN 'interim' ELSE contract_type END AS contract_type, TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AS posted_at FROM offers")
 def s5(spark, sf_dir):
     """Ids as attributes or in links, "company - place" or a span, contracts inside longer labels."""
-    rows = offers(spark, sf_dir)
+    rows = paged_offers(spark, sf_dir)
     each = F.concat(
         F.lit('<li class="result"'),
         _when("(ord div 10) % 2 = 0", F.concat(F.lit(' data-id-offre="'), F.col("ord"), F.lit('"')), ""),
@@ -169,7 +169,7 @@ def s6(spark, sf_dir):
     app = F.struct(F.col("ord").alias("id"), name("App ").alias("title"), path.alias("path"), F.struct(F.col("company").alias("name")).alias("company"), F.struct(F.col("location").alias("label")).alias("location"), F.array(said).alias("contracts"), said.alias("contract"), day.alias("publishedAt"))
     graph = F.struct(F.array(F.lit("JobPosting"), F.lit("Thing")).alias("@type"), F.struct(F.concat(F.lit("tags-"), F.col("ord")).alias("value")).alias("identifier"), url.alias("url"), name("Graph ").alias("title"), F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.array(F.struct(F.struct(F.col("location").alias("addressLocality")).alias("address"))).alias("jobLocation"), said.alias("employmentType"), day.alias("datePosted"))
     card = F.concat(F.lit('<article data-job-id="freework_'), F.col("ord"), F.lit('"><a href="'), path, F.lit('">'), name("Card "), F.lit('</a><p class="company">'), F.col("company"), F.lit('</p><p class="location">'), F.col("location"), F.lit('</p><span class="tag">'), said, F.lit('</span><time datetime="'), F.coalesce(day, F.lit("")), F.lit('"></time></article>'))
-    parts = rows.groupBy(F.floor(F.col("ord") / 10).alias("page_id")).agg(F.to_json(F.collect_list(app)).alias("app"), F.to_json(F.collect_list(graph)).alias("graph"), F.array_join(F.collect_list(card), "").alias("cards"))
+    parts = rows.groupBy(F.col("page").alias("page_id")).agg(F.to_json(F.collect_list(app)).alias("app"), F.to_json(F.collect_list(graph)).alias("graph"), F.array_join(F.collect_list(card), "").alias("cards"))
     script = lambda kind, body: F.concat(F.lit(f"<script {kind}>"), body, F.lit("</script>"))
     html = F.concat(
         F.when(F.expr("page_id % 3 = 0"), script('id="__NUXT_DATA__" type="application/json"', F.concat(F.lit('{"data":[1,{"x":'), F.col("app"), F.lit("}]}")))).otherwise(script('id="__NUXT_DATA__"', F.lit("not json"))),
@@ -196,7 +196,7 @@ def s7(spark, sf_dir):
 @query("s8_detail_pages", WITH_OFFERS + "SELECT ord AS page_id, CASE WHEN tie % 5 = 0 THEN 'Unknown' ELSE title END AS title, CASE WHEN tie % 7 = 0 THEN 'Unknown' ELSE company END AS company, location, CASE tie % 3 WHEN 0 THEN 'cdi' WHEN 1 THEN 'cdd' ELSE 'stage' END AS contract_type, CASE tie % 2 WHEN 0 THEN 'senior' ELSE 'junior' END AS experience_level FROM offers")
 def s8(spark, sf_dir):
     """Criteria of which a later one overrules an earlier one."""
-    rows = offers(spark, sf_dir).repartition("ord")  # a page each: a file's few row groups would be as many tasks
+    rows = paged_offers(spark, sf_dir).repartition("ord")  # a page each: a file's few row groups would be as many tasks
     item = lambda c: F.concat(F.lit('<li class="description__job-criteria-item">'), c, F.lit("</li>"))
     html = F.concat(
         _when("tie % 5 = 0", "", _tag("h1", 'class="top-card-layout__title"', "title")),
