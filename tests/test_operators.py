@@ -531,6 +531,39 @@ def test_state_of_sightings(spark, tmp_path):
     assert not any(r.external_id == "1" for r in out[-1:] if not r.forgotten)
 
 
+def test_listings_of_a_block_share_state_and_timer(spark, tmp_path):
+    """The state has a few entries a block, not a listing; each listing of a block is forgotten at its own time, to the millisecond."""
+    schema = "source string, external_id string, seen_at timestamp, title string"
+    late = DAY(5) - dt.timedelta(milliseconds=1)
+    steps = [
+        [("a", str(i), late if i % 2 else DAY(5), "x") for i in range(300)] + [("a", "q", DAY(5), "q")],
+        [("a", "0", DAY(6), "y"), ("a", "q", DAY(8), "q")],  # the watermark is DAY(7) now: those before DAY(5) go
+        [("a", "q", DAY(8) + dt.timedelta(milliseconds=1), "q")],  # and now those of DAY(5)
+    ]
+    out = []
+    for n, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "landed" / str(n)))
+        changes = state.remembered_sightings(streams.landed(spark, str(tmp_path / "landed" / "*"), schema, 1), idle_days=2, blocks=2)
+        got: list = []
+        query = streams.upsert_stream(changes, lambda batch, _, got=got: got.extend(batch.collect()), str(tmp_path / "state"))
+        query.awaitTermination()
+        out.append({(r.external_id, r.last_seen_at, r.title, r.forgotten) for r in got})
+        assert len(got) == len(out[-1]) and query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 8
+    assert out[0] == {(i, at, t, False) for _, i, at, t in steps[0]}
+    assert out[1] == {("0", DAY(6), "y", False), ("q", DAY(8), "q", False)} | {(str(i), late, "x", True) for i in range(1, 300, 2)}
+    assert out[2] == {(*steps[2][0][1:], False)} | {(str(i), DAY(5), "x", True) for i in range(2, 300, 2)}
+
+
+def test_sightings_of_a_task_are_thinned_out_across_its_batches(monkeypatch):
+    frames = lambda: (pd.DataFrame({"source": "a", "external_id": [str(i % 7) for i in range(50)], "seen_micros": range(n, n + 50), "title": None}) for n in range(0, 1000, 50))
+    last = {str(i): max(n + i + j for n in range(0, 1000, 50) for j in range(0, 50 - i, 7)) for i in range(7)}
+    for most in (60, 10):  # few listings are held to the end; too many are given out in between
+        monkeypatch.setattr(state, "GATHERED", most)
+        got = list(state.newest_of_task(frames()))
+        assert pd.concat(got).groupby("external_id")["seen_micros"].max().to_dict() == last
+        assert (len(got) == 1) == (most == 60)
+
+
 def test_companies_that_share_their_titles_meet_them_once(spark, monkeypatch):
     titles = [f"{a} {b}" for a in ("data", "web", "cloud", "mobile") for b in ("engineer", "engineers", "developer", "developers", "analyst")]
     rows = [(f"c{c}", t) for c in range(60) for i, t in enumerate(titles) if (c + i) % 7]
