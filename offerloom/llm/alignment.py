@@ -40,6 +40,8 @@ FAN = 32
 KEPT, CACHE, BLOCK = 256, 150_000, 2000
 #: Bytes of texts handled at a time.
 SLICE = 1 << 21
+#: Units whose groups are written as text at a time.
+TOLD = 8192
 #: Token pairs that are broadcast at once, 17 bytes each.
 PAIRS = 4_000_000
 SPACES = np.array([b in (*range(9, 14), *range(28, 33)) for b in range(256)])
@@ -218,11 +220,16 @@ class Units:
         return keys, _bounds(each)[of_unit]
 
     def texts(self) -> list[str]:
-        """a1,a2|b1;a3|b2,b3 of each unit."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        of_unit, at_a, at_b = (x.tolist() for x in self.bounds())
-        groups = [",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip(at_a[:-1], at_a[1:], at_b[:-1], at_b[1:], strict=True)]
-        return [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip(of_unit[:-1], of_unit[1:], strict=True)]
+        """a1,a2|b1;a3|b2,b3 of each unit; worked out for a block of units at a time, as numbers as Python's text take many times their bytes."""
+        bounds, out = self.bounds(), []
+        for at in range(0, len(self.groups), TOLD):
+            of_unit = bounds[0][at : at + TOLD + 1]
+            at_a, at_b = (x[of_unit[0] : of_unit[-1] + 1] for x in bounds[1:])
+            a, b = (list(map(str, x[i[0] : i[-1]].tolist())) for x, i in ((self.a, at_a), (self.b, at_b)))
+            of_unit, at_a, at_b = ((x - x[0]).tolist() for x in (of_unit, at_a, at_b))
+            groups = [",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip(at_a[:-1], at_a[1:], at_b[:-1], at_b[1:], strict=True)]
+            out += [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip(of_unit[:-1], of_unit[1:], strict=True)]
+        return out
 
 
 PARTS = ("groups", "of_a", "of_b", "a", "b")
@@ -235,6 +242,13 @@ def _loaded(files) -> Encoder:
     return _LOADED[files.id]
 
 
+def _unloaded() -> None:
+    """Python workers stay from stage to stage: what comes after the encoding has no use for the tokenizers and their units."""
+    if _LOADED:
+        _LOADED.clear()
+        trimmed()
+
+
 class _Files:
     """The two vocabulary files, read by the driver and broadcast: a few MB whatever the corpus."""
 
@@ -282,6 +296,8 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", files: tuple
                 columns = [pa.array([part]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), *[pa.array([x], pa.binary()) for x in (packed(occurrences), packed(codes), *units.packed())]]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "keys", "occurrences", "codes", *PARTS])
                 part += 1
+                del units, codes, occurrences, columns
+                trimmed()
         trimmed()
 
     short = shared_table(rows.where(~is_long).mapInArrow(encode, _kinds(docs.schema[key].dataType)), "encoded")
@@ -417,6 +433,7 @@ def link_counts(found: Alignment) -> DataFrame:
     size_b = found.size_b
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _unloaded()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def added() -> None:
@@ -444,6 +461,7 @@ def link_counts(found: Alignment) -> DataFrame:
         trimmed()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _unloaded()
         for batch in batches:
             for row in batch.to_pylist():
                 keys = np.unique(_piece(row).links(size_b)[0])
@@ -460,12 +478,12 @@ def link_counts(found: Alignment) -> DataFrame:
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _formed(units: Units, codes: np.ndarray, bounds: np.ndarray, texts: bool = True) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Counts and the groups' text for each document of a batch."""
+def _formed(units: Units, codes: np.ndarray, bounds: np.ndarray, texts: bool = True) -> tuple[dict[str, np.ndarray], Iterator[str]]:
+    """Counts and the groups' text for each document of a batch, the texts one at a time."""
     of_unit, at_a, at_b = units.bounds()
     per_unit = (at_a[of_unit[1:]] - at_a[of_unit[:-1]], at_b[of_unit[1:]] - at_b[of_unit[:-1]], units.groups, _sums(units.of_a * units.of_b, of_unit))
     told = units.texts() if texts else []
-    joined = [";".join([told[c] for c in codes[i:j].tolist()]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)] if texts else []
+    joined = (";".join([told[c] for c in codes[i:j].tolist()]) for i, j in (zip(bounds[:-1], bounds[1:], strict=True) if texts else ()))
     return {f: _sums(x[codes], bounds) for f, x in zip(FACTS, per_unit, strict=True)}, joined
 
 
@@ -475,7 +493,7 @@ def token_groups(found: Alignment) -> DataFrame:
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, row in enumerate(batch.to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(_formed(*_batch(row))[1], pa.string())], ["key", "groups"])
+                yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(list(_formed(*_batch(row))[1]), pa.string())], ["key", "groups"])
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -515,6 +533,7 @@ def linked(found: Alignment, counts: DataFrame) -> DataFrame:
 
     def short(block, first: bool):
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _unloaded()
             for batch in batches:
                 for i, row in enumerate(batch.to_pylist()):
                     units, codes, bounds = _batch(row)
@@ -524,12 +543,14 @@ def linked(found: Alignment, counts: DataFrame) -> DataFrame:
                     n = len(best)
                     columns = [pa.array(np.full(n, row["part"])), pa.array(np.arange(n)), batch.column("keys")[i].values, *[pa.array(x if first else np.zeros(n, np.int64)) for x in facts.values()], pa.array(best), pa.array(total), pa.array(hashes, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, ["part", "at", "key", *FACTS, "n_best", "count_sum", "groups_sha256"])
-            trimmed()
+                    del units, codes, texts
+                    trimmed()
 
         return apply
 
     def long(block, first: bool):
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _unloaded()
             for batch in batches:
                 for row in batch.to_pylist():
                     units = _piece(row)
@@ -553,6 +574,7 @@ def linked(found: Alignment, counts: DataFrame) -> DataFrame:
         few = few.groupBy("part", "at").agg(F.first("key").alias("key"), *[F.sum(c).alias(c) for c in numbers], F.max("groups_sha256").alias("groups_sha256"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _unloaded()
         own, r, begun = hashlib.sha256(), None, False
         for batch in batches:
             for row in batch.to_pylist():

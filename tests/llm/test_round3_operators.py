@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 import sentencepiece
 import tokenizers
@@ -134,6 +136,28 @@ def test_fragments_compose_in_any_order():
         assert sorted(between + [g for _, own in parts for g in own]) == sorted(closed)
 
 
+def test_groups_as_text_need_little_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    n_groups = rng.integers(0, 5, 40_000)
+    of_a, of_b = rng.integers(1, 4, (2, n_groups.sum()))
+    units = alignment.Units(n_groups, of_a, of_b, rng.integers(0, 50_000, of_a.sum()), rng.integers(0, 32_000, of_b.sum()))
+    codes, bounds = np.flatnonzero(n_groups), np.array([0, 0, *range(100, np.count_nonzero(n_groups), 100)])
+    tracemalloc.start()
+    size = sum(len(t) for t in alignment._formed(units, codes, bounds)[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * size
+    told = units.texts()
+    monkeypatch.setattr(alignment, "TOLD", 7)
+    assert units.texts() == told and [t.count("|") for t in told] == n_groups.tolist()
+
+
+def test_tokenizers_go_from_workers_that_encode_no_more(monkeypatch):
+    monkeypatch.setattr(alignment, "_LOADED", {"id": "an encoder"})
+    alignment._unloaded()
+    assert not alignment._LOADED
+
+
 def test_alignment_of_no_documents(spark):
     found = alignment.align(spark.createDataFrame([], "doc_id long, text string"))
     assert alignment.linked(found, alignment.link_counts(found)).isEmpty() and alignment.token_groups(found).isEmpty()
