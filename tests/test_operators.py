@@ -682,3 +682,14 @@ def test_pages_are_dealt_out_before_texts_are_made(spark):
 
     plan = QUERIES["s1_board_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "concat" not in plan[plan.index("RepartitionByExpression [l_orderkey") :]
+
+
+def test_pages_of_source_d_tell_the_newest_sightings(spark):
+    from offerloom.plans.bridge import listings
+    from offerloom.plans.catalog import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = sorted((r.external_id, r.title, r.company, r.location) for r in QUERIES["s6_cards_d"](spark, sf_dir).collect())
+    kinds = ["App ", "Graph ", "Card "]
+    want = [(f"freework_{r.ord}", kinds[r.ord // 10 % 3] + r.title, r.company, r.location) for r in listings(spark, sf_dir).collect() if r.ord // 10 % 3 > 0 or r.tie % 5]
+    assert got == sorted(want) and {t.split()[0] for _, t, _, _ in got} == {"App", "Graph", "Card"}
