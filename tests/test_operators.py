@@ -693,3 +693,11 @@ def test_pages_of_source_d_tell_the_newest_sightings(spark):
     kinds = ["App ", "Graph ", "Card "]
     want = [(f"freework_{r.ord}", kinds[r.ord // 10 % 3] + r.title, r.company, r.location) for r in listings(spark, sf_dir).collect() if r.ord // 10 % 3 > 0 or r.tie % 5]
     assert got == sorted(want) and {t.split()[0] for _, t, _, _ in got} == {"App", "Graph", "Card"}
+
+
+def test_labels_are_looked_for_before_looking_back(spark):
+    shown = text.with_sections(F.col("c"))._jc.toString()
+    assert shown.index("(?=(?iu:") < shown.index("(?<=")
+    rows = spark.createDataFrame([("Fin.  Missions\n ABOUT US: x",), ("la Missions",), ("A B\nUN DEUX TROIS QUATRE CINQ SIX SEPT HUIT\nUN DEUX TROIS QUATRE CINQ SIX SEPT HUIT NEUF\nSEUL",)], "c string")
+    got = [[(b["type"], b["text"]) for b in r.b] for r in rows.select(text.description_blocks(F.col("c")).alias("b")).collect()]
+    assert got == [[("paragraph", "Fin."), ("heading", "Missions"), ("heading", "ABOUT US"), ("paragraph", "x")], [("paragraph", "la Missions")], [("heading", "A B"), ("heading", "UN DEUX TROIS QUATRE CINQ SIX SEPT HUIT"), ("paragraph", "UN DEUX TROIS QUATRE CINQ SIX SEPT HUIT NEUF\nSEUL")]]
