@@ -10,7 +10,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 from html.parser import HTMLParser
 
@@ -113,15 +113,30 @@ CONTRACT_WORDS = {
 }
 
 
-#: A piece of text, or a tag written plainly: attributes without a reference, in double quotes or without a value. Elements of raw text but these two go to the parser.
-TOKEN = re.compile(r'([^<]+)|<(/?)([a-z][a-z0-9]*)((?: [a-zA-Z_][a-zA-Z0-9_:.-]*(?:="[^"<>&]*")?)*)>')
+#: A tag written plainly, without its signs: attributes without a reference, in double quotes or without a value. Elements of raw text but these two go to the parser.
+TAG = re.compile(r'(/?)([a-z][a-z0-9]*)((?: [a-zA-Z_][a-zA-Z0-9_:.-]*(?:="[^"<>&]*")?)*)')
 ATTRIBUTE = re.compile(r' ([a-zA-Z_][a-zA-Z0-9_:.-]*)(?:="([^"]*)")?')
 RAW, PARSED = frozenset(("script", "style")), frozenset(("textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"))
 
 
+@lru_cache(1 << 14)
+def _tag(text: str) -> tuple[str, str, dict[str, str], str] | None:
+    """Whether it ends, name, attributes and kind of a plain tag, told once for tags that are written alike; nobody changes the attributes."""
+    if not (plain := TAG.fullmatch(text)):
+        return None
+    end, name, attributes = plain.groups()
+    told = {k.lower(): v for k, v in ATTRIBUTE.findall(attributes)}
+    return None if end and attributes else (end, name, told, _kind(name, told))
+
+
+def _kind(tag: str, attributes: dict[str, str]) -> str:
+    """Tag, class and names of attributes."""
+    return "\0".join((tag, attributes.get("class", ""), *attributes))
+
+
 class _Page(HTMLParser):
-    """The elements of a page in order: tag, attributes, number of the parent, number after the last descendant, and the first and the
-    number after the last of the pieces of text inside. Pages of plain tokens are read without the parser, with the same elements."""
+    """The elements of a page in order: tag, attributes, number of the parent, number after the last descendant, the first and the
+    number after the last of the pieces of text inside, and kind. Pages of plain tags are read without the parser, with the same elements."""
 
     def __init__(self, html: str, plain: bool = True):
         self.elements: list[list] = []
@@ -136,29 +151,44 @@ class _Page(HTMLParser):
             self.elements[i][3], self.elements[i][5] = len(self.elements), len(self.pieces)
 
     def _plain(self, html: str) -> bool:
-        """Read a page of plain tokens; false where something else stands between them."""
-        tokens = TOKEN.findall(html)
-        if sum([len(text) or 2 + len(end) + len(tag) + len(attributes) for text, end, tag, attributes in tokens]) != len(html):
-            return False
-        raw = None
-        for text, end, tag, attributes in tokens:
-            if text:
-                self.handle_data(text if raw or "&" not in text else unescape(text))
-            elif end:
-                if attributes or raw not in (None, tag):
+        """Read a page of plain tags and texts; false where something else stands between them. The common cases are written out here, as a
+        call for each tag would take longer than what it does."""
+        raw, elements, stack, pieces = None, self.elements, self.open, self.pieces
+        text, *rest = html.split("<")
+        if text:
+            self.handle_data(unescape(text))
+        for one in rest:
+            head, closed, text = one.partition(">")
+            told = _tag(head) if closed else None
+            if told is None:
+                return False
+            end, tag, attributes, kind = told
+            if end:
+                if raw not in (None, tag):
                     return False
                 raw = None
-                self.handle_endtag(tag)
+                if stack and elements[stack[-1]][0] == tag:
+                    e = elements[stack.pop()]
+                    e[3], e[5] = len(elements), len(pieces)
+                else:
+                    self.handle_endtag(tag)
             else:
                 if raw or tag in PARSED:
                     return False
-                raw = tag if tag in RAW else None
-                self.handle_starttag(tag, [(k.lower(), v) for k, v in ATTRIBUTE.findall(attributes)] if attributes else [])
+                if tag in RAW:
+                    raw = tag
+                n, at = len(elements), len(pieces)
+                elements.append([tag, attributes, stack[-1] if stack else -1, n + 1, at, at, kind])
+                if tag not in VOID:
+                    stack.append(n)
+            if text and (text := (text if raw or "&" not in text else unescape(text)).strip()):
+                pieces.append(text)
         return raw is None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         n, at = len(self.elements), len(self.pieces)
-        self.elements.append([tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else -1, n + 1, at, at])
+        attributes = {k: v or "" for k, v in attrs}
+        self.elements.append([tag, attributes, self.open[-1] if self.open else -1, n + 1, at, at, _kind(tag, attributes)])
         if tag not in VOID:
             self.open.append(n)
 
@@ -176,14 +206,16 @@ class _Page(HTMLParser):
             self.pieces.append(piece)
 
     def text(self, i: int) -> str:
-        _, _, _, _, first, last = self.elements[i]
-        return " ".join(" ".join(self.pieces[first:last]).split())
+        _, _, _, _, first, last, _ = self.elements[i]
+        return " ".join((self.pieces[first] if last - first == 1 else " ".join(self.pieces[first:last])).split())
 
 
 @cache
 def _test(place: str):
     """Whether an element is at a place: a tag, classes, and an attribute."""
     tag, classes, name, how, value = _parts(place)
+    if tag and not classes and name is None:
+        return lambda e: e[0] == tag
     compare = {None: lambda x: True, "=": value.__eq__, "*=": lambda x: value in x, "^=": lambda x: x.startswith(value)}[how]
     return lambda e: (not tag or e[0] == tag) and (not classes or classes <= set(e[1].get("class", "").split())) and (name is None or (name in e[1] and compare(e[1][name])))
 
@@ -194,44 +226,48 @@ def _parts(place: str) -> tuple:
 
 
 @cache
-def _lookups(places: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[dict, list]:
-    """Places by what an element must have to be at one (a class, else an attribute, else a tag), and those that are looked up otherwise."""
-    keyed, apart = defaultdict(list), []
-    for name, ways in places:
-        for k, place in enumerate(ways):
-            where, _, read = place.partition("@")
-            if where == ROOT or " " in where:
-                apart.append((name, k, where, read))
-            else:
-                tag, classes, attribute, _, _ = _parts(where)
-                keyed[("class", min(classes)) if classes else ("attribute", attribute) if attribute else ("tag", tag)].append((name, k, _test(where), read))
-    return keyed, apart
+def _lookups(places: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list, list, dict]:
+    """Places of the root, all others, and what is known so far of elements by their kind."""
+    ways = [(name, k, *place.partition("@")[::2]) for name, ways in places for k, place in enumerate(ways)]
+    return [(name, k, read) for name, k, where, read in ways if where == ROOT], [w for w in ways if w[2] != ROOT], {}
+
+
+def _may_be_at(e: list, places: list) -> list:
+    """The places at which elements of a kind are, with a test where an attribute's value decides, and, for places inside others, with
+    the test of what is looked for inside."""
+    near = []
+    for name, k, where, read in places:
+        outer, _, inner = where.rpartition(" ")
+        tag, classes, attribute, how, _ = _parts(outer or inner)
+        if (not tag or e[0] == tag) and classes <= set(e[1].get("class", "").split()) and (attribute is None or attribute in e[1]):
+            near.append((name, k, _test(outer or inner) if how else None, _test(inner) if outer else None, read))
+    return near
 
 
 def _found(page: _Page, root: int, places: tuple[tuple[str, tuple[str, ...]], ...]) -> dict[str, list[str]]:
-    """What the places in an element hold by name, in the order of the page."""
-    keyed, apart = _lookups(places)
-    elements, out = page.elements, {name: [] for name, _ in places}
-    for i in range(root + 1, elements[root][3]):
+    """What the places in an element hold by name, in the order of the page; a name without a text is left out."""
+    own, others, known = _lookups(places)
+    elements, out = page.elements, {}
+    for name, k, read in own:
+        out.setdefault(name, []).append((root, k, read))
+    for i in range(root, elements[root][3]):
         e = elements[i]
-        near = keyed.get(("tag", e[0]), ())
-        for k in e[1]:
-            near = (*near, *keyed.get(("attribute", k), ()))
-            if k == "class":
-                for c in set(e[1][k].split()):
-                    near = (*near, *keyed.get(("class", c), ()))
-        for name, k, at, read in near:
-            if at(e):
-                out[name].append((i, k, read))
-    for name, k, where, read in apart:
-        outer, _, inner = where.rpartition(" ")
-        if where == ROOT:
-            hits = [root]
-        else:
-            around = [i for i in range(root, elements[root][3]) if _test(outer)(elements[i])]
-            hits = [i for r in around for i in range(r + 1, elements[r][3]) if _test(inner)(elements[i])]
-        out[name] += [(i, k, read) for i in hits]
-    return {name: [text for i, _, read in sorted(hits) if (text := elements[i][1].get(read, "") if read else page.text(i))] for name, hits in out.items()}
+        near = known.get(e[6])
+        if near is None:
+            if len(known) > 1 << 14:
+                known.clear()
+            near = known[e[6]] = _may_be_at(e, others)
+        for name, k, at, inner, read in near:
+            if at is None or at(e):
+                if inner:
+                    out.setdefault(name, []).extend([(j, k, read) for j in range(i + 1, e[3]) if inner(elements[j])])
+                elif i > root:
+                    out.setdefault(name, []).append((i, k, read))
+    found = {}
+    for name, hits in out.items():
+        if texts := [text for i, _, read in (sorted(hits) if len(hits) > 1 else hits) if (text := elements[i][1].get(read, "") if read else page.text(i))]:
+            found[name] = texts
+    return found
 
 
 def _cards(page: _Page, ways: tuple[str, ...]) -> list[int]:
@@ -266,14 +302,22 @@ def _extracted(pages: DataFrame, roots, places: dict[str, tuple[str, ...]]) -> D
     wanted = tuple(places.items())
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.map_(pa.string(), pa.list_(pa.string())))
+        """Parts are put into flat columns: nested Python values would be looked at one by one again."""
         for batch in batches:
-            rows = []
+            pages, positions, parts, names, ends, texts = [], [], [0], [], [0], []
             for key, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "html")], strict=True):
                 page = _Page(f"<{ROOT}>{html or ''}</{ROOT}>")
-                rows += [(key, i, list(_found(page, root, wanted).items())) for i, root in enumerate(roots(page))]
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["page_id", "pos", "parts"])
+                for i, root in enumerate(roots(page)):
+                    pages.append(key)
+                    positions.append(i)
+                    for name, held in _found(page, root, wanted).items():
+                        names.append(name)
+                        texts += held
+                        ends.append(len(texts))
+                    parts.append(len(names))
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(texts, pa.string()))
+            told = pa.MapArray.from_arrays(pa.array(parts, pa.int32()), pa.array(names, pa.string()), held)
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(positions, pa.int32()), told], ["page_id", "pos", "parts"])
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(extract, f"page_id long, pos int, parts {PARTS}")
 

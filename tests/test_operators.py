@@ -701,3 +701,15 @@ def test_labels_are_looked_for_before_looking_back(spark):
     rows = spark.createDataFrame([("Fin.  Missions\n ABOUT US: x",), ("la Missions",), ("A B\nUN DEUX TROIS QUATRE CINQ SIX SEPT HUIT\nUN DEUX TROIS QUATRE CINQ SIX SEPT HUIT NEUF\nSEUL",)], "c string")
     got = [[(b["type"], b["text"]) for b in r.b] for r in rows.select(text.description_blocks(F.col("c")).alias("b")).collect()]
     assert got == [[("paragraph", "Fin."), ("heading", "Missions"), ("heading", "ABOUT US"), ("paragraph", "x")], [("paragraph", "la Missions")], [("heading", "A B"), ("heading", "UN DEUX TROIS QUATRE CINQ SIX SEPT HUIT"), ("paragraph", "UN DEUX TROIS QUATRE CINQ SIX SEPT HUIT NEUF\nSEUL")]]
+
+
+def test_tags_and_kinds_of_elements_are_told_once():
+    html = "".join(f'<li class="result x" data-id-offre="{n}"><h2 class="media-heading">Dev &gt; {n}</h2><p class="subtext"> A <span>B</span> <span></span></p></li>' for n in range(50))
+    cards._tag.cache_clear()
+    page = cards._Page(f"<root>{html}</root>")
+    assert not hasattr(page, "rawdata") and cards._tag.cache_info().misses == 50 + 9
+    spec = cards.CARDS["francetravail"]
+    wanted = tuple((k, v) for k, v in spec.items() if k != "cards")
+    got = [cards._found(page, root, wanted) for root in cards._cards(page, spec["cards"])]
+    assert got == [{"id": [str(n)], "said_title": [f"Dev > {n}"], "company": ["A B"], "location": ["B"]} for n in range(50)]
+    assert len(cards._lookups(wanted)[2]) <= len({e[6] for e in page.elements}) + 20
