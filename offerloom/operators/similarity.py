@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerloom.session import shared_table
+from offerloom.session import grown, shared_table
 
 SLACK = 1e-9
 #: Longs in a title's mask of tokens.
@@ -110,7 +110,7 @@ def similar_titles(units: DataFrame, least: float) -> DataFrame:
     scored = title_scores(pairs.where(common), least).join(pairs.select("a", "b", rarer.alias("rarer")), ["a", "b"])
     # from the title of fewer companies to the other one
     scored = shared_table(scored.select("a", "b", "score", F.when(F.col("rarer"), F.col("a")).otherwise(F.col("b")).alias("title_key"), F.when(F.col("rarer"), F.col("b")).otherwise(F.col("a")).alias("other")), "scores")
-    return units.join(scored, "title_key").drop("title_key").join(units.withColumnRenamed("title_key", "other"), ["company_key", "other"]).select("company_key", "a", "b", "score")
+    return units.join(scored, "title_key").drop("title_key").join(grown(units.withColumnRenamed("title_key", "other")), ["company_key", "other"]).select("company_key", "a", "b", "score")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -122,10 +122,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = shared_table(both, "title-edges")
     labels = shared_table(both.groupBy("company_key", F.col("a").alias("title_key")).agg(F.least("a", F.min("b")).alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("title_key", "b"), ["company_key", "b"]).groupBy("company_key", F.col("a").alias("title_key")).agg(F.min("component").alias("near"))
-        step = labels.join(near, ["company_key", "title_key"]).select("company_key", "title_key", F.least("component", "near").alias("up"), F.col("component").alias("was"))
+        near = both.join(grown(labels.withColumnRenamed("title_key", "b")), ["company_key", "b"]).groupBy("company_key", F.col("a").alias("title_key")).agg(F.min("component").alias("near"))
+        step = labels.join(grown(near), ["company_key", "title_key"]).select("company_key", "title_key", F.least("component", "near").alias("up"), F.col("component").alias("was"))
         jump = labels.select("company_key", F.col("title_key").alias("up"), F.col("component").alias("over"))
-        step = step.join(jump, ["company_key", "up"]).select("company_key", "title_key", F.least("up", "over").alias("component"), "was")
+        step = step.join(grown(jump), ["company_key", "up"]).select("company_key", "title_key", F.least("up", "over").alias("component"), "was")
         step = shared_table(step, "labels")
         labels = step.drop("was")
         if step.where("component <> was").isEmpty():

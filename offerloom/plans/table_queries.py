@@ -14,7 +14,7 @@ from offerloom.operators.places import area_keys, evidence
 from offerloom.operators.similarity import similar_titles
 from offerloom.plans.bridge import AS_OF, WITH_LISTINGS, WITH_OFFERS, WITH_SYNCS, as_of, listings, offers, search_listings, star, sync_events, sync_results
 from offerloom.plans.scalar_queries import quoted, sql_key, sql_location, sql_map
-from offerloom.session import new_folder, shared_table
+from offerloom.session import new_folder, settled, shared_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,13 +172,13 @@ def b1(spark, sf_dir):
 @query("u4_decisions")
 def u4_near(spark, sf_dir):
     """Every pair of profiles that is confirmed or possible; SQL has no title similarity."""
-    rows = D.decided(D.profiles(D.prepared(listings(spark, sf_dir))))
+    rows = D.decided(settled(spark, lambda: D.profiles(D.prepared(listings(spark, sf_dir))), "profiles"), keep=("listings",))
     return rows.select("left", "right", "kind", "score", "reasons", "a_listings", "b_listings")
 
 
 @query("u4_equal_titles", WITH_LISTINGS.rstrip() + f", {_PROFILES} SELECT a.profile AS left, b.profile AS right, (a.n * b.n)::BIGINT AS listing_pairs FROM profiles a JOIN profiles b ON a.c = b.c AND a.t = b.t AND a.kind = 'place' AND b.kind = 'place' AND a.p = b.p AND a.profile <= b.profile AND (a.r IS NULL OR b.r IS NULL OR a.r = b.r) AND len(list_distinct(list_concat(a.s, b.s))) > 1")
 def u4_equal(spark, sf_dir):
-    rows = D.decided(D.profiles(D.prepared(listings(spark, sf_dir)))).where("kind = 'confirmed' and score = 1.0")
+    rows = D.decided(D.profiles(D.prepared(listings(spark, sf_dir))), keep=("listings",)).where("kind = 'confirmed' and score = 1.0")
     return rows.select("left", "right", (F.col("a_listings") * F.col("b_listings")).alias("listing_pairs"))
 
 
@@ -223,18 +223,20 @@ def u7_edges(spark, sf_dir):
 @query("u5_edges")
 def u5(spark, sf_dir):
     """The edges among merged jobs: those found before SPLIT, and what the listings seen since change in the companies they touch."""
-    rows = D.prepared(listings(spark, sf_dir), "seen_at")
-    near = shared_table(similar_titles(rows.where("loc_kind <> 'conflict'"), D.POSSIBLE), "near")
+    rows = settled(spark, lambda: D.prepared(listings(spark, sf_dir), "seen_at"), "keys")
+    near = settled(spark, lambda: similar_titles(rows.where("loc_kind <> 'conflict'"), D.POSSIBLE), "near")
     before = shared_table(rows.where(f"seen_at < timestamp '{SPLIT}'"), "before")
     first = F.to_timestamp(F.lit(SPLIT))
 
     def edges(some):
-        return D.possible_edges(shared_table(D.merged_jobs(some, shared_table(D.clusters(some, near), "clusters")), "merged"), near)
+        merged = settled(spark, lambda: D.merged_jobs(some, shared_table(D.clusters(some, near), "clusters")), "merged")
+        return D.possible_edges(merged, near)
 
-    old = edges(before).withColumns({"created_at": first, "updated_at": first})
+    old = settled(spark, lambda: edges(before).withColumns({"created_at": first, "updated_at": first}), "old")
     touched = rows.where(f"seen_at >= timestamp '{SPLIT}'").select("company_key").distinct()
     again = shared_table(rows.join(touched, "company_key", "left_semi"), "again")
-    return D.maintain_edges(shared_table(old, "old"), edges(again), as_of(), again.select(F.col("ord").alias("job_id")))
+    new = settled(spark, lambda: edges(again), "new")
+    return D.maintain_edges(old, new, as_of(), again.select(F.col("ord").alias("job_id")))
 
 
 # Scans: a run is a customer, a source's pages hold ten sightings each.
